@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomtext.llm import bpe_automaton
+from loomtext.llm import bpe_automaton, packing
 
 QUERIES: dict[str, Callable] = {
+    "op4_packing": packing.op4_packing,
     "op7_bpe_automaton": bpe_automaton.op7_bpe_automaton,
 }
 ORACLE_SQL: dict[str, str] = {}
