@@ -14,7 +14,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +34,13 @@ def library_encoder(path: str) -> bpe.TextEncoder:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
+
+    model = tokenizer.model
+    byte_level = {b: ord(c) for c, b in bpe.byte_alphabet().items()}
 
     def encode(piece: str) -> bytes:
-        return np.array(tokenizer.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+        # the piece is split already, so the library's model alone is asked
+        return b"".join([t.id.to_bytes(4, "little") for t in model.tokenize(piece.encode().decode("latin-1").translate(byte_level))])
 
     return bpe.TextEncoder(encode, bpe.load(path)["added"])
 
