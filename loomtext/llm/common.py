@@ -64,7 +64,7 @@ def unpacked(df: DataFrame, like: DataFrame, text_col: str, made: list[str]) ->
 class Hashes(dict):
     """Word (bytes) to XXH64; forgets everything at `most` words, so memory is bounded."""
 
-    def __init__(self, seed: int, most: int = 400_000):
+    def __init__(self, seed: int, most: int = 200_000):
         super().__init__()
         self.seed, self.most = seed, most
 
@@ -86,7 +86,7 @@ def word_hashes(texts: list[bytes | None], cache: Hashes) -> tuple[np.ndarray, n
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)), counts
 
 
-def chunks(texts: list[bytes | None], most_bytes: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes | None], most_bytes: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about most_bytes of text each (a longer text stands alone)."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -105,7 +105,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        p = np.full(max(n, 1 << 20), base, np.uint64)
+        p = np.full(max(n, 1 << 18), base, np.uint64)
         p[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(p)
     return have[:n]

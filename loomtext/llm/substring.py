@@ -111,7 +111,7 @@ def _sketched(window: int, bits: int, slices: int):
             for a, b in chunks(texts):
                 found.append(_Words(texts[a:b], cache, window).selected())
                 size += len(found[-1])
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield out()
                 found, size = [], 0
         yield out()
