@@ -5,9 +5,8 @@ A fingerprint of 64 bits is cut into segments of 22, 21 and 21 bits. With at mos
 the next, at most 18 keys for each distinct fingerprint. Fingerprints that share a key are compared bit by bit within the
 key's rows, which come sorted; of the links in a key only a spanning forest leaves the task. Components follow by star steps.
 
-near_duplicates(), the pipeline's form, takes one to five differing bits as candidates (two of three segments then differ
-in at most two bits; a key is a pair of indices) and keeps those whose sets of five-word shingles have a Jaccard similarity of
-0.8 or more.
+drop_near_duplicates(), the pipeline's form, takes keys of two codeword indices: with at most five differing bits two of three
+segments differ in at most two. Candidates are links if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Ties: a bit that is set in exactly half
 the shingles is 0. Repeated rows share a component. A null id never names a component unless all its ids are null. An empty
@@ -187,6 +186,117 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(*rest, "fingerprint", "component_id")
 
 
+#: drop_near_duplicates(): words in a shingle of the fingerprint that finds candidates, and the bits in which candidates may differ.
+FIND_SHINGLE = 2
+FIND_BITS = 14
+#: Fingerprints of a key that are compared all with all; more are taken in runs of so many, whose centres are compared next.
+RUN = 512
+
+
+def _centred(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate links of one key's fingerprints, at most two for each: to its nearest, and to the one in the middle of its run."""
+    xs, ys = [], []
+    while len(fp) > 1:
+        centres = []
+        for at in range(0, len(fp), RUN):
+            own = fp[at : at + RUN]
+            if len(own) == 1:
+                centres.append(own[0])
+                continue
+            apart = np.bitwise_count(own[:, None] ^ own[None, :]).astype(np.int16)
+            middle = int(apart.sum(axis=1).argmin())
+            centres.append(own[middle])
+            np.fill_diagonal(apart, 99)
+            nearest = apart.argmin(axis=1)
+            i = np.arange(len(own))
+            near, central = apart[i, nearest] <= FIND_BITS, apart[i, middle] <= FIND_BITS
+            xs += [own[near], own[central]]
+            ys += [own[nearest[near]], np.full(int(central.sum()), own[middle])]
+        fp = np.array(centres, np.uint64) if len(fp) > RUN else fp[:0]
+    if not xs:
+        return fp[:0], fp[:0]
+    return np.concatenate(xs), np.concatenate(ys)
+
+
+def _links_near(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per key: links of at most FIND_BITS bits, a number in proportion to the key's fingerprints."""
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    xs, ys = [fp[:0]], [fp[:0]]
+    pairs = starts[sizes == 2]
+    near = np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= FIND_BITS
+    xs.append(fp[pairs[near]])
+    ys.append(fp[pairs[near] + 1])
+    for start, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        x, y = _centred(fp[start : start + n])
+        xs.append(x)
+        ys.append(y)
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _shingle_sets(shingle: int):
+    """(nid, set): the sorted distinct hashes of a text's shingles of lowered words (a shorter text is one shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes(SEED)
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").to_pylist():
+                hashes, _ = word_hashes([text.lower() if text else None], cache)
+                sets.append(np.unique(rolling(hashes, min(shingle, max(1, len(hashes))), 0x9E3779B97F4A7C15)).tobytes())
+            yield pa.RecordBatch.from_pydict({"nid": batch.column("nid"), "set": pa.array(sets, pa.binary())})
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                if min(len(a), len(b)) < least * max(len(a), len(b)):
+                    keep.append(False)
+                    continue
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= least * (len(a) + len(b) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group: the smallest id (nulls last), of equal ids one row.
+
+    A group is linked by Jaccard similarity of the sets of shingles. Candidates come from fingerprints over FIND_SHINGLE words, by
+    keys of two codeword indices; equal texts are one node throughout. Links number in proportion to the rows, whatever the groups.
+    """
+    source = packed(docs, text_col)
+    none = F.col(f"row.`{id_col}`").isNull()
+    schema = T.StructType([source.schema["text"], source.schema["row"], T.StructField("fp", T.LongType())])
+    rows = source.mapInArrow(_fingerprinted(FIND_SHINGLE, SEED, True), schema).withColumn("digest", F.md5(F.coalesce("text", F.lit(b""))))
+    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
+    order = F.struct(none.alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
+    nodes = materialize(rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp")).select("best", F.col("best.rid").alias("nid"), "fp"), "near-nodes")
+    distinct = nodes.groupBy("fp").agg(F.min("nid").alias("nid"))
+    between = _candidates(distinct, True, _links_near).distinct()
+    first, second = (distinct.select(F.col("fp").alias(c), F.col("nid").alias(f"n{c}")) for c in "ab")
+    between = between.join(first, "a").join(second, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    same = nodes.join(distinct.withColumnRenamed("nid", "least"), "fp").filter("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b"))
+    pairs = materialize(between.unionAll(same), "near-pairs")
+    needed = pairs.select(F.col("a").alias("nid")).unionAll(pairs.select("b")).distinct()
+    texts = rows.select(F.col("rid").alias("nid"), "text").join(needed, "nid", "left_semi")
+    sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "nid long, set binary"), "near-sets")
+    compared = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("y")), "b")
+    links = compared.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
+    roots = components(links)
+    named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
+    return unpacked(rows.join(kept, "rid", "left_semi"), docs, text_col, [])
+
+
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash_components(docs).select("doc_id", "fingerprint", "component_id")
