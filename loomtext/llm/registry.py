@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomtext.llm import bpe_automaton, html_extract, iblt, language, packing, quality, simhash, substring, warc
+from loomtext.llm import bpe_automaton, html_extract, iblt, language, packing, quality, simhash, substring, url_lists, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_transactions": warc.op1_warc_transactions,
     "op2_html_tree_scoring": html_extract.op2_html_tree_scoring,
     "op3_simhash_golay": simhash.op3_simhash_golay,
     "op4_packing": packing.op4_packing,
+    "op5_url_temporal_lists": url_lists.op5_url_temporal_lists,
     "op6_quality_ngram_lr": quality.op6_quality_ngram_lr,
     "op7_bpe_automaton": bpe_automaton.op7_bpe_automaton,
     "op8_language_mixture": language.op8_language_mixture,
@@ -19,4 +20,5 @@ QUERIES: dict[str, Callable] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": warc.OP1_SQL,
+    "op5_url_temporal_lists": url_lists.OP5_SQL,
 }
