@@ -1,8 +1,642 @@
-"""The registered queries of the library's own operators, and the SQL that gives the same rows."""
+"""The registered queries of the library's own operators, and the SQL that gives the same rows.
+
+The tables stand in for the records that the operators are made for (see FIXTURES.md). Every query reads whole tables and whole texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-QUERIES: dict[str, Callable] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from loomtext.functions import text as t
+from loomtext.operators import blocks, cascade, dedup, joins, metrics, nested, retrieval, selection, stats
+from loomtext.plans import prompts
+from loomtext.sources import records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# ---- SQL fragments ---------------------------------------------------------------------------------------------------------
+_W = r"[\p{L}\p{N}_]"
+_WS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
+_trim = lambda x: f"trim({x}, {_WS})"
+_squeeze = lambda x: _trim(f"regexp_replace({x}, '\\s+', ' ', 'g')")
+_words = lambda x: f"list_filter(string_split({_squeeze(x)}, ' '), lambda w: w <> '')"
+_alnum = lambda x: f"regexp_replace(lower({x}), '[^a-z0-9]', '', 'g')"
+_lines = lambda x: f"list_filter(string_split({_trim(x)}, chr(10)), lambda l: {_trim('l')} <> '')"
+_first = lambda x: f"case when {_trim(x)} <> '' then coalesce(nullif({_trim(f"regexp_extract(array_to_string({_lines(x)}, ' '), '(.+?[.!?])(?:\\s|$)', 1)")}, ''), {_trim(f'({_lines(x)})[1]')}) end"
+_LANG = "(['julia', 'lua', 'r', 'racket', 'ocaml'])[doc_id % 5 + 1]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in t.STOPWORDS) + "]"
+
+
+def _marker_sql(x: str, lang: str) -> str:
+    one = _trim("l")
+    strip = lambda chars: "".join(f"ltrim(" for _ in chars) + one + "".join(f", {c})" for c in chars)  # noqa: E731, F541
+    cases = " ".join(f"when '{name}' then {_trim(strip(['chr(39)' if c == chr(39) else f'{c!r}' for c in sets]))}" for name, sets in t.MARKERS.items())
+    return f"array_to_string(list_filter(list_transform(string_split({x}, chr(10)), lambda l: case {lang} {cases} else {one} end), lambda l: l <> ''), chr(10))"
+
+
+def _cut_sql(x: str) -> str:
+    for pattern in t.CUTOFFS:
+        x = f"string_split_regex({x}, '(?i){pattern}')[1]"
+    return x
+
+
+def _summary_sql(raw: str, lang: str, table: str, keep: str) -> str:
+    """CTEs m, s: table with `keep` and summary."""
+    return f"""m as (select {keep}, {_marker_sql(raw, lang)} as bare from {table}),
+x as (select *, {_squeeze(f"replace(regexp_replace({_cut_sql('bare')}, ':[a-z]+ .*?:', '', 'g'), chr(13), '')")} as s from m),
+s as (select * exclude (s, bare), case when bare <> '' and not regexp_matches(bare, '^(:type|:rtype|>>>)') and len({_words('s')}) between 3 and 50
+  and length(s) >= 10 and not contains(s, 'TODO') and not contains(s, 'FIXME') then s end as summary from x)"""
+
+
+# ---- text functions --------------------------------------------------------------------------------------------------------
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.get(F.array(*map(F.lit, ("julia", "lua", "r", "racket", "ocaml"))), (F.col("doc_id") % 5).cast("int"))
+    return _table(spark, sf_dir, "documents").withColumn("code_lang", lang)
+
+
+@_query(f"select doc_id, {_first('text')} as first_sentence from documents")
+def first_sentence(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", t.first_sentence(F.col("text")).alias("first_sentence"))
+
+
+@_query(f"with {_summary_sql('text', _LANG, 'documents', 'doc_id')} select doc_id, summary from s")
+def clean_summary(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", t.clean_summary(F.col("text"), F.col("code_lang")).alias("summary"))
+
+
+@_query(f"select doc_id, md5({_cut_sql('text')}) as cut_md5 from documents")
+def cutoff_fold(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(t.cut_off(F.col("text")).cast("binary")).alias("cut_md5"))
+
+
+@_query(f"select doc_id, md5({_alnum('text')}) as norm_md5, length({_alnum('text')}) as norm_chars from documents")
+def alnum_norm(spark, sf_dir):
+    x = t.alnum(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(x.cast("binary")).alias("norm_md5"), F.length(x).cast("long").alias("norm_chars"))
+
+
+_FOLDED = "string_split(replace(text, chr(10) || 'T', chr(10) || '# T'), chr(10))"
+
+
+@_query(f"""with f as (select doc_id, list_filter({_FOLDED}, lambda l: starts_with(ltrim(l, {_WS}), '#')) as c,
+  list_filter({_FOLDED}, lambda l: not starts_with(ltrim(l, {_WS}), '#')) as k from documents)
+select doc_id, case when len(c) > 0 then array_to_string(list_transform(c, lambda l: {_trim("ltrim(" + _trim('l') + ", '#')")}), ' ') end as comment,
+  case when len(k) > 0 then md5(array_to_string(k, ' ')) end as code_md5 from f""")
+def comment_code_fold(spark, sf_dir):
+    comment, code = t.fold_comments(F.replace("text", F.lit("\nT"), F.lit("\n# T")))
+    return _docs(spark, sf_dir).select("doc_id", comment.alias("comment"), F.md5(code.cast("binary")).alias("code_md5"))
+
+
+@_query(f"select doc_id, md5(array_to_string(regexp_extract_all(text, '{_W}+|[^\\s\\p{{L}}\\p{{N}}_]'), ' ')) as tokens_md5 from documents")
+def punct_split(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(t.punct_split(F.col("text")).cast("binary")).alias("tokens_md5"))
+
+
+def _nist_sql(x: str) -> str:
+    x = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        x = f"replace({x}, '{name}', '{char}')"
+    x = f"lower(' ' || {x} || ' ')"
+    for pattern, by in ((r"([{-~\[-` -&(-+:-@/])", r" \1 "), ("([^0-9])([.,])", r"\1 \2 "), ("([.,])([^0-9])", r" \1 \2"), ("([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{pattern}', '{by}', 'g')"
+    return _words(x)
+
+
+@_query(f"select doc_id, len({_nist_sql('text')}) as n_tokens, md5(array_to_string({_nist_sql('text')}, ' ')) as tokens_md5 from documents")
+def nist_norm(spark, sf_dir):
+    x = t.nist_tokens(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(x).cast("long").alias("n_tokens"), F.md5(F.array_join(x, " ").cast("binary")).alias("tokens_md5"))
+
+
+_IDENT = lambda x: f"list_transform(regexp_extract_all(lower({x}), '{_W}+'), lambda w: regexp_extract(w, '^[a-z_].*$'))"
+
+
+@_query(f"""with d as (select doc_id, {_first('text')} as s, text from documents),
+k as (select doc_id, list_filter({_IDENT('s')}, lambda w: w <> '' and not list_contains({_STOP}, w)) as kept, list_filter({_IDENT('text')}, lambda w: w <> '') as code from d)
+select doc_id, case when len(kept) = 0 then 0.0 else round(len(list_intersect(list_distinct(code), list_distinct(kept))) / len(kept), 6) end as overlap from k""")
+def token_overlap(spark, sf_dir):
+    x = _docs(spark, sf_dir).select("doc_id", "text", t.first_sentence(F.col("text")).alias("s"))
+    return x.select("doc_id", F.round(t.token_overlap(F.col("s"), F.col("text")), 6).alias("overlap"))
+
+
+@_query(f"""with d as (select doc_id, text, {_first('text')} as s from documents)
+select doc_id, contains(lower(text), 'copyright') or contains(lower(text), 'license') or contains(lower(text), 'all rights reserved') as licensed,
+  case when regexp_matches(s, '^{_W}+\\s*->\\s*{_W}+$') then 'info_type_declaration' when starts_with(s, 'How to') or starts_with(s, 'TODO') then 'info_question_or_todo'
+    when len(list_filter({_words('s')}, lambda w: not list_contains({_STOP}, lower(w)))) < 2 then 'info_insufficient_content' end as information from d""")
+def license_and_information_flags(spark, sf_dir):
+    x = _docs(spark, sf_dir).select("doc_id", "text", t.first_sentence(F.col("text")).alias("s"))
+    return x.select("doc_id", cascade.licensed(F.col("text")).alias("licensed"), cascade._first(cascade.information_checks(F.col("s"))).alias("information"))
+
+
+@_query("""select page_id, md5(case when regexp_matches(x, '(?is)<PYTHON>(.*?)</PYTHON>') then trim(regexp_extract(x, '(?is)<PYTHON>(.*?)</PYTHON>', 1), %s)
+  else trim(string_split_regex(string_split_regex(string_split_regex(x, '(?i)\\nNote:')[1], '(?i)\\nExplanation:')[1], '(?i)The Python code')[1], %s) end) as code_md5
+from (select page_id, replace(replace(html, '<article>', '<PYTHON>'), '</article>', '</python>') as x from pages)""" % (_WS, _WS))
+def tag_extract(spark, sf_dir):
+    x = F.replace(F.replace("html", F.lit("<article>"), F.lit("<PYTHON>")), F.lit("</article>"), F.lit("</python>"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.extract_code(x).cast("binary")).alias("code_md5"))
+
+
+@_query("""select page_id, md5(case when regexp_matches(x, '(?is)```(?:[\\p{L}\\p{N}_]+)?\\s*(.*?)\\s*```') then trim(regexp_extract(x, '(?is)```(?:[\\p{L}\\p{N}_]+)?\\s*(.*?)\\s*```', 1), %s)
+  else trim(string_split_regex(string_split_regex(string_split_regex(x, '(?i)\\nNote:')[1], '(?i)\\nExplanation:')[1], '(?i)The code:')[1], %s) end) as code_md5
+from (select page_id, replace(replace(html, '<h1>', '```python' || chr(10)), '</h1>', '```') as x from pages)""" % (_WS, _WS))
+def fence_extract(spark, sf_dir):
+    x = F.replace(F.replace("html", F.lit("<h1>"), F.lit("```python\n")), F.lit("</h1>"), F.lit("```"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.extract_code(x, forward=False).cast("binary")).alias("code_md5"))
+
+
+@_query(f"""select page_id, md5(ltrim({_trim("replace(string_split(x, '<SUMMARY>')[-1], '</SUMMARY>', '')")}, '#')) as summary_md5
+from (select page_id, replace(replace(html, '<p>', '<SUMMARY>'), '</p>', '</SUMMARY>') as x from pages)""")
+def summary_tail(spark, sf_dir):
+    x = F.replace(F.replace("html", F.lit("<p>"), F.lit("<SUMMARY>")), F.lit("</p>"), F.lit("</SUMMARY>"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.summary_tail(x).cast("binary")).alias("summary_md5"))
+
+
+# ---- the cascade -----------------------------------------------------------------------------------------------------------
+def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Lua functions: the first line is the comment, the others are the body."""
+    head, body = F.substring_index("text", "\n", 1), F.expr("substr(text, length(substring_index(text, '\n', 1)) + 2)")
+    return _docs(spark, sf_dir).select(F.col("doc_id").alias("index"), F.lit("lua").alias("code_lang"), F.concat(F.lit("-- "), head, F.lit("\nlocal function f"), F.col("doc_id").cast("string"), F.lit("(a, b)\n"), body).alias("content"))
+
+
+_CONTENT = """c as (select doc_id as index, string_split(text, chr(10))[1] as head, '-- ' || string_split(text, chr(10))[1] || chr(10) || 'local function f' || doc_id || '(a, b)' || chr(10)
+  || substr(text, length(string_split(text, chr(10))[1]) + 2) as content from documents),
+r as (select *, '-- ' || head || chr(10) as raw from c)"""
+_JUDGED = f"""{_CONTENT}, {_summary_sql('raw', "'lua'", 'r', 'index, content, raw')},
+l as (select *, list_filter(string_split(content, chr(10)), lambda l: {_trim('l')} <> '') as ls from s),
+k as (select *, list_filter(ls, lambda l: not regexp_matches({_trim('l')}, '^(#|--|;;|\\(\\*)')) as plain, regexp_extract_all(lower(summary), '{_W}+') as sw,
+  [lower(regexp_extract(content, 'function\\s+({_W}+)', 1)), 'a', 'b'] as names0, string_split(regexp_extract(content, '\\(([^)]+)\\)', 1), ',') as params from l),
+n as (select *, list_concat([lower(regexp_extract(content, 'function\\s+({_W}+)', 1))], list_filter(list_transform(params, lambda p: lower(string_split({_squeeze('p')}, ' ')[1])), lambda w: regexp_matches(w, '^[\\p{{L}}_]{_W}*$'))) as names from k),
+j as (select *, case
+  when {_trim('content')} = '' then 'empty_content' when raw = '' then 'no_docstring' when coalesce({_first('raw')}, '') = '' then 'first_sentence_failed'
+  when summary is null then 'clean_failed' when not contains({_alnum('content')}, {_alnum('summary')}) then 'verify_failed'
+  when len(ls) < 3 then 'code_too_short' when len(ls) > 150 then 'code_too_long' when contains(lower(ls[1]), 'test') then 'code_test_function'
+  when len(plain) <= 2 and (contains(lower(content), 'pass') or coalesce(contains(lower(plain[-1]), 'return'), false)) then 'code_stub_function'
+  when regexp_matches(content, '\\([^)]+\\)') and len(list_filter(params, lambda p: {_trim('p')} = '')) > 0 then 'processing_error'
+  when len(sw) = 0 or len(list_filter(sw, lambda w: list_contains(names, w))) / len(sw) > 0.7 then 'identifier_repetition'
+  when contains(lower(summary), 'copyright') or contains(lower(summary), 'license') or contains(lower(summary), 'all rights reserved') then 'license_copyright'
+  when regexp_matches(summary, '^{_W}+\\s*->\\s*{_W}+$') then 'info_type_declaration' when starts_with(summary, 'How to') or starts_with(summary, 'TODO') then 'info_question_or_todo'
+  when len(list_filter({_words('summary')}, lambda w: not list_contains({_STOP}, lower(w)))) < 2 then 'info_insufficient_content' end as reject_reason from n)"""
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = cascade.reject_cascade(_content(spark, sf_dir))
+    return judged.select("index", "summary", F.coalesce("reject_reason", cascade._first(cascade.information_checks(F.col("summary")))).alias("reject_reason"))
+
+
+@_query(f"with {_JUDGED} select index, summary, reject_reason from j")
+def reject_cascade(spark, sf_dir):
+    return _judged(spark, sf_dir)
+
+
+@_query(f"""with {_JUDGED}, f as (select case when reject_reason in ('empty_content', 'no_docstring', 'first_sentence_failed', 'clean_failed', 'verify_failed') then 1
+  when reject_reason like 'info%' then 3 when reject_reason is not null then 2 else 99 end as fails from j)
+select cast(layer as integer) as layer, count(*) filter (fails > layer) as passed, round(count(*) filter (fails > layer) * 100.0 / count(*), 6) as percent from f, range(1, 5) as g(layer) group by layer""")
+def layer_counts(spark, sf_dir):
+    return cascade.layer_counts(_judged(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+@_query(f"with {_JUDGED} select reject_reason, count(*) as n, round(count(*) * 100.0 / (select count(*) from j), 6) as percent from j where reject_reason is not null group by 1 order by n desc, 1 limit 10")
+def top_reasons(spark, sf_dir):
+    return cascade.top_reasons(_judged(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
+
+
+# ---- joins -----------------------------------------------------------------------------------------------------------------
+@_query("""with u as (select user_id as idx, max(event_id) as event_id from events where user_id is not null group by 1), a as (select idx, event_type, value from events join u using (event_id))
+select idx, event_type, value, quality as raw_code from a join labels on idx = doc_id""")
+def last_wins_merge(spark, sf_dir):
+    a = _table(spark, sf_dir, "events").select(F.col("user_id").alias("idx"), "event_id", "event_type", "value")
+    b = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("raw_code"))
+    return joins.last_wins_merge(a, b, "event_id").drop("event_id")
+
+
+@_query("""select count(*) filter (hit) as merged, count(*) filter (not hit) as not_found, cast(0 as bigint) as missing_field from (select doc_id in (select user_id from events) as hit from labels)""")
+def merge_counts(spark, sf_dir):
+    a = _table(spark, sf_dir, "events").select(F.col("user_id").alias("idx"))
+    return joins.merge_counts(a, _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("raw_code")))
+
+
+_ANCHORS = f"""with s as (select l.doc_id as index, case when quality = 1 then regexp_replace(d.text, '\\s+', '  ', 'g') else b.text end as summary, d.text as content
+  from labels l join documents d using (doc_id) join benchmark b on b.item_id = l.doc_id % 40),
+v as (select index, contains({_alnum('content')}, {_alnum('summary')}) as verified from s)"""
+
+
+def _anchors(spark, sf_dir):
+    d, b = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark").withColumnRenamed("text", "passage")
+    given = _table(spark, sf_dir, "labels").join(d, "doc_id").join(b, F.col("item_id") == F.col("doc_id") % 40)
+    given = given.select(F.col("doc_id").alias("index"), F.when(F.col("quality") == 1, F.regexp_replace("text", r"\s+", "  ")).otherwise(F.col("passage")).alias("summary"))
+    return joins.verify_anchor(given, d.select(F.col("doc_id").alias("row_id"), F.col("text").alias("content")))
+
+
+@_query(_ANCHORS + " select index, verified from v")
+def verbatim_anchor(spark, sf_dir):
+    return _anchors(spark, sf_dir).select("index", "verified")
+
+
+@_query(_ANCHORS + " select count(*) as checked, count(*) filter (verified) as passed, round(count(*) filter (verified) * 100.0 / count(*), 6) as pass_rate from v")
+def anchor_report(spark, sf_dir):
+    return joins.anchor_report(_anchors(spark, sf_dir)).withColumn("pass_rate", F.round("pass_rate", 6))
+
+
+@_query("""select doc_id as row_id, md5(d.text) as code_md5, len(case when b.item_id % 3 = 0 then [] else [b.text] end) as n_candidates, doc_id + 1 as idx
+from documents d join labels l using (doc_id) join benchmark b on b.item_id = doc_id where doc_id % 7 <> 3""")
+def positional_zip3(spark, sf_dir):
+    code = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.when(F.col("doc_id") % 7 != 3, F.col("text")).alias("code"))
+    structure = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.array(F.col("quality").cast("string")).alias("snippets"))
+    ranked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), F.when(F.col("item_id") % 3 != 0, F.array("text")).alias("candidates"))
+    out = joins.zip_inputs(code, structure, ranked)
+    return out.select("row_id", F.md5(F.col("code").cast("binary")).alias("code_md5"), F.size("candidates").cast("long").alias("n_candidates"), "idx")
+
+
+@_query("select doc_id as row_id, quality, row_number() over (order by doc_id) as idx from documents join labels using (doc_id)")
+def positional_zip2(spark, sf_dir):
+    code = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), F.col("text").alias("code"))
+    structure = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("row_id"), F.array("quality").alias("snippets"))
+    return joins.zip_inputs(code, structure, gapless=True).select("row_id", F.col("snippets")[0].alias("quality"), F.col("idx").cast("long").alias("idx"))
+
+
+@_query("select doc_id as uid from labels intersect select item_id from benchmark intersect select vec_id from embeddings")
+def common_ids(spark, sf_dir):
+    refs = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("uid"))
+    return joins.common_ids(refs, [_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id")), _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"))])
+
+
+@_query("""with p as (select user_id as id, arg_max(event_type, event_id) as prediction from events group by 1)
+select p.id, prediction, md5(string_agg(c.text, '|' order by turn, c.text)) as refs_md5 from p join conversations c on c.conv_id = p.id group by 1, 2""")
+def pair_maps(spark, sf_dir):
+    gold = _table(spark, sf_dir, "conversations").select(F.col("turn").alias("row_id"), F.col("conv_id").alias("id"), "text")
+    made = _table(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("user_id").alias("id"), F.col("event_type").alias("text"))
+    return joins.pair_maps(gold, made).select("id", "prediction", F.md5(F.array_join("references", "|").cast("binary")).alias("refs_md5"))
+
+
+# ---- duplicates and samples --------------------------------------------------------------------------------------------------
+@_query("select min(doc_id) as doc_id, md5(text) as text_md5 from documents group by text")
+def exact_dedup(spark, sf_dir):
+    kept = dedup.keep_first(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], ["doc_id"])
+    return kept.select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_STRATUM = "case when n between 3 and 15 then 'short' when n between 16 and 30 then 'medium' when n between 31 and 50 then 'long' end"
+_SENTENCES = f"s as (select doc_id, lang, {_first('text')} as summary from documents), w as (select *, len({_words('summary')}) as n from s)"
+
+
+def _sentences(spark, sf_dir):
+    x = _table(spark, sf_dir, "documents").select("doc_id", "lang", t.first_sentence(F.col("text")).alias("summary"))
+    return x.withColumn("n", F.size(t.words(F.col("summary"))))
+
+
+@_query(f"with {_SENTENCES} select lang, {_STRATUM} as stratum, count(*) as n_rows from w group by all")
+def length_strata(spark, sf_dir):
+    return _sentences(spark, sf_dir).groupBy("lang", dedup.length_stratum(F.col("n")).alias("stratum")).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@_query(f"""with {_SENTENCES}, x as (select doc_id, lang, {_STRATUM} as st from w),
+z as (select lang, least(count(*), 100) as goal, count(*) filter (st = 'short') as s1, count(*) filter (st = 'medium') as s2, count(*) filter (st = 'long') as s3 from x group by 1),
+q as (select lang, goal, least(s1, cast(floor(goal * 0.4) as bigint)) as q1, least(s2, cast(floor(goal * 0.4) as bigint)) as q2, least(s3, cast(floor(goal * 0.2) as bigint)) as q3 from z),
+r as (select x.*, goal, q1, q2, q3, row_number() over (partition by x.lang, st order by md5('42:' || doc_id), doc_id) <= case st when 'short' then q1 when 'medium' then q2 when 'long' then q3 else 0 end as chosen from x join q on x.lang = q.lang),
+m as (select *, row_number() over (partition by lang, chosen order by md5('43:' || doc_id), doc_id) as t from r)
+select doc_id, lang, st as stratum from m where chosen or t <= goal - q1 - q2 - q3""")
+def strat_sample(spark, sf_dir):
+    x = _sentences(spark, sf_dir)
+    return dedup.stratified_sample(x, "lang", F.col("n"), "doc_id", 100).select("doc_id", "lang", dedup.length_stratum(F.col("n")).alias("stratum"))
+
+
+@_query("select doc_id, lang from documents order by md5('42:' || doc_id), doc_id limit 100")
+def seed_cap(spark, sf_dir):
+    return dedup.seeded_cap(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)
+
+
+@_query("select doc_id, lang from documents where doc_id < (select floor(count(*) * 0.1) from documents)")
+def head_fraction(spark, sf_dir):
+    return dedup.head_fraction(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 0.1)
+
+
+@_query()
+def near_dup_keep(spark, sf_dir):
+    """D1 and D2 over the first sentences of each language."""
+    x = dedup.keep_first(_sentences(spark, sf_dir).filter("summary is not null").select("lang", "summary", "doc_id"), ["lang", "summary"], ["doc_id"])
+    return dedup.first_wins(dedup.near_duplicate_pairs(x, "doc_id", "summary", part="lang"), x, "doc_id", lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist())
+
+
+# ---- retrieval ---------------------------------------------------------------------------------------------------------------
+_BM25 = f"""d as (select doc_id, {_words('text')} as w from documents), b as (select item_id, {_words('text')} as w from benchmark),
+n as (select count(*) as n, avg(len(w)) as avgdl from d),
+p as (select doc_id, token, count(*) as tf, any_value(dl) as dl from (select doc_id, unnest(w) as token, len(w) as dl from d) group by 1, 2),
+v as (select token, count(*) as df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from p, n group by token, n),
+i as (select token, df, case when raw < 0 then (select avg(raw) from v) * 0.25 else raw end as idf from v)"""
+_TOP = f"""{_BM25}, q as (select item_id, token, count(*) as qf from (select item_id, unnest(w) as token from b) group by 1, 2),
+s as (select item_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join i using (token) join p using (token), n group by 1, 2),
+a as (select b.item_id, d.doc_id, coalesce(score, 0.0) as score from b cross join d left join s on s.item_id = b.item_id and s.doc_id = d.doc_id),
+t as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as rank from a qualify rank <= 3)"""
+
+
+@_query(f"with {_BM25} select token, df, round(idf, 6) as idf from i")
+def bm25_idf(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return retrieval.idf(retrieval.postings(docs, "doc_id", "text"), retrieval.corpus_size(docs, "text")).withColumn("idf", F.round("idf", 6))
+
+
+@_query(f"with {_TOP} select item_id, doc_id, score, cast(rank as integer) as rank from t")
+def bm25_topk(spark, sf_dir):
+    return retrieval.bm25_top_k(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text").select("item_id", "doc_id", "score", "rank")
+
+
+@_query(f"with {_TOP} select item_id, string_agg(rank || ':' || doc_id || ':' || lang || ':' || md5(text), ',' order by rank) as candidates from t join documents using (doc_id) group by 1")
+def bm25_candidates(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    top = bm25_topk(spark, sf_dir)
+    found = retrieval.candidate_structs(top, docs, "item_id", "doc_id", ["doc_id", "lang", "text"])
+    one = lambda c: F.concat_ws(":", c["rank"].cast("string"), c["doc_id"].cast("string"), c["lang"], F.md5(c["text"].cast("binary")))
+    return found.select("item_id", F.array_join(F.transform("retrieved_candidates", one), ",").alias("candidates"))
+
+
+@_query("select a.vec_id, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as cosine from embeddings a join embeddings b on b.vec_id = a.vec_id + 1")
+def cosine_pairs(spark, sf_dir):
+    e = _table(spark, sf_dir, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(other, "vec_id").select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+# ---- nested ------------------------------------------------------------------------------------------------------------------
+def _conversations(spark, sf_dir):
+    """conv_id, main (its first turn's text) and candidates (the others')."""
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("ts"))
+    texts = F.transform("ts", lambda x: x["text"])
+    return rows.select("conv_id", "ts", F.get(texts, F.lit(0)).alias("main"), F.slice(texts, F.lit(2), F.greatest(F.size(texts), F.lit(1))).alias("candidates"))
+
+
+_CONV = "c as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn, role, text) - 1 as pos from conversations)"
+
+
+@_query(f"with {_CONV} select conv_id, pos, conv_id || '_' || case when pos = 0 then 'main' else 'cand_' || (pos - 1) end as item_id, md5(text) as item_md5 from c")
+def flatten_candidates(spark, sf_dir):
+    flat = nested.flatten_candidates(_conversations(spark, sf_dir), "conv_id", "main", "candidates")
+    return flat.select("conv_id", F.col("pos").cast("long").alias("pos"), "item_id", F.md5(F.col("item").cast("binary")).alias("item_md5"))
+
+
+@_query(f"with {_CONV} select conv_id, max(length(text)) filter (pos = 0) as n_main, coalesce(string_agg(length(text), ',' order by pos) filter (pos > 0), '') as n_candidates from c group by 1")
+def flatten_renest(spark, sf_dir):
+    flat = nested.flatten_candidates(_conversations(spark, sf_dir), "conv_id", "main", "candidates")
+    back = nested.renest(flat.withColumn("v", F.length("item").cast("long")), "conv_id", "v")
+    return back.select("conv_id", F.col("v").alias("n_main"), F.array_join(F.col("candidate_v").cast("array<string>"), ",").alias("n_candidates"))
+
+
+@_query(f"with {_CONV} select conv_id, coalesce(string_agg(md5(text), ',' order by pos) filter (role = 'user'), '') as picked from c group by 1")
+def masked_select(spark, sf_dir):
+    rows = _conversations(spark, sf_dir)
+    picked = nested.masked_select(F.col("ts"), F.transform("ts", lambda x: (x["role"] == "user").cast("int")))
+    return rows.select("conv_id", F.array_join(F.transform(picked, lambda x: F.md5(x["text"].cast("binary"))), ",").alias("picked"))
+
+
+@_query(f"""with {_CONV}, l as (select conv_id, list(length(text) order by pos) as ns from c group by 1)
+select conv_id, array_to_string(list_transform(range(1, 9), lambda i: coalesce(ns[i], 0)), ',') as ids, array_to_string(list_transform(range(1, 9), lambda i: case when i <= len(ns) then 1 else 0 end), ',') as mask from l""")
+def pad_mask(spark, sf_dir):
+    ids, mask = nested.padded(F.transform("ts", lambda x: F.length(x["text"])), 8, F.lit(0))
+    return _conversations(spark, sf_dir).select("conv_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"), F.array_join(mask.cast("array<string>"), ",").alias("mask"))
+
+
+# ---- selection ---------------------------------------------------------------------------------------------------------------
+# events as candidates: by user, in order of event_id; odd ones are valid; a value whose whole part divides by seven has no score
+_CANDS = "c as (select user_id, event_id, event_type, value, case when event_id % 3 = 0 then 'invalid' else 'valid' end as status, case when cast(floor(value) as bigint) % 7 <> 0 then value end as score, row_number() over (partition by user_id order by event_id) - 1 as i from events where user_id is not null)"
+
+
+def _candidates(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").filter("user_id is not null")
+    status = F.when(F.col("event_id") % 3 == 0, "invalid").otherwise("valid")
+    score = F.when(F.floor("value") % 7 != 0, F.col("value"))
+    one = F.struct("event_id", status.alias("status"), score.alias("hybrid_score"), F.repeat(F.lit("x"), (F.floor("value") % 11).cast("int")).alias("code"), F.when(F.col("event_type") == "click", 0.0).otherwise(0.7).alias("temperature"))
+    return e.groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("candidates"))
+
+
+@_query(f"""with {_CANDS}, b as (select user_id, min_by(i, (-coalesce(score, -1.0), i)) as index, max(coalesce(score, -1.0)) as score from c where status = 'valid' group by 1)
+select distinct c.user_id, cast(coalesce(b.index, 0) as integer) as index, case when b.user_id is null then 'invalid' else 'valid' end as status, coalesce(b.score, 0.0) as score from c left join b using (user_id)""")
+def best_candidate(spark, sf_dir):
+    return _candidates(spark, sf_dir).select("user_id", F.inline(F.array(selection.best_candidate(F.col("candidates"))))).select("user_id", "index", "status", "score")
+
+
+@_query(f"""with {_CANDS} select user_id, count(*) filter (status = 'valid') as valid_count, case when count(*) filter (status = 'valid') > 0 then 'success' else 'all_failed' end as status,
+  min_by(i, (case when cast(floor(value) as bigint) % 11 > 0 then cast(floor(value) as bigint) % 11 else 9999 end, i)) filter (status <> 'valid') as shortest, min(event_id) filter (event_type = 'click') as greedy from c group by 1""")
+def candidate_status(spark, sf_dir):
+    c = F.col("candidates")
+    n, status = selection.candidate_status(c)
+    return _candidates(spark, sf_dir).select("user_id", n.cast("long").alias("valid_count"), status.alias("status"), selection.shortest_invalid(c).cast("long").alias("shortest"), selection.greedy_candidate(c)["event_id"].alias("greedy"))
+
+
+@_query("""with s as (select user_id as item, event_id as cand, (event_id % 100) / 100.0::double as cosine, value as bleu from events where user_id is not null),
+g as (select s.*, w.b as w_bleu, w.c as w_cosine, round(w.c * cosine + w.b * case when bleu > 1 then bleu / 100 else bleu end, 9) as score from s, (values (0.5::double, 0.5::double), (0.1::double, 0.9::double)) as w(b, c))
+select item, w_bleu, w_cosine, min_by(cand, (-score, cand)) as cand, round(max(score), 6) as score from g group by 1, 2, 3""")
+def hybrid_grid(spark, sf_dir):
+    e = _table(spark, sf_dir, "events").filter("user_id is not null")
+    scored = e.select(F.col("user_id").alias("item"), F.col("event_id").alias("cand"), (F.col("event_id") % 100 / 100.0).alias("cosine"), F.col("value").alias("bleu"))
+    return selection.weight_grid(scored, [(0.5, 0.5), (0.1, 0.9)]).withColumn("score", F.round("score", 6))
+
+
+@_query("""with m as (select event_type as lang, avg(value) as cr, avg(value * 2) as bleu from events group by 1)
+select lang, round(cr, 6) as cr, round(bleu, 6) as bleu from m union all select 'AVERAGE', round(avg(cr), 6), round(avg(bleu), 6) from m""")
+def base_vs_best(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("lang"), F.col("value").alias("cr"), (F.col("value") * 2).alias("bleu"))
+    return selection.base_vs_best(rows, ["cr", "bleu"]).select("lang", F.round("cr", 6).alias("cr"), F.round("bleu", 6).alias("bleu"))
+
+
+@_query("""with r as (select event_type as model, user_id as item, (event_id % 4) * 0.3::double as temperature, value as score from events),
+e as (select model, item, temperature, avg(score) as mean, max(score) as max from r group by 1, 2, 3)
+select model, round(temperature, 6) as temperature, round(avg(mean), 6) as mean, round(avg(max), 6) as max from e group by all""")
+def temp_mean_max(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_type").alias("model"), F.col("user_id").alias("item"), (F.col("event_id") % 4 * 0.3).alias("temperature"), F.col("value").alias("score"))
+    out = selection.temperature_curve(rows, [0.0, 0.3, 0.6, 0.9])
+    return out.select("model", *(F.round(c, 6).alias(c) for c in ("temperature", "mean", "max")))
+
+
+# ---- prompts -----------------------------------------------------------------------------------------------------------------
+@_query(f"""with {_CONV} select conv_id, md5('system=S|' || string_agg(role || '=' || text, '|' order by pos) filter (pos % 2 = 0 and pos < 0 or true)) as messages_md5 from c group by 1""")
+def chat_messages(spark, sf_dir):
+    rows = _conversations(spark, sf_dir)
+    none = F.lit(None).cast("array<struct<question string, answer string>>")
+    built = prompts.chat_messages(F.lit("S"), none, F.lit(""))
+    all_ = F.concat(F.slice(built, 1, 1), F.transform("ts", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))))
+    return rows.select("conv_id", F.md5(F.array_join(F.transform(all_, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").cast("binary")).alias("messages_md5"))
+
+
+_L = prompts.Layout()
+_s = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_T = "trim({}, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+def _annotated_sql(code: str, trace: str) -> str:
+    lines = f"list_transform(list_filter({trace}, lambda s: coalesce(trim(s), '') <> ''), lambda s: {_s(_L.trace_mark)} || trim(s))"
+    return f"({_s(_L.rule + _L.code_head)} || trim({code}) || chr(10) || chr(10) || {_s(_L.trace_head)} || case when len({lines}) > 0 then array_to_string({lines}, chr(10)) || chr(10) || chr(10) else chr(10) end || {_s(_L.ask)})"
+
+
+@_query(f"""with {_CONV}, g as (select conv_id, max(text) filter (pos = 0) as main, coalesce(list(text order by pos) filter (pos > 0), []) as cands from c group by 1)
+select conv_id, md5({_s(_L.system + chr(10) * 2 + 'GUIDELINES:' + chr(10) + ''.join(f'{i}. {r}{chr(10)}' for i, r in enumerate(_L.rules, 1)) + chr(10) + 'Examples:' + chr(10) * 2)}
+  || array_to_string(list_transform(cands[:3], lambda x: {_T.format(_annotated_sql('x', '[x]'))} || chr(10) || {_T.format(f"({_s(_L.open_tag)} || trim(x) || {_s(_L.close_tag)})")} || chr(10) || chr(10)), '')
+  || {_T.format(_annotated_sql('main', 'cands'))} || chr(10) || {_s(_L.open_tag)}) as prompt_md5 from g""")
+def completion_prompt(spark, sf_dir):
+    rows = _conversations(spark, sf_dir)
+    shots = F.transform("candidates", lambda x: F.struct(x.alias("code"), F.array(x).alias("trace"), x.alias("summary")))
+    return rows.select("conv_id", F.md5(prompts.completion_prompt(F.col("main"), F.col("candidates"), shots, _L).cast("binary")).alias("prompt_md5"))
+
+
+@_query("""select event_id, case when a and b and c then 'full' when not a and b and c then 'woKey' when a and not b and c then 'woRet' when not a and not b and not c then 'woMod'
+  else 'sent' || cast(a as int) || '_dyn' || cast(b as int) || '_few' || cast(c as int) end as tag from (select event_id, event_id % 2 = 0 as a, event_id % 3 = 0 as b, event_id % 5 = 0 as c from events)""")
+def variant_tag(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", prompts.variant_tag(F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.col("event_id") % 5 == 0).alias("tag"))
+
+
+@_query("select item_id, md5('Translate from ' || 'lua' || ': {x} ' || text || chr(10)) as prompt_md5 from benchmark")
+def template_prompt(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(prompts.fill("Translate from {lang}: {x} {code}\n", lang=F.lit("lua"), code=F.col("text")).cast("binary")).alias("prompt_md5"))
+
+
+# ---- metrics -----------------------------------------------------------------------------------------------------------------
+_PUNCT = f"array_to_string(regexp_extract_all(lower(trim(x)), '{_W}+|[^\\s\\p{{L}}\\p{{N}}_]'), ' ')"
+_GRAMS = lambda name, src: " union all ".join(f"select id, {n} as n, unnest(list_transform(range(1, len(tk) - {n} + 2), lambda i: array_to_string(tk[i:i+{n - 1}], chr(1)))) as gram from {src}" for n in range(1, 5))
+_BLEU = f"""pr as (select b.item_id as id, b.text as c, d.text as r from benchmark b join documents d on d.doc_id = b.item_id),
+ct as (select id, {_nist_sql(_PUNCT)} as tk from (select id, c as x from pr)), rt as (select id, {_nist_sql(_PUNCT)} as tk from (select id, r as x from pr)),
+cg as (select id, n, gram, count(*) as k from ({_GRAMS('c', 'ct')}) group by all), rg as (select id, n, gram, count(*) as k from ({_GRAMS('r', 'rt')}) group by all),
+hit as (select id, cg.n, sum(least(cg.k, rg.k)) as correct from cg join rg using (id, n, gram) group by all),
+parts as (select ct.id, len(ct.tk) as testlen, len(rt.tk) as reflen, g.n, greatest(len(ct.tk) - g.n + 1, 0) as guess, coalesce(correct, 0) as correct
+  from ct join rt using (id) cross join range(1, 5) as g(n) left join hit on hit.id = ct.id and hit.n = g.n),
+bl as (select id, exp(sum(ln(correct + case when n > 1 then 1 else 0 end + 2.2250738585072014e-308::double) - ln(guess + case when n > 1 then 1 else 0 end + 2.2250738585072014e-308::double)) / 4
+  + least(0.0, 1 - (any_value(reflen) + 1.0::double) / (any_value(testlen) + 1))) as bleu from parts group by id)"""
+
+
+def _bleu_pairs(spark, sf_dir):
+    b, d = _table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")
+    return b.join(d.select(F.col("doc_id").alias("item_id"), F.array("text").alias("refs")), "item_id").select("item_id", "text", "refs")
+
+
+@_query(f"with {_BLEU} select id as item_id, round(bleu, 6) as bleu from bl")
+def bleu_pairs(spark, sf_dir):
+    return metrics.sentence_bleu(_bleu_pairs(spark, sf_dir), "item_id", "text", "refs").select("item_id", F.round("bleu", 6).alias("bleu"))
+
+
+@_query(f"with {_BLEU} select round(avg(bleu) * 100, 6) as bleu from bl")
+def bleu_mean(spark, sf_dir):
+    return metrics.mean_bleu(_bleu_pairs(spark, sf_dir), "item_id", "text", "refs").select(F.round("bleu", 6).alias("bleu"))
+
+
+@_query(f"""with {_BLEU}, tot as (select n, sum(correct)::double as correct, sum(guess)::double as guess, sum(testlen)::double as tl, sum(reflen)::double as rl from parts group by n)
+select round(case when min(correct) = 0 then 0.0 else exp(sum(ln(correct / guess)) / 4 + case when any_value(tl) > any_value(rl) then 0 else 1 - any_value(rl) / any_value(tl) end) end, 6) as bleu from tot""")
+def bleu_corpus(spark, sf_dir):
+    return metrics.corpus_bleu(metrics.bleu_parts(_bleu_pairs(spark, sf_dir), "item_id", "text", "refs")).select(F.round("bleu", 6).alias("bleu"))
+
+
+@_query()
+def rouge_l(spark, sf_dir):
+    pairs = _bleu_pairs(spark, sf_dir)
+    return pairs.select("item_id", F.round(metrics.rouge_l()(F.col("text"), F.col("refs")), 6).alias("rouge_l"))
+
+
+@_query(f"""with d as (select list_distinct({_words('text')}) as w from documents), x as (select unnest(w) as token from d)
+select token, round(ln(((select count(*) from d) + 1.0::double) / (count(*) + 1)), 6) as idf from x group by 1""")
+def idf_weights(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select(t.words(F.col("text")).alias("w"))
+    return metrics.idf_weights(docs, "w").withColumn("idf", F.round("idf", 6))
+
+
+_MATCH = """h as (select label as pair, vec_id as i, cast(embedding as double[]) as u from embeddings where vec_id % 2 = 0), g as (select label as pair, vec_id as j, cast(embedding as double[]) as v from embeddings where vec_id % 2 = 1),
+s as (select pair, i, j, list_cosine_similarity(u, v) as s from h join g using (pair)), p as (select pair, avg(s) as p, count(*) as np from (select pair, i, max(s) as s from s group by all) group by 1),
+r as (select pair, avg(s) as r, count(*) as nr from (select pair, j, max(s) as s from s group by all) group by 1),
+m as (select pair, case when np = 2 or nr = 2 then 0.0 else p end as p, case when np = 2 or nr = 2 then 0.0 else r end as r, 2 * p * r / (p + r) as f from p join r using (pair))"""
+
+
+def _matched(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("pair"), F.col("vec_id").alias("token"), F.col("embedding").alias("vector"), F.lit(1.0).alias("weight"))
+    return metrics.greedy_match(rows.filter("token % 2 = 0"), rows.filter("token % 2 = 1"))
+
+
+@_query(f"with {_MATCH} select pair, round(p, 6) as p, round(r, 6) as r, round(f, 6) as f from m")
+def greedy_match(spark, sf_dir):
+    return _matched(spark, sf_dir).select("pair", *(F.round(c, 6).alias(c) for c in "prf"))
+
+
+@_query(f"with {_MATCH} select pair, round((p - 0.1) / 0.9, 6) as p, round((r - 0.1) / 0.9, 6) as r, round((f - 0.2) / 0.8, 6) as f from m")
+def rescaled_match(spark, sf_dir):
+    base = spark.range(1).select(F.lit(0.1).alias("p"), F.lit(0.1).alias("r"), F.lit(0.2).alias("f"))
+    return metrics.rescale(_matched(spark, sf_dir), base).select("pair", *(F.round(c, 6).alias(c) for c in "prf"))
+
+
+# ---- statistics --------------------------------------------------------------------------------------------------------------
+@_query("""with c as (select lang, sum(toxic)::double as k, count(*)::double as n from labels join documents using (doc_id) group by 1), z as (select 1.959963984540054::double as z)
+select lang, round((k/n + z*z/(2*n) - z*sqrt(k/n*(1-k/n)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) as lower, round((k/n + z*z/(2*n) + z*sqrt(k/n*(1-k/n)/n + z*z/(4*n*n))) / (1 + z*z/n), 6) as upper from c, z""")
+def wilson_by_lang(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").join(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.sum("toxic").alias("k"), F.count(F.lit(1)).alias("n"))
+    w = stats.wilson(F.col("k"), F.col("n"))
+    return rows.select("lang", F.round(w["lower"], 6).alias("lower"), F.round(w["upper"], 6).alias("upper"))
+
+
+@_query("select count(value) as n, round(avg(value), 6) as mean, round(stddev_samp(value) / sqrt(count(value)), 6) as sem from events")
+def mean_sem(spark, sf_dir):
+    x = stats.mean_interval(_table(spark, sf_dir, "events"), "value")
+    n = x.first()["n"]
+    return x.select("n", F.round("mean", 6).alias("mean"), F.round((F.col("upper") - F.col("mean")) / stats.t_quantile(0.975, n - 1), 6).alias("sem"))
+
+
+@_query("""with d as (select a.value - b.value as d from events a join events b on b.event_id = a.event_id + 1), r as (select d, rank() over (order by abs(d)) + (count(*) over (partition by abs(d)) - 1) / 2.0 as r from d where d <> 0)
+select count(*) as n, round(coalesce(sum(r) filter (d > 0), 0)::double, 6) as w_plus, round(coalesce(sum(r) filter (d < 0), 0)::double, 6) as w_minus from r""")
+def wilcoxon_w(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    pairs = e.select("event_id", F.col("value").alias("a")).join(e.select((F.col("event_id") - 1).alias("event_id"), F.col("value").alias("b")), "event_id")
+    return stats.signed_ranks(pairs, "a", "b").select("n", F.round(F.col("w_plus").cast("double"), 6).alias("w_plus"), F.round(F.col("w_minus").cast("double"), 6).alias("w_minus"))
+
+
+# ---- records -----------------------------------------------------------------------------------------------------------------
+@_query(f"select doc_id, {_trim("string_split(v, ':')[1]")} as index, md5({_trim("substr(v, strpos(v, ':') + 1)")}) as code_md5 from (select doc_id, case when doc_id % 4 = 0 then text else doc_id || ':' || text end as v from documents) where contains(v, ':')")
+def indexed_lines(spark, sf_dir):
+    v = F.when(F.col("doc_id") % 4 == 0, F.col("text")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text")))
+    return records.split_indexed(_table(spark, sf_dir, "documents").select("doc_id", v.alias("value"))).select("doc_id", "index", F.md5(F.col("code").cast("binary")).alias("code_md5"))
+
+
+@_query(f"select doc_id, md5((doc_id + 1) || ':' || {_trim("regexp_replace(text, '[\\r\\n]', ' ', 'g')")}) as line_md5 from documents")
+def indexed_line(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", F.md5(records.indexed_line("doc_id", "text").cast("binary")).alias("line_md5"))
+
+
+@_query(f"select item_id, {_trim("replace(case when contains(v, chr(9)) then substr(v, strpos(v, chr(9)) + 1) else v end, 'Summary', '')")} as text from (select item_id, case when item_id % 2 = 0 then item_id || chr(9) || 'Summary ' || text else text end as v from benchmark)")
+def prediction_lines(spark, sf_dir):
+    v = F.when(F.col("item_id") % 2 == 0, F.concat(F.col("item_id").cast("string"), F.lit("\tSummary "), F.col("text"))).otherwise(F.col("text"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", records.prediction_text(v).alias("text"))
+
+
+@_query("select source as index, count(*) as n, row_number() over (order by try_cast(replace(source, 'src1', '1') as bigint) nulls last, replace(source, 'src1', '1')) as place from documents group by source")
+def ordered_index(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").groupBy(F.col("source").alias("index")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = rows.withColumn("key", F.replace("index", F.lit("src1"), F.lit("1")))
+    return keyed.withColumn("place", F.row_number().over(W.orderBy(*records.index_order("key"))).cast("long")).drop("key")
+
+
+@_query("select page_id, case when contains(u, 'Llama') then 'Llama3th' when contains(u, 'Seed') then 'Seed3th' when contains(u, '1.3b') then 'ds_small3th' when contains(u, '6.7b') then 'ds_mid3th' when contains(u, 'Qwen') then 'qwen3th' else string_split(rtrim(u, '/'), '/')[-1] end as tag from (select page_id, case page_id % 5 when 0 then url || 'Llama-6.7b' when 1 then url || 'Qwen' when 2 then '/m/x-1.3b/' else url end as u from pages)")
+def model_tag(spark, sf_dir):
+    k = F.col("page_id") % 5
+    u = F.when(k == 0, F.concat("url", F.lit("Llama-6.7b"))).when(k == 1, F.concat("url", F.lit("Qwen"))).when(k == 2, "/m/x-1.3b/").otherwise(F.col("url"))
+    return _table(spark, sf_dir, "pages").select("page_id", t.model_tag(u).alias("tag"))
+
+
+@_query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_field(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@_query()
+def syntax_rate(spark, sf_dir):
+    return blocks.parse_rate(_table(spark, sf_dir, "documents"), "text")
