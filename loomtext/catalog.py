@@ -199,8 +199,7 @@ j as (select *, case
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = cascade.reject_cascade(_content(spark, sf_dir))
-    return judged.select("index", "summary", F.coalesce("reject_reason", cascade._first(cascade.information_checks(F.col("summary")))).alias("reject_reason"))
+    return cascade.reject_cascade(_content(spark, sf_dir)).select("index", "summary", "reject_reason")
 
 
 @_query(f"with {_JUDGED} select index, summary, reject_reason from j")

@@ -33,7 +33,7 @@ def trim(x: Column) -> Column:
 
 def squeeze(x: Column) -> Column:
     """Runs of white space to one space, trimmed."""
-    return trim(F.regexp_replace(x, r"(?U)\s+", " "))
+    return trim(F.regexp_replace(x, r"(?U)[\s\x1c-\x1f]+", " "))
 
 
 def words(x: Column) -> Column:

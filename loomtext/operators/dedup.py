@@ -8,6 +8,7 @@ import random
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -81,7 +82,7 @@ def top_k(df: DataFrame, by: list[str], k: int, order: list[Column]) -> DataFram
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sequence_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; the order of the arguments matters."""
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(later, earlier, strict=True)])

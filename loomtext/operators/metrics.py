@@ -20,7 +20,8 @@ def ngrams(tokens: Column, n: int) -> Column:
 
 def ngram_counts(df: DataFrame, key: str, tokens: str, most: int = 4) -> DataFrame:
     """A10: (key, n, gram, count)."""
-    grams = F.flatten(F.array(*(F.transform(ngrams(F.col(tokens), n), lambda g, n=n: F.struct(F.lit(n).alias("n"), g.alias("gram"))) for n in range(1, most + 1))))
+    tagged = lambda n: F.transform(ngrams(F.col(tokens), n), lambda g: F.struct(F.lit(n).alias("n"), g.alias("gram")))
+    grams = F.flatten(F.array(*(tagged(n) for n in range(1, most + 1))))
     rows = df.select(key, F.explode(grams).alias("g")).select(key, "g.n", "g.gram")
     return rows.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("count"))
 

@@ -33,7 +33,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
     if strict:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     full = T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType(schema.fields)
-    return spark.read.schema(full.add(CORRUPT, T.StringType())).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    parsed = F.from_json("value", full.add(CORRUPT, T.StringType()), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    return spark.read.text(path).filter(t.trim(F.col("value")) != "").select(parsed.alias("r")).select("r.*")
 
 
 def good_and_bad(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -129,8 +130,7 @@ def write_predictions(df: DataFrame, path: str, debug_path: str | None = None) -
 
 
 def read_template(spark: SparkSession, root: str, pattern: str, schema: str | T.StructType) -> DataFrame:
-    """One scan over root/<lang>/<model>/...: `pattern` is a glob below root; lang and model come from the path; files that don't exist are no rows."""
-    df = spark.read.schema(schema).option("pathGlobFilter", "*").option("ignoreMissingFiles", True).json(f"{root}/{pattern}")
-    path = F.regexp_extract(F.input_file_name(), rf"{root.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)/([^/]+)/", 1)
-    model = F.regexp_extract(F.input_file_name(), rf"{root.rstrip('/').rsplit('/', 1)[-1]}/([^/]+)/([^/]+)/", 2)
-    return df.withColumn("lang", path).withColumn("model", model)
+    """One scan over root/pattern, a glob whose first two parts are lang and model, which become columns; files that don't exist are no rows."""
+    df = spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{root}/{pattern}")
+    parts, depth = F.split(F.input_file_name(), "/"), pattern.count("/") + 1
+    return df.withColumn("lang", F.element_at(parts, -depth)).withColumn("model", F.element_at(parts, 1 - depth))
