@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -156,7 +157,7 @@ def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFr
     """docs with `decoded`, the text of their ids (null ids: null)."""
 
     @F.pandas_udf(T.StringType())
-    def decoded(parts: Iterator) -> Iterator:
+    def decoded(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         automaton, _, added = compiled(path)
         for ids in parts:
             yield ids.map(lambda x: None if x is None else automaton.decode(list(x), added).decode("utf-8", "replace"))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -261,10 +262,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, mo
 
 
 @F.pandas_udf(T.BinaryType())
-def _either(a, b):
+def _either(a: pd.Series, b: pd.Series) -> pd.Series:
     """Union of two bit strings of one length; null is empty."""
-    import pandas as pd
-
     both = lambda x, y: y if x is None else x if y is None else (int.from_bytes(x) | int.from_bytes(y)).to_bytes(len(x))
     return pd.Series([both(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
 
