@@ -639,3 +639,64 @@ def json_field(spark, sf_dir):
 @_query()
 def syntax_rate(spark, sf_dir):
     return blocks.parse_rate(_table(spark, sf_dir, "documents"), "text")
+
+
+# ---- smaller operators -------------------------------------------------------------------------------------------------------
+@_query(f"select doc_id, md5({_marker_sql('text', _LANG)}) as bare_md5 from documents")
+def strip_markers(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.md5(t.strip_markers(F.col("text"), F.col("code_lang")).cast("binary")).alias("bare_md5"))
+
+
+@_query(f"""with d as (select doc_id, {_first('text')} as s, 'function f(' || array_to_string({_words('text')}[:3], ', ') || ')' as code from documents),
+w as (select doc_id, regexp_extract_all(lower(s), '{_W}+') as sw, list_concat(['f'], list_filter(list_transform(string_split(regexp_extract(code, '\(([^)]+)\)', 1), ','), lambda p: lower(string_split({_squeeze('p')}, ' ')[1])), lambda x: regexp_matches(x, '^[\p{{L}}_]{_W}*$'))) as names from d)
+select doc_id, case when len(sw) > 0 then round(len(list_filter(sw, lambda x: list_contains(names, x))) / len(sw), 6) end as ratio from w""")
+def identifier_ratio(spark, sf_dir):
+    code = F.concat(F.lit("function f("), F.array_join(F.slice(t.words(F.col("text")), 1, 3), ", "), F.lit(")"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(t.identifier_ratio(t.first_sentence(F.col("text")), code, F.lit("lua")), 6).alias("ratio"))
+
+
+@_query(f"""with tk as (select item_id as id, {_words('text')} as tk from benchmark), g as ({_GRAMS('x', 'tk')}) select id as item_id, n, md5(gram) as gram_md5, count(*) as count from g group by all""")
+def ngram_counts(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark").select("item_id", t.words(F.col("text")).alias("w"))
+    return metrics.ngram_counts(b, "item_id", "w").select("item_id", "n", F.md5(F.col("gram").cast("binary")).alias("gram_md5"), "count")
+
+
+@_query("select item_id, t.temperature::double as temperature, cast(t.n as integer) as n, cast(t.first as integer) as first from benchmark, (values (0.0, 1, 0), (0.7, 3, 1), (0.9, 3, 4), (1.1, 3, 7)) as t(temperature, n, first)")
+def temperature_fan_out(spark, sf_dir):
+    from loomtext.plans import ports
+
+    return ports.fan_out(_table(spark, sf_dir, "benchmark").select("item_id"))
+
+
+@_query("""with c as (select event_id, case event_id % 4 when 0 then 'valid' when 1 then 'success' when 2 then 'invalid' else 'repaired_success' end as status, case event_id % 3 when 0 then '' when 1 then ' ' else 'x' end as bt, case when event_id % 5 = 0 then 0.0 else 0.7 end as temperature from events)
+select event_id, status <> 'invalid' and bt <> '' as usable, status <> 'invalid' or temperature = 0 as eligible, status <> 'invalid' and trim(bt) = '' as hole from c""")
+def candidate_flags(spark, sf_dir):
+    k = F.col("event_id")
+    status = F.when(k % 4 == 0, "valid").when(k % 4 == 1, "success").when(k % 4 == 2, "invalid").otherwise("repaired_success")
+    bt = F.when(k % 3 == 0, "").when(k % 3 == 1, " ").otherwise("x")
+    rows = _table(spark, sf_dir, "events").select("event_id", F.struct(status.alias("status"), bt.alias("back_translation"), F.when(k % 5 == 0, 0.0).otherwise(0.7).alias("temperature")).alias("c"))
+    return rows.select("event_id", selection.usable(F.col("c")).alias("usable"), selection.to_back_translate(F.col("c")).alias("eligible"), selection.is_hole(F.col("c")).alias("hole"))
+
+
+@_query(f"""with {_CONV}, l as (select conv_id, list(case when role = 'user' then text else ' ' end order by pos) as s, max(text) filter (pos = 0) as d from c group by 1)
+select conv_id, md5(array_to_string(case when len(list_filter(s, lambda x: trim(x) <> '')) > 0 then s when trim(d) <> '' then [d] else [] end, '|')) as snippets_md5 from l""")
+def snippet_fallback(spark, sf_dir):
+    s = F.transform("ts", lambda x: F.when(x["role"] == "user", x["text"]).otherwise(" "))
+    return _conversations(spark, sf_dir).select("conv_id", F.md5(F.array_join(nested.snippet_fallback(s, F.col("main")), "|").cast("binary")).alias("snippets_md5"))
+
+
+@_query("select event_type, max(value) as p, max(-value) as r, max(abs(value - 50)) as f from events group by 1")
+def best_reference(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_type", F.col("value").alias("p"), (-F.col("value")).alias("r"), F.abs(F.col("value") - 50).alias("f"))
+    return nested.best_reference(rows, "event_type")
+
+
+@_query(f"with {_CONV} select conv_id, string_agg(upper(role) || ':' || length(text), ',' order by pos) as updated from c group by 1")
+def update_elements(spark, sf_dir):
+    new = nested.update_each(F.col("ts"), "role", lambda x: F.upper(x["role"]))
+    return _conversations(spark, sf_dir).select("conv_id", F.array_join(F.transform(new, lambda x: F.concat(x["role"], F.lit(":"), F.length(x["text"]).cast("string"))), ",").alias("updated"))
+
+
+@_query(f"select item_id, md5({_trim(f"replace(array_to_string({_words('text')}, ' '), ' .', '.')")}) as joined_md5 from benchmark")
+def join_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(t.join_tokens(t.words(F.col("text"))).cast("binary")).alias("joined_md5"))

@@ -41,11 +41,18 @@ def words(x: Column) -> Column:
     return F.filter(F.split(squeeze(x), " "), lambda w: w != "")
 
 
+def bind(value: Column, body) -> Column:
+    """body(value) with value worked out once, also where a lambda uses it for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def first_sentence(x: Column) -> Column:
     """The first sentence of the joined non-blank lines, or else the first such line; null for blank text."""
     lines = F.filter(F.split(trim(x), LINE_ENDS), lambda line: trim(line) != "")
-    sentence = F.regexp_extract(F.array_join(lines, " "), r"(?Ud)^(.+?[.!?])(\s|$)", 1)
-    return F.when(trim(x) != "", F.coalesce(F.nullif(trim(sentence), F.lit("")), trim(F.get(lines, F.lit(0)))))
+    # a match anywhere would be one from the start
+    sentence = lambda ls: trim(F.regexp_extract(F.array_join(ls, " "), r"(?Ud)^(.+?[.!?])(\s|$)", 1))
+    chosen = lambda ls: bind(sentence(ls), lambda s: F.when(s != "", s).otherwise(trim(F.get(ls, F.lit(0)))))
+    return bind(lines, chosen)
 
 
 def _longest(matches: Column) -> Column:
@@ -154,8 +161,8 @@ def identifier_ratio(summary: Column, code: Column, lang: Column) -> Column:
     name = F.coalesce(*(F.when(lang == k, F.regexp_extract(code, p, 1)) for k, p in patterns.items()), F.lit(""))
     first = F.transform(parameters(code), lambda p: F.get(F.split(squeeze(p), " "), F.lit(0)))
     names = F.filter(F.transform(F.concat(F.array(name), first), F.lower), lambda w: w.rlike(rf"^[\p{{L}}_]{WORD}*$"))
-    found = word_tokens(summary)
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: F.array_contains(names, w))) / F.size(found))
+    share = lambda b: F.when(F.size(b["found"]) > 0, F.size(F.filter(b["found"], lambda w: F.array_contains(b["names"], w))) / F.size(b["found"]))
+    return bind(F.struct(names.alias("names"), word_tokens(summary).alias("found")), share)
 
 
 def fold_comments(code: Column) -> tuple[Column, Column]:

@@ -90,6 +90,118 @@ def braced_statements(tokens: list[str]) -> list[str]:
     return out
 
 
+# Tokens beside which no statement of the token-list splitters ends.
+GLUE = frozenset("= + - * / % ^ ~ ! | & < > == += -= *= /= %= ^= ~= != || && <= >= . , : ( { [".split())
+# By language, more such tokens; words that hold a statement open for one more token; words that begin a header.
+DIALECTS = {
+    "python": (GLUE | frozenset("and or not is in as".split()), ("return", "for while", "if elif else", "try except Exception raise", "assert", "with", "print", "yield"), ("def", "class")),
+    "go": (GLUE | frozenset(":= ; range".split()), ("return", "for while", "defer", "var", "switch"), ("func",)),
+    "ruby": (GLUE | frozenset(":= << >> ; :: do".split()), ("return", "for while", "if"), ("def",)),
+}
+#: What nests: Go's braces end headers instead.
+NESTING = {"python": "([{", "go": "([", "ruby": "([{"}
+CLOSING = dict(zip(")]}", "([{", strict=True))
+
+
+class _Cutter:
+    """One pass over a list of tokens, collecting the spans of statements."""
+
+    def __init__(self, tokens: list[str], language: str):
+        self.tokens, self.language = tokens, language
+        self.glue, groups, self.headers = DIALECTS[language]
+        self.group_of = {word: g for g in groups for word in g.split()}
+        self.held = dict.fromkeys(groups, 0)
+        self.depth = self.start = 0
+        self.quoted = self.header = False
+        self.spans: list[tuple[int, int]] = []
+
+    def cut(self, at: int) -> None:
+        self.spans.append((self.start, at))
+        self.start = at + 1
+
+    def boundary(self, at: int, token: str) -> bool:
+        """Take what ends a header or a body; true if the token needs nothing more."""
+        level = self.depth - (self.language == "ruby" and token == ")")
+        mark = {"python": ":", "go": "{", "ruby": ")"}[self.language]
+        if token == mark and level == 0 and (self.header or self.language != "ruby"):
+            self.depth, self.header = level, False
+            self.cut(at)
+            return True
+        if token == {"go": "}", "ruby": "end"}.get(self.language):
+            self.start = at + 1
+            return True
+        return False
+
+    def nest(self, token: str) -> None:
+        opening = NESTING[self.language]
+        if token in opening:
+            self.depth += 1
+        elif CLOSING.get(token, "none") in opening:
+            self.depth -= 1
+        elif self.language == "python" and token == '"':  # never closed again, as quotes come without their partners
+            self.depth += 1
+        elif self.language == "python" and token == "'" and (self.quoted or self.depth == 0):
+            self.depth += -1 if self.quoted else 1
+            self.quoted = not self.quoted
+
+    def waits(self) -> bool:
+        """Whether a word holds the statement open: it does for the token after it too."""
+        for group, n in self.held.items():
+            if n == 1:
+                self.held[group] = 2
+                return True
+            if n == 2:
+                self.held[group] = 0
+        return False
+
+    def run(self) -> list[tuple[int, int]]:
+        last = len(self.tokens) - 1
+        for at, token in enumerate(self.tokens):
+            if token in self.headers:
+                self.header = True
+                if self.language == "ruby":
+                    continue
+            if token in self.group_of:
+                self.held[self.group_of[token]] += 1
+            if self.boundary(at, token):
+                continue
+            self.nest(token)
+            if self.language == "ruby" and at == 2 and token != "(" and self.header:  # a method without parameters
+                self.cut(at)
+                self.start, self.header = at, False
+            elif self.depth == 0 and at == last:
+                self.cut(at)
+            elif self.depth == 0 and not self.waits() and not self.header and not {token, self.tokens[at + 1]} & self.glue:
+                self.cut(at)
+        return self.spans
+
+
+def token_statements(tokens: list[str], language: str) -> list[str]:
+    """The statements of a list of tokens, each joined by spaces: java, php, python, go, ruby.
+
+    A bare `return` or `if` also takes the statement after it, which stands by itself too. A statement that ends in `{` is closed (not in Python).
+    """
+    if language in ("java", "php"):
+        return braced_statements(tokens)
+    spans, out = _Cutter(tokens, language).run(), []
+    for i, (start, end) in enumerate(spans):
+        own = tokens[start : end + 1]
+        if own in (["return"], ["if"]) and i + 1 < len(spans):
+            own = tokens[start : spans[i + 1][1] + 1]
+        out.append(" ".join(own) + (" }" if language != "python" and own and own[-1] == "{" else ""))
+    return out
+
+
+def split_token_lists(tokens: Column, language: str) -> Column:
+    """token_statements() of an array column."""
+
+    @F.pandas_udf("array<string>")
+    def run(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: None if x is None else token_statements(list(x), language))
+
+    return run(tokens)
+
+
 # Words that open a block of the Julia splitter, and the category of the block.
 JULIA_OPENERS = {"function": "function_def", "for": "loops", "while": "loops", "if": "conditionals", "try": "conditionals"}
 JULIA_CONTINUED = ("elseif", "else", "catch", "finally")

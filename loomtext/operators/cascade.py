@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
 
@@ -48,15 +49,19 @@ def licensed(summary: Column, fixed: bool = False) -> Column:
     return hit | summary.rlike("MIT License|GPL|Apache") if fixed else hit
 
 
-def _code_checks(content: Column) -> list[tuple[Column, str]]:
+def _code_shape(content: Column) -> Column:
+    """struct: the number of lines with text, the first; the number of those that are no comment, the last."""
     lines = F.filter(F.split(content, "\n"), lambda x: t.trim(x) != "")
-    plain = F.filter(lines, lambda x: ~t.trim(x).rlike(r"^(#|--|;;|\(\*)"))
-    n = F.size(lines)
-    stub = (F.size(plain) <= 2) & (F.lower(content).contains("pass") | F.coalesce(F.lower(F.element_at(plain, F.when(F.size(plain) > 0, -1).otherwise(1).cast("int"))).contains("return"), F.lit(False)))
-    stub = F.when(F.size(plain) > 0, stub).otherwise(F.lower(content).contains("pass"))
+    plain = lambda ls: F.filter(ls, lambda x: ~t.trim(x).rlike(r"^(#|--|;;|\(\*)"))
+    shape = lambda ls, ps: F.struct(F.size(ls).alias("n"), F.lower(F.get(ls, F.lit(0))).alias("first"), F.size(ps).alias("plain"), F.lower(F.get(ps, F.size(ps) - 1)).alias("last"))
+    return t.bind(lines, lambda ls: t.bind(plain(ls), lambda ps: shape(ls, ps)))
+
+
+def _code_checks(content: Column, shape: Column) -> list[tuple[Column, str]]:
+    stub = (shape["plain"] <= 2) & (F.lower(content).contains("pass") | F.coalesce(shape["last"].contains("return"), F.lit(False)))
     return [
-        (t.trim(content) == "", "code_empty_code"), (n < 3, "code_too_short"), (n > 150, "code_too_long"),
-        (F.lower(F.get(lines, F.lit(0))).contains("test"), "code_test_function"), (stub, "code_stub_function"),
+        (t.trim(content) == "", "code_empty_code"), (shape["n"] < 3, "code_too_short"), (shape["n"] > 150, "code_too_long"),
+        (shape["first"].contains("test"), "code_test_function"), (stub, "code_stub_function"),
     ]
 
 
@@ -82,7 +87,7 @@ def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "co
         (F.coalesce(t.first_sentence(F.col("raw")), F.lit("")) == "", "first_sentence_failed"),
         (s.isNull(), "clean_failed"),
         (~t.alnum(c).contains(t.alnum(s)), "verify_failed"),
-        *_code_checks(c),
+        *_code_checks(c, F.col("_shape")),
         (t.has_blank_parameter(c), "processing_error"),
         (F.coalesce(t.identifier_ratio(s, c, lg) > 0.7, F.lit(True)), "identifier_repetition"),
         (licensed(s), "license_copyright"),
@@ -95,7 +100,7 @@ def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "co
         steps += [(port, checks)] if port else []
         steps += [(None, information_checks(s))] if checks[0][1] == "info_no_verb" else [(None, after)] if checks[0][1] == "grammar_errors" else []
     df = df.withColumn("overlap", t.token_overlap(s, c)).withColumn("length", F.size(t.words(s)))
-    df = df.withColumn("similarity", F.lit(None).cast("double"))
+    df = df.withColumn("similarity", F.lit(None).cast("double")).withColumn("_shape", _code_shape(c))
     out, checks = [], []
     for port, more in steps:
         if port is None:
@@ -105,7 +110,7 @@ def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "co
         out.append(df.filter("reject_reason is not null"))
         df, checks = port(df.filter("reject_reason is null").drop("reject_reason")), list(more)
     df = df.withColumn("reject_reason", _first(checks))
-    out = [x.drop("has_verb", "grammar_issues") for x in [*out, df]]
+    out = [x.drop("has_verb", "grammar_issues", "_shape") for x in [*out, df]]
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
@@ -127,8 +132,8 @@ def layer_counts(judged: DataFrame) -> DataFrame:
 
 def top_reasons(judged: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent reasons with their share of all rows."""
-    total = judged.agg(F.count(F.lit(1)).alias("total"))
-    counts = judged.filter("reject_reason is not null").groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
-    # one row
-    shares = counts.crossJoin(F.broadcast(total)).select("reject_reason", "n", F.try_divide(F.col("n") * 100.0, F.col("total").cast("double")).alias("percent"))
-    return shares.orderBy(F.desc("n"), "reject_reason").limit(k)
+    counts = judged.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+    # as many rows as there are reasons
+    total = F.sum("n").over(W.partitionBy())
+    shares = counts.withColumn("percent", F.try_divide(F.col("n") * 100.0, total.cast("double")))
+    return shares.filter("reject_reason is not null").select("reject_reason", "n", "percent").orderBy(F.desc("n"), "reject_reason").limit(k)

@@ -43,7 +43,7 @@ def test_cascade_reasons_partition_the_rows(spark):
     judged = cascade.reject_cascade(df, cascade.Ports(has_verb=ask))
     counts = {r.layer: r.passed for r in cascade.layer_counts(judged).collect()}
     assert counts[4] == 1 and counts[1] == 14 - 5 and cascade.survivors(judged).count() == 1
-    assert sum(r.n for r in cascade.top_reasons(judged).collect()) == 13
+    assert sum(r.n for r in cascade.top_reasons(judged, 99).collect()) == 13
     assert [r.percent for r in cascade.layer_counts(judged.filter("false")).collect()] == [None] * 4
 
 
@@ -199,6 +199,13 @@ def test_python_blocks(spark):
 
 def test_token_and_text_splitters():
     assert blocks.braced_statements("int f ( a ; b ) { x = 1 ; } y ;".split()) == ["int f ( a ; b ) { }", "x = 1 ;", "y ;"]
+    py = blocks.token_statements("def f ( a ) : x = a + 1 return x if x : y ( 1 )".split(), "python")
+    assert py == ["def f ( a ) :", "x = a + 1", "return x", "if x :", "y ( 1 )"]
+    go = blocks.token_statements("func f ( a int ) { x := a + 1 return x }".split(), "go")
+    assert go == ["func f ( a int ) { }", "x := a + 1", "return x"]
+    ruby = blocks.token_statements("def f ( a ) x = a . b return x end".split(), "ruby")
+    assert ruby == ["def f ( a )", "x = a . b", "return x"] and blocks.token_statements("def f x = 1 end".split(), "ruby") == ["def f x", "x = 1"]
+    assert blocks.token_statements([], "go") == [] and blocks.token_statements("return".split(), "ruby") == ["return"]
     out = blocks.julia_blocks("x = 1; for i in y; z(i); end; q()")
     assert out["assignments"] == ["x = 1"] and out["others"] == ["q()"] and len(out["loops"]) == 1 and out["loops"][0].endswith("end")
     assert blocks.julia_blocks("if a; b")["conditionals"] and blocks.julia_blocks("end")["others"] == ["end"] and blocks.julia_blocks(None)["ok"] is False
