@@ -50,11 +50,18 @@ CLOSES = {
 PARAGRAPH = frozenset(["p"])
 #: Words of class, id or role that mark what is not the article.
 UNLIKELY = frozenset(
-    "ad ads adsense advert advertisement advertisements adverts banner breadcrumb breadcrumbs combx comment comments community complementary consent contentinfo cookie cookies disqus disclaimer "
+    "ad ads adbanner adbox adcontainer adsbygoogle adsense adslot adunit adwrap advert advertisement advertisements adverts banner breadcrumb breadcrumbs combx comment comments community complementary consent contentinfo cookie cookies disqus disclaimer "
     "dropdown extra footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related "
     "remark replies reply search share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar tooltip widget alert alertdialog".split()
 )
 LIKELY = frozenset("article articlebody body content entry hentry main page post story text blog".split())
+#: With these, the word header marks an article's own.
+OWN_HEADER = frozenset("article entry post story".split())
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.IGNORECASE)
+NO_DISPLAY = re.compile(r"""\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.IGNORECASE)
+#: Elements that another block may end unsaid.
+OPEN_ENDED = frozenset("p li dd dt td th tr option".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 BONUS = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ol": -3, "ul": -3, "dl": -3, "th": -5, "address": -3}
 
@@ -79,14 +86,20 @@ def _unlikely(name: str, words: frozenset, parent: Node) -> bool:
                 return False
             at = at.parent
         return True
-    return bool(words & UNLIKELY) and name not in ("html", "body", "article", "main") and not words & LIKELY - {"text", "page", "blog", "body", "content", "post", "article", "main", "entry", "story"}
+    bad = words & UNLIKELY
+    if bad == {"header"} and words & OWN_HEADER:
+        return False
+    return bool(bad) and name not in ("html", "body", "article", "main")
+
+
+def _hidden(attributes: str) -> bool:
+    return bool(HIDDEN.search(QUOTED.sub("", attributes)) or NO_DISPLAY.search(attributes))
 
 
 def build(html: str) -> Node:
     """The tree of what may be text; what is unlikely is left out."""
     root = at = Node("html", None, frozenset())
-    depth = 0  # within what is left out: its open elements
-    skipped: list[str] = []
+    skipped: list[str] = []  # within what is left out: its open elements
     position, n = 0, len(html)
     while position < n:
         tag = TAG.search(html, position)
@@ -105,9 +118,13 @@ def build(html: str) -> Node:
                 if name in skipped:
                     while skipped.pop() != name:
                         pass
-                elif name in ("body", "html"):
-                    skipped.clear()
-                continue
+                    continue
+                up = at
+                while up is not None and up.name != name:
+                    up = up.parent
+                if up is None:
+                    continue
+                skipped.clear()  # what holds it ends
             up: Node | None = at
             while up is not None and up.name != name and up is not root:
                 up = up.parent
@@ -129,8 +146,11 @@ def build(html: str) -> Node:
             position = close.end() if close else n
             continue
         if skipped:
-            skipped.append(name)
-            continue
+            first = skipped[0]
+            if len(skipped) > 1 or not (first == "p" and name in BLOCKS or first in OPEN_ENDED and first == name):
+                skipped.append(name)
+                continue
+            skipped.clear()
         if name in ("html", "body"):
             if name == "body" and at.name == "html":
                 at.children.append(node := Node("body", at, frozenset()))
@@ -154,7 +174,7 @@ def build(html: str) -> Node:
         words = frozenset()
         if attributes and ("=" in attributes):
             words = frozenset(w for m in NAMES.finditer(attributes) for v in m.groups() if v for w in WORD.findall(CAMEL.sub(" ", v).lower()))
-        if _unlikely(name, words, at) or re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))", attributes) and "aria" not in attributes:
+        if _unlikely(name, words, at) or attributes and _hidden(attributes):
             if not attributes.endswith("/"):
                 skipped.append(name)
             continue
@@ -216,18 +236,29 @@ def _best(order: list[Node]) -> Node | None:
     return best
 
 
+def _holds_title(node: Node) -> bool:
+    waiting = [node]
+    while waiting:
+        at = waiting.pop()
+        if at.name == "h1":
+            return True
+        waiting += [c for c in at.children if not isinstance(c, str)]
+    return False
+
+
 def _kept(best: Node) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
     if best.parent is None:
         return [best]
-    least, out = max(10.0, best.score * 0.2), []
+    least, out, before = max(10.0, best.score * 0.2), [], True
     for node in best.parent.children:
         if isinstance(node, str):
             continue
         bonus = best.score * 0.2 if node.words and node.words == best.words else 0
         running = node.name == "p" and (node.length > 80 and _density(node) < 0.25)
         same = node.name == best.name == "article"
-        heading = node.name in ("h1", "h2") and not out and node.length
+        heading = before and node.length and _density(node) < 0.5 and (node.name in ("h1", "h2") or _holds_title(node))
+        before = before and node is not best
         if node is best or same or node.score and node.score + bonus >= least or running or heading:
             out.append(node)
     return out

@@ -356,6 +356,9 @@ ARTICLE = "<p>One sentence, with commas, and a &lt;tag&gt; &amp; more text to re
         ("<script>var a='<p>no</p>';</script><style>p{}</style><main><p>yes, it, is</p></main><!-- <p>no</p> -->", "yes, it, is"),
         ("<div class='ad'>buy</div><div id=content><p>Body, of, text.</p><form><input><p>mail</p></form></div><div class=comments><p>nice, one, there</p></div><aside><p>side, bar</p></aside>", "Body, of, text."),
         ("<article><p>kept, text</p><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></article>", "kept, text\n\none\n\ntwo\n\nc1\n\nc2"),
+        ("<div id=main><p class=notice>read this<p>Kept, one, two.<p class=ad>x</div><p>tail", "Kept, one, two."),
+        ("<div class='entry-header'><h1>Own</h1></div><div class=entry><p>Text, a, b, c.</p></div>", "Own\n\nText, a, b, c."),
+        ("<article><p>seen</p><p hidden>gone</p><p class='hidden-xs'>still</p><div style='display: none'>no</div></article>", "seen\n\nstill"),
         ("<article><p>open <b>bold <p>next</article>", "open bold\n\nnext"), ("<article><p>a<!-- never closed", "a"),
     ],
 )
