@@ -6,10 +6,10 @@ with equal payloads of at least `least_revisit` bytes, the one with the smallest
 
 read_records() reads archives (plain or gzip, also one member a record) by their Content-Length. assemble() joins the records of a
 transaction through WARC-Concurrent-To, in either direction, and gives a nested row for each capture; revisits find the
-length of the payload that they refer to by a join of their own.
+response that they refer to, and with it their length, by their payload's digest.
 
-A null html is an empty payload; a null url leaves out WARC-Target-URI. Repeated rows and equal page_ids are captures of their own;
-of equal smallest page_ids the first row is the response; a null page_id comes after all others. A very long page is one record. An
+A null html is an empty payload; a null url leaves out WARC-Target-URI. Repeated rows are captures of their own, and those that
+repeat the smallest page_id are all responses; a null page_id comes after all others. A very long page is one record. An
 empty table gives no records. Columns other than page_id, url and html are not archived.
 """
 
@@ -34,8 +34,8 @@ MOST_BROADCAST = 200_000
 _HTTP_OK = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 
 
-def _record_id(page: Column, row: Column, part: str) -> Column:
-    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), row.cast("string"), F.lit(part)))
+def _record_id(page: Column, digest: Column, salt: Column, part: str) -> Column:
+    h = F.md5(F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), digest, salt, F.lit(part)))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))), F.lit(">"))
 
 
@@ -47,23 +47,27 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 def write_captures(pages: DataFrame, path: str, least_revisit: int = 100, date: str = "2024-01-01T00:00:00Z", records_a_file: int = 4000) -> None:
     """Archive pages (page_id, url, html) under path as gzip files."""
-    rows = pages.select(F.col("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"), F.monotonically_increasing_id().alias("rid"))
+    rows = pages.select(F.col("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("rid"))).alias("first")
-    groups = rows.filter(F.col("size") >= least_revisit).groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "first")
-    groups = groups.persist()
+    keys = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("c"))
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("c"))).alias("first")
+    groups = keys.groupBy("digest").agg(first, F.sum("c").alias("n"), F.max("c").alias("most")).filter("n > 1").drop("n").persist()
     small = groups.count() <= MOST_BROADCAST
     rows = rows.join(F.broadcast(groups) if small else groups, "digest", "left")
 
-    revisit = (F.col("first").isNotNull() & (F.col("size") >= least_revisit) & (F.col("first.rid") != F.col("rid")))
-    own = lambda part: _record_id(F.col("page_id"), F.col("rid"), part)
+    leads = F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    revisit = F.col("first").isNotNull() & (F.col("size") >= least_revisit) & ~leads
+    # where rows repeat an id, chance tells their records apart
+    repeated = (F.col("most") > 1) & ~(leads & (F.col("first.c") == 1))
+    rows = rows.withColumn("salt", F.when(F.coalesce(repeated, F.lit(False)), F.expr("uuid()")).otherwise(""))
+    own = lambda part: _record_id(F.col("page_id"), F.col("digest"), F.col("salt"), part)
     uri = ("WARC-Target-URI", F.col("url"))
     at = ("WARC-Date", F.lit(date))
     answer = [
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         ("WARC-Record-ID", own("response")), at, uri,
         ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-        ("WARC-Refers-To", F.when(revisit, _record_id(F.col("first.page_id"), F.col("first.rid"), "response"))),
+        ("WARC-Refers-To", F.when(revisit & (F.col("first.c") == 1), _record_id(F.col("first.page_id"), F.col("digest"), F.lit(""), "response"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         ("Content-Type", F.lit("application/http; msgtype=response")),
     ]
@@ -75,7 +79,7 @@ def write_captures(pages: DataFrame, path: str, least_revisit: int = 100, date:
         _record(more, F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))),
     ]
     out = rows.select(F.concat_ws(CRLF * 2, *parts).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_a_file).text(path)
     groups.unpersist()
 
 
@@ -153,8 +157,10 @@ def captures(spark: SparkSession, path: str, with_block: bool = True) -> DataFra
     """assemble() with page_id from the metadata, and for revisits the length, and page, of the response that they refer to."""
     field = F.expr("aggregate(metadata, cast(null as string), (a, m) -> coalesce(a, nullif(regexp_extract(cast(m.block as string), '(?m)^page-id: (.*?)\\\\r?$', 1), '')))")
     rows = assemble(read_records(spark, path, with_block)).withColumn("page_id", field.cast("long"))
-    first = rows.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("first_page"), F.col("payload_bytes").alias("first_bytes"))
-    revisits = rows.filter("type = 'revisit'").join(first, "refers_to", "left")
+    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("payload_bytes"))).alias("first")
+    first = rows.filter("type = 'response'").groupBy("payload_digest").agg(least)
+    revisits = rows.filter("type = 'revisit'").join(first, "payload_digest", "left")
+    revisits = revisits.withColumns({"first_page": F.col("first.page_id"), "first_bytes": F.col("first.payload_bytes")}).drop("first")
     plain = rows.filter("type <> 'revisit'").withColumns({"first_page": F.lit(None).cast("long"), "first_bytes": F.col("payload_bytes")})
     both = plain.unionByName(revisits)
     return both.withColumn("payload_bytes", F.coalesce("payload_bytes", "first_bytes")).withColumnRenamed("first_page", "refers_to_page").drop("first_bytes")
