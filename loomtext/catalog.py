@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from loomtext.functions import text as t
 from loomtext.operators import blocks, cascade, dedup, joins, metrics, nested, retrieval, selection, stats
 from loomtext.plans import prompts
+from loomtext.session import checkpointer
 from loomtext.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -333,7 +334,7 @@ def head_fraction(spark, sf_dir):
 def near_dup_keep(spark, sf_dir):
     """D1 and D2 over the first sentences of each language."""
     x = dedup.keep_first(_sentences(spark, sf_dir).filter("summary is not null").select("lang", "summary", "doc_id"), ["lang", "summary"], ["doc_id"])
-    return dedup.first_wins(dedup.near_duplicate_pairs(x, "doc_id", "summary", part="lang"), x, "doc_id", lambda df: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.persist())
+    return dedup.first_wins(dedup.near_duplicate_pairs(x, "doc_id", "summary", part="lang"), x, "doc_id", checkpointer(spark))
 
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------------------

@@ -23,6 +23,27 @@ CUTOFFS = [
 ]
 # Words that carry no content.
 STOPWORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for", "on", "with", "as", "by"]
+# By language, what a documentation comment is; the lines of the second kind stand right above what follows.
+DOC_COMMENTS = {"julia": [r'(?s)^"""(.*?)"""', r'(?s)^"(.*?)"'], "ocaml": [r"(?s)\(\*\*(.*?)\*\)"]}
+DOC_LINES = {
+    "lua": ("--", r"\s*(?:local\s+)?function"),
+    "r": ("#", rf"\s*[\p{{L}}\p{{N}}_.]+\s*(?:<-|=)\s*function"),
+    "racket": (";;", r"\s*\(define"),
+}
+# By language, where a function's name stands.
+FUNCTION_NAMES = {
+    "julia": rf"function\s+({WORD}+)",
+    "lua": rf"function\s+({WORD}+)",
+    "r": rf"({WORD}+)\s*(?:<-|=)\s*function",
+    "racket": rf"\(define\s+\(({WORD}+)",
+    "ocaml": rf"let\s+({WORD}+)",
+}
+# The published NIST normalisation: entities, then patterns that set punctuation apart (all ASCII punctuation but
+# the apostrophe, comma, hyphen and period; then periods and commas not within numbers; then dashes after digits).
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
+NIST_PATTERNS = [(r"([{-~\[-` -&(-+:-@/])", " $1 "), ("([^0-9])([.,])", "$1 $2 "), ("([.,])([^0-9])", " $1 $2"), ("([0-9])(-)", "$1 $2 ")]
+# Remarks that end an answer's code, forward and backward.
+REMARKS = {True: ["\nNote:", "\nExplanation:", "The Python code"], False: ["\nNote:", "\nExplanation:", "The code:"]}
 # Characters that open a comment line, by language, stripped one set after the other.
 MARKERS = {"lua": ["-"], "r": ["#", "'"], "julia": ["#", "'"], "racket": [";"], "ocaml": ["*"]}
 
@@ -63,30 +84,25 @@ def _longest(matches: Column) -> Column:
 def raw_comment(code: Column, lang: Column) -> Column:
     """The documentation comment that belongs to the function, markers included."""
     code = trim(code)
-    found = lambda pattern: F.regexp_extract(code, pattern, 1)
-    matched = lambda pattern: F.when(code.rlike(pattern), found(pattern))
-    block = lambda start, before: _longest(F.regexp_extract_all(code, F.lit(rf"(?dm)((?:^\s*{start}.*$\n?)+)(?={before})"), F.lit(1)))
-    return F.when(code != "", F.coalesce(
-        F.when(lang == "julia", F.coalesce(matched(r'(?s)^"""(.*?)"""'), matched(r'(?s)^"(.*?)"'))),
-        F.when(lang == "lua", block("--", r"\s*(?:local\s+)?function")),
-        F.when(lang == "ocaml", matched(r"(?s)\(\*\*(.*?)\*\)")),
-        F.when(lang == "r", block("#", rf"\s*[\p{{L}}\p{{N}}_.]+\s*(?:<-|=)\s*function")),
-        F.when(lang == "racket", block(";;", r"\s*\(define")),
-    ))
+    whole = lambda p: F.when(code.rlike(p), F.regexp_extract(code, p, 1))
+    lines = lambda start, before: _longest(F.regexp_extract_all(code, F.lit(rf"(?dm)((?:^\s*{start}.*$\n?)+)(?={before})"), F.lit(1)))
+    found = [F.when(lang == name, F.coalesce(*map(whole, patterns))) for name, patterns in DOC_COMMENTS.items()]
+    found += [F.when(lang == name, lines(*parts)) for name, parts in DOC_LINES.items()]
+    return F.when(code != "", F.coalesce(*found))
 
 
 def code_only(content: Column, lang: Column) -> Column:
     """The code without comments and blank lines; null for blank content."""
     body = trim(content)
     gone = lambda x, pattern: F.regexp_replace(x, pattern, "")
-    bare = (
-        F.when(lang == "julia", gone(gone(body, r'(?s)^""".*?"""'), r'(?s)^".*?"'))
-        .when(lang == "lua", gone(body, r"(?dm)^\s*--.*$"))
-        .when(lang == "ocaml", gone(body, r"(?s)\(\*\*.*?\*\)"))
-        .when(lang == "r", gone(body, r"(?dm)^\s*#.*$"))
-        .when(lang == "racket", gone(body, r"(?dm)^\s*;;.*$"))
-        .otherwise(body)
-    )
+    bare = body
+    for name, patterns in DOC_COMMENTS.items():
+        own = body
+        for pattern in patterns:
+            own = gone(own, pattern)
+        bare = F.when(lang == name, own).otherwise(bare)
+    for name, (start, _) in DOC_LINES.items():  # wherever they stand
+        bare = F.when(lang == name, gone(body, rf"(?dm)^\s*{start}.*$")).otherwise(bare)
     return F.when(body != "", F.array_join(F.filter(F.split(bare, "\n"), lambda line: trim(line) != ""), "\n"))
 
 
@@ -154,11 +170,7 @@ def has_blank_parameter(code: Column) -> Column:
 
 def identifier_ratio(summary: Column, code: Column, lang: Column) -> Column:
     """The share of summary words that name the function or a parameter; null without words."""
-    patterns = {
-        "julia": rf"function\s+({WORD}+)", "lua": rf"function\s+({WORD}+)", "r": rf"({WORD}+)\s*(?:<-|=)\s*function",
-        "racket": rf"\(define\s+\(({WORD}+)", "ocaml": rf"let\s+({WORD}+)",
-    }
-    name = F.coalesce(*(F.when(lang == k, F.regexp_extract(code, p, 1)) for k, p in patterns.items()), F.lit(""))
+    name = F.coalesce(*(F.when(lang == k, F.regexp_extract(code, p, 1)) for k, p in FUNCTION_NAMES.items()), F.lit(""))
     first = F.transform(parameters(code), lambda p: F.get(F.split(squeeze(p), " "), F.lit(0)))
     names = F.filter(F.transform(F.concat(F.array(name), first), F.lower), lambda w: w.rlike(rf"^[\p{{L}}_]{WORD}*$"))
     share = lambda b: F.when(F.size(b["found"]) > 0, F.size(F.filter(b["found"], lambda w: F.array_contains(b["names"], w))) / F.size(b["found"]))
@@ -198,7 +210,7 @@ def extract_code(text: Column, forward: bool = True) -> Column:
     pattern = f"(?is)<{tag}>(.*?)</{tag}>"
     inner = trim(F.regexp_extract(text, pattern, 1))
     bare = text
-    for mark in ("\nNote:", "\nExplanation:", "The Python code" if forward else "The code:"):
+    for mark in REMARKS[forward]:
         bare = F.split(bare, f"(?i){mark}", 2)[0]
     return F.when(text.rlike(pattern), F.coalesce(_fenced(inner, within), inner)).otherwise(F.coalesce(_fenced(text, fence), trim(bare)))
 
@@ -230,14 +242,11 @@ def punct_split(text: Column) -> Column:
 def nist_tokens(text: Column) -> Column:
     """Lower-cased tokens with punctuation apart, except periods and commas within numbers."""
     x = F.replace(F.regexp_replace(F.replace(text, F.lit("<skipped>"), F.lit("")), "-\n", ""), F.lit("\n"), F.lit(" "))
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    for name, char in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
     x = F.lower(F.concat(F.lit(" "), x, F.lit(" ")))
-    # ASCII punctuation but for the apostrophe, comma, hyphen and period
-    x = F.regexp_replace(x, r"([{-~\[-` -&(-+:-@/])", " $1 ")
-    x = F.regexp_replace(x, "([^0-9])([.,])", "$1 $2 ")
-    x = F.regexp_replace(x, "([.,])([^0-9])", " $1 $2")
-    x = F.regexp_replace(x, "([0-9])(-)", "$1 $2 ")
+    for pattern, by in NIST_PATTERNS:
+        x = F.regexp_replace(x, pattern, by)
     return words(x)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
 
-#: (reason, the layer in which it rejects); layers are counted as passed after their last check.
+# Reasons, and the layer in which each rejects; a layer is counted as passed after its last check.
 LAYERS = {
     "empty_content": 1, "no_docstring": 1, "first_sentence_failed": 1, "clean_failed": 1, "verify_failed": 1, "code_empty_code": 2,
     "code_too_short": 2, "code_too_long": 2, "code_test_function": 2, "code_stub_function": 2, "processing_error": 2,

@@ -34,7 +34,9 @@ def with_shot(template: str, shots: dict[str, str], lang: Column, **values: Colu
 
 @dataclass
 class Layout:
-    """The fixed texts of block prompts."""
+    """The texts of block prompts."""
+
+    # Heads, marks and tags.
 
     rule: str = "# ==================================================\n"
     code_head: str = "# [USER INPUT CODE]\n"

@@ -14,3 +14,11 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def checkpointer(spark: SparkSession):
+    """DataFrame to its checkpoint in the folder that the cluster names; one of our own only where none is named."""
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or "/tmp/checkpoints/loomtext")
+    return lambda df: df.checkpoint()
