@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Iterator
 
@@ -27,15 +28,44 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Where a pipeline's stage is at work, the paths that it has made; see scratch().
+_scratch: list[str] | None = None
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    files, at = _hadoop(spark, path)
+    files.deleteOnExit(at)
+    if _scratch is not None:
+        _scratch.append(path)
     return path
 
 
+@contextlib.contextmanager
+def scratch(paths: list[str]) -> Iterator[None]:
+    """Paths made inside are noted in `paths`."""
+    global _scratch
+    before, _scratch = _scratch, paths
+    try:
+        yield
+    finally:
+        _scratch = before
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete them, once no DataFrame that reads them is needed any more."""
+    for path in paths:
+        files, at = _hadoop(spark, path)
+        files.delete(at, True)
+    paths.clear()
+
+
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts the lineage there."""
     path, schema = shared_path(df.sparkSession, name), df.schema
@@ -131,6 +161,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def ngram_cells(words: list[str], n: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells, of 2**bits, of the n-character parts of words between marks, and how many each word has."""
+    text = "\x03\x02".join(words)
+    codes = np.frombuffer(f"\x02{text}\x03".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) if words else np.empty(0, np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    to_end = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes))
+    grams = rolling(codes + np.uint64(n << 32), n, 0xD6E8FEB86659FD93)
+    cells = (mixed(grams[to_end[: len(grams)] >= n]) >> np.uint64(64 - bits)).astype(np.int64)
+    return cells, np.maximum(sizes - n + 1, 0)
+
+
+def sums_by_word(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of rows of values, of which each word has its count."""
+    totals = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
+    ends = np.cumsum(counts)
+    return totals[ends] - totals[ends - counts]
+
+
 def merged_ranges(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Mask of length n that is set in the union of the ranges [start, end)."""
     steps = np.zeros(n + 1, np.int32)

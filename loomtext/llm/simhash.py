@@ -188,7 +188,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 #: drop_near_duplicates(): words in a shingle of the fingerprint that finds candidates, and the bits in which candidates may differ.
 FIND_SHINGLE = 2
-FIND_BITS = 14
+FIND_BITS = 10
+#: Row ids, of eight bytes, that may be broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 #: Fingerprints of a key that are compared all with all; more are taken in runs of so many, whose centres are compared next.
 RUN = 512
 
@@ -237,7 +239,7 @@ def _links_near(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _shingle_sets(shingle: int):
-    """(nid, set): the sorted distinct hashes of a text's shingles of lowered words (a shorter text is one shingle)."""
+    """(nid, set): the sorted distinct 32-bit hashes of a text's shingles of lowered words (a shorter text is one shingle)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(SEED)
@@ -245,7 +247,8 @@ def _shingle_sets(shingle: int):
             sets = []
             for text in batch.column("text").to_pylist():
                 hashes, _ = word_hashes([text.lower() if text else None], cache)
-                sets.append(np.unique(rolling(hashes, min(shingle, max(1, len(hashes))), 0x9E3779B97F4A7C15)).tobytes())
+                shingles = rolling(hashes, min(shingle, max(1, len(hashes))), 0x9E3779B97F4A7C15)
+                sets.append(np.unique((shingles >> np.uint64(32)).astype(np.uint32)).tobytes())
             yield pa.RecordBatch.from_pydict({"nid": batch.column("nid"), "set": pa.array(sets, pa.binary())})
 
     return run
@@ -256,7 +259,7 @@ def _similar(least: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
                 if min(len(a), len(b)) < least * max(len(a), len(b)):
                     keep.append(False)
                     continue
@@ -267,6 +270,11 @@ def _similar(least: float):
     return run
 
 
+def _bounded(ids: DataFrame) -> DataFrame:
+    """ids, to be broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group: the smallest id (nulls last), of equal ids one row.
 
@@ -286,15 +294,16 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     between = between.join(first, "a").join(second, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
     same = nodes.join(distinct.withColumnRenamed("nid", "least"), "fp").filter("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b"))
     pairs = materialize(between.unionAll(same), "near-pairs")
-    needed = pairs.select(F.col("a").alias("nid")).unionAll(pairs.select("b")).distinct()
-    texts = rows.select(F.col("rid").alias("nid"), "text").join(needed, "nid", "left_semi")
+    needed = materialize(pairs.select(F.col("a").alias("nid")).unionAll(pairs.select("b")).distinct(), "near-needed")
+    texts = rows.select(F.col("rid").alias("nid"), "text").join(_bounded(needed), "nid", "left_semi")
     sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "nid long, set binary"), "near-sets")
     compared = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("y")), "b")
     links = compared.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
     roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
-    return unpacked(rows.join(kept, "rid", "left_semi"), docs, text_col, [])
+    gone = materialize(rows.select("rid").join(kept, "rid", "left_anti"), "near-gone")
+    return unpacked(rows.join(_bounded(gone), "rid", "left_anti"), docs, text_col, [])
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
