@@ -649,7 +649,7 @@ def strip_markers(spark, sf_dir):
 
 
 @_query(f"""with d as (select doc_id, {_first('text')} as s, 'function f(' || array_to_string({_words('text')}[:3], ', ') || ')' as code from documents),
-w as (select doc_id, regexp_extract_all(lower(s), '{_W}+') as sw, list_concat(['f'], list_filter(list_transform(string_split(regexp_extract(code, '\(([^)]+)\)', 1), ','), lambda p: lower(string_split({_squeeze('p')}, ' ')[1])), lambda x: regexp_matches(x, '^[\p{{L}}_]{_W}*$'))) as names from d)
+w as (select doc_id, regexp_extract_all(lower(s), '{_W}+') as sw, list_concat(['f'], list_filter(list_transform(string_split(regexp_extract(code, '\\(([^)]+)\\)', 1), ','), lambda p: lower(string_split({_squeeze('p')}, ' ')[1])), lambda x: regexp_matches(x, '^[\\p{{L}}_]{_W}*$'))) as names from d)
 select doc_id, case when len(sw) > 0 then round(len(list_filter(sw, lambda x: list_contains(names, x))) / len(sw), 6) end as ratio from w""")
 def identifier_ratio(spark, sf_dir):
     code = F.concat(F.lit("function f("), F.array_join(F.slice(t.words(F.col("text")), 1, 3), ", "), F.lit(")"))
