@@ -16,29 +16,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import Hashes, chunks, merged_ranges, mixed, packed, rolling, table, unpacked, word_hashes
+from loomtext.llm.common import Hashes, chunks, merged_ranges, mixed, ngram_cells, packed, rolling, sums_by_word, table, trimmed, unpacked, word_hashes
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 MADE = [*BASE, "quality", "kept"]
 BITS = 18
 SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 WHITE = b" \t\n\x0b\x0c\r"
-MOST_LABELLED = 3000
+MOST_LABELLED = 2000
 _SEED = 6
 _BASE3, _PAIR = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
-def word_features(word: bytes) -> np.ndarray:
-    """Cells of a word: itself and the three- and four-character parts of it between marks."""
-    text = f"\x02{word.decode('utf-8', 'replace')}\x03"
-    parts = [word] + [text[i : i + n].encode() for n in (3, 4) for i in range(len(text) - n + 1)]
-    digest = b"".join([xxhash.xxh64_digest(p, _SEED) for p in parts])
-    return (np.frombuffer(digest, ">u8") >> np.uint64(64 - BITS)).astype(np.int64)
+def part_features(words: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Cells of the three- and four-character parts of words between marks, with the number of each word's."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    return [ngram_cells(texts, n, BITS) for n in (3, 4)]
+
+
+def word_features(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def pair_features(hashes: np.ndarray) -> np.ndarray:
@@ -46,18 +47,23 @@ def pair_features(hashes: np.ndarray) -> np.ndarray:
 
 
 class _Weights(dict):
-    """Word to (sum of its cells' weights, number of cells) as one complex number, which sums keep apart."""
+    """Word to (sum of its parts' weights, number of parts) as one complex number, which sums keep apart."""
 
-    def __init__(self, weights: np.ndarray, most: int = 300_000):
+    def __init__(self, weights: np.ndarray, most: int = 200_000):
         super().__init__()
         self.weights, self.most = weights, most
 
-    def __missing__(self, word: bytes) -> complex:
-        if len(self) >= self.most:
+    def learn(self, words: list[bytes]) -> None:
+        """Add the words that are new, all at once; forgets the others first when it gets large."""
+        new = set(words).difference(self)
+        if len(self) + len(new) > self.most:
             self.clear()
-        cells = word_features(word)
-        value = self[word] = complex(self.weights[cells].sum(), len(cells))
-        return value
+            new = set(words)
+        new = list(new)
+        total = np.zeros(len(new), np.complex128)
+        for cells, counts in part_features(new):
+            total += sums_by_word(self.weights[cells], counts) + 1j * counts
+        self.update(zip(new, total.tolist(), strict=True))
 
 
 def _base_counts(texts: list[bytes | None], hashes: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
@@ -87,12 +93,15 @@ def _scores(texts: list[bytes | None], hashes: np.ndarray, counts: np.ndarray, w
     """The mean weight of all features of each text."""
     ends = np.cumsum(counts)
     starts = ends - counts
-    words = np.fromiter((sum(map(cache.__getitem__, (t or b"").split())) for t in texts), np.complex128, len(texts))
-    pairs = np.concatenate([[0.0], np.cumsum(weights[pair_features(hashes)], dtype=np.float64)])
+    own = [(t or b"").split() for t in texts]
+    cache.learn([w for words in own for w in words])
+    parts = np.fromiter((sum(map(cache.__getitem__, words)) for words in own), np.complex128, len(texts))
     n_pairs = np.maximum(counts - 1, 0)
+    pairs = np.concatenate([[0.0], np.cumsum(weights[pair_features(hashes)], dtype=np.float64)])
+    single = np.concatenate([[0.0], np.cumsum(weights[word_features(hashes)], dtype=np.float64)])
     first = np.minimum(starts, len(pairs) - 1)
-    total = words.real + pairs[np.minimum(first + n_pairs, len(pairs) - 1)] - pairs[first]
-    return total / np.maximum(words.imag + n_pairs, 1)
+    total = parts.real + single[ends] - single[starts] + pairs[np.minimum(first + n_pairs, len(pairs) - 1)] - pairs[first]
+    return total / np.maximum(parts.imag + counts + n_pairs, 1)
 
 
 def _scored(model, threshold: float):
@@ -134,7 +143,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, times = [], []
         for text in batch.column("text").to_pylist():
             hashes, _ = word_hashes([text], cache)
-            all_cells = np.concatenate([*[word_features(w) for w in (text or b"").split()], pair_features(hashes)]).astype(np.int64)
+            parts = [c for c, _ in part_features((text or b"").split())]
+            all_cells = np.concatenate([word_features(hashes), *parts, pair_features(hashes)])
             own, n = np.unique(all_cells, return_counts=True)
             cells.append(own.astype(np.int32).tobytes())
             times.append(n.astype(np.int32).tobytes())
@@ -142,7 +152,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(rows: list, steps: int = 60) -> tuple[np.ndarray, float, float] | None:
-    """Weights, slope and shift from (quality, cells, times); None without both classes."""
+    """Weights, slope and shift from (quality, cells, times); None without both classes. Empties rows."""
     y = np.array([r["quality"] for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return None
@@ -150,27 +160,30 @@ def fit(rows: list, steps: int = 60) -> tuple[np.ndarray, float, float] | None:
 
     def matrix(which: np.ndarray):
         chosen = [r for r, x in zip(rows, which, strict=True) if x]
+        if not chosen:
+            return np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int32), y[which]
         cells = [np.frombuffer(r["cells"], np.int32) for r in chosen]
         times = [np.frombuffer(r["times"], np.int32) for r in chosen]
         sizes = np.array([len(c) for c in cells])
         share = np.concatenate([t / max(1, t.sum()) for t in times]).astype(np.float32)
-        return np.concatenate(cells), share, np.repeat(np.arange(len(chosen)), sizes), y[which]
+        return np.concatenate(cells), share, np.repeat(np.arange(len(chosen), dtype=np.int32), sizes), y[which]
 
     def mean(data, w):
-        return np.bincount(data[2], data[1] * w[data[0]], len(data[3]))
+        return np.bincount(data[2], data[1] * w[data[0]].astype(np.float32), len(data[3]))
 
-    train = matrix(~held)
+    train, held = matrix(~held), matrix(held)
+    rows.clear()
     w = np.zeros(1 << BITS)
     m, v, bias = np.zeros_like(w), np.zeros_like(w), 0.0
     balance = np.where(train[3] > 0, 0.5 / max(train[3].mean(), 1e-6), 0.5 / max(1 - train[3].mean(), 1e-6))
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(mean(train, w) + bias, -40, 40)))
         error = (p - train[3]) * balance / len(p)
-        gradient = np.bincount(train[0], train[1] * error[train[2]], 1 << BITS)
+        gradient = np.bincount(train[0], train[1] * error.astype(np.float32)[train[2]], 1 << BITS)
         m, v = 0.9 * m + 0.1 * gradient, 0.99 * v + 0.01 * gradient**2
         w -= 1.0 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
         bias -= 2.0 * error.sum()
-    held = matrix(held) if len(set(y[held].tolist())) == 2 else train
+    held = held if len(set(held[3].tolist())) == 2 else train
     x, z = mean(held, w), held[3]
     # Platt: targets drawn in from 0 and 1 by the sizes of the classes
     up, down = (z > 0).sum(), (z == 0).sum()
@@ -206,7 +219,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame, labelled_docs: DataFrame |
     rows = packed(docs, text_col)
     kinds = {"base_failed": T.BooleanType(), "kept": T.BooleanType(), "quality": T.DoubleType()}
     schema = T.StructType([*rows.schema.fields, *(T.StructField(c, kinds.get(c, T.LongType())) for c in MADE)])
-    return unpacked(rows.mapInArrow(_scored(model, threshold), schema), docs, text_col, MADE)
+    return unpacked(rows.mapInArrow(trimmed(_scored(model, threshold)), schema), docs, text_col, MADE)
 
 
 def op6_quality_ngram_lr(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -247,6 +247,13 @@ def test_quality_learns_and_keeps_clean_rows(spark):
     assert sum(right) >= 0.98 * len(right) and all(0 <= r.quality <= 1 for r in held)
 
 
+def test_quality_with_very_few_labels(spark):
+    docs = spark.createDataFrame([(1, prose(1, 80)), (2, "x *** " * 60)], "doc_id long, text string")
+    for given in ([(1, 1)], [(1, 1), (2, 0)], [(1, None), (None, 0)]):
+        rows = quality.quality_rules(docs, spark.createDataFrame(given, "doc_id long, quality int")).collect()
+        assert len(rows) == 2 and all((r.quality is None) == (len(given) == 1 or given[0][1] is None) for r in rows)
+
+
 # ---- 8 ------------------------------------------------------------------------------------------------------------------
 def test_language_mixture(spark):
     kinds = {"xx": "kala moro tinka suva renok paluta".split(), "yy": "gruz wertz schlang knopf pflug zwirn".split()}
