@@ -14,7 +14,6 @@ empty table gives an empty result. Other columns are kept; those named like resu
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,10 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm.bpe import _ranges
-from loomtext.llm.common import chunks, packed, table, unpacked
+from loomtext.llm.common import chunks, ngram_cells, packed, sums_by_word, table, trimmed, unpacked
 
 MADE = ["lang_pred", "score"]
-CELLS = 1 << 16
+BITS = 16
+CELLS = 1 << BITS
 ROUNDS = 12
 
 
@@ -36,28 +36,29 @@ def letter_words() -> re.Pattern:
     return re.compile(f"[{_ranges('L')}]+")
 
 
-def word_cells(word: str) -> list[int]:
-    """Cells of a word's letter trigrams, with marks at its ends."""
-    text = f"\x02{word}\x03"
-    return [zlib.crc32(text[i : i + 3].encode()) % CELLS for i in range(len(text) - 2)]
+def letters(text: str, any_letter: re.Pattern, ascii_letter: re.Pattern = re.compile("[a-z]+")) -> list[str]:
+    """The runs of letters of a text, lower-cased; a text of ASCII characters takes the smaller class."""
+    text = text.lower()
+    return (ascii_letter if text.isascii() else any_letter).findall(text)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    find = letter_words().findall
+    pattern = letter_words()
     totals: dict[str, np.ndarray] = {}
     words: dict[str, Counter] = {}
 
     def settle(lang: str) -> None:
         total = totals.setdefault(lang, np.zeros(CELLS, np.int64))
-        for word, n in words.pop(lang).items():
-            for c in word_cells(word):
-                total[c] += n
+        found = words.pop(lang)
+        cells, counts = ngram_cells(list(found), 3, BITS)
+        times = np.repeat(np.fromiter(found.values(), np.int64, len(found)), counts)
+        total += np.bincount(cells, times, CELLS).astype(np.int64)
 
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text:
-                words.setdefault(lang, Counter()).update(find(text.decode().lower()))
-        for lang in [x for x, c in words.items() if len(c) > 200_000]:
+                words.setdefault(lang, Counter()).update(letters(text.decode(), pattern))
+        for lang in [x for x, c in words.items() if len(c) > 50_000]:
             settle(lang)
     for lang in list(words):
         settle(lang)
@@ -69,27 +70,32 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """(languages, log frequencies: cells x languages); bounded by the number of languages times CELLS."""
     rows = docs.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("binary").alias("text")).filter("lang is not null")
-    counts = rows.mapInArrow(_counted, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(trimmed(_counted), "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(counts["lang"].unique())
     n = np.zeros((CELLS, len(languages)))
-    n[counts["cell"].to_numpy(np.int64), np.searchsorted(languages, counts["lang"].to_numpy(str)) if languages else 0] = counts["n"]
+    if languages:
+        n[counts["cell"].to_numpy(np.int64), np.searchsorted(languages, counts["lang"].to_numpy(str))] = counts["n"]
     return languages, np.log((n + 0.1) / (n.sum(axis=0) + 0.1 * CELLS)).astype(np.float32)
 
 
 class _Words(dict):
-    """Word to its row in a table of log-likelihoods by language; both are emptied together by clear()."""
+    """Word to its row in a table of log-likelihoods by language."""
 
-    def __init__(self, model: np.ndarray, most: int = 300_000):
+    def __init__(self, model: np.ndarray, most: int = 200_000):
         super().__init__()
-        self.model, self.rows, self.most = model, np.empty((1024, model.shape[1]), np.float32), most
+        self.model, self.rows, self.most = model, np.empty((0, model.shape[1]), np.float32), most
 
-    def __missing__(self, word: str) -> int:
-        at = len(self)
-        if at == len(self.rows):
-            self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[at] = self.model[word_cells(word)].sum(axis=0)
-        self[word] = at
-        return at
+    def learn(self, words: list[str]) -> None:
+        """Add the words that are new, all at once; forgets the others first when it gets large."""
+        new = set(words).difference(self)
+        if len(self) + len(new) > self.most:
+            self.clear()
+            self.rows = self.rows[:0]
+            new = set(words)
+        new = list(new)
+        cells, counts = ngram_cells(new, 3, BITS)
+        self.update(zip(new, range(len(self.rows), len(self.rows) + len(new)), strict=True))
+        self.rows = np.concatenate([self.rows, sums_by_word(self.model[cells], counts).astype(np.float32)])
 
 
 def _mixture(likelihood: np.ndarray, starts: np.ndarray, counts: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,20 +151,20 @@ def predict(ids: np.ndarray, counts: np.ndarray, logs: np.ndarray, penalty: floa
 def _predicted(model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, table_ = model.value
-        find, words = letter_words().findall, _Words(table_) if languages else None
+        pattern, words = letter_words(), _Words(table_) if languages else None
         for batch in batches:
             texts = batch.column("text").to_pylist()
             names: list[str] = ["und"] * len(texts)
             scores = np.zeros(len(texts))
             for a, b in chunks(texts) if languages else ():
-                if len(words) > words.most:
-                    words.clear()
-                found = [find(t.decode().lower()) if t else [] for t in texts[a:b]]
+                found = [letters(t.decode(), pattern) if t else [] for t in texts[a:b]]
                 counts = np.array([len(x) for x in found])
                 full = np.flatnonzero(counts)
                 if not len(full):
                     continue
-                ids = np.fromiter((words[w] for d in full for w in found[d]), np.int64, int(counts.sum()))
+                flat = [w for x in found for w in x]
+                words.learn(flat)
+                ids = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
                 best, score = predict(ids, counts[full], words.rows, penalty)
                 for d, lang, s in zip(full.tolist(), best.tolist(), score.tolist(), strict=True):
                     names[a + d], scores[a + d] = languages[lang], min(1.0, s)
@@ -172,7 +178,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     rows = packed(docs, text_col)
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return unpacked(rows.mapInArrow(_predicted(shared, penalty), schema), docs, text_col, MADE)
+    return unpacked(rows.mapInArrow(trimmed(_predicted(shared, penalty)), schema), docs, text_col, MADE)
 
 
 def held_out(id_col: str = "doc_id"):
