@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import bpe
-from loomtext.llm.common import packed, table, unpacked
+from loomtext.llm.common import packed, table, trimmed, unpacked
 
 MADE = ["n_tokens", "ids_sha256", "decoded_sha256"]
 _NEVER = 1 << 60
@@ -150,7 +150,7 @@ def encode_documents(docs: DataFrame, path: str, text_col: str = "text", keep_id
     schema = T.StructType(rows.schema.fields + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
     if keep_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
-    return unpacked(rows.mapInArrow(_digests(path, keep_ids), schema), docs, text_col, made)
+    return unpacked(rows.mapInArrow(trimmed(_digests(path, keep_ids)), schema), docs, text_col, made)
 
 
 def decode_documents(docs: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtext.llm import bpe
-from loomtext.llm.common import materialize, table
+from loomtext.llm.common import materialize, table, trimmed
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _NAMES = [c.split(" ")[0] for c in PIECE.split(", ")]
@@ -170,7 +170,7 @@ def pack_documents(
     spark = docs.sparkSession
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     end = int(end_id).to_bytes(4, "little")
-    packed = materialize(source.mapInArrow(_packer(encoder, size, end, open_windows), f"{PIECE}, left_ids binary"), "packing")
+    packed = materialize(source.mapInArrow(trimmed(_packer(encoder, size, end, open_windows)), f"{PIECE}, left_ids binary"), "packing")
     left = packed.filter(F.col("left_ids").isNotNull())
     n = left.select(F.countDistinct("sequence_id").alias("n")).first()["n"]
     tasks = max(1, -(-n // windows_a_merge))

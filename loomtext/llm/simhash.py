@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import golay
-from loomtext.llm.common import Hashes, chunks, materialize, packed, rolling, table, unpacked, word_hashes
+from loomtext.llm.common import Hashes, chunks, materialize, packed, rolling, table, trimmed, unpacked, word_hashes
 from loomtext.llm.graph import components, forest
 
 SEED = 42
@@ -177,7 +177,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("max_bits is 1 or 2")
     source = packed(docs, text_col)
     schema = T.StructType([source.schema["row"], T.StructField("fp", T.LongType())])
-    rows = materialize(source.mapInArrow(_fingerprinted(shingle, seed, False), schema), "simhash")
+    rows = materialize(source.mapInArrow(trimmed(_fingerprinted(shingle, seed, False)), schema), "simhash")
     distinct = rows.groupBy("fp").agg(F.min(F.col(f"row.`{id_col}`")).alias("id"))
     roots = components(_candidates(distinct, False, _links_exact(max_bits)))
     found = _with_components(rows, distinct, roots)
@@ -284,7 +284,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     source = packed(docs, text_col)
     none = F.col(f"row.`{id_col}`").isNull()
     schema = T.StructType([source.schema["text"], source.schema["row"], T.StructField("fp", T.LongType())])
-    rows = source.mapInArrow(_fingerprinted(FIND_SHINGLE, SEED, True), schema).withColumn("digest", F.md5(F.coalesce("text", F.lit(b""))))
+    rows = source.mapInArrow(trimmed(_fingerprinted(FIND_SHINGLE, SEED, True)), schema).withColumn("digest", F.md5(F.coalesce("text", F.lit(b""))))
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     order = F.struct(none.alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
     nodes = materialize(rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp")).select("best", F.col("best.rid").alias("nid"), "fp"), "near-nodes")
@@ -296,7 +296,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     pairs = materialize(between.unionAll(same), "near-pairs")
     needed = materialize(pairs.select(F.col("a").alias("nid")).unionAll(pairs.select("b")).distinct(), "near-needed")
     texts = rows.select(F.col("rid").alias("nid"), "text").join(_bounded(needed), "nid", "left_semi")
-    sets = materialize(texts.mapInArrow(_shingle_sets(shingle), "nid long, set binary"), "near-sets")
+    sets = materialize(texts.mapInArrow(trimmed(_shingle_sets(shingle)), "nid long, set binary"), "near-sets")
     compared = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("y")), "b")
     links = compared.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
     roots = components(links)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import Hashes, chunks, materialize, merged_ranges, mixed, packed, rolling, table, unpacked, word_hashes
+from loomtext.llm.common import Hashes, chunks, materialize, merged_ranges, mixed, packed, rolling, table, trimmed, unpacked, word_hashes
 
 MADE = ["n_words", "n_removed", "kept_text"]
 SHINGLE = 8
@@ -141,7 +141,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _candidates(window: int, bits: int, slices: int, part: int, sketch, keep_row: bool):
+def _candidates(window: int, bits: int, slices: int, part: int, sketch):
     """Rows with `hit`: a bit for each window that is a candidate in this slice, null if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +228,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, mo
     spark = docs.sparkSession
     bits, slices = _sketch_size(docs, text_col, most_cells)
     text = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
-    touched = text.mapInArrow(_sketched(window, bits, slices), "block long, ones binary, more binary")
+    touched = text.mapInArrow(trimmed(_sketched(window, bits, slices)), "block long, ones binary, more binary")
     merged = materialize(touched.repartition("block").sortWithinPartitions("block").mapInArrow(_merged, "block long, bitmap binary"), "sketch")
 
     source = packed(docs, text_col).withColumn("rid", F.monotonically_increasing_id())
@@ -243,7 +243,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, mo
             flags[at : at + BLOCK // 8] = np.frombuffer(row["bitmap"], np.uint8)
         sketch = spark.sparkContext.broadcast(flags.tobytes())
         schema = T.StructType([*fields, T.StructField("hit", T.BinaryType())])
-        found = source.mapInArrow(_candidates(window, bits, slices, part, sketch, True), schema)
+        found = source.mapInArrow(trimmed(_candidates(window, bits, slices, part, sketch)), schema)
         if part:
             found = found.withColumn("hit", _either(F.col("before"), F.col("hit"))).drop("before")
         source = materialize(found, "candidates")
@@ -251,13 +251,13 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, mo
             source = source.withColumnRenamed("hit", "before")
             fields = source.schema.fields
     hit = source.filter(F.col("hit").isNotNull())
-    places = hit.select("text", "hit", "rid").mapInArrow(_grouped(window), "h1 long, h2 long, rid long, pos int")
+    places = hit.select("text", "hit", "rid").mapInArrow(trimmed(_grouped(window)), "h1 long, h2 long, rid long, pos int")
     once = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.min("pos").alias("pos")).filter("n = 1")
     single = once.groupBy("rid").agg(F.collect_list("pos").alias("single"))
     shared = hit.join(single, "rid", "left").select("text", "row", "hit", "single")
     alone = source.filter(F.col("hit").isNull()).select("text", "row", "hit", F.lit(None).cast("array<int>").alias("single"))
     schema = T.StructType([source.schema["text"], source.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    done = alone.unionAll(shared).mapInArrow(_removed(window), schema)
+    done = alone.unionAll(shared).mapInArrow(trimmed(_removed(window)), schema)
     return unpacked(done, docs, text_col, MADE)
 
 
