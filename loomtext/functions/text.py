@@ -6,6 +6,8 @@ keeps `.`, `^` and `$` to line feeds.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,7 +61,7 @@ def squeeze(x: Column) -> Column:
 
 def words(x: Column) -> Column:
     """Non-space runs; none for blank text."""
-    return F.filter(F.split(squeeze(x), " "), lambda w: w != "")
+    return F.filter(F.split(x, r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
 
 
 def bind(value: Column, body) -> Column:
@@ -124,18 +126,21 @@ def strip_markers(x: Column, lang: Column) -> Column:
 
 def cut_off(x: Column) -> Column:
     """Cut at the first match of each marker in turn; a marker that an earlier cut has halved no longer counts."""
+    cut = x
     for pattern in CUTOFFS:
-        x = F.split(x, f"(?i){pattern}", 2)[0]
-    return x
+        cut = F.split(cut, f"(?i){pattern}", 2)[0]
+    # most texts have none of them, which plain searches tell at once
+    low = lambda y: reduce(lambda a, b: a | b, [F.contains(y, F.lit(p.replace("\\", "").lower())) for p in CUTOFFS])
+    return F.when(bind(F.lower(x), low), cut).otherwise(x)
 
 
 def clean_summary(x: Column, lang: Column) -> Column:
     """T5: a summary of 3 to 50 words, or null."""
-    bare = strip_markers(x, lang)
-    text = squeeze(F.regexp_replace(F.regexp_replace(cut_off(bare), r"(?d):[a-z]+ .*?:", ""), "\r", ""))
-    n = F.size(words(text))
-    good = (bare != "") & ~bare.rlike("^(:type|:rtype|>>>)") & n.between(3, 50) & (F.length(text) >= 10) & ~text.contains("TODO") & ~text.contains("FIXME")
-    return F.when(good, text)
+    tidy = lambda bare: squeeze(F.regexp_replace(F.regexp_replace(cut_off(bare), r"(?d):[a-z]+ .*?:", ""), "\r", ""))
+    whole = lambda text: F.size(words(text)).between(3, 50) & (F.length(text) >= 10) & ~text.contains("TODO") & ~text.contains("FIXME")
+    usable = lambda bare: (bare != "") & ~bare.rlike("^(:type|:rtype|>>>)")
+    summary = lambda bare: F.when(usable(bare), bind(tidy(bare), lambda text: F.when(whole(text), text)))
+    return bind(strip_markers(x, lang), summary)
 
 
 def alnum(x: Column) -> Column:

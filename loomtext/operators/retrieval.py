@@ -65,16 +65,19 @@ def bm25_top_k(queries: DataFrame, corpus: DataFrame, query_key: str, query: str
     """
     scores = bm25_scores(queries, corpus, query_key, query, key, text).withColumn("score", F.round("score", 6))
     window = W.partitionBy(query_key).orderBy(F.desc("score"), F.desc(key))
-    short = queries.select(query_key).join(scores.filter("score > 0").groupBy(query_key).agg(F.count(F.lit(1)).alias("hits")), query_key, "left").filter(F.coalesce("hits", F.lit(0)) < k).select(query_key)
+    best = lambda rows: rows.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
+    top = best(scores).persist()  # at most k rows a query
+    hits = top.filter("score > 0").groupBy(query_key).agg(F.count(F.lit(1)).alias("hits"))
+    short = queries.select(query_key).join(hits, query_key, "left").filter(F.coalesce("hits", F.lit(0)) < k).select(query_key).persist()
+    if not short.limit(1).count():
+        return top
     matched = scores.join(short, query_key, "left_semi").select(query_key, key)
-    # a query's zeros: its k largest keys outside its matches, found among keys ranked once
     most = matched.groupBy(query_key).agg(F.count(F.lit(1)).alias("m"))
     need = short.join(most, query_key, "left").select(query_key, (F.coalesce("m", F.lit(0)) + k).alias("need"))
     deepest = need.agg(F.max("need")).first()[0] or 0  # no query's zeros lie below so many keys
     ranked = corpus.select(key).orderBy(F.desc(key)).limit(deepest).withColumn("pos", F.row_number().over(W.orderBy(F.desc(key))))
     zeros = need.join(ranked, F.col("pos") <= F.col("need")).select(query_key, key).join(matched, [query_key, key], "left_anti").withColumn("score", F.lit(0.0))
-    ranked = scores.unionByName(zeros).withColumn("rank", F.row_number().over(window))
-    return ranked.filter(F.col("rank") <= k)
+    return best(top.drop("rank").unionByName(zeros))
 
 
 def candidate_structs(top: DataFrame, corpus: DataFrame, query_key: str, key: str, fields: list[str]) -> DataFrame:
