@@ -1,12 +1,14 @@
-"""SimHash near-duplicates, found by Golay-code keys.
+"""Near-duplicates: SimHash fingerprints, found by Golay-code keys, and Jaccard similarity of shingle sets, found by rare shingles.
 
 A fingerprint of 64 bits is cut into segments of 22, 21 and 21 bits. With at most two differing bits one segment is equal
 (pigeonhole) and the next one differs in at most two, so it shares a codeword index: a key is the exact segment with an index of
 the next, at most 18 keys for each distinct fingerprint. Fingerprints that share a key are compared bit by bit within the
 key's rows, which come sorted; of the links in a key only a spanning forest leaves the task. Components follow by star steps.
 
-drop_near_duplicates(), the pipeline's form, takes keys of two codeword indices: with at most five differing bits two of three
-segments differ in at most two. Candidates are links if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+drop_near_duplicates(), the pipeline's form, links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+Its candidates are complete (prefix filter): all shingles have one order, the common ones last, and of n shingles the first
+n - ceil(0.8 n) + 1 are the text's keys, of which two such texts share one. First the texts of a key are compared with one of them; then
+all pairs of a key that are not yet in one component and whose sizes and positions allow the similarity.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Ties: a bit that is set in exactly half
 the shingles is 0. Repeated rows share a component. A null id never names a component unless all its ids are null. An empty
@@ -66,34 +68,27 @@ def fingerprints(texts: list[bytes | None], shingle: int = 3, seed: int = SEED)
     return out
 
 
-def _fingerprinted(shingle: int, seed: int, keep_text: bool):
+def _fingerprinted(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = pa.array(fingerprints(batch.column("text").to_pylist(), shingle, seed).view(np.int64))
-            columns = {"text": batch.column("text")} if keep_text else {}
-            yield pa.RecordBatch.from_pydict(columns | {"row": batch.column("row"), "fp": fp})
+            yield pa.RecordBatch.from_pydict({"row": batch.column("row"), "fp": fp})
 
     return run
 
 
-def _keys(wide: bool):
-    """Keys of each fingerprint: (exact segment, index of the next), or if wide (index, index of the next)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            parts = [(fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1) for shift, bits in SEGMENTS]
-            index = [golay.indices(p) for p in parts]
-            for a in range(3):
-                b = (a + 1) % 3
-                for i in range(6 if wide else 1):
-                    own = index[a][:, i] if wide else parts[a]
-                    for j in range(6):
-                        ok = (own >= 0) & (index[b][:, j] >= 0)
-                        key = (np.int64(a) << 34) | (own[ok] << 12) | index[b][ok, j]
-                        yield pa.RecordBatch.from_pydict({"key": pa.array(key), "fp": pa.array(fp[ok])})
-
-    return run
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of each fingerprint: (exact segment, index of the next)."""
+    for batch in batches:
+        fp = batch.column("fp").to_numpy(zero_copy_only=False)
+        parts = [(fp.view(np.uint64) >> np.uint64(shift)).astype(np.int64) & ((1 << bits) - 1) for shift, bits in SEGMENTS]
+        index = [golay.indices(p) for p in parts]
+        for a in range(3):
+            b = (a + 1) % 3
+            for j in range(6):
+                ok = index[b][:, j] >= 0
+                key = (np.int64(a) << 34) | (parts[a][ok] << 12) | index[b][ok, j]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "fp": pa.array(fp[ok])})
 
 
 def _flips(most: int, fixed: int) -> np.ndarray:
@@ -159,8 +154,8 @@ def _by_key(find):
     return run
 
 
-def _candidates(distinct: DataFrame, wide: bool, find) -> DataFrame:
-    keyed = distinct.select("fp").mapInArrow(_keys(wide), "key long, fp long")
+def _candidates(distinct: DataFrame, find) -> DataFrame:
+    keyed = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
     return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_by_key(find), "a long, b long")
 
 
@@ -177,78 +172,150 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError("max_bits is 1 or 2")
     source = packed(docs, text_col)
     schema = T.StructType([source.schema["row"], T.StructField("fp", T.LongType())])
-    rows = materialize(source.mapInArrow(trimmed(_fingerprinted(shingle, seed, False)), schema), "simhash")
+    rows = materialize(source.mapInArrow(trimmed(_fingerprinted(shingle, seed)), schema), "simhash")
     distinct = rows.groupBy("fp").agg(F.min(F.col(f"row.`{id_col}`")).alias("id"))
-    roots = components(_candidates(distinct, False, _links_exact(max_bits)))
+    roots = components(_candidates(distinct, _links_exact(max_bits)))
     found = _with_components(rows, distinct, roots)
     out = found.select("row", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
     rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (text_col, "fingerprint", "component_id")]
     return out.select(*rest, "fingerprint", "component_id")
 
 
-#: drop_near_duplicates(): words in a shingle of the fingerprint that finds candidates, and the bits in which candidates may differ.
-FIND_SHINGLE = 2
-FIND_BITS = 10
+#: drop_near_duplicates(): texts of which the common shingles are learnt, and how many of those are kept. Neither decides what is found.
+SAMPLE = 10_000
+MOST_COMMON = 500_000
 #: Row ids, of eight bytes, that may be broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
-#: Fingerprints of a key that are compared all with all; more are taken in runs of so many, whose centres are compared next.
-RUN = 512
-
-
-def _centred(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate links of one key's fingerprints, at most two for each: to its nearest, and to the one in the middle of its run."""
-    xs, ys = [], []
-    while len(fp) > 1:
-        centres = []
-        for at in range(0, len(fp), RUN):
-            own = fp[at : at + RUN]
-            if len(own) == 1:
-                centres.append(own[0])
+#: Candidate pairs in a batch.
+PAIRS = 1 << 18
+
+
+def _shingles(text: bytes | None, shingle: int, cache: Hashes) -> np.ndarray:
+    """The sorted distinct 64-bit hashes of a text's shingles of lowered words (a shorter text is one shingle)."""
+    hashes, _ = word_hashes([text.lower() if text else None], cache)
+    return np.unique(rolling(hashes, min(shingle, max(1, len(hashes))), 0x9E3779B97F4A7C15))
+
+
+def _shingle_rows(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes(SEED)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_pydict({"key": pa.array(_shingles(text, shingle, cache).view(np.int64))})
+
+    return run
+
+
+def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of several texts of a sample, sorted, and in how many of them they are (65,535 at most)."""
+    n = source.count()
+    some = source.select("text").sample(min(1.0, SAMPLE / n), SEED) if n else source.select("text")
+    counted = some.mapInArrow(trimmed(_shingle_rows(shingle)), "key long").groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = counted.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key", F.least("n", F.lit(65535)).alias("n")).toArrow()
+    keys, counts = found["key"].to_numpy().view(np.uint64), found["n"].to_numpy().astype(np.uint16)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray):
+    """(text, row, digest of the set, its size, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes(SEED)
+        for batch in batches:
+            digests, sizes, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                own = _shingles(text, shingle, cache)
+                digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                sizes.append(len(own))
+                n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
+                if n and len(common):
+                    at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                    own = own[np.argsort(np.where(common[at] == own, counts[at], 0).astype(np.uint16), kind="stable")]
+                keys.append(own[:n])
+            ends = np.cumsum([0, *map(len, keys)])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)))
+            columns = {"text": batch.column("text"), "row": batch.column("row"), "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int32()), "keys": listed}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return run
+
+
+def _whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole keys, from batches sorted by key, and how many rows each key has."""
+    held: list[pa.RecordBatch] = []
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        found = pa.Table.from_batches(held)
+        key = found["key"].to_numpy()
+        return found, np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        if held and held[-1].column("key")[-1].as_py() != key[-1]:
+            cut = int(np.searchsorted(key, key[-1]))
+            held.append(batch.slice(0, cut))
+            yield out()
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+    if held:
+        yield out()
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of keys that several texts have."""
+    for found, sizes in _whole_keys(batches):
+        yield from found.filter(pa.array(np.repeat(sizes > 1, sizes))).combine_chunks().to_batches()
+
+
+def _pairs(least: float, star: bool):
+    """Candidates (a, b) of each key, a > b: of its first row with the others, or of all rows of different roots.
+
+    Two texts are passed over where their sizes, or what follows the key in their orders, rule the similarity out: it is then not the first key they share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found, sizes in _whole_keys(batches):
+            nid, size, pos, root = (found[c].to_numpy() for c in ("nid", "size", "pos", "root"))
+
+            def near(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+                most, both = np.minimum(size[i] - pos[i], size[j] - pos[j]), size[i].astype(np.int64) + size[j]
+                ok = (root[i] != root[j]) & (most >= least / (1 + least) * both - 1e-6) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
+                x, y = nid[i[ok]], nid[j[ok]]
+                return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y))})
+
+            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = np.arange(len(nid))
+            if star:
+                at = row[row > first]
+                yield near(first[at], at)
                 continue
-            apart = np.bitwise_count(own[:, None] ^ own[None, :]).astype(np.int16)
-            middle = int(apart.sum(axis=1).argmin())
-            centres.append(own[middle])
-            np.fill_diagonal(apart, 99)
-            nearest = apart.argmin(axis=1)
-            i = np.arange(len(own))
-            near, central = apart[i, nearest] <= FIND_BITS, apart[i, middle] <= FIND_BITS
-            xs += [own[near], own[central]]
-            ys += [own[nearest[near]], np.full(int(central.sum()), own[middle])]
-        fp = np.array(centres, np.uint64) if len(fp) > RUN else fp[:0]
-    if not xs:
-        return fp[:0], fp[:0]
-    return np.concatenate(xs), np.concatenate(ys)
-
-
-def _links_near(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per key: links of at most FIND_BITS bits, a number in proportion to the key's fingerprints."""
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
-    xs, ys = [fp[:0]], [fp[:0]]
-    pairs = starts[sizes == 2]
-    near = np.bitwise_count(fp[pairs] ^ fp[pairs + 1]) <= FIND_BITS
-    xs.append(fp[pairs[near]])
-    ys.append(fp[pairs[near] + 1])
-    for start, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        x, y = _centred(fp[start : start + n])
-        xs.append(x)
-        ys.append(y)
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)], axis=1), axis=0)
-    return both[:, 0].copy(), both[:, 1].copy()
+            left = np.repeat(np.cumsum(sizes), sizes) - row  # rows of the key from here on
+            at, d, held, n = row[left > 1], 1, [], 0
+            while len(at):
+                held.append(near(at, at + d))
+                n += held[-1].num_rows
+                if n >= PAIRS:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, n = [], 0
+                d += 1
+                at = at[left[at] > d]
+            if n:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
 
 
 def _shingle_sets(shingle: int):
-    """(nid, set): the sorted distinct 32-bit hashes of a text's shingles of lowered words (a shorter text is one shingle)."""
+    """(nid, set): the sorted distinct 32-bit hashes of a text's shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(SEED)
         for batch in batches:
-            sets = []
-            for text in batch.column("text").to_pylist():
-                hashes, _ = word_hashes([text.lower() if text else None], cache)
-                shingles = rolling(hashes, min(shingle, max(1, len(hashes))), 0x9E3779B97F4A7C15)
-                sets.append(np.unique((shingles >> np.uint64(32)).astype(np.uint32)).tobytes())
+            sets = [np.unique((_shingles(x, shingle, cache) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"nid": batch.column("nid"), "set": pa.array(sets, pa.binary())})
 
     return run
@@ -275,31 +342,38 @@ def _bounded(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
 
 
+def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
+    needed = materialize(pairs.select(F.col("a").alias("nid")).unionAll(pairs.select("b")).distinct(), "near-needed")
+    texts = rows.select(F.col("rid").alias("nid"), "text").join(_bounded(needed), "nid", "left_semi")
+    sets = materialize(texts.mapInArrow(trimmed(_shingle_sets(shingle)), "nid long, set binary"), "near-sets")
+    compared = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("y")), "b")
+    return materialize(compared.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group: the smallest id (nulls last), of equal ids one row.
 
-    A group is linked by Jaccard similarity of the sets of shingles. Candidates come from fingerprints over FIND_SHINGLE words, by
-    keys of two codeword indices; equal texts are one node throughout. Links number in proportion to the rows, whatever the groups.
+    A group is linked by Jaccard similarity of the sets of shingles, and no link is left out; texts of equal sets are one node
+    throughout. Pairs of a key that are neither similar nor joined by others are all compared, so many texts just below the similarity take their square.
     """
     source = packed(docs, text_col)
     none = F.col(f"row.`{id_col}`").isNull()
-    schema = T.StructType([source.schema["text"], source.schema["row"], T.StructField("fp", T.LongType())])
-    rows = source.mapInArrow(trimmed(_fingerprinted(FIND_SHINGLE, SEED, True)), schema).withColumn("digest", F.md5(F.coalesce("text", F.lit(b""))))
+    schema = T.StructType([source.schema["text"], source.schema["row"], T.StructField("digest", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    rows = source.mapInArrow(trimmed(_prefixed(shingle, similarity, *_common(source, shingle))), schema)
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     order = F.struct(none.alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    nodes = materialize(rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp")).select("best", F.col("best.rid").alias("nid"), "fp"), "near-nodes")
-    distinct = nodes.groupBy("fp").agg(F.min("nid").alias("nid"))
-    between = _candidates(distinct, True, _links_near).distinct()
-    first, second = (distinct.select(F.col("fp").alias(c), F.col("nid").alias(f"n{c}")) for c in "ab")
-    between = between.join(first, "a").join(second, "b").select(F.col("na").alias("a"), F.col("nb").alias("b"))
-    same = nodes.join(distinct.withColumnRenamed("nid", "least"), "fp").filter("nid <> least").select(F.col("nid").alias("a"), F.col("least").alias("b"))
-    pairs = materialize(between.unionAll(same), "near-pairs")
-    needed = materialize(pairs.select(F.col("a").alias("nid")).unionAll(pairs.select("b")).distinct(), "near-needed")
-    texts = rows.select(F.col("rid").alias("nid"), "text").join(_bounded(needed), "nid", "left_semi")
-    sets = materialize(texts.mapInArrow(trimmed(_shingle_sets(shingle)), "nid long, set binary"), "near-sets")
-    compared = pairs.join(sets.select(F.col("nid").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("nid").alias("b"), F.col("set").alias("y")), "b")
-    links = compared.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long")
-    roots = components(links)
+    nodes = materialize(rows.groupBy("digest").agg(F.min(order).alias("best")).select("best", F.col("best.rid").alias("nid")), "near-nodes")
+    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, keyed.schema)
+    shared = materialize(shared, "near-shared")
+    in_keys = lambda found: found.repartition("key").sortWithinPartitions("key", "pos", "nid")
+    tried = materialize(in_keys(shared.withColumn("root", F.col("nid"))).mapInArrow(_pairs(similarity, True), "a long, b long").distinct(), "near-tried")
+    links = _verified(tried, rows, shingle, similarity)
+    roots = components(links).withColumnRenamed("node", "nid")
+    apart = in_keys(shared.join(_bounded(roots), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
+    rest = materialize(apart.mapInArrow(_pairs(similarity, False), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
+    roots = components(links.unionAll(_verified(rest, rows, shingle, similarity)))
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
     gone = materialize(rows.select("rid").join(kept, "rid", "left_anti"), "near-gone")

@@ -184,6 +184,34 @@ def test_drop_near_duplicates(spark):
     assert simhash.drop_near_duplicates(docs.filter("false")).count() == 0
 
 
+def edited(r, w, kind):
+    """A near copy of the words w: a tail appended, the end cut off, a block replaced or words replaced here and there."""
+    n, new = len(w), lambda k: [f"n{r.randrange(10**6)}" for _ in range(k)]
+    k = r.randrange(n // 20, n // 4)
+    at = r.randrange(n - k)
+    return {"tail": w + new(k), "cut": w[: n - k], "block": w[:at] + new(k // 2) + w[at + k // 2 :], "words": [x if r.random() > 0.02 else new(1)[0] for x in w]}[kind]
+
+
+def kept_by_all_pairs(texts):
+    """The least row of each group, by the Jaccard similarity of all pairs."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(x.lower()) for x in texts)]
+    return {min(j for j, y in enumerate(groups) if y == x) for groups in [linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))] for x in groups}
+
+
+def kept(spark, texts):
+    return {r.doc_id for r in simhash.drop_near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+
+
+def test_near_duplicates_are_those_of_all_pairs(spark):
+    r = random.Random(11)
+    texts = []
+    for s in range(40):
+        w = words(prose(600 + s, r.randrange(150, 500)))
+        texts += [" ".join(w), *(" ".join(edited(r, w, kind)) for kind in ("tail", "cut", "block", "words"))]
+    r.shuffle(texts)
+    assert kept(spark, texts) == kept_by_all_pairs(texts)
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------------
 def brute_repeats(texts, width):
     all_words = [words(t) for t in texts]
