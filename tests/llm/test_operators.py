@@ -212,6 +212,13 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
     assert kept(spark, texts) == kept_by_all_pairs(texts)
 
 
+def test_texts_with_a_long_tail_are_near_duplicates(spark):
+    r = random.Random(12)
+    base = [words(prose(700 + s, 300)) for s in range(60)]
+    texts = [" ".join(x) for x in base] + [" ".join(x + [f"n{r.randrange(10**6)}" for _ in range(60)]) for x in base]
+    assert kept(spark, texts) == set(range(60))
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------------
 def brute_repeats(texts, width):
     all_words = [words(t) for t in texts]
