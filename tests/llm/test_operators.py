@@ -219,6 +219,17 @@ def test_texts_with_a_long_tail_are_near_duplicates(spark):
     assert kept(spark, texts) == set(range(60))
 
 
+def test_copies_like_their_original_alone_are_one_group(spark):
+    r = random.Random(13)
+    base = words(prose(800, 300))
+    texts = []
+    for _ in range(300):
+        at = set(r.sample(range(len(base)), 6))
+        texts.append(" ".join(f"n{r.randrange(10**6)}" if i in at else w for i, w in enumerate(base)))
+    texts.append(" ".join(base))
+    assert kept(spark, texts) == kept_by_all_pairs(texts)
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------------
 def brute_repeats(texts, width):
     all_words = [words(t) for t in texts]
