@@ -230,6 +230,15 @@ def test_copies_like_their_original_alone_are_one_group(spark):
     assert kept(spark, texts) == kept_by_all_pairs(texts)
 
 
+def test_near_duplicates_with_one_line_repeated(spark):
+    r = random.Random(14)
+    line = words(prose(900, 22)) * 250
+    base = [words(prose(901 + s, 6600)) for s in range(16)]
+    edit = lambda w, at: w[:at] + [f"n{r.randrange(10**6)}" for _ in range(260)] + w[at + 260 :]
+    texts = [" ".join(w + line) for w in base] + [" ".join(edit(w, r.randrange(6000)) + line) for w in base]
+    assert kept(spark, texts) == set(range(16))
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------------
 def brute_repeats(texts, width):
     all_words = [words(t) for t in texts]
