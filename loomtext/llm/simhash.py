@@ -310,12 +310,12 @@ def _pairs(least: float, star: bool):
 
 
 def _shingle_sets(shingle: int):
-    """(nid, set): the sorted distinct 32-bit hashes of a text's shingles."""
+    """(nid, set): the shingles of a text, as _shingles() gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(SEED)
         for batch in batches:
-            sets = [np.unique((_shingles(x, shingle, cache) >> np.uint64(32)).astype(np.uint32)).tobytes() for x in batch.column("text").to_pylist()]
+            sets = [_shingles(x, shingle, cache).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"nid": batch.column("nid"), "set": pa.array(sets, pa.binary())})
 
     return run
@@ -326,7 +326,7 @@ def _similar(least: float):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 if min(len(a), len(b)) < least * max(len(a), len(b)):
                     keep.append(False)
                     continue

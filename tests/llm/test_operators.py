@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -239,6 +240,13 @@ def test_near_duplicates_with_one_line_repeated(spark):
     assert kept(spark, texts) == set(range(16))
 
 
+def test_shingle_sets_of_long_texts_have_no_chance_hits():
+    text = " ".join(f"w{i}" for i in range(300_000)).encode()
+    batch = pa.RecordBatch.from_pydict({"nid": [1], "text": pa.array([text], pa.binary())})
+    (out,) = simhash._shingle_sets(5)(iter([batch]))
+    assert len(np.unique(np.frombuffer(out.column("set")[0].as_py(), np.uint64))) == 300_000 - 4
+
+
 # ---- 10 -----------------------------------------------------------------------------------------------------------------
 def brute_repeats(texts, width):
     all_words = [words(t) for t in texts]
