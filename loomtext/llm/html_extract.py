@@ -5,7 +5,7 @@ of the page, sidebars, notices, adverts, forms, scripts, styles and reader comme
 of class, id and role. Each paragraph gives points for itself, its commas and its length to its ancestors: whole to its parent, half
 to the next, then a third and so on. A container's score is what it got, and what its element and names say, times the share
 of its text that is not in links. The best container is kept with the siblings that score at least a fifth of it or are
-paragraphs of running text; link lists inside go.
+paragraphs of running text; link lists inside stay, as those that an element or a name marks as menus are left out before.
 
 A null, empty or tag-free page: a text without tags is one block; no text is ''. Ties go to the container that comes first. An
 unclosed tag or comment ends with the page; very long pages are parsed whole, nested without recursion. Repeated rows get equal
@@ -284,9 +284,6 @@ def _blocks(nodes: list[Node]) -> list[str]:
             elif isinstance(item, str):
                 parts.append(item)
             else:
-                if item is not top and item.name in ("ul", "ol", "div", "section", "table", "dl") and item.length and _density(item) > 0.5 and item.linked > 0:
-                    close()
-                    continue
                 block = item.name in BLOCKS
                 if block:
                     close()

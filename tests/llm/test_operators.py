@@ -436,6 +436,15 @@ def test_main_text(html, text):
     assert html_extract.main_text(html) == text
 
 
+def test_link_lists_of_the_article_stay_and_menus_go():
+    links = "<a href=/a>Smith 2001, On the measure of rivers</a>"
+    kept = f"<ul><li>{links}</ul><table><tr><td>{links}</table><dl><dt>{links}</dl><div>See {links}</div>"
+    gone = "".join(f"<{x}><ul><li><a href=/m>Menu</a></ul></{x.split()[0]}>" for x in ("nav", "div class=related", "section class=share", "div role=navigation"))
+    page = f"<article><h1>Title</h1>{ARTICLE}{kept}{gone}</article>"
+    text = html_extract.main_text(page)
+    assert text.count("On the measure of rivers") == 4 and "Menu" not in text
+
+
 def test_extraction_keeps_the_container_and_drops_the_rest(spark):
     page = f"<html><head><title>t</title></head><body><header><a href=/>Home</a></header><div class=sidebar>{ARTICLE}</div><div class=post><h1>Title</h1>{ARTICLE}</div><div id=cookie-notice><p>cookies, yes</p></div></body></html>"
     pages = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (1, "u", page, "x"), (None, "u", "<p>" * 3000 + "deep", "x")], "page_id long, url string, html string, text string")
