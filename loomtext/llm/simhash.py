@@ -6,9 +6,10 @@ the next, at most 18 keys for each distinct fingerprint. Fingerprints that share
 key's rows, which come sorted; of the links in a key only a spanning forest leaves the task. Components follow by star steps.
 
 drop_near_duplicates(), the pipeline's form, links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-Its candidates are complete (prefix filter): all shingles have one order, the common ones last, and of n shingles the first
-n - ceil(0.8 n) + 1 are the text's keys, of which two such texts share one. First the texts of a key are compared with one of them; then
-all pairs of a key that are not yet in one component and whose sizes and positions allow the similarity.
+Candidates come from fingerprints of those sets by the same Golay keys first, and are verified. Fingerprints miss some of the similar texts,
+so a prefix filter goes over what they left in different components, and its candidates are complete: all shingles have one order, the common
+ones last, and of n shingles the first n - ceil(0.8 n) + 1 are the text's keys, of which two such texts share one. The texts of a key are compared
+with one of them; then all pairs of a key that are still not in one component and whose sizes and positions allow the similarity.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Ties: a bit that is set in exactly half
 the shingles is 0. Repeated rows share a component. A null id never names a component unless all its ids are null. An empty
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import golay
-from loomtext.llm.common import Hashes, chunks, materialize, packed, rolling, table, trimmed, unpacked, word_hashes
+from loomtext.llm.common import Hashes, chunks, materialize, mixed, packed, rolling, table, trimmed, unpacked, word_hashes
 from loomtext.llm.graph import components, forest
 
 SEED = 42
@@ -99,7 +100,7 @@ def _flips(most: int, fixed: int) -> np.ndarray:
 
 
 def _links_exact(most: int):
-    """Per key: the links of at most `most` (1 or 2) differing bits, as a forest."""
+    """Per key: the links of at most `most` differing bits, as a forest (more than two bits: among COMPARE_ALL fingerprints at most, else two)."""
 
     def of(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         xs, ys = [], []
@@ -119,7 +120,7 @@ def _links_exact(most: int):
         for start, n in zip(starts[sizes > COMPARE_ALL], sizes[sizes > COMPARE_ALL], strict=True):
             own = np.unique(fp[start : start + n])
             shift, bits = SEGMENTS[int(key[start]) >> 34]
-            for mask in _flips(most, ((1 << bits) - 1) << shift):
+            for mask in _flips(min(most, 2), ((1 << bits) - 1) << shift):
                 other = own ^ mask
                 hit = np.minimum(np.searchsorted(own, other), len(own) - 1)
                 ok = (own[hit] == other) & (other > own)
@@ -188,6 +189,8 @@ MOST_COMMON = 500_000
 MOST_BROADCAST = 1_000_000
 #: Candidate pairs in a batch.
 PAIRS = 1 << 18
+#: Differing bits of fingerprints whose texts are compared first. It doesn't decide what is found: the prefix filter follows.
+FIRST_BITS = 8
 
 
 def _shingles(text: bytes | None, shingle: int, cache: Hashes) -> np.ndarray:
@@ -217,16 +220,28 @@ def _common(source: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], counts[order]
 
 
+def _majority(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes: the bits that over half of them have."""
+    if not len(hashes):
+        return 0
+    sums = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = mixed(hashes[at : at + (1 << 16)]).astype(">u8")
+        sums += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * sums > len(hashes)).view(">u8")[0])
+
+
 def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray):
-    """(text, row, digest of the set, its size, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
+    """(text, row, digest of the set, its fingerprint and size, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(SEED)
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, prints, sizes, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = _shingles(text, shingle, cache)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
+                prints.append(_majority(own))
                 sizes.append(len(own))
                 n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
                 if n and len(common):
@@ -235,7 +250,7 @@ def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray
                 keys.append(own[:n])
             ends = np.cumsum([0, *map(len, keys)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)))
-            columns = {"text": batch.column("text"), "row": batch.column("row"), "digest": pa.array(digests, pa.binary()), "size": pa.array(sizes, pa.int32()), "keys": listed}
+            columns = {"text": batch.column("text"), "row": batch.column("row"), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "keys": listed}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -351,6 +366,15 @@ def _verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float
     return materialize(compared.select("a", "b", "x", "y").mapInArrow(_similar(similarity), "a long, b long"), "near-links")
 
 
+def _first_pairs(nodes: DataFrame) -> DataFrame:
+    """Candidates (a, b) of nodes (nid, fp), a > b: of equal fingerprints the least with the others, and the least of fingerprints linked in a Golay key."""
+    prints = materialize(nodes.groupBy("fp").agg(F.min("nid").alias("nid")), "near-prints")
+    same = nodes.select("fp", F.col("nid").alias("a")).join(prints.withColumnRenamed("nid", "b"), "fp").filter("a > b").select("a", "b")
+    met = _candidates(prints, _links_exact(FIRST_BITS)).distinct()
+    met = met.join(prints.select(F.col("fp").alias("a"), F.col("nid").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("nid").alias("y")), "b")
+    return same.unionAll(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))).distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs with one row of each group: the smallest id (nulls last), of equal ids one row.
 
@@ -359,21 +383,25 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     source = packed(docs, text_col)
     none = F.col(f"row.`{id_col}`").isNull()
-    schema = T.StructType([source.schema["text"], source.schema["row"], T.StructField("digest", T.BinaryType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    made = [T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    schema = T.StructType([source.schema["text"], source.schema["row"], *made])
     rows = source.mapInArrow(trimmed(_prefixed(shingle, similarity, *_common(source, shingle))), schema)
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     order = F.struct(none.alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    nodes = materialize(rows.groupBy("digest").agg(F.min(order).alias("best")).select("best", F.col("best.rid").alias("nid")), "near-nodes")
-    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
-    shared = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, keyed.schema)
-    shared = materialize(shared, "near-shared")
-    in_keys = lambda found: found.repartition("key").sortWithinPartitions("key", "pos", "nid")
-    tried = materialize(in_keys(shared.withColumn("root", F.col("nid"))).mapInArrow(_pairs(similarity, True), "a long, b long").distinct(), "near-tried")
+    nodes = rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp")).select("best", "fp", F.col("best.rid").alias("nid"))
+    nodes = materialize(nodes, "near-nodes")
+    tried = materialize(_first_pairs(nodes), "near-tried")
     links = _verified(tried, rows, shingle, similarity)
-    roots = components(links).withColumnRenamed("node", "nid")
-    apart = in_keys(shared.join(_bounded(roots), "nid", "left").withColumn("root", F.coalesce("root", "nid")))
-    rest = materialize(apart.mapInArrow(_pairs(similarity, False), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), "near-rest")
-    roots = components(links.unionAll(_verified(rest, rows, shingle, similarity)))
+    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, keyed.schema), "near-shared")
+    for star in (True, False):
+        roots = components(links)
+        apart = shared.join(_bounded(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        pairs = apart.repartition("key").sortWithinPartitions("key", "pos", "nid").mapInArrow(_pairs(similarity, star), "a long, b long").distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        links = materialize(links.unionAll(_verified(pairs, rows, shingle, similarity)), "near-links")
+        tried = tried.unionAll(pairs)
+    roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
     gone = materialize(rows.select("rid").join(kept, "rid", "left_anti"), "near-gone")
