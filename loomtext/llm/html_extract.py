@@ -1,20 +1,25 @@
 """Main text of web pages by tree scoring.
 
-The page is cut into tags and text and built into a tree, with the end tags that pages leave out. Navigation, headers and footers
-of the page, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out, by element or by the words
-of class, id and role. Each paragraph gives points for itself, its commas and its length to its ancestors: whole to its parent, half
+The page is cut into tags and text in one pass, as a browser does, and built into a tree, with the end tags that pages leave out. Then it
+is told what isn't the article: scripts, styles and what is hidden; navigation, headers and footers of the page, asides, forms; and nodes whose
+class, id or role name a sidebar, notice, advert, menu or reader comments. Names that only tell how something else is laid out (has-sidebar,
+fixed-header, comments-open) count only on a small node that is mostly links, and a node that holds nearly all running text that isn't
+otherwise left out is the article whatever its names, as is such a form; reader comments must hold a title or an article element for that.
+
+Each paragraph gives points for itself, its commas and its length to its ancestors, up to six: whole to its parent, half
 to the next, then a third and so on. A container's score is what it got, and what its element and names say, times the share
 of its text that is not in links. The best container is kept with the siblings that score at least a fifth of it or are
 paragraphs of running text; link lists inside stay, as those that an element or a name marks as menus are left out before.
 
 A null, empty or tag-free page: a text without tags is one block; no text is ''. Ties go to the container that comes first. An
-unclosed tag or comment ends with the page; very long pages are parsed whole, nested without recursion. Repeated rows get equal
-texts; an empty table gives an empty result. Other columns are kept; those named like result columns give way.
+unclosed tag or comment ends with the page; very long pages are parsed whole, nested without recursion, in time in proportion to their length.
+Repeated rows get equal texts; an empty table gives an empty result. Other columns are kept; those named like result columns give way.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -26,14 +31,20 @@ from pyspark.sql import types as T
 from loomtext.llm.common import packed, table, unpacked
 
 MADE = ["text", "n_chars"]
-TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.DOTALL)
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
+#: What may start markup; any other < is text.
+OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"[^\s/>]*+")
+#: An attribute's name, and whether a value follows; then the value, if it isn't quoted.
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*+(\s*+=\s*+)?")
+GAP = re.compile(r"[\s/]*+")
+PLAIN = re.compile(r"[^\s>]*+")
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose content is not text of the page.
 RAW = frozenset("script style noscript template svg math iframe object canvas textarea select title head".split())
-#: Of these the content up to the end tag is no markup.
-OPAQUE = frozenset("script style textarea title noscript iframe template svg".split())
+#: Of these the content up to the end tag is no markup; without one, that of the first five is the rest of the page.
+OPAQUE = frozenset("script style textarea title iframe noscript template svg".split())
+TO_THE_END = frozenset("script style textarea title iframe".split())
 DROPPED = frozenset("nav footer aside form button menu dialog fieldset input label".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -47,7 +58,6 @@ CLOSES = {
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
-PARAGRAPH = frozenset(["p"])
 #: Words of class, id or role that mark what is not the article.
 UNLIKELY = frozenset(
     "ad ads adbanner adbox adcontainer adsbygoogle adsense adslot adunit adwrap advert advertisement advertisements adverts banner breadcrumb breadcrumbs combx comment comments community complementary consent contentinfo cookie cookies disqus disclaimer "
@@ -57,146 +67,185 @@ UNLIKELY = frozenset(
 LIKELY = frozenset("article articlebody body content entry hentry main page post story text blog".split())
 #: With these, the word header marks an article's own.
 OWN_HEADER = frozenset("article entry post story".split())
-QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*')""")
-HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.IGNORECASE)
-NO_DISPLAY = re.compile(r"""\bstyle\s*=\s*["'][^"']*display\s*:\s*none""", re.IGNORECASE)
-#: Elements that another block may end unsaid.
-OPEN_ENDED = frozenset("p li dd dt td th tr option".split())
+#: Reader comments: their own text may be longer than the article's.
+COMMENTS = frozenset("combx comment comments disqus reply replies shoutbox".split())
+#: Before or after a word, these tell of the layout of another node.
+BEFORE = frozenset("has no not with without is fixed sticky hide show allow enable".split())
+AFTER = frozenset("open opened closed on off enabled disabled visible fixed sticky expanded collapsed".split())
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+#: Any other element ends the head.
+HEAD = frozenset("head meta link base script style title noscript template".split())
+#: An end tag doesn't reach beyond these.
+SCOPES = ("td", "th", "caption", "table")
+TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 BONUS = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ol": -3, "ul": -3, "dl": -3, "th": -5, "address": -3}
+LEVELS = 6
+#: Why a node may be left out: its names tell of another node's layout, its names, its element; and for sure.
+LAYOUT, NAMED, ELEMENT, SURE = 1, 2, 3, 4
+#: A node is the article if all other running text is at most a tenth of what it holds, and that is so many characters (any number in a form).
+ALL_BUT = 0.1
+RUNNING = 200
 
 
 class Node:
-    __slots__ = ("children", "comma", "direct", "length", "linked", "name", "parent", "score", "words")
+    __slots__ = ("children", "comma", "direct", "length", "linked", "mark", "name", "parent", "score", "words")
 
-    def __init__(self, name: str, parent: Node | None, words: frozenset):
-        self.name, self.parent, self.words = name, parent, words
+    def __init__(self, name: str, parent: Node | None, words: frozenset = frozenset(), mark: int = 0):
+        self.name, self.parent, self.words, self.mark = name, parent, words, mark
         self.children: list = []  # nodes and strings
         self.score = 0.0
         self.length = self.linked = self.comma = self.direct = 0
 
 
-def _unlikely(name: str, words: frozenset, parent: Node) -> bool:
-    if name in DROPPED or name in RAW:
-        return True
-    if name == "header":  # an article's own header holds its title
-        at: Node | None = parent
-        while at is not None:
-            if at.name in ("article", "main"):
-                return False
-            at = at.parent
-        return True
-    bad = words & UNLIKELY
-    if bad == {"header"} and words & OWN_HEADER:
-        return False
-    return bool(bad) and name not in ("html", "body", "article", "main")
-
-
-def _hidden(attributes: str) -> bool:
-    return bool(HIDDEN.search(QUOTED.sub("", attributes)) or NO_DISPLAY.search(attributes))
+def _attributes(html: str, at: int) -> tuple[dict[str, str] | None, int]:
+    """A tag's attributes from `at` on and where the tag ends; None if it doesn't end. The first of a name counts."""
+    found: dict[str, str] = {}
+    n = len(html)
+    while True:
+        at = GAP.match(html, at).end()
+        if at >= n:
+            return None, n
+        if html[at] == ">":
+            return found, at + 1
+        match = ATTRIBUTE.match(html, at)
+        name, value = match[0], ""
+        at = match.end()
+        if match[1]:
+            name = name[: -len(match[1])]
+            if at < n and html[at] in "\"'":
+                end = html.find(html[at], at + 1)
+                if end < 0:
+                    return None, n
+                value, at = html[at + 1 : end], end + 1
+            else:
+                end = PLAIN.match(html, at).end()
+                value, at = html[at:end], end
+        found.setdefault(name.lower(), value)
+
+
+def _named(attributes: dict[str, str]) -> tuple[frozenset, int]:
+    """The words of class, id and role, and whether they mark the node itself (NAMED) or the layout of others (LAYOUT)."""
+    words: set[str] = set()
+    own, layout = set(), False
+    for key in ("class", "id", "role"):
+        for token in attributes.get(key, "").split():
+            parts = WORD.findall(CAMEL.sub(" ", token).lower())
+            words.update(parts)
+            bad = UNLIKELY.intersection(parts)
+            if bad and len(parts) > 1 and (parts[0] in BEFORE or parts[-1] in AFTER):
+                layout = True
+            else:
+                own |= bad
+    if own == {"header"} and words & OWN_HEADER:
+        own = set()
+    return frozenset(words), NAMED if own else LAYOUT if layout else 0
 
 
 def build(html: str) -> Node:
-    """The tree of what may be text; what is unlikely is left out."""
-    root = at = Node("html", None, frozenset())
-    skipped: list[str] = []  # within what is left out: its open elements
+    """The tree of the page; what is surely not text is left out, what may not be the article is marked."""
+    root = Node("html", None)
+    opened: list[Node] = [root]
+    places: dict[str, list[int]] = {}  # where in `opened` elements of a name are
+    endless: set[str] = set()  # opaque elements that no end tag follows
+    last = lambda names: max((places[x][-1] for x in names if places.get(x)), default=0)
     position, n = 0, len(html)
+
+    def push(node: Node) -> None:
+        opened[-1].children.append(node)
+        places.setdefault(node.name, []).append(len(opened))
+        opened.append(node)
+
+    def close(at: int) -> None:
+        while len(opened) > at:
+            places[opened.pop().name].pop()
+
     while position < n:
-        tag = TAG.search(html, position)
-        end = tag.start() if tag else n
-        if end > position and not skipped:
-            at.children.append(html[position:end])
-        if not tag:
+        start = OPEN.search(html, position)
+        end = start.start() if start else n
+        if end > position:
+            opened[-1].children.append(html[position:end])
+        if not start:
             break
-        position = tag.end()
-        name = tag[2]
-        if not name:
+        kind = start[0]
+        if kind == "<!--":
+            at = html.find("-->", end + 2)  # also <!-->
+            position = at + 3 if at >= 0 else n
+            continue
+        if kind in ("<!", "<?"):
+            at = html.find(">", end)
+            position = at + 1 if at >= 0 else n
             continue
-        name = name.lower()
-        if tag[1]:
-            if skipped:
-                if name in skipped:
-                    while skipped.pop() != name:
-                        pass
-                    continue
-                up = at
-                while up is not None and up.name != name:
-                    up = up.parent
-                if up is None:
-                    continue
-                skipped.clear()  # what holds it ends
-            up: Node | None = at
-            while up is not None and up.name != name and up is not root:
-                up = up.parent
-            if up is not None and up is not root:
-                at = up.parent
+        match = NAME.match(html, start.end() - 1)
+        name = match[0].lower()
+        attributes, position = _attributes(html, match.end())
+        if attributes is None:
+            break
+        if kind[1] == "/":
+            at = places[name][-1] if places.get(name) else 0
+            if at and (name in TABLE_PARTS or at > last(SCOPES)):
+                close(at)
             elif name == "p":
-                at.children.append(Node("p", at, frozenset()))
+                opened[-1].children.append(Node("p", opened[-1]))
             continue
-        attributes = tag[3]
         if name in VOID:
-            if not skipped:
-                if name == "br":
-                    at.children.append(" ")
-                elif name == "hr":
-                    at.children.append(Node("hr", at, frozenset()))
-            continue
-        if name in OPAQUE:
-            close = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(html, position)
-            position = close.end() if close else n
+            if name == "br":
+                opened[-1].children.append(" ")
+            elif name == "hr":
+                opened[-1].children.append(Node("hr", opened[-1]))
             continue
-        if skipped:
-            first = skipped[0]
-            if len(skipped) > 1 or not (first == "p" and name in BLOCKS or first in OPEN_ENDED and first == name):
-                skipped.append(name)
+        if name in OPAQUE and name not in endless:
+            found = re.compile(rf"</{name}\b[^>]*>?", re.IGNORECASE).search(html, position)
+            if found or name in TO_THE_END:
+                position = found.end() if found else n
                 continue
-            skipped.clear()
+            endless.add(name)
+        if places.get("head") and name not in HEAD:
+            close(places["head"][-1])
         if name in ("html", "body"):
-            if name == "body" and at.name == "html":
-                at.children.append(node := Node("body", at, frozenset()))
-                at = node
+            if name == "body" and opened[-1].name == "html":
+                push(Node("body", opened[-1]))
             continue
-        if name in BLOCKS:
-            up = at
-            while up is not root and up.name not in BLOCKS:
-                up = up.parent
-            if up.name == "p":
-                at = up.parent
+        if name in BLOCKS and places.get("p") and places["p"][-1] > last(SCOPES):
+            close(places["p"][-1])
         if name in CLOSES:
             closed, until = CLOSES[name]
-            up, last = at, None
-            while up is not root and up.name not in until:
-                if up.name in closed:
-                    last = up
-                up = up.parent
-            if last is not None:
-                at = last.parent
-        words = frozenset()
-        if attributes and ("=" in attributes):
-            words = frozenset(w for m in NAMES.finditer(attributes) for v in m.groups() if v for w in WORD.findall(CAMEL.sub(" ", v).lower()))
-        if _unlikely(name, words, at) or attributes and _hidden(attributes):
-            if not attributes.endswith("/"):
-                skipped.append(name)
-            continue
-        at.children.append(node := Node(name, at, words))
-        at = node
+            floor = last(until)
+            if last(closed) > floor:
+                close(min(at[bisect_right(at, floor)] for x in closed if (at := places.get(x)) and at[-1] > floor))
+        words, mark = _named(attributes) if attributes else (frozenset(), 0)
+        if name in ("article", "main"):
+            mark = 0
+        if name in DROPPED or name == "header" and not (places.get("article") or places.get("main")):
+            mark = ELEMENT
+        if name in RAW or "hidden" in attributes or NO_DISPLAY.search(attributes.get("style", "")):
+            mark = SURE
+        node = Node(name, opened[-1], words, mark)
+        push(node)
     return root
 
 
-def _measure(root: Node) -> list[Node]:
-    """Lengths of text, of text in links and commas, bottom up; the nodes in page order."""
+def _in_order(root: Node, most: int) -> list[Node]:
+    """The nodes in page order, without those of a mark over `most` and what is in them."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
+        stack += [c for c in reversed(node.children) if not isinstance(c, str) and c.mark <= most]
+    return order
+
+
+def _measure(order: list[Node], most: int) -> None:
+    """Lengths of text, of text in links and commas, bottom up."""
+    for node in order:
+        node.length = node.linked = node.comma = node.direct = 0
         for i, child in enumerate(node.children):
             if isinstance(child, str):
-                text = node.children[i] = unescape(child) if "&" in child else child
+                text = node.children[i] = unescape(child) if most == ELEMENT and "&" in child else child
                 size = len(text.strip())
                 node.direct += size
                 node.length += size
                 node.comma += sum(map(text.count, ",，、،"))
-        stack += [c for c in reversed(node.children) if not isinstance(c, str)]
     for node in reversed(order):
         if node.name == "a":
             node.linked = node.length
@@ -204,7 +253,44 @@ def _measure(root: Node) -> list[Node]:
             node.parent.length += node.length
             node.parent.linked += node.linked
             node.parent.comma += node.comma
-    return order
+
+
+def _holds(node: Node, names: tuple[str, ...]) -> bool:
+    waiting = [node]
+    while waiting:
+        at = waiting.pop()
+        if at.name in names and at.mark < NAMED and not at.words & UNLIKELY:
+            return True
+        waiting += [c for c in at.children if not isinstance(c, str)]
+    return False
+
+
+def _settle(order: list[Node]) -> None:
+    """Take marks off nodes that are no menus, and off those that hold nearly all running text that no deeper mark leaves out."""
+    page = order[0].length
+    held: dict[int, tuple[Node | None, bool]] = {}  # of each node: the marked one that holds it, whether it is in a link
+    running: dict[Node | None, int] = {None: 0}
+    inner: dict[Node | None, list[Node]] = {None: []}
+    for node in order:
+        if node.mark == LAYOUT:
+            node.mark = NAMED if 4 * node.length < page and _density(node) > 0.5 else 0
+        within, linked = held[id(node.parent)] if node.parent is not None else (None, False)
+        if node.mark:
+            inner[within].append(node)
+            within = node
+            running[node], inner[node] = 0, []
+        linked = linked or node.name == "a"
+        held[id(node)] = within, linked
+        if not linked:
+            running[within] += node.direct
+    while True:
+        may = [m for m in inner[None] if (m.mark == NAMED or m.name in ("form", "fieldset")) and running[m] >= (1 if m.name in ("form", "fieldset") else RUNNING)]
+        most = max(may, key=lambda m: running[m], default=None)
+        if most is None or running[None] > ALL_BUT * running[most] or most.words & COMMENTS and not _holds(most, ("article", "main", "h1")):
+            return
+        most.mark = 0
+        running[None] += running[most]
+        inner[None] = [m for m in inner[None] if m is not most] + inner[most]
 
 
 def _density(node: Node) -> float:
@@ -221,7 +307,7 @@ def _best(order: list[Node]) -> Node | None:
         points = 1 + node.comma + min(node.length // 100, 3)
         points *= 1 - _density(node)
         up, level = (node.parent if node.name in PARAGRAPHS else node), 1
-        while up is not None:
+        while up is not None and level <= LEVELS:
             if id(up) not in scored:
                 scored[id(up)] = up
                 up.score = BONUS.get(up.name, 0) + 25 * bool(up.words & LIKELY) - 25 * bool(up.words & UNLIKELY)
@@ -236,28 +322,18 @@ def _best(order: list[Node]) -> Node | None:
     return best
 
 
-def _holds_title(node: Node) -> bool:
-    waiting = [node]
-    while waiting:
-        at = waiting.pop()
-        if at.name == "h1":
-            return True
-        waiting += [c for c in at.children if not isinstance(c, str)]
-    return False
-
-
 def _kept(best: Node) -> list[Node]:
     """The best container and the siblings that go with it, in page order."""
     if best.parent is None:
         return [best]
     least, out, before = max(10.0, best.score * 0.2), [], True
     for node in best.parent.children:
-        if isinstance(node, str):
+        if isinstance(node, str) or node.mark:
             continue
         bonus = best.score * 0.2 if node.words and node.words == best.words else 0
         running = node.name == "p" and (node.length > 80 and _density(node) < 0.25)
         same = node.name == best.name == "article"
-        heading = before and node.length and _density(node) < 0.5 and (node.name in ("h1", "h2") or _holds_title(node))
+        heading = before and node.length and _density(node) < 0.5 and (node.name in ("h1", "h2") or _holds(node, ("h1",)))
         before = before and node is not best
         if node is best or same or node.score and node.score + bonus >= least or running or heading:
             out.append(node)
@@ -288,7 +364,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
                 if block:
                     close()
                     stack.append(None)
-                stack += reversed(item.children)
+                stack += [c for c in reversed(item.children) if isinstance(c, str) or not c.mark]
         close()
     return out
 
@@ -297,7 +373,11 @@ def main_text(html: str | None) -> str:
     if not html:
         return ""
     root = build(html)
-    order = _measure(root)
+    order = _in_order(root, ELEMENT)
+    _measure(order, ELEMENT)
+    _settle(order)
+    order = _in_order(root, 0)
+    _measure(order, 0)
     best = _best(order)
     if best is None:
         best = root
