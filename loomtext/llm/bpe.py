@@ -14,18 +14,10 @@ from collections.abc import Callable
 
 
 
-def _ranges(kind: str) -> str:
-    """The code points whose general category starts with kind, as the inside of a character class."""
-    out, start, last = [], None, -2
-    for c in range(sys.maxunicode + 1):
-        if unicodedata.category(chr(c))[0] == kind:
-            if c != last + 1:
-                if start is not None:
-                    out.append((start, last))
-                start = c
-            last = c
-    out.append((start, last))
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out)
+def _ranges(kinds: str) -> list[str]:
+    """For each kind the code points whose general category starts with it, as the inside of a character class."""
+    first = "".join([c[0] for c in map(unicodedata.category, map(chr, range(sys.maxunicode + 1)))])
+    return ["".join(f"\\U{m.start():08x}-\\U{m.end() - 1:08x}" for m in re.finditer(f"{kind}+", first)) for kind in kinds]
 
 
 #: Unicode White_Space, which `\\s` of the tokenizer's pattern means (Python's own `\\s` also takes U+001C to U+001F).
@@ -33,7 +25,7 @@ SPACE = r"\t-\r \x85\xa0  -     　"
 
 
 def presplit_pattern() -> re.Pattern:
-    letter, number = _ranges("L"), _ranges("N")
+    letter, number = _ranges("LN")
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{SPACE}{letter}{number}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 

@@ -1,14 +1,15 @@
 """BPE encoding and decoding by a deterministic tokenization automaton.
 
 Compilation starts from the automaton with one state that loops on every byte and adds one gadget per merge (u, v) -> w,
-in order of priority: where u leads to a state with an arc v, u is led to a copy of that state without the arc v, and an
-arc w is added beside every arc u. All arcs with one label lead to one state, so a state is named by the label that
-leads to it, and an arc t of state x is absent exactly when some gadget took it away: a merge (x', t') with x' on the right
-spine of x, t' on the left spine of t, made while both were still whole. The spines are the compiled form; the
-transition table is filled from them on first use (dense, it would have 50,000 x 50,000 cells) and bounded.
+in order of priority: u is led to a copy of its state without the arc v, and an arc w is added beside every arc u, to where v led.
+All arcs with one label lead to one state, so the automaton is a state for each label and a table, label by state, of the arcs
+that gadgets took away. Rows of the table are bit strings: an arc w beside every arc u is a row for w equal to that of u. For a copied
+state not to be a change of every row, copies exist from the start and are changed along with their original up to their own gadget.
 
-The automaton accepts one token path for each byte string, the one that the merges give. Encoding follows the longest
-label with an arc and steps back where a path ends early; decoding writes the labels of the ids.
+The automaton accepts one token path for each byte string, the one that the merges give. Its labels are spelled by a byte trie. Encoding
+goes over the places of a word once: from each, with the state that it was reached in, labels are followed through the trie, and where one ends
+whose arc the table has, that place gets the label's state. Exactly one arc leads to each place, so there is nothing to choose or to take
+back; the path is read off from the end. Decoding writes the labels of the ids.
 
 Ties and repeats: equal texts have equal ids. A null text counts as empty: no ids. Very long texts are encoded whole; a
 piece without spaces takes memory in proportion to its length. Added tokens in a text get their own id, as in the
@@ -30,78 +31,93 @@ from loomtext.llm import bpe
 from loomtext.llm.common import packed, table, trimmed, unpacked
 
 MADE = ["n_tokens", "ids_sha256", "decoded_sha256"]
-_NEVER = 1 << 60
+#: The key of a label in a node of the trie, beside bytes.
+LABEL = -1
 
 
 class Automaton:
-    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]], most_arcs: int = 1_000_000):
+    """Compiled merges: the trie of labels, state[label], and gone[label], the bits of states without that arc."""
+
+    def __init__(self, vocab: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         self.labels = {i: t for t, i in vocab.items()}
-        self.vocab, self.most_arcs = vocab, most_arcs
-        self.longest = max(map(len, vocab))
-        self.gadgets: dict[tuple[int, int], int] = {}
-        #: id to ((part, rank at which it was merged into its parent), ...), from the whole token down.
-        self.left: dict[int, tuple] = {}
-        self.right: dict[int, tuple] = {}
-        for t, i in vocab.items():
-            if len(t) == 1:
-                self.left[i] = self.right[i] = ((i, _NEVER),)
-        for rank, (u, v) in enumerate(merges):
-            self._add_gadget(rank, vocab[u], vocab[v], vocab[u + v])
-        self.arcs: dict[tuple[int, int], bool] = {}
-
-    def _add_gadget(self, rank: int, u: int, v: int, w: int) -> None:
-        self.gadgets[u, v] = rank
-        if w in self.left:  # another merge made the same label before; that one is taken first
-            return
-        spine = lambda parts: tuple((p, min(at, rank)) for p, at in parts)
-        self.left[w] = ((w, _NEVER), *spine(self.left[u]))
-        self.right[w] = ((w, _NEVER), *spine(self.right[v]))
-
-    def _arc(self, state: int, label: int) -> bool:
-        gadgets = self.gadgets
-        for x, x_until in self.right[state]:
-            for t, t_until in self.left[label]:
-                rank = gadgets.get((x, t))
-                # at equal ranks the left of two overlapping merges goes first
-                if rank is not None and rank < x_until and rank <= t_until:
-                    return False
-        return True
+        self.vocab, self.longest = vocab, max(map(len, vocab))
+        gadgets = [(vocab[u], vocab[v], vocab[u + v]) for u, v in merges]
+        self.state, lost, self.states = self._copies(gadgets)
+        self.gone = self._rows(gadgets, lost)
+        self.trie: dict = {}
+        for token, i in vocab.items():
+            if i in self.state:
+                node = self.trie
+                for byte in token:
+                    node = node.setdefault(byte, {})
+                node[LABEL] = i
+
+    def _copies(self, gadgets: list[tuple[int, int, int]]) -> tuple[dict[int, int], list[int], int]:
+        """The state that each label leads to; for each gadget the bits of the states that lose its arc v; the number of states."""
+        state = {i: 0 for t, i in self.vocab.items() if len(t) == 1}
+        leading = [len(state) + 1]  # the start leads to state 0, too
+        changed: list[tuple[int, int]] = []  # by each gadget: the state without v, and the one that it was copied from
+        for u, v, w in gadgets:
+            old = own = state[u]
+            if leading[old] > 1 or u == v:
+                own = len(leading)
+                leading.append(1)
+                leading[old] -= 1
+                state[u] = own
+            if w not in state:  # of merges with equal results the first makes the label
+                state[w] = old if u == v else state[v]
+                leading[state[w]] += 1
+            changed.append((own, old))
+        twins = [1 << q for q in range(len(leading))]  # a state and the copies that it will have
+        lost = []
+        for own, old in reversed(changed):
+            lost.append(twins[own])
+            if own != old:
+                twins[old] |= twins[own]
+        return state, lost[::-1], len(leading)
+
+    def _rows(self, gadgets: list[tuple[int, int, int]], lost: list[int]) -> list[bytes]:
+        gone = {i: 0 for t, i in self.vocab.items() if len(t) == 1}
+        nowhere = (1 << self.states) - 1
+        for (u, v, w), states in zip(gadgets, lost, strict=True):
+            idle = states & ~gone[v] == 0  # u never leads to v, so nothing is merged
+            gone[v] |= states
+            if w not in gone:
+                gone[w] = nowhere if idle else gone[u]
+        rows = {bits: bits.to_bytes(self.states + 7 >> 3, "little") for bits in set(gone.values())}
+        return [rows[gone[i]] if i in gone else rows.setdefault(nowhere, b"\xff" * (self.states + 7 >> 3)) for i in range(max(self.vocab.values()) + 1)]
 
     def arc(self, state: int, label: int) -> bool:
-        found = self.arcs.get((state, label))
-        if found is None:
-            if len(self.arcs) >= self.most_arcs:
-                self.arcs.clear()
-            found = self.arcs[state, label] = self._arc(state, label)
-        return found
+        return not self.gone[label][state >> 3] >> (state & 7) & 1
 
     def encode(self, word: bytes) -> list[int]:
+        if not word:
+            return []
+        gone, state_of, n = self.gone, self.state, len(word)
         whole = self.vocab.get(word)
-        if whole is not None and len(word) <= 2 or not word:
-            return [] if whole is None else [whole]
-        vocab, longest, n = self.vocab, self.longest, len(word)
-        path: list[int] = []
-        ends: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, size = 0, min(longest, n)
-        while at < n:
-            state = path[-1] if path else -1
-            while size:
-                label = vocab.get(word[at : at + size])
-                if label is not None and label in self.left and (state < 0 or self.arc(state, label)) and (at + size, label) not in dead:
+        if whole in state_of and not gone[whole][0] & 1:  # an arc from the start to the end
+            return [whole]
+        states, arcs, back = [0] + [-1] * n, [-1] * (n + 1), [0] * (n + 1)
+        for at in range(n):
+            state = states[at]
+            if state < 0:
+                continue
+            cell, bit, node, end = state >> 3, 1 << (state & 7), self.trie, at
+            for byte in word[at : at + self.longest]:
+                node = node.get(byte)
+                if node is None:
                     break
-                size -= 1
-            if size:
-                path.append(label)
-                ends.append(at)
-                at += size
-                size = min(longest, n - at)
-            else:  # no arc goes on from here
-                label = path.pop()
-                dead.add((at, label))
-                size = at - ends[-1] - 1
-                at = ends.pop()
-        return path
+                end += 1
+                label = node.get(LABEL)
+                if label is not None and not gone[label][cell] & bit:
+                    states[end], arcs[end], back[end] = state_of[label], label, at
+        path, at = [], len(word)
+        while at:
+            if arcs[at] < 0:
+                raise ValueError("a byte of the text is in no token")
+            path.append(arcs[at])
+            at = back[at]
+        return path[::-1]
 
     def decode(self, ids: list[int], added: dict[int, bytes]) -> bytes:
         labels = self.labels
