@@ -9,7 +9,7 @@ drop_near_duplicates(), the pipeline's form, links texts whose sets of five-word
 Candidates come from fingerprints of those sets by the same Golay keys first, and are verified. Fingerprints miss some of the similar texts,
 so a prefix filter goes over what they left in different components, and its candidates are complete: all shingles have one order, the common
 ones last, and of n shingles the first n - ceil(0.8 n) + 1 are the text's keys, of which two such texts share one. The texts of a key are compared
-with one of them; then all pairs of a key that are still not in one component and whose sizes and positions allow the similarity.
+with one of them; then all pairs of a key that are still not in one component, if their sizes and the number of keys they share allow the similarity.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Ties: a bit that is set in exactly half
 the shingles is 0. Repeated rows share a component. A null id never names a component unless all its ids are null. An empty
@@ -287,20 +287,24 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float, star: bool):
-    """Candidates (a, b) of each key, a > b: of its first row with the others, or of all rows of different roots.
+    """Candidates (a, b, need) of each key, a > b: of its least row with the others, or of all rows of different roots.
 
-    Two texts are passed over where their sizes, or what follows the key in their orders, rule the similarity out: it is then not the first key they share.
+    need is how many keys two similar texts of their sizes share: of the text whose keys end first in the order, a key that the other one lacks is a
+    shingle that it lacks, so the texts share no more than their common keys and what is no key of that one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, sizes in _whole_keys(batches):
-            nid, size, pos, root = (found[c].to_numpy() for c in ("nid", "size", "pos", "root"))
+            nid, size, root = (found[c].to_numpy() for c in ("nid", "size", "root"))
+            size = size.astype(np.int64)
+            others = np.ceil(least * size - 1e-9).astype(np.int64) - 1  # shingles that are no keys
 
             def near(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-                most, both = np.minimum(size[i] - pos[i], size[j] - pos[j]), size[i].astype(np.int64) + size[j]
-                ok = (root[i] != root[j]) & (most >= least / (1 + least) * both - 1e-6) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
-                x, y = nid[i[ok]], nid[j[ok]]
-                return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y))})
+                ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
+                i, j = i[ok], j[ok]
+                need = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-6).astype(np.int64) - np.maximum(others[i], others[j])
+                x, y = nid[i], nid[j]
+                return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y)), "need": pa.array(need.astype(np.int32))})
 
             first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             row = np.arange(len(nid))
@@ -392,12 +396,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     nodes = materialize(nodes, "near-nodes")
     tried = materialize(_first_pairs(nodes), "near-tried")
     links = _verified(tried, rows, shingle, similarity)
-    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
+    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.explode("keys").alias("key"))
     shared = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, keyed.schema), "near-shared")
     for star in (True, False):
         roots = components(links)
         apart = shared.join(_bounded(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        pairs = apart.repartition("key").sortWithinPartitions("key", "pos", "nid").mapInArrow(_pairs(similarity, star), "a long, b long").distinct()
+        pairs = apart.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(_pairs(similarity, star), "a long, b long, need int")
+        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = materialize(links.unionAll(_verified(pairs, rows, shingle, similarity)), "near-links")
         tried = tried.unionAll(pairs)
