@@ -33,7 +33,7 @@ ROUNDS = 12
 
 
 def letter_words() -> re.Pattern:
-    return re.compile(f"[{_ranges('L')}]+")
+    return re.compile(f"[{_ranges('L')[0]}]+")
 
 
 def letters(text: str, any_letter: re.Pattern, ascii_letter: re.Pattern = re.compile("[a-z]+")) -> list[str]:
