@@ -4,9 +4,13 @@ write_captures() writes a request, a response (or revisit) and a metadata record
 value of Spark's text sink, whose line separator is the blank lines that end a record, so any shared file system will do. Of pages
 with equal payloads of at least `least_revisit` bytes, the one with the smallest page_id is the response.
 
-read_records() reads archives (plain or gzip, also one member a record) by their Content-Length. assemble() joins the records of a
+read_records() reads archives (plain or gzip, also one member a record, of less than 2 GB each) by their Content-Length. assemble() joins the records of a
 transaction through WARC-Concurrent-To, in either direction, and gives a nested row for each capture; revisits find the
-response that they refer to, and with it their length, by their payload's digest.
+response, and with it their length, by the record that they refer to, and those that name none by their payload's digest.
+
+A record whose length is missing or no number ends where the next one starts, and one that its archive ends within has what is there; both have intact
+false, as has the last record before a damaged place of a gzip file. A record may be concurrent to several: all are kept, in
+concurrent_to with a space between.
 
 A null html is an empty payload; a null url leaves out WARC-Target-URI. Repeated rows are captures of their own, and those that
 repeat the smallest page_id are all responses; a null page_id comes after all others. A very long page is one record. An
@@ -18,6 +22,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,12 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.llm.common import shared_path, table
+from loomtext.llm.common import materialize, shared_path, table
 
 CRLF = "\r\n"
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, payload_bytes long, payload_digest string, block binary"
+RECORD = "record_id string, type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, payload_bytes long, payload_digest string, block binary, intact boolean"
 #: Up to so many groups of equal payloads (about 60 bytes each) are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 200_000
+#: A file of an archive stays below so many bytes of payloads, unless one record is longer; pages over LONG_PAGE go to files of their own.
+FILE_BYTES = 1 << 30
+LONG_PAGE = FILE_BYTES // 4000
 _HTTP_OK = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
 
 
@@ -46,7 +54,7 @@ def _record(headers: list[tuple[str, Column]], block: Column) -> Column:
 
 
 def write_captures(pages: DataFrame, path: str, least_revisit: int = 100, date: str = "2024-01-01T00:00:00Z", records_a_file: int = 4000) -> None:
-    """Archive pages (page_id, url, html) under path as gzip files."""
+    """Archive pages (page_id, url, html) under path as gzip files of at most records_a_file records, and FILE_BYTES of payloads."""
     rows = pages.select(F.col("page_id"), F.regexp_replace("url", r"[\r\n]+", " ").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
     keys = rows.groupBy("digest", "page_id").agg(F.count(F.lit(1)).alias("c"))
@@ -78,21 +86,72 @@ def write_captures(pages: DataFrame, path: str, least_revisit: int = 100, date:
         _record(answer, F.concat(F.lit(_HTTP_OK), F.when(revisit, "").otherwise(F.col("html")))),
         _record(more, F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(CRLF))),
     ]
-    out = rows.select(F.concat_ws(CRLF * 2, *parts).alias("value"))
-    out.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_a_file).text(path)
+    most = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    for chosen, records in [("size is not null", records_a_file)] if most <= LONG_PAGE else [(f"size <= {LONG_PAGE}", records_a_file), (f"size > {LONG_PAGE}", max(1, min(records_a_file, FILE_BYTES // most)))]:
+        out = rows.filter(chosen).select(F.concat_ws(CRLF * 2, *parts).alias("value"))
+        writer = out.write.mode("append").option("lineSep", CRLF * 2).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED")
+        writer.option("maxRecordsPerFile", records).text(path)
     groups.unpersist()
 
 
+class _Archive:
+    """Lines and blocks of a stream that may be damaged: what can't be read ends it."""
+
+    def __init__(self, stream):
+        self.stream, self.line, self.damaged = stream, b"", False
+
+    def _call(self, f, *args) -> bytes:
+        try:
+            return b"" if self.damaged else f(*args)
+        except (EOFError, OSError, zlib.error):
+            self.damaged = True
+            return b""
+
+    def readline(self) -> bytes:
+        line, self.line = self.line, b""
+        return line or self._call(self.stream.readline)
+
+    def back(self, line: bytes) -> None:
+        self.line = line
+
+    def read(self, n: int) -> bytes:
+        parts = []
+        while n and (part := self._call(self.stream.read1, min(n, 1 << 20))):
+            parts.append(part)
+            n -= len(part)
+        return b"".join(parts)
+
+    def to_next(self) -> bytes:
+        """All up to the line that starts a record, without the line ends before it."""
+        lines = []
+        while line := self.readline():
+            if line.startswith(b"WARC/"):
+                self.back(line)
+                break
+            lines.append(line)
+        return b"".join(lines).rstrip(b"\r\n")
+
+
 def parse(stream, with_block: bool) -> Iterator[tuple]:
     """Records of an archive, as RECORD has them; what stands between records and isn't a version line is skipped."""
-    while line := stream.readline():
+    archive = _Archive(stream)
+    while line := archive.readline():
         if not line.startswith(b"WARC/"):
             continue
         headers: dict[str, str] = {}
-        while (line := stream.readline().rstrip(b"\r\n")):
+        concurrent = []
+        while line := archive.readline().rstrip(b"\r\n"):
             name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        block = stream.read(int(headers.get("content-length", 0)))
+            name, value = name.strip().lower(), value.strip()
+            headers[name] = value
+            if name == "warc-concurrent-to" and value:
+                concurrent.append(value)
+        length = headers.get("content-length", "")
+        if length.isascii() and length.isdigit():
+            block = archive.read(int(length))
+            intact = len(block) == int(length)
+        else:
+            block, intact = archive.to_next(), False
         kind = headers.get("content-type", "")
         http = kind.startswith("application/http")
         payload = block.partition(b"\r\n\r\n")[2] if http else block
@@ -102,12 +161,13 @@ def parse(stream, with_block: bool) -> Iterator[tuple]:
         else:
             size, found = len(payload), hashlib.sha256(payload).hexdigest()
         keep = with_block or headers.get("warc-type") == "metadata"
-        yield (*(headers.get(k) for k in ("warc-record-id", "warc-type", "warc-concurrent-to", "warc-refers-to", "warc-target-uri", "warc-date")), kind, size, found, payload if keep else None)
+        named = (headers.get("warc-record-id"), headers.get("warc-type"), " ".join(concurrent) or None, headers.get("warc-refers-to"), headers.get("warc-target-uri"), headers.get("warc-date"))
+        yield (*named, kind, size, found, payload if keep else None, intact)
 
 
 def _parsed(with_block: bool):
     names = [x.split(" ")[0] for x in RECORD.split(", ")]
-    kinds = {"payload_bytes": pa.int64(), "block": pa.binary()}
+    kinds = {"payload_bytes": pa.int64(), "block": pa.binary(), "intact": pa.bool_()}
 
     def rows(found: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.string())) for n, c in zip(names, zip(*found, strict=True), strict=True)], names)
@@ -144,23 +204,31 @@ def assemble(records: DataFrame) -> DataFrame:
     part = F.struct("record_id", "date", "content_type", "payload_bytes", "block", "type")
     main = records.filter("type in ('response', 'revisit', 'resource')")
     rest = records.filter("type not in ('response', 'revisit', 'resource', 'warcinfo')").select("record_id", "concurrent_to", part.alias("part"))
-    named = rest.filter("concurrent_to is not null").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.collect_list("part").alias("after"))
-    naming = rest.filter("concurrent_to is null").select(F.col("record_id").alias("key"), F.array("part").alias("before"))
-    # a key that no record has, not null, where the capture names none: nulls would meet in one task
-    found = main.join(named, "record_id", "left").withColumn("key", F.coalesce("concurrent_to", "record_id")).join(naming, "key", "left")
-    parts = F.concat(F.coalesce("after", F.array().cast(named.schema["after"].dataType)), F.coalesce("before", F.array().cast(named.schema["after"].dataType)))
+    each = lambda rows: rows.withColumn("other", F.explode(F.array_distinct(F.split("concurrent_to", " "))))
+    after = each(rest.filter("concurrent_to is not null")).select(F.col("other").alias("record_id"), "part")
+    # records that name no other may be named by a capture; a capture that names none takes no part in that join
+    naming = each(main.filter("concurrent_to is not null").select("record_id", "concurrent_to")).select("record_id", F.col("other").alias("key"))
+    before = naming.join(rest.filter("concurrent_to is null").select(F.col("record_id").alias("key"), "part"), "key").select("record_id", "part")
+    # a capture's own records are few
+    found = main.join(after.unionAll(before).groupBy("record_id").agg(F.collect_list("part").alias("parts")), "record_id", "left")
+    parts = F.coalesce("parts", F.array().cast(found.schema["parts"].dataType))
     of = lambda *kinds: F.array_sort(F.filter(parts, lambda p: p["type"].isin(*kinds)))
-    return found.select("record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_bytes", "payload_digest", "block", of("request").alias("requests"), of("metadata", "conversion", "continuation").alias("metadata"))
+    return found.select("record_id", "type", "refers_to", "target_uri", "date", "content_type", "payload_bytes", "payload_digest", "block", "intact", of("request").alias("requests"), of("metadata", "conversion", "continuation").alias("metadata"))
 
 
 def captures(spark: SparkSession, path: str, with_block: bool = True) -> DataFrame:
     """assemble() with page_id from the metadata, and for revisits the length, and page, of the response that they refer to."""
     field = F.expr("aggregate(metadata, cast(null as string), (a, m) -> coalesce(a, nullif(regexp_extract(cast(m.block as string), '(?m)^page-id: (.*?)\\\\r?$', 1), '')))")
-    rows = assemble(read_records(spark, path, with_block)).withColumn("page_id", field.cast("long"))
-    least = F.min(F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), F.col("payload_bytes"))).alias("first")
-    first = rows.filter("type = 'response'").groupBy("payload_digest").agg(least)
-    revisits = rows.filter("type = 'revisit'").join(first, "payload_digest", "left")
-    revisits = revisits.withColumns({"first_page": F.col("first.page_id"), "first_bytes": F.col("first.payload_bytes")}).drop("first")
+    records = read_records(spark, path, with_block)
+    # without blocks records are short: read the archives once
+    rows = assemble(records if with_block else materialize(records, "records")).withColumn("page_id", field.cast("long"))
+    named = F.col("refers_to").isNotNull()
+    answers = rows.filter("type = 'response'").select("record_id", "payload_digest", F.struct(F.col("page_id").isNull().alias("none"), "page_id", "payload_bytes").alias("first"))
+    revisits = rows.filter("type = 'revisit'")
+    told = revisits.filter(named).join(answers.select(F.col("record_id").alias("refers_to"), "first"), "refers_to", "left")
+    least = answers.groupBy("payload_digest").agg(F.min("first").alias("first"))
+    untold = revisits.filter(~named).join(least, "payload_digest", "left")
+    revisits = told.unionByName(untold).withColumns({"first_page": F.col("first.page_id"), "first_bytes": F.col("first.payload_bytes")}).drop("first")
     plain = rows.filter("type <> 'revisit'").withColumns({"first_page": F.lit(None).cast("long"), "first_bytes": F.col("payload_bytes")})
     both = plain.unionByName(revisits)
     return both.withColumn("payload_bytes", F.coalesce("payload_bytes", "first_bytes")).withColumnRenamed("first_page", "refers_to_page").drop("first_bytes")

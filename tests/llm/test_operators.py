@@ -408,7 +408,7 @@ def test_warc_round_trip(spark, tmp_path):
 
 def test_assembly_from_either_side(spark):
     rows = [("<a>", "response", "<q>", None), ("<q>", "request", None, None), ("<b>", "response", None, None), ("<m1>", "metadata", "<b>", None), ("<m2>", "metadata", "<b>", None), ("<q2>", "request", "<b>", None), ("<lost>", "metadata", "<none>", None), ("<i>", "warcinfo", None, None)]
-    records = spark.createDataFrame([(a, b, c, d, None, None, None, 0, None, None) for a, b, c, d in rows], warc.RECORD)
+    records = spark.createDataFrame([(a, b, c, d, None, None, None, 0, None, None, True) for a, b, c, d in rows], warc.RECORD)
     out = {r.record_id: r for r in warc.assemble(records).collect()}
     assert set(out) == {"<a>", "<b>"} and [x.record_id for x in out["<a>"].requests] == ["<q>"]
     assert [x.record_id for x in out["<b>"].metadata] == ["<m1>", "<m2>"] and [x.record_id for x in out["<b>"].requests] == ["<q2>"]
