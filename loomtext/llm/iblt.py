@@ -1,13 +1,15 @@
 """Document fingerprints as invertible Bloom lookup sketches, in DataFrame and SQL functions alone.
 
-A text's paragraphs, cut on at the ends of sentences, are hashed to digests. A sketch is a row of cells in three parts; each
-digest goes to one cell of each part, and a cell holds the number, the XOR of the digests and the XOR of their check values. The
-sketches of two versions are subtracted cell by cell, which cancels what they share, and peeled: a cell with one
-digest gives it up, and it is taken out of its other cells, until all are empty. The number recovered gives the likeness,
-1 - differing / (digests of both). Where peeling stops early, that part is sketched anew, twice as large and with other cells.
+A text's paragraphs, cut on at the ends of sentences, are hashed to digests. A sketch has blocks of cells in three parts; the first bits of
+a digest name its block, its hash a cell of each part, and a cell holds the number, the XOR of the digests and the XOR of their check
+values. Sketches are sized by the number of digests, about 16 a block, so work is in proportion to the text. The fingerprint is the
+sketch, written out: <digests>:<level>:<cells>, with 2**level blocks, cells joined by commas, each n/digests/checks in hexadecimal, or empty.
 
-Digests are first dealt to groups of about four, each with a small sketch of its own, so that work is in proportion to the text
-and a failure costs one group. Sizes follow from the numbers of digests of the two versions.
+Two fingerprints are brought to the smaller one's level by adding blocks, subtracted cell by cell, which cancels what they share, and peeled:
+cells with one digest give it up, and it is taken out of its other cells, round by round, until all are empty. What is recovered are
+the digests of either side alone; their number gives the likeness, 1 - differing / (digests of both). Where peeling
+stops early, the block's digests are sketched anew in more blocks, then with twice the cells and other hashes each time until it succeeds
+(64 times at most; a block of equal size fails once in 10,000 times at the eighth, so the null that would follow has not been seen).
 
 Null and blank texts have no digests; two of them have likeness 1. Repeats within a text count once, and order doesn't. Equal
 texts have equal fingerprints. Rows with equal ids follow each other in the order of their texts; null ids come last; the row after
@@ -22,11 +24,17 @@ from pyspark.sql import Window as W
 
 from loomtext.llm.common import table
 
-CELLS = 18
-RETRIES = 5
+#: Cells in each of a block's three parts, digests a block, and digests of both sides a block where a block is sketched anew.
+THIRD = 8
+DIGESTS = 16
+AGAIN = 8
+RETRIES = 64
+#: Parts grow to THIRD << MOST_DOUBLED cells.
+MOST_DOUBLED = 6
 BUCKET_BYTES = 4 << 20
 MOST_BUCKETS = 20_000
 UNITS = r"(?<=[.!?])\\s+|\\n+"
+_ZERO = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -38,55 +46,93 @@ def units_sql(text: str) -> str:
     return f"array_distinct(transform(filter(split(coalesce({text}, ''), '{UNITS}'), p -> p rlike '[^\\\\s]'), p -> xxhash64(p)))"
 
 
-def _cell(key: str, part: int, cells: int, level: int) -> str:
-    third = cells // 3
-    return f"cast({part * third} + pmod(xxhash64({key}, {10 * level + part}), {third}) as int)"
+def _level(n: str, each: int) -> str:
+    """The bits that deal n digests to blocks of about `each`."""
+    return f"cast(ceil(log2(greatest({n}, {each}) / {each}D)) as int)"
 
 
-def sketch_sql(digests: str, cells: int, level: int) -> str:
-    """Cells (n, k, h) of an array of digests."""
-    placed = f"transform({digests}, u -> named_struct('u', u, 'h', xxhash64(u, 99), 'a', {_cell('u', 0, cells, level)}, 'b', {_cell('u', 1, cells, level)}, 'c', {_cell('u', 2, cells, level)}))"
-    zero = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
-    total = f"aggregate(filter(z, x -> x.a = i or x.b = i or x.c = i), {zero}, (s, x) -> named_struct('n', s.n + 1, 'k', s.k ^ x.u, 'h', s.h ^ x.h))"
-    return _let(placed, "z", f"transform(sequence(0, {cells - 1}), i -> {total})")
+def _dealt(digests: str, level: str, key: str) -> str:
+    """An array of 2**level arrays of the digests u, by the first bits of key (a function of u); dealt in two steps, for the sake of long texts."""
+    top = lambda bits: f"shiftrightunsigned(shiftrightunsigned({key}, 1), 63 - {bits})"
+    inner = f"transform(sequence(0, shiftleft(1, w.l2) - 1), j -> filter(f, u -> {top('(w.l1 + w.l2)')} & (shiftleft(1, w.l2) - 1) = j))"
+    outer = f"flatten(transform(sequence(0, shiftleft(1, w.l1) - 1), i -> {_let(f'filter(w.d, u -> {top("w.l1")} = i)', 'f', inner)}))"
+    return _let(f"named_struct('d', {digests}, 'l1', {level} div 2, 'l2', {level} - {level} div 2)", "w", f"if(w.l1 + w.l2 = 0, array(w.d), {outer})")
+
+
+def _places(u: str, third: str, seed: str, body: str) -> str:
+    """body with a.p, the hash of a digest, bound, and its cell in each part as {0}, {1}, {2}."""
+    cells = [f"cast(shiftrightunsigned(p, {20 * part}) & ({third} - 1) as int)" for part in range(3)]
+    return _let(f"xxhash64({u}, {seed})", "p", body.format(*cells))
+
+
+def cells_sql(digests: str, third: str, seed: str) -> str:
+    """The cells (n, k, h) of one block with an array of digests."""
+    placed = f"transform({digests}, u -> {_places('u', third, seed, "named_struct('u', u, 'h', xxhash64(u, 99), 'a', {0}, 'b', {1}, 'c', {2})")})"
+    cell = f"if(size(q) = 0, {_ZERO}, named_struct('n', size(q), 'k', aggregate(q, 0L, (s, x) -> s ^ x.u), 'h', aggregate(q, 0L, (s, x) -> s ^ x.h)))"
+    parts = ", ".join(f"transform(sequence(0, {third} - 1), i -> {_let(f'filter(z, x -> x.{part} = i)', 'q', cell)})" for part in "abc")
+    return _let(placed, "z", f"concat({parts})")
 
 
 def subtract_sql(one: str, other: str) -> str:
     return f"zip_with({one}, {other}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peel_sql(difference: str, cells: int, level: int) -> str:
-    """The number of digests recovered from a difference of sketches, null if it can't be emptied."""
-    pure = "array_position(transform(s.c, x -> abs(x.n) = 1 and xxhash64(x.k, 99) = x.h), true)"
-    places = ", ".join(_cell("v.k", part, cells, level) for part in range(3))
-    without = _let(f"named_struct('v', v, 'at', array({places}))", "w", "transform(s.c, (y, j) -> if(array_contains(w.at, j), named_struct('n', y.n - w.v.n, 'k', y.k ^ w.v.k, 'h', y.h ^ w.v.h), y))")
-    taken = _let("s.c[cast(p - 1 as int)]", "v", f"named_struct('c', {without}, 'd', s.d + 1, 'over', false)")
-    step = f"if(s.over, s, {_let(pure, 'p', f"if(p = 0, named_struct('c', s.c, 'd', s.d, 'over', true), {taken})")})"
+def peel_sql(difference: str, third: str, seed: str) -> str:
+    """The digests recovered from a difference of cells as (side, k), side 1 or -1; null if it can't be emptied."""
+    side = lambda n: f"transform(array_distinct(transform(filter(g0, x -> x.n = {n}), x -> x.k)), x -> named_struct('side', {n}, 'k', x))"
+    pure = _let("filter(s.c, x -> abs(x.n) = 1 and xxhash64(x.k, 99) = x.h)", "g0", f"concat({side(1)}, {side(-1)})")
+    placed = f"transform(g, v -> {_places('v.k', third, seed, f"named_struct('n', v.side, 'k', v.k, 'h', xxhash64(v.k, 99), 'at', array({{0}}, {third} + {{1}}, 2 * {third} + {{2}}))")})"
+    without = "aggregate(filter(o, v -> array_contains(v.at, j)), y, (r, v) -> named_struct('n', r.n - v.n, 'k', r.k ^ v.k, 'h', r.h ^ v.h))"
+    taken = _let(placed, "o", f"named_struct('c', transform(s.c, (y, j) -> if(y.n = 0 and y.k = 0, y, {without})), 'd', concat(s.d, g), 'over', false)")
+    step = f"if(s.over, s, {_let(pure, 'g', f"if(size(g) = 0, named_struct('c', s.c, 'd', s.d, 'over', true), {taken})")})"
+    none = "cast(array() as array<struct<side: int, k: bigint>>)"
     empty = "forall(s.c, y -> y.n = 0 and y.k = 0 and y.h = 0)"
-    return f"aggregate(sequence(0, {cells}), named_struct('c', {difference}, 'd', 0, 'over', false), (s, t) -> {step}, s -> if({empty}, s.d, null))"
+    return f"aggregate(sequence(0, 3 * {third}), named_struct('c', {difference}, 'd', {none}, 'over', false), (s, t0) -> {step}, s -> if({empty}, s.d, null))"
+
+
+def sketch_sql(digests: str) -> str:
+    """A text's sketch: n, level l, the digests of each block g and its cells c."""
+    blocks = f"transform(m.g, e -> {cells_sql('e', str(THIRD), '0')})"
+    level = _let(f"named_struct('d', {digests}, 'l', {_level(f'size({digests})', DIGESTS)})", "k", f"named_struct('n', size(k.d), 'l', k.l, 'g', {_dealt('k.d', 'k.l', 'u')})")
+    return _let(level, "m", f"named_struct('n', m.n, 'l', m.l, 'g', m.g, 'c', {blocks})")
+
+
+def fingerprint_sql(sketch: str) -> str:
+    cell = "if(x.n = 0 and x.k = 0, '', concat(hex(x.n), '/', hex(x.k), '/', hex(x.h)))"
+    return f"concat({sketch}.n, ':', {sketch}.l, ':', array_join(transform(flatten({sketch}.c), x -> {cell}), ','))"
+
+
+def _again(one: str, other: str) -> str:
+    """What differs of two arrays of digests, by sketches that grow until they peel."""
+    third = f"shiftleft({THIRD}, least(t, {MOST_DOUBLED}))"
+    tried = _let(f"named_struct('w', {third}, 't', t + 1)", "y3", peel_sql(subtract_sql(cells_sql("b.a", "y3.w", "y3.t"), cells_sql("b.b", "y3.w", "y3.t")), "y3.w", "y3.t"))
+    none = "cast(null as array<struct<side: int, k: bigint>>)"
+    block = f"aggregate(sequence(0, {RETRIES - 1}), {none}, (got, t) -> coalesce(got, {tried}))"
+    dealt = lambda side: _dealt(f"r.{side}", "r.l", "xxhash64(u, 77)")
+    pairs = f"zip_with({dealt('a')}, {dealt('b')}, (x, y) -> named_struct('a', x, 'b', y))"
+    level = _level(f"size({one}) + size({other})", AGAIN)
+    return _let(f"named_struct('a', {one}, 'b', {other}, 'l', {level})", "r", f"flatten(transform({pairs}, b -> {block}))")
 
 
 def differing_sql(one: str, other: str) -> str:
-    """The number of digests in one of two arrays but not both, by sketches of growing size; past the last size by the sets themselves."""
-    tries = [peel_sql(subtract_sql(sketch_sql("g.a", CELLS << level, level), sketch_sql("g.b", CELLS << level, level)), CELLS << level, level) for level in range(RETRIES)]
-    exact = "size(array_except(g.a, g.b)) + size(array_except(g.b, g.a))"
-    found = f"if(size(g.a) + size(g.b) = 0, 0, coalesce({', '.join(tries)}, {exact}))"
-    side = "shiftleft(1, cast(ceil(log2(greatest(size({0}), size({1}), 4) / 4.0) / 2) as int))"
-    sides = side.format("q.a", "q.b")
-    inner = f"aggregate(sequence(0, f.m - 1), 0, (t2, j) -> t2 + {_let("named_struct('a', filter(f.a, u -> (shiftright(u, 20) & (f.m - 1)) = j), 'b', filter(f.b, u -> (shiftright(u, 20) & (f.m - 1)) = j))", 'g', found)})"
-    outer = f"aggregate(sequence(0, e.m - 1), 0, (t1, i) -> t1 + {_let("named_struct('m', e.m, 'a', filter(e.a, u -> (u & (e.m - 1)) = i), 'b', filter(e.b, u -> (u & (e.m - 1)) = i))", 'f', inner)})"
-    return _let(f"named_struct('a', {one}, 'b', {other})", "q", _let(f"named_struct('m', {sides}, 'a', q.a, 'b', q.b)", "e", outer))
+    """The digests of one of two sketches but not both, as (side, k): 1 for those of the first alone, -1 for those of the second."""
+    count = "shiftleft(1, {0}.l - h.l)"
+    start = f"i * {count} + 1"
+    added = "zip_with(s, y, (x, v) -> named_struct('n', x.n + v.n, 'k', x.k ^ v.k, 'h', x.h ^ v.h))"
+    zeros = f"array_repeat({_ZERO}, {3 * THIRD})"
 
+    def folded(side: str) -> tuple[str, str]:
+        part = lambda what: f"slice({side}.{what}, {start.format(side)}, {count.format(side)})"
+        return f"if({side}.l = h.l, {side}.g[i], flatten({part('g')}))", f"if({side}.l = h.l, {side}.c[i], aggregate({part('c')}, {zeros}, (s, y) -> {added}))"
 
-def fingerprint_sql(digests: str) -> str:
-    """MD5 of a text's own sketch of CELLS cells and the number of its digests."""
-    cells = sketch_sql(digests, CELLS, 0)
-    return f"md5(concat_ws(',', cast(size({digests}) as string), transform({cells}, c -> concat(c.n, ':', hex(c.k), ':', hex(c.h)))))"
+    (ga, ca), (gb, cb) = folded(one), folded(other)
+    block = f"coalesce({peel_sql(subtract_sql(ca, cb), str(THIRD), '0')}, {_again(ga, gb)})"
+    return _let(f"named_struct('l', least({one}.l, {other}.l))", "h", f"flatten(transform(sequence(0, shiftleft(1, h.l) - 1), i -> {block}))")
 
 
 def likeness_sql(one: str, other: str) -> str:
-    total = f"(size({one}) + size({other}))"
-    return f"if({total} = 0, 1D, 1D - {differing_sql(one, other)} / {total})"
+    total = f"({one}.n + {other}.n)"
+    return f"if({total} = 0, 1D, 1D - size({differing_sql(one, other)}) / {total})"
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -125,12 +171,29 @@ def with_next(docs: DataFrame) -> DataFrame:
     return rows.withColumn("next_text", F.lead("text").over(order)).filter("not copy").select("doc_id", "text", "next_text")
 
 
-def compare_versions(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, text, next_text) with the edited text's digest, fingerprints and likenesses."""
+def _versions(rows: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256 and the digests of the text (u), of the edited (e) and of the next text (x)."""
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.expr("cast(n_chars div 4 as int)"))
     rows = rows.withColumn("edited", F.expr("concat(left(text, cast(n_chars as int) - cut), left(next_text, cut))"))
-    rows = rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(units_sql("text")).alias("u"), F.expr(units_sql("edited")).alias("e"), F.expr(units_sql("next_text")).alias("x"))
-    return rows.select("doc_id", "n_chars", "edited_sha256", F.expr(fingerprint_sql("u")).alias("fingerprint"), F.expr(fingerprint_sql("e")).alias("edited_fingerprint"), F.expr(likeness_sql("u", "e")).alias("near_edited"), F.expr(likeness_sql("u", "x")).alias("near_next"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(units_sql("text")).alias("u"), F.expr(units_sql("edited")).alias("e"), F.expr(units_sql("next_text")).alias("x"))
+
+
+def compare_versions(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, next_text) with the edited text's digest, fingerprints and likenesses."""
+    found = _versions(rows)
+    found = found.select("doc_id", "n_chars", "edited_sha256", F.expr(f"transform(array(u, e, x), d1 -> {sketch_sql('d1')})").alias("v"))
+    near = F.expr(f"transform(slice(v, 2, 2), v2 -> {likeness_sql('v[0]', 'v2')})")
+    prints = F.expr(f"transform(slice(v, 1, 2), v1 -> {fingerprint_sql('v1')})")
+    found = found.select("doc_id", "n_chars", "edited_sha256", prints.alias("prints"), near.alias("near"))
+    return found.select("doc_id", "n_chars", "edited_sha256", F.col("prints")[0].alias("fingerprint"), F.col("prints")[1].alias("edited_fingerprint"), F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"))
+
+
+def differing_digests(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, next_text) to (doc_id, gone, new): the paragraph digests recovered of the text alone and of the edited text alone."""
+    found = _versions(rows).select("doc_id", F.expr(f"transform(array(u, e), d1 -> {sketch_sql('d1')})").alias("v"))
+    found = found.select("doc_id", F.expr(_let("named_struct('a', v[0], 'b', v[1])", "v3", differing_sql("v3.a", "v3.b"))).alias("d"))
+    side = lambda sign: F.expr(f"transform(filter(d, z1 -> z1.side = {sign}), z1 -> z1.k)")
+    return found.select("doc_id", side(1).alias("gone"), side(-1).alias("new"))
 
 
 def op9_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
