@@ -342,7 +342,7 @@ _BM25 = f"""d as (select doc_id, {_words('text')} as w from documents), b as (se
 n as (select count(*) as n, avg(len(w)) as avgdl from d),
 p as (select doc_id, token, count(*) as tf, any_value(dl) as dl from (select doc_id, unnest(w) as token, len(w) as dl from d) group by 1, 2),
 v as (select token, count(*) as df, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) as raw from p, n group by token, n),
-i as (select token, df, case when raw < 0 then (select avg(raw) from v) * 0.25 else raw end as idf from v)"""
+mv as (select avg(raw) as mean from v), i as (select token, df, case when raw < 0 then mean * 0.25 else raw end as idf from v, mv)"""
 _TOP = f"""{_BM25}, q as (select item_id, token, count(*) as qf from (select item_id, unnest(w) as token from b) group by 1, 2),
 s as (select item_id, doc_id, round(sum(qf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) as score from q join i using (token) join p using (token), n group by 1, 2),
 a as (select b.item_id, d.doc_id, coalesce(score, 0.0) as score from b cross join d left join s on s.item_id = b.item_id and s.doc_id = d.doc_id),
@@ -352,7 +352,7 @@ t as (select *, row_number() over (partition by item_id order by score desc, doc
 @_query(f"with {_BM25} select token, df, round(idf, 6) as idf from i")
 def bm25_idf(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
-    return retrieval.idf(retrieval.postings(docs, "doc_id", "text"), retrieval.corpus_size(docs, "text")).withColumn("idf", F.round("idf", 6))
+    return retrieval.idf(retrieval.vocabulary(docs, "text"), docs.count()).withColumn("idf", F.round("idf", 6))
 
 
 @_query(f"with {_TOP} select item_id, doc_id, score, cast(rank as integer) as rank from t")

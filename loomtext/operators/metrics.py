@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,15 +33,34 @@ def bleu_tokens(text: Column) -> Column:
     return t.nist_tokens(t.punct_split(F.lower(F.trim(text))))
 
 
+def _clipped(most: int):
+    """Of (candidate tokens, tokens of each reference): for n of 1 to most how many n-grams of the candidate a reference has, each as often as in the one that has it most."""
+
+    @F.pandas_udf("array<long>")
+    def correct(candidates: pd.Series, references: pd.Series) -> pd.Series:
+        grams = lambda tokens, n: Counter(zip(*(tokens[i:] for i in range(n)), strict=False))
+
+        def of(mine: list[str], theirs: list[list[str]]) -> list[int]:
+            out = []
+            for n in range(1, most + 1):
+                own, best = grams(mine, n), Counter()
+                for tokens in theirs:
+                    best |= Counter({g: k for g, k in grams(tokens, n).items() if g in own})
+                out.append((own & best).total())
+            return out
+
+        return pd.Series([of(list(c), [list(r) for r in rs]) for c, rs in zip(candidates, references, strict=True)], dtype=object)
+
+    return correct
+
+
 def bleu_parts(df: DataFrame, key: str, candidate: str, references: str, most: int = 4) -> DataFrame:
-    """Per key the additive parts: testlen, reflen (the shortest reference's), guess and correct for n of 1 to most."""
-    cand = df.select(key, bleu_tokens(F.col(candidate)).alias("c"), F.transform(F.col(references), lambda r: bleu_tokens(r)).alias("rs"))
-    sizes = cand.select(key, F.size("c").alias("testlen"), F.array_min(F.transform("rs", lambda r: F.size(r))).alias("reflen"), *(F.greatest(F.size("c") - (n - 1), F.lit(0)).alias(f"guess{n}") for n in range(1, most + 1)))
-    mine = ngram_counts(cand, key, "c", most)
-    theirs = cand.select(key, F.posexplode("rs").alias("ref", "r")).withColumn("kr", F.struct(key, "ref"))
-    most_in_one = ngram_counts(theirs, "kr", "r", most).select(F.col(f"kr.{key}").alias(key), "n", "gram", "count").groupBy(key, "n", "gram").agg(F.max("count").alias("ref_count"))
-    hits = mine.join(most_in_one, [key, "n", "gram"]).groupBy(key).agg(*(F.sum(F.when(F.col("n") == n, F.least("count", "ref_count")).otherwise(0)).alias(f"correct{n}") for n in range(1, most + 1)))
-    return sizes.join(hits, key, "left").na.fill(0, [f"correct{n}" for n in range(1, most + 1)])
+    """Per key the additive parts: testlen, reflen (the shortest reference's), guess and correct for n of 1 to most. Texts are tokenized once; nothing is shuffled."""
+    rows = df.select(key, bleu_tokens(F.col(candidate)).alias("c"), F.transform(F.col(references), lambda r: bleu_tokens(r)).alias("rs"))
+    sizes = [F.size("c").alias("testlen"), F.array_min(F.transform("rs", lambda r: F.size(r))).alias("reflen")]
+    rows = rows.select(key, *sizes, _clipped(most)(F.col("c"), F.col("rs")).alias("correct"))
+    orders = range(1, most + 1)
+    return rows.select(key, "testlen", "reflen", *(F.greatest(F.col("testlen") - (n - 1), F.lit(0)).alias(f"guess{n}") for n in orders), *(F.col("correct")[n - 1].alias(f"correct{n}") for n in orders))
 
 
 def bleu_from_parts(most: int = 4) -> list[Column]:
@@ -75,12 +96,16 @@ def corpus_bleu(parts: DataFrame, most: int = 4) -> DataFrame:
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
-    row = [0] * (len(b) + 1)
+    """The length of the longest common subsequence, one bit for each token of b: a zero marks where a row of the usual table rises."""
+    places: dict[str, int] = {}
+    for j, y in enumerate(b):
+        places[y] = places.get(y, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    row = full
     for x in a:
-        diagonal = 0
-        for j, y in enumerate(b, 1):
-            diagonal, row[j] = row[j], diagonal + 1 if x == y else max(row[j], row[j - 1])
-    return row[-1]
+        met = row & places.get(x, 0)
+        row = (row + met | row - met) & full
+    return len(b) - row.bit_count()
 
 
 def rouge_l(beta: float = 1.2, stemmed: bool = True):

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from loomtext.functions import text as t
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Rows of (query, token) that may be broadcast.
+MOST_BROADCAST = 500_000
 
 
 def query_text(df: DataFrame, names: tuple = ("best_python_code", "source_code", "code")) -> DataFrame:
@@ -22,38 +24,51 @@ def clean_corpus(df: DataFrame, code: str = "code", docstring: str = "docstring"
     return df.withColumn(code, t.strip_docstrings(F.coalesce(code, F.lit("")), F.col(docstring)))
 
 
-def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, tf, dl), case-sensitive."""
+def postings(corpus: DataFrame, key: str, text: str, wanted: DataFrame | None = None) -> DataFrame:
+    """(token, key, tf, dl), case-sensitive; of wanted tokens alone, if given, before anything is shuffled."""
     tokens = corpus.select(key, t.words(F.col(text)).alias("w"))
     rows = tokens.select(key, F.size("w").alias("dl"), F.explode("w").alias("token"))
+    if wanted is not None:
+        rows = rows.join(wanted, "token", "left_semi")
     return rows.groupBy("token", key).agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_size(corpus: DataFrame, text: str) -> DataFrame:
-    """One row: n documents, their mean length."""
-    return corpus.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(t.words(F.col(text)))).alias("avgdl"))
+def vocabulary(corpus: DataFrame, text: str) -> DataFrame:
+    """(token, df, total) in one pass without postings: how many documents have a token; the null token counts all documents and, in total, all their words."""
+    tokens = corpus.select(t.words(F.col(text)).alias("w"))
+    one = lambda token, total: F.struct(token.alias("token"), total.cast("long").alias("total"))
+    rows = tokens.select(F.explode(F.array_append(F.transform(F.array_distinct("w"), lambda x: one(x, F.lit(0))), one(F.lit(None).cast("string"), F.size("w")))).alias("r"))
+    return rows.groupBy("r.token").agg(F.count(F.lit(1)).alias("df"), F.sum("r.total").alias("total"))
 
 
-def idf(index: DataFrame, size: DataFrame) -> DataFrame:
-    """(token, df, idf): ln(n - df + 0.5) - ln(df + 0.5); where negative, EPSILON times the mean over the vocabulary."""
-    raw = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size.select("n")))  # one row
-    raw = raw.select("token", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+def idf(words: DataFrame, n: int) -> DataFrame:
+    """(token, df, idf) of a vocabulary() of n documents: ln(n - df + 0.5) - ln(df + 0.5); where negative, EPSILON times the mean over the vocabulary."""
+    raw = words.filter("token is not null").select("token", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
-    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, F.col("mean") * EPSILON).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
+def _bounded(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= MOST_BROADCAST else rows
 
 
 def bm25_scores(queries: DataFrame, corpus: DataFrame, query_key: str, query: str, key: str, text: str) -> DataFrame:
     """(query_key, key, score) of documents that share a token with a query; a repeated query token counts repeatedly.
 
-    Query tokens are few beside postings; idf is looked up for them alone, and a token that a large share of the documents has is split
-    by Spark's skew handling of the join. Partial sums precede the shuffle to (query, document).
+    The corpus is read twice: for its vocabulary, and for postings of the queries' tokens alone. What is looked up per query token is broadcast if
+    it is at most MOST_BROADCAST rows; beyond that a token that a large share of the documents has is split by Spark's skew
+    handling of the join. Partial sums precede the shuffle to (query, document).
     """
-    size = corpus_size(corpus, text)
-    index = postings(corpus, key, text)
+    words = vocabulary(corpus, text).persist()
+    size = words.filter("token is null").first()
     asked = queries.select(query_key, F.explode(t.words(F.col(query))).alias("token")).groupBy(query_key, "token").agg(F.count(F.lit(1)).alias("qf"))
-    weights = idf(index, size).join(asked.select("token").distinct(), "token", "left_semi")
-    found = asked.join(weights, "token").join(index, "token").crossJoin(F.broadcast(size.select("avgdl")))
-    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    asked = asked.join(idf(words, size["df"] if size else 0), "token").persist()
+    n = asked.count()
+    words.unpersist()
+    mean = size["total"] / size["df"] if size else 0.0
+    index = postings(corpus, key, text, _bounded(asked.select("token").distinct(), n))
+    found = index.join(_bounded(asked, n), "token")
+    part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(mean)))
     return found.groupBy(query_key, key).agg(F.sum(part).alias("score"))
 
 
@@ -73,10 +88,11 @@ def bm25_top_k(queries: DataFrame, corpus: DataFrame, query_key: str, query: str
         return top
     matched = scores.join(short, query_key, "left_semi").select(query_key, key)
     most = matched.groupBy(query_key).agg(F.count(F.lit(1)).alias("m"))
-    need = short.join(most, query_key, "left").select(query_key, (F.coalesce("m", F.lit(0)) + k).alias("need"))
+    need = short.join(most, query_key, "left").select(query_key, (F.coalesce("m", F.lit(0)) + k).cast("int").alias("need")).persist()
     deepest = need.agg(F.max("need")).first()[0] or 0  # no query's zeros lie below so many keys
     ranked = corpus.select(key).orderBy(F.desc(key)).limit(deepest).withColumn("pos", F.row_number().over(W.orderBy(F.desc(key))))
-    zeros = need.join(ranked, F.col("pos") <= F.col("need")).select(query_key, key).join(matched, [query_key, key], "left_anti").withColumn("score", F.lit(0.0))
+    wanted = need.select(query_key, F.explode(F.sequence(F.lit(1), "need")).alias("pos"))
+    zeros = wanted.join(ranked, "pos").select(query_key, key).join(matched, [query_key, key], "left_anti").withColumn("score", F.lit(0.0))
     return best(top.drop("rank").unionByName(zeros))
 
 
