@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
-from loomtext.operators import blocks, cascade, dedup, joins, metrics, nested, retrieval, selection, stats
+from loomtext.operators import blocks, cascade, dedup, evaluation, joins, metrics, nested, retrieval, selection, stats
 from loomtext.plans import prompts
 from loomtext.session import checkpointer
 from loomtext.sources import records
@@ -467,13 +467,12 @@ def temp_mean_max(spark, sf_dir):
 
 
 # ---- prompts -----------------------------------------------------------------------------------------------------------------
-@_query(f"""with {_CONV} select conv_id, md5('system=S|' || string_agg(role || '=' || text, '|' order by pos) filter (pos % 2 = 0 and pos < 0 or true)) as messages_md5 from c group by 1""")
+@_query(f"""with {_CONV} select conv_id, md5('system=S|' || coalesce(string_agg('user=' || text || '|assistant=' || role, '|' order by pos) filter (pos > 0) || '|', '') || 'user=' || max(text) filter (pos = 0)) as messages_md5 from c group by 1""")
 def chat_messages(spark, sf_dir):
     rows = _conversations(spark, sf_dir)
-    none = F.lit(None).cast("array<struct<question string, answer string>>")
-    built = prompts.chat_messages(F.lit("S"), none, F.lit(""))
-    all_ = F.concat(F.slice(built, 1, 1), F.transform("ts", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))))
-    return rows.select("conv_id", F.md5(F.array_join(F.transform(all_, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").cast("binary")).alias("messages_md5"))
+    shots = F.transform(F.slice("ts", F.lit(2), F.greatest(F.size("ts"), F.lit(1))), lambda x: F.struct(x["text"].alias("question"), x["role"].alias("answer")))
+    built = prompts.chat_messages(F.lit("S"), shots, F.col("main"))
+    return rows.select("conv_id", F.md5(F.array_join(F.transform(built, lambda m: F.concat(m["role"], F.lit("="), m["content"])), "|").cast("binary")).alias("messages_md5"))
 
 
 _L = prompts.Layout()
@@ -541,12 +540,87 @@ def bleu_corpus(spark, sf_dir):
     return metrics.corpus_bleu(metrics.bleu_parts(_bleu_pairs(spark, sf_dir), "item_id", "text", "refs")).select(F.round("bleu", 6).alias("bleu"))
 
 
-@_query()
+# a row of the table of common subsequences is the running maximum of what each column can be reached with
+_LCS = lambda a, b: f"list_last(list_reduce(list_prepend(list_transform(range(0, len({b}) + 1), lambda k: 0), list_transform({a}, lambda x: list_transform(range(0, len({b}) + 1), lambda j: case when j > 0 and {b}[j] = x then 1 else 0 end))), lambda old, hit: list_transform(range(1, len(old) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: case when hit[k] = 1 then old[k - 1] + 1 else old[k] end)))))"
+_NEXT = "nx as (select a.item_id, a.text as c, b.text as r from benchmark a join benchmark b on b.item_id = a.item_id + 1)"
+
+
+def _next_pairs(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark")
+    return b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("reference")), "item_id")
+
+
+@_query(f"""with {_NEXT}, tk as (select item_id, string_split(c, ' ') as c, string_split(r, ' ') as r from nx), l as (select item_id, len(c) as nc, len(r) as nr, {_LCS('r', 'c')} as n from tk), f as (select item_id, n / nc as p, n / nr as q from l)
+select item_id, round(case when p > 0 then (1 + 1.44::double) * p * q / (q + 1.44::double * p) else 0 end, 6) as rouge_l from f""")
 def rouge_l(spark, sf_dir):
+    return _next_pairs(spark, sf_dir).select("item_id", F.round(metrics.rouge_l(stemmed=False)(F.col("text"), F.array("reference")), 6).alias("rouge_l"))
+
+
+@_query()
+def rouge_l_stemmed(spark, sf_dir):
     pairs = _bleu_pairs(spark, sf_dir)
     return pairs.select("item_id", F.round(metrics.rouge_l()(F.col("text"), F.col("refs")), 6).alias("rouge_l"))
 
 
+@_query(f"""with {_NEXT}, tk as (select item_id, regexp_extract_all(lower(c), '[a-z0-9]+') as c, regexp_extract_all(lower(r), '[a-z0-9]+') as r from nx) select item_id, round(2.0 * {_LCS('r', 'c')} / (len(c) + len(r)), 6) as f1 from tk""")
+def rouge_f1(spark, sf_dir):
+    tokens = evaluation.ascii_tokens
+    return _next_pairs(spark, sf_dir).select("item_id", F.round(evaluation.rouge_f1(tokens(F.col("text")), tokens(F.col("reference"))), 6).alias("f1"))
+
+
+# benchmark passages as references, numbered from 0; each with the next passage, and with itself without its last word
+_VARIANTS = f"""{_NEXT}, vr as (select item_id, 'cut' as variant, rtrim(regexp_replace(c, '[^ ]+$', '')) as h, c as r from nx union all select item_id, 'next', r, c from nx),
+tk as (select variant, item_id, {_nist_sql('h').replace("lower(' ' || ", "(' ' || ")} as h, {_nist_sql('r').replace("lower(' ' || ", "(' ' || ")} as r, regexp_extract_all(lower(h), '[a-z0-9]+') as ah, regexp_extract_all(lower(r), '[a-z0-9]+') as ar from vr),
+ro as (select variant, avg(2.0 * {_LCS('ar', 'ah')} / (len(ah) + len(ar))) as f from tk group by 1),
+hg as (select variant, item_id, n, gram, count(*) as k from (select variant, item_id, n, unnest(list_transform(range(1, len(h) - n + 2), lambda i: array_to_string(h[i:i + n - 1], chr(1)))) as gram from tk, range(1, 5) as g(n)) group by all),
+rg as (select variant, item_id, n, gram, count(*) as k from (select variant, item_id, n, unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i:i + n - 1], chr(1)))) as gram from tk, range(1, 5) as g(n)) group by all),
+ok as (select variant, n, sum(least(hg.k, rg.k)) as correct from hg join rg using (variant, item_id, n, gram) group by all),
+sz as (select variant, n, sum(greatest(len(h) - n + 1, 0)) as guess, sum(len(h)) as tl, sum(len(r)) as rl from tk, range(1, 5) as g(n) group by all),
+bl as (select variant, case when count(correct) < 4 then 0 else exp(sum(ln(correct / guess)) / 4 + case when any_value(tl) > any_value(rl) then 0 else 1 - any_value(rl) / any_value(tl) end) end as f from sz left join ok using (variant, n) group by 1),
+al as (select 'BLEU' as metric, * from bl union all select 'ROUGE-L', * from ro)"""
+
+
+@_query(f"with {_VARIANTS} select metric, round(max(f) filter (variant = 'cut') * 100, 4) as cut, round(max(f) filter (variant = 'next') * 100, 4) as next from al group by 1")
+def comparison_report(spark, sf_dir):
+    pairs = _next_pairs(spark, sf_dir)
+    made = {"cut": F.rtrim(F.regexp_replace("text", "[^ ]+$", "")), "next": F.col("reference")}
+    files = {name: pairs.select(F.col("item_id").alias("row_id"), c.alias("text")) for name, c in made.items()}
+    return evaluation.comparison_report(pairs.select(F.col("item_id").alias("uid"), F.col("text").alias("summary")), files)
+
+
+@_query(f"""with {_BLEU} select 'BLEU' as metric, round(avg(bleu) * 100, 2) as score from bl""")
+def local_report(spark, sf_dir):
+    b = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    return evaluation.local_report(evaluation.line_pairs(d, b)).filter("metric = 'BLEU'")
+
+
+# a word's vector is one of the embeddings, by its length and first letter
+_MS = f"""nx as (select a.item_id, a.text as c, unnest([b.text, d.text]) as r, unnest([0, 1]) as rf from benchmark a join benchmark b on b.item_id = a.item_id + 1 join benchmark d on d.item_id = a.item_id + 2),
+w as (select distinct t, unnest(list_transform(range(1, len(ws) + 1), lambda i: {{'pos': i, 'token': ws[i]}}), recursive := true) from (select t, {_words('t')} as ws from (select c as t from nx union select r from nx))),
+v as (select t, pos, token, cast(embedding as double[]) as u from w join embeddings on vec_id = (length(token) * 7 + ascii(token)) % 200),
+n as (select count(distinct r) as n from nx), df as (select token, ln((any_value(n.n) + 1.0::double) / (count(distinct t) + 1)) as idf from w, n where t in (select r from nx) group by 1), mx as (select max(idf) as most from df),
+k as (select t, pos, u, coalesce(idf, most) as wt from v left join df using (token), mx),
+s as (select item_id, rf, h.pos as i, g.pos as j, h.wt as wi, g.wt as wj, list_cosine_similarity(h.u, g.u) as s from nx join k h on h.t = c join k g on g.t = r),
+p as (select item_id, rf, sum(s * w) / sum(w) as p, count(*) as np from (select item_id, rf, i, max(s) as s, any_value(wi) as w from s group by all) group by all),
+q as (select item_id, rf, sum(s * w) / sum(w) as r, count(*) as nr from (select item_id, rf, j, max(s) as s, any_value(wj) as w from s group by all) group by all),
+m as (select item_id, case when np = 2 or nr = 2 then 0 else p end as p, case when np = 2 or nr = 2 then 0 else r end as r, 2 * p * r / (p + r) as f from p join q using (item_id, rf))"""
+
+
+@_query(f"with {_MS} select item_id, round(max(p), 6) as p, round(max(r), 6) as r, round(max(f), 6) as f from m group by 1")
+def match_scores(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+
+    def encode(sentences):
+        tokens = sentences.select("text", F.posexplode(t.words(F.col("text"))).alias("pos", "token"))
+        return tokens.join(F.broadcast(vectors.filter("vec_id < 200")), F.col("vec_id") == (F.length("token") * 7 + F.ascii("token")) % 200)  # 200 rows
+
+    b = _table(spark, sf_dir, "benchmark")
+    later = lambda k: b.select((F.col("item_id") - k).alias("item_id"), F.col("text").alias(f"r{k}"))
+    rows = b.join(later(1), "item_id").join(later(2), "item_id").withColumn("refs", F.array("r1", "r2"))
+    return evaluation.match_scores(rows, "item_id", "text", "refs", encode, idf=True).select("item_id", *(F.round(c, 6).alias(c) for c in "prf"))
+
+
 @_query(f"""with d as (select list_distinct({_words('text')}) as w from documents), x as (select unnest(w) as token from d)
 select token, round(ln(((select count(*) from d) + 1.0::double) / (count(*) + 1)), 6) as idf from x group by 1""")
 def idf_weights(spark, sf_dir):

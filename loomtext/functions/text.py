@@ -198,8 +198,10 @@ def strip_docstrings(code: Column, docstring: Column) -> Column:
     return F.coalesce(trim(F.when(F.coalesce(docstring, F.lit("")) != "", F.replace(code, docstring, F.lit(""))).otherwise(code)), F.lit(""))
 
 
-def join_tokens(tokens: Column, close_periods: bool = True) -> Column:
-    """Tokens joined by a space; close_periods also closes up ` .`."""
+def join_tokens(tokens: Column, close_periods: bool = True, docstring: Column | None = None) -> Column:
+    """Tokens joined by a space, of the docstring's words if there are none; close_periods also closes up ` .`."""
+    if docstring is not None:
+        tokens = F.when(F.coalesce(F.size(tokens), F.lit(0)) > 0, tokens).otherwise(words(F.coalesce(docstring, F.lit(""))))
     text = F.array_join(tokens, " ")
     return trim(F.replace(text, F.lit(" ."), F.lit(".")) if close_periods else text)
 
@@ -244,12 +246,13 @@ def punct_split(text: Column) -> Column:
     return F.array_join(F.regexp_extract_all(text, F.lit(rf"(?U)({WORD}+|[^\s\p{{L}}\p{{N}}_])"), F.lit(1)), " ")
 
 
-def nist_tokens(text: Column) -> Column:
-    """Lower-cased tokens with punctuation apart, except periods and commas within numbers."""
+def nist_tokens(text: Column, lower: bool = True) -> Column:
+    """Lower-cased tokens (or as they are) with punctuation apart, except periods and commas within numbers."""
     x = F.replace(F.regexp_replace(F.replace(text, F.lit("<skipped>"), F.lit("")), "-\n", ""), F.lit("\n"), F.lit(" "))
     for name, char in ENTITIES:
         x = F.replace(x, F.lit(name), F.lit(char))
-    x = F.lower(F.concat(F.lit(" "), x, F.lit(" ")))
+    x = F.concat(F.lit(" "), x, F.lit(" "))
+    x = F.lower(x) if lower else x
     for pattern, by in NIST_PATTERNS:
         x = F.regexp_replace(x, pattern, by)
     return words(x)

@@ -10,20 +10,15 @@ import ast
 import io
 import tokenize
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as t
-
-KINDS = ("function_def", "loops", "conditionals", "assignments", "others")
-BLOCKS = "ok boolean, " + ", ".join(f"{k} array<string>" for k in KINDS)
-
-
-def _blank(ok: bool) -> dict:
-    return {"ok": ok} | {k: [] for k in KINDS}
-
+from loomtext.operators.block_readers import lua_blocks, racket_blocks
+from loomtext.operators.block_struct import BLOCKS, KINDS, blank
 
 def _kind(node: ast.stmt) -> str:
     if isinstance(node, ast.For | ast.While):
@@ -37,7 +32,7 @@ def python_blocks(code: str | None, nested: bool = True) -> dict:
     """C1 (nested: functions within functions are entered) and C2 (only the outermost statements; the last function's line alone)."""
     try:
         body = ast.parse(code).body
-        out = _blank(True)
+        out = blank(True)
         waiting = list(reversed(body))
         while waiting:
             node = waiting.pop()
@@ -52,7 +47,7 @@ def python_blocks(code: str | None, nested: bool = True) -> dict:
                 out[_kind(node)].append(source)
         return out
     except Exception:  # whatever a parser meets: syntax, null bytes, depth
-        return _blank(False)
+        return blank(False)
 
 
 def python_statements(code: str) -> tuple[list[str], bool]:
@@ -219,7 +214,7 @@ def julia_lines(code: str) -> list[str]:
 
 def julia_blocks(code: str | None) -> dict:
     """Blocks of Julia code that no parser takes; blocks left open are closed at the end, the innermost first."""
-    out = _blank(code is not None)
+    out = blank(code is not None)
     open_: list[tuple[str, list[str]]] = []
 
     def close() -> None:
@@ -257,16 +252,38 @@ def _struct_udf(split: Callable[[str | None], dict]):
 
 
 #: Splitters by language. Others are registered by whoever has a parser: a callable from code to a struct as above.
-SPLITTERS: dict[str, Callable[[str | None], dict]] = {"python": python_blocks, "julia-broken": julia_blocks}
+SPLITTERS: dict[str, Callable[[str | None], dict]] = {
+    "python": python_blocks, "python-outer": partial(python_blocks, nested=False), "julia-broken": julia_blocks, "lua": lua_blocks, "racket": racket_blocks,
+}
 
 
 def split_blocks(code: Column, lang: str = "python") -> Column:
-    """The blocks of each code; an error names languages without a splitter."""
+    """C1, C2 (python-outer), C8 (lua, racket), C9 (julia-broken): the blocks of each code; an error names languages without a splitter."""
     if lang not in SPLITTERS:
         raise NotImplementedError(f"no splitter is registered for {lang!r}")
     return _struct_udf(SPLITTERS[lang])(code)
 
 
+def split_statements(code: Column) -> Column:
+    """struct(statements, ok) of Python code; null code counts as empty."""
+
+    @F.pandas_udf("statements array<string>, ok boolean")
+    def run(codes: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([python_statements(c or "") for c in codes], columns=["statements", "ok"])
+
+    return run(code)
+
+
+def lex(code: Column) -> Column:
+    """C4: the tokens of Python code; null code counts as empty."""
+
+    @F.pandas_udf("array<string>")
+    def run(codes: pd.Series) -> pd.Series:
+        return pd.Series([python_tokens(c or "") for c in codes], dtype=object)
+
+    return run(code)
+
+
 def syntax_check(code: Column) -> Column:
     """struct(valid, message, type); any error of the parser counts."""
 
@@ -284,9 +301,9 @@ def syntax_check(code: Column) -> Column:
     return run(code)
 
 
-def structural_rows(df: DataFrame, code: str) -> DataFrame:
+def structural_rows(df: DataFrame, code: str, lang: str = "python") -> DataFrame:
     """Df with the blocks' lists and cleaned_seqs, their texts squeezed and lower-cased in order of category; all null for empty code."""
-    rows = df.withColumn("_b", split_blocks(F.col(code)))
+    rows = df.withColumn("_b", split_blocks(F.col(code), lang))
     some = F.coalesce(F.col(code), F.lit("")) != ""
     seqs = F.filter(F.transform(F.concat(*(F.col(f"_b.{k}") for k in KINDS)), t.block_text), lambda x: x != "")
     return rows.select(*df.columns, F.when(some, F.col("_b.ok")).alias("ast_ok"), F.when(some, seqs).alias("cleaned_seqs"), *(F.when(some, F.col(f"_b.{k}")).alias(k) for k in KINDS))

@@ -75,13 +75,17 @@ def information_checks(summary: Column) -> list[tuple[Column, str]]:
     ]
 
 
-def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "content", lang: str = "code_lang") -> DataFrame:
-    """df with summary, overlap, similarity (where ports give it), length in words and reject_reason (null: kept)."""
+def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "content", lang: str = "code_lang", corrupt: str | None = None) -> DataFrame:
+    """df with summary, overlap, similarity (where ports give it), length in words and reject_reason (null: kept).
+
+    P20: rows whose column `corrupt` isn't null, such as lines that didn't parse, go as processing errors.
+    """
     ports = ports or Ports()
     c, lg = F.col(content), F.col(lang)
     df = df.withColumn("raw", t.raw_comment(c, lg)).withColumn("summary", t.clean_summary(F.col("raw"), lg)).withColumn("code", t.code_only(c, lg))
     s = F.col("summary")
     first = [
+        *([(F.col(corrupt).isNotNull(), "processing_error")] if corrupt else []),
         (c.isNull() | (t.trim(c) == ""), "empty_content"),
         (F.coalesce("raw", F.lit("")) == "", "no_docstring"),
         (F.coalesce(t.first_sentence(F.col("raw")), F.lit("")) == "", "first_sentence_failed"),
@@ -130,6 +134,11 @@ def layer_counts(judged: DataFrame) -> DataFrame:
     return one.select("total", F.inline(rows)).select("layer", "passed", F.try_divide(F.col("passed") * 100.0, F.col("total").cast("double")).alias("percent"))
 
 
+def mean_length(kept: DataFrame) -> DataFrame:
+    """A2: one row, the mean length of the summaries in words; null without rows."""
+    return kept.agg(F.avg("length").alias("mean_length"))
+
+
 def top_reasons(judged: DataFrame, k: int = 10) -> DataFrame:
     """The k most frequent reasons with their share of all rows."""
     counts = judged.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))

@@ -16,15 +16,18 @@ def last_wins_merge(a: DataFrame, b: DataFrame, order: str, field: str = "raw_co
     return latest.drop(field).join(b.select(F.col(key_b).alias(key_a), field), key_a)
 
 
-def merge_counts(a: DataFrame, b: DataFrame, field: str = "raw_code", key_a: str = "idx", key_b: str = "id") -> DataFrame:
-    """J1's report: merged, not_found, missing_field."""
+def merge_counts(a: DataFrame, b: DataFrame, field: str = "raw_code", key_a: str = "idx", key_b: str = "id", corrupt: str | None = None) -> DataFrame:
+    """J1's report: merged, not_found, missing_field, and json_error if `corrupt` names the column of b's lines that didn't parse."""
     known = a.select(F.col(key_a).alias("_k")).distinct().withColumn("_hit", F.lit(True))
     rows = b.join(known, F.col(key_b) == F.col("_k"), "left")
-    lacks = F.col(field).isNull() | F.col(key_b).isNull()
+    bad = F.col(corrupt).isNotNull() if corrupt else F.lit(False)
+    lacks = ~bad & (F.col(field).isNull() | F.col(key_b).isNull())
+    whole = ~bad & ~lacks
     return rows.agg(
-        F.count_if(~lacks & F.col("_hit").isNotNull()).alias("merged"),
-        F.count_if(~lacks & F.col("_hit").isNull()).alias("not_found"),
+        F.count_if(whole & F.col("_hit").isNotNull()).alias("merged"),
+        F.count_if(whole & F.col("_hit").isNull()).alias("not_found"),
         F.count_if(lacks).alias("missing_field"),
+        *([F.count_if(bad).alias("json_error")] if corrupt else []),
     )
 
 

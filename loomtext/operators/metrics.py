@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,6 +34,11 @@ def bleu_tokens(text: Column) -> Column:
     return t.nist_tokens(t.punct_split(F.lower(F.trim(text))))
 
 
+def cased_tokens(text: Column) -> Column:
+    """E4's 13a tokens: NIST normalisation that keeps the case."""
+    return t.nist_tokens(text, lower=False)
+
+
 def _clipped(most: int):
     """Of (candidate tokens, tokens of each reference): for n of 1 to most how many n-grams of the candidate a reference has, each as often as in the one that has it most."""
 
@@ -54,13 +60,14 @@ def _clipped(most: int):
     return correct
 
 
-def bleu_parts(df: DataFrame, key: str, candidate: str, references: str, most: int = 4) -> DataFrame:
-    """Per key the additive parts: testlen, reflen (the shortest reference's), guess and correct for n of 1 to most. Texts are tokenized once; nothing is shuffled."""
-    rows = df.select(key, bleu_tokens(F.col(candidate)).alias("c"), F.transform(F.col(references), lambda r: bleu_tokens(r)).alias("rs"))
+def bleu_parts(df: DataFrame, key: str, candidate: str, references: str, most: int = 4, keep: list[str] | None = None, tokens: Callable[[Column], Column] = bleu_tokens) -> DataFrame:
+    """Per row the key, the columns to keep and the additive parts: testlen, reflen (the shortest reference's), guess and correct for n of 1 to most. Texts are tokenized once; nothing is shuffled."""
+    keep = keep or []
+    rows = df.select(key, *keep, tokens(F.col(candidate)).alias("c"), F.transform(F.col(references), lambda r: tokens(r)).alias("rs"))
     sizes = [F.size("c").alias("testlen"), F.array_min(F.transform("rs", lambda r: F.size(r))).alias("reflen")]
-    rows = rows.select(key, *sizes, _clipped(most)(F.col("c"), F.col("rs")).alias("correct"))
+    rows = rows.select(key, *keep, *sizes, _clipped(most)(F.col("c"), F.col("rs")).alias("correct"))
     orders = range(1, most + 1)
-    return rows.select(key, "testlen", "reflen", *(F.greatest(F.col("testlen") - (n - 1), F.lit(0)).alias(f"guess{n}") for n in orders), *(F.col("correct")[n - 1].alias(f"correct{n}") for n in orders))
+    return rows.select(key, *keep, "testlen", "reflen", *(F.greatest(F.col("testlen") - (n - 1), F.lit(0)).alias(f"guess{n}") for n in orders), *(F.col("correct")[n - 1].alias(f"correct{n}") for n in orders))
 
 
 def bleu_from_parts(most: int = 4) -> list[Column]:
@@ -85,14 +92,23 @@ def mean_bleu(df: DataFrame, key: str, candidate: str, references: str) -> DataF
     return sentence_bleu(df, key, candidate, references).agg((F.avg("bleu") * 100).alias("bleu"))
 
 
-def corpus_bleu(parts: DataFrame, most: int = 4) -> DataFrame:
-    """Unsmoothed, from summed parts; 0 if any order has no match."""
-    total = parts.agg(*(F.sum(c).cast("double").alias(c) for c in ("testlen", "reflen", *(f"{k}{n}" for n in range(1, most + 1) for k in ("guess", "correct")))))
+def part_sums(most: int = 4) -> list[Column]:
+    """The parts summed, for a groupBy."""
+    return [F.sum(c).cast("double").alias(c) for c in ("testlen", "reflen", *(f"{k}{n}" for n in range(1, most + 1) for k in ("guess", "correct")))]
+
+
+def corpus_bleu_of_sums(most: int = 4) -> Column:
+    """E4 over summed parts: unsmoothed; 0 if any order has no match."""
     precisions = [F.try_divide(F.col(f"correct{n}"), F.col(f"guess{n}")) for n in range(1, most + 1)]
     log = sum((F.log(p) for p in precisions[1:]), F.log(precisions[0])) / most
     brevity = F.when(F.col("testlen") > F.col("reflen"), 0.0).otherwise(1 - F.col("reflen") / F.col("testlen"))
     zero = F.least(*(F.coalesce(p, F.lit(0.0)) for p in precisions)) == 0
-    return total.select(F.when(zero, 0.0).otherwise(F.exp(log + brevity)).alias("bleu"))
+    return F.when(zero, 0.0).otherwise(F.exp(log + brevity))
+
+
+def corpus_bleu(parts: DataFrame, most: int = 4) -> DataFrame:
+    """E4's BLEU over all rows of parts."""
+    return parts.agg(*part_sums(most)).select(corpus_bleu_of_sums(most).alias("bleu"))
 
 
 def _lcs(a: list[str], b: list[str]) -> int:
@@ -151,7 +167,8 @@ def greedy_match(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
     A sentence whose only tokens are the two special ones scores 0; a NaN F is 0. Pairs are joined by equality of pair; a pair's tokens are
     few (an encoder's window), and only maxima leave the join.
     """
-    unit = lambda v: F.transform(v.cast("array<double>"), lambda x: x / F.sqrt(F.aggregate(F.transform(v.cast("array<double>"), lambda y: y * y), F.lit(0.0), lambda s, y: s + y)))
+    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)
+    unit = lambda v: t.bind(v.cast("array<double>"), lambda w: t.bind(F.sqrt(square(w)), lambda n: F.transform(w, lambda x: x / n)))
     h = hypothesis.select("pair", F.col("token").alias("i"), unit(F.col("vector")).alias("u"), F.col("weight").alias("wi"))
     g = reference.select("pair", F.col("token").alias("j"), unit(F.col("vector")).alias("v"), F.col("weight").alias("wj"))
     sims = h.join(g, "pair").select("pair", "i", "j", "wi", "wj", F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("s"))

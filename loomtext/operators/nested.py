@@ -33,6 +33,15 @@ def padded(items: Column, n: int, pad: Column) -> tuple[Column, Column]:
     return F.concat(cut, F.array_repeat(pad, F.lit(n) - size)), F.concat(F.array_repeat(F.lit(1), size), F.array_repeat(F.lit(0), F.lit(n) - size))
 
 
+def padded_tokens(statements: Column, most: int = 32, each: int = 32, pad: str = "") -> tuple[Column, Column, Column]:
+    """The first `most` statements as arrays of exactly `each` tokens, with the mask of real tokens of each statement and the mask of real statements."""
+    split = F.transform(statements, lambda s: F.slice(F.filter(F.split(s, r"\s+"), lambda w: w != ""), 1, each))
+    rows, mask = padded(split, most, F.array().cast("array<string>"))
+    fill = lambda r, x: F.concat(r, F.array_repeat(x, F.lit(each) - F.size(r)))
+    real = F.transform(rows, lambda r: fill(F.transform(r, lambda _: F.lit(1)), F.lit(0)))
+    return F.transform(rows, lambda r: fill(r, F.lit(pad))), real, mask
+
+
 def update_each(items: Column, field: str, new) -> Column:
     """One field of every element set to new(element), the others kept."""
     return F.transform(items, lambda x: x.withField(field, new(x)))

@@ -36,6 +36,16 @@ def best_candidate(candidates: Column) -> Column:
     )
 
 
+def with_best(df: DataFrame, candidates: str = "translations") -> DataFrame:
+    """Df with best_candidate_info (index, status, python_code, back_translation, scores) and its code and score flattened beside it; the code is null without candidates."""
+    rows = df.withColumn("_b", best_candidate(F.col(candidates)))
+    chosen = F.get(F.col(candidates), F.col("_b.index"))
+    has = lambda field: field in df.schema[candidates].dataType.elementType.names
+    scores = chosen["scores"] if has("scores") else F.struct(F.lit(None).cast("double").alias("jina"), F.lit(None).cast("double").alias("bleu"), chosen["hybrid_score"].alias("hybrid"))
+    info = F.struct(F.col("_b.index").alias("index"), F.col("_b.status").alias("status"), chosen["code"].alias("python_code"), chosen["back_translation"].alias("back_translation"), scores.alias("scores"))
+    return rows.withColumns({"best_candidate_info": info, "best_python_code": chosen["code"], "best_score_hybrid": F.col("_b.score")}).drop("_b")
+
+
 def shortest_invalid(candidates: Column) -> Column:
     """Of the candidates that aren't valid, the one with the shortest code (an empty one counts as 9999 long), the first on ties."""
     ranked = F.transform(candidates, lambda c, i: F.struct(F.when(F.coalesce(F.length(c["code"]), F.lit(0)) > 0, F.length(c["code"])).otherwise(9999).alias("n"), i.alias("i"), c.alias("c")))

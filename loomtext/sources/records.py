@@ -71,11 +71,11 @@ def read_tsv(spark: SparkSession, path: str, schema: str | T.StructType, header:
     return spark.read.schema(schema).option("sep", "\t").option("header", header).option("escape", "\\").option("mode", "DROPMALFORMED").csv(path)
 
 
-def write_tsv(df: DataFrame, path: str, bom: bool = False) -> None:
+def write_tsv(df: DataFrame, path: str, bom: bool = False, mode: str = "error") -> None:
     """With a header; bom prefixes the first name with U+FEFF."""
     if bom:
         df = df.withColumnRenamed(df.columns[0], "﻿" + df.columns[0])
-    df.write.option("sep", "\t").option("header", True).option("escape", "\\").csv(path)
+    df.write.mode(mode).option("sep", "\t").option("header", True).option("escape", "\\").csv(path)
 
 
 def split_indexed(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -87,7 +87,7 @@ def split_indexed(lines: DataFrame, value: str = "value") -> DataFrame:
 def read_indexed_lines(spark: SparkSession, path: str, cap: int | None = None) -> DataFrame:
     rows = dense_row_id(spark.read.text(path))
     rows = split_indexed(rows)
-    return rows if not cap else rows.filter(F.col("row_id") < cap)
+    return rows if cap is None else rows.filter(F.col("row_id") < cap)
 
 
 def indexed_line(row_id: str, payload: str) -> Column:
