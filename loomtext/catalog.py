@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from loomtext.functions import text as t
 from loomtext.operators import blocks, cascade, dedup, evaluation, joins, metrics, nested, retrieval, selection, stats
 from loomtext.plans import prompts
-from loomtext.session import checkpointer
+from loomtext.session import checkpointer, shared_path
 from loomtext.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,6 +220,131 @@ def top_reasons(spark, sf_dir):
     return cascade.top_reasons(_judged(spark, sf_dir)).withColumn("percent", F.round("percent", 6))
 
 
+_JUDGED_LUA_CODE = f"array_to_string(list_filter(string_split(regexp_replace({_trim('content')}, '(?m)^\\s*--.*$', '', 'g'), chr(10)), lambda l: {_trim('l')} <> ''), chr(10))"
+_OVERLAP = lambda s, code: f"list_transform([{{'k': list_filter({_IDENT(s)}, lambda w: w <> '' and not list_contains({_STOP}, w)), 'c': list_filter({_IDENT(code)}, lambda w: w <> '')}}], lambda z: case when len(z.k) = 0 then 0.0 else round(len(list_intersect(list_distinct(z.c), list_distinct(z.k))) / len(z.k), 6) end)[1]"
+
+
+@_query(f"with {_JUDGED} select index, summary, md5({_JUDGED_LUA_CODE}) as code_md5, {_OVERLAP('summary', 'content')} as overlap, len({_words('summary')}) as length from j where reject_reason is null")
+def survivors(spark, sf_dir):
+    kept = cascade.survivors(cascade.reject_cascade(_content(spark, sf_dir)))
+    return kept.select("index", "summary", F.md5(F.col("code").cast("binary")).alias("code_md5"), F.round("overlap", 6).alias("overlap"), F.col("length").cast("long").alias("length"))
+
+
+@_query(f"with {_JUDGED} select round(avg(len({_words('summary')})), 6) as mean_length from j where reject_reason is null")
+def mean_length(spark, sf_dir):
+    return cascade.mean_length(cascade.survivors(cascade.reject_cascade(_content(spark, sf_dir)))).select(F.round("mean_length", 6).alias("mean_length"))
+
+
+def _similarity_port(spark, sf_dir):
+    """The cosine of the embeddings numbered index and index + 1, whose signs are made equal for one index in three; null where there are none."""
+    e = _table(spark, sf_dir, "embeddings")
+    other = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    mixed = F.zip_with("embedding", "other", lambda a, b: a + b)
+    cosines = e.join(other, "vec_id").select(F.col("vec_id").alias("index"), F.when(F.col("vec_id") % 3 == 0, retrieval.cosine(F.col("embedding"), F.col("other"))).otherwise(retrieval.cosine(F.col("embedding"), mixed)).alias("similarity"))
+    return lambda rows: rows.drop("similarity").join(cosines, "index", "left")
+
+
+@_query(f"""with {_JUDGED}, e as (select a.vec_id as index, cast(a.embedding as double[]) as u, cast(list_transform(range(1, 65), lambda i: a.embedding[i] + b.embedding[i]) as double[]) as m, cast(b.embedding as double[]) as v from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
+sm as (select index, case when index % 3 = 0 then list_cosine_similarity(u, v) else list_cosine_similarity(u, m) end as similarity from e)
+select j.index, case when reject_reason is not null then reject_reason when similarity is null then 'similarity_error' when not (similarity > 0.4 and similarity < 0.9) then 'bad_similarity' end as reject_reason,
+  case when reject_reason is null then round(similarity, 5) end as similarity from j left join sm on sm.index = j.index""")
+def similarity_gate(spark, sf_dir):
+    judged = cascade.reject_cascade(_content(spark, sf_dir), cascade.Ports(similarity=_similarity_port(spark, sf_dir)))
+    return judged.select("index", "reject_reason", F.round("similarity", 5).alias("similarity"))
+
+
+# documents as functions of five languages: the first line is the comment, the others are the body
+_FUNCTIONS = {
+    "julia": ('"""', '"""\nfunction f(a, b)\n'), "lua": ("-- ", "\nlocal function f(a, b)\n"), "r": ("# ", "\nf <- function(a, b)\n"), "racket": (";; ", "\n(define (f a b)\n"), "ocaml": ("(** ", "*)\nlet f a b =\n"),
+}
+_q = lambda x: "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+_HEAD, _BODY = "string_split(text, chr(10))[1]", "substr(text, length(string_split(text, chr(10))[1]) + 2)"
+_FUNCTION_SQL = f"""k as (select doc_id, {_LANG} as lang, {_HEAD} as head, text, case {_LANG} {" ".join(f"when '{k}' then {_q(a)} || {_HEAD} || {_q(b)} || {_BODY}" for k, (a, b) in _FUNCTIONS.items())} end as code from documents),
+b as (select *, {_trim('code')} as bare from k),
+c as (select *, case lang when 'julia' then nullif(regexp_extract(bare, '(?s)^\"\"\"(.*?)\"\"\"', 1), '') when 'ocaml' then regexp_extract(bare, '(?s)\\(\\*\\*(.*?)\\*\\)', 1) when 'lua' then '-- ' || head || chr(10) when 'r' then '# ' || head || chr(10) else ';; ' || head || chr(10) end as raw,
+  case lang when 'julia' then regexp_replace(bare, '(?s)^\"\"\"(.*?)\"\"\"', '') when 'ocaml' then regexp_replace(bare, '(?s)\\(\\*\\*(.*?)\\*\\)', '', 'g') when 'lua' then regexp_replace(bare, '(?m)^\\s*--.*$', '', 'g') when 'r' then regexp_replace(bare, '(?m)^\\s*#.*$', '', 'g') else regexp_replace(bare, '(?m)^\\s*;;.*$', '', 'g') end as plain from b)"""
+
+
+def _functions(spark, sf_dir):
+    head, body = F.substring_index("text", "\n", 1), F.expr("substr(text, length(substring_index(text, '\n', 1)) + 2)")
+    code = F.coalesce(*(F.when(F.col("code_lang") == k, F.concat(F.lit(a), head, F.lit(b), body)) for k, (a, b) in _FUNCTIONS.items()))
+    return _docs(spark, sf_dir).withColumn("code", code)
+
+
+@_query(f"with {_FUNCTION_SQL} select doc_id, coalesce(raw, '') as raw from c")
+def raw_comment(spark, sf_dir):
+    return _functions(spark, sf_dir).select("doc_id", F.coalesce(t.raw_comment(F.col("code"), F.col("code_lang")), F.lit("")).alias("raw"))
+
+
+@_query(f"with {_FUNCTION_SQL} select doc_id, md5(array_to_string(list_filter(string_split(plain, chr(10)), lambda l: {_trim('l')} <> ''), chr(10))) as code_md5 from c")
+def code_only(spark, sf_dir):
+    return _functions(spark, sf_dir).select("doc_id", F.md5(t.code_only(F.col("code"), F.col("code_lang")).cast("binary")).alias("code_md5"))
+
+
+@_query("""with c as (select doc_id, '  \"\"\"' || string_split(text, chr(10))[1] || '\"\"\"' || chr(10) || text as code, string_split(text, ' ')[1] as docstring from documents),
+s as (select doc_id, docstring, regexp_replace(regexp_replace(code, '(?m)^\\s*\"\"\"[\\s\\S]*?\"\"\"', '', 'g'), '(?m)^\\s*[\\s\\S]*?', '', 'g') as x from c)
+select doc_id, md5(%s) as code_md5 from s""" % _trim("case when docstring <> '' then replace(x, docstring, '') else x end"))
+def clean_corpus(spark, sf_dir):
+    code = F.concat(F.lit('  \"\"\"'), F.substring_index("text", "\n", 1), F.lit('\"\"\"\n'), F.col("text"))
+    rows = _docs(spark, sf_dir).select("doc_id", code.alias("code"), F.substring_index("text", " ", 1).alias("docstring"))
+    return retrieval.clean_corpus(rows).select("doc_id", F.md5(F.col("code").cast("binary")).alias("code_md5"))
+
+
+@_query("""select item_id, trim(regexp_replace(case when item_id % 3 = 0 then text when item_id % 3 = 1 then 'def f(): pass' else '' end, 'z^', '')) as query from benchmark""")
+def query_text(spark, sf_dir):
+    k = F.col("item_id") % 3
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.when(k == 0, F.col("text")).alias("best_python_code"), F.when(k == 1, "def f(): pass").otherwise("").alias("source_code"))
+    return retrieval.query_text(rows).select("item_id", "query")
+
+
+# labels as Python functions; one in seven doesn't parse
+_PY = """py as (select doc_id, 'def f' || doc_id || '(a, b):' as d, 'x = ' || doc_id as x, 'for i in range(' || quality || '):' || chr(10) || '        x += i' as l, 'if x > ' || toxic || ':' || chr(10) || '        x = 0' as c, 'return x' as o, doc_id % 7 = 0 as bad from labels)"""
+
+
+def _python_functions(spark, sf_dir):
+    text = [F.lit("def f"), "doc_id", F.lit("(a, b):\n    x = "), "doc_id", F.lit("\n    for i in range("), "quality", F.lit("):\n        x += i\n    if x > "), "toxic", F.lit(":\n        x = 0\n    return x\n"), F.when(F.col("doc_id") % 7 == 0, "(").otherwise("")]
+    return _table(spark, sf_dir, "labels").select("doc_id", F.concat(*(F.col(x).cast("string") if isinstance(x, str) else x for x in text)).alias("code"))
+
+
+@_query(f"with {_PY} select doc_id, not bad as ok, case when not bad then concat_ws('|', d, l, c, x, o) else '' end as blocks from py")
+def python_blocks(spark, sf_dir):
+    rows = _python_functions(spark, sf_dir).select("doc_id", blocks.split_blocks(F.col("code")).alias("b"))
+    return rows.select("doc_id", "b.ok", F.array_join(F.concat("b.function_def", "b.loops", "b.conditionals", "b.assignments", "b.others"), "|").alias("blocks"))
+
+
+@_query(f"with {_PY} select doc_id, not bad as ok, '[' || array_to_string(case when not bad then [lower(d), 'for i in range(' || split_part(split_part(l, '(', 2), ')', 1) || '): x += i', regexp_replace(c, '\\s+', ' ', 'g'), x, o] else [] end, ', ') || ']' as seqs from py")
+def structural_rows(spark, sf_dir):
+    rows = blocks.structural_rows(_python_functions(spark, sf_dir), "code")
+    return rows.select("doc_id", F.col("ast_ok").alias("ok"), F.concat(F.lit("["), F.array_join("cleaned_seqs", ", "), F.lit("]")).alias("seqs"))
+
+
+@_query(f"with {_PY} select count(*) as total, count(*) filter (bad) as ast_failed, count(*) filter (bad) as no_seqs, cast(0 as bigint) as only_function_def, round_even(count(*) filter (bad) / count(*), 4) as no_seqs_rate from py")
+def block_statistics(spark, sf_dir):
+    return blocks.block_statistics(blocks.structural_rows(_python_functions(spark, sf_dir), "code")).select("total", "ast_failed", "no_seqs", "only_function_def", "no_seqs_rate")
+
+
+@_query(f"with {_PY} select doc_id, case when bad then 5 + 3 else 4 end as n, not bad as ok from py")
+def python_statements(spark, sf_dir):
+    rows = _python_functions(spark, sf_dir).select("doc_id", blocks.split_statements(F.col("code")).alias("s"))
+    return rows.select("doc_id", F.size("s.statements").cast("long").alias("n"), "s.ok")
+
+
+@_query("""with c as (select event_id, [trim(replace(event_type, ' ', '')), ';', 'x', '=', '(', event_id::varchar, ';', ')', ';', 'if', '{', 'y', '}', 'z', ';'] as k from events)
+select event_id, k[1] || ' ;|x = ( ' || event_id || ' ; ) ;|if { }|z ;' as statements from c""")
+def token_statements(spark, sf_dir):
+    words = F.split(F.concat(F.replace("event_type", F.lit(" "), F.lit("")), F.lit(" ; x = ( "), F.col("event_id").cast("string"), F.lit(" ; ) ; if { y } z ;")), " ")
+    return _table(spark, sf_dir, "events").select("event_id", F.array_join(blocks.split_token_lists(words, "java"), "|").alias("statements"))
+
+
+@_query("""with c as (select doc_id, 'local function f(a)' || chr(10) || '  return a' || chr(10) || 'end' as f, 'x = ' || quality as x, 'for i = 1, ' || doc_id || ' do y = i end' as l, 'if x then g() end' as i from labels)
+select doc_id, doc_id % 5 <> 0 as ok, concat_ws('|', 'local function f(a)' || chr(10) || '  {}' || chr(10) || 'end', l, i, x, 'y = i', 'return a') as blocks from c""")
+def lua_blocks(spark, sf_dir):
+    end = F.when(F.col("doc_id") % 5 == 0, "\nz = = 1").otherwise("")
+    code = F.concat(F.lit("local function f(a)\n  return a\nend -- done\nx = "), F.col("quality").cast("string"), F.lit("\nfor i = 1, "), F.col("doc_id").cast("string"), F.lit(" do y = i end if x then g() end"), end)
+    rows = _table(spark, sf_dir, "labels").select("doc_id", blocks.split_blocks(code, "lua").alias("b"))
+    return rows.select("doc_id", "b.ok", F.array_join(F.concat("b.function_def", "b.loops", "b.conditionals", "b.assignments", "b.others"), "|").alias("blocks"))
+
+
 # ---- joins -----------------------------------------------------------------------------------------------------------------
 @_query("""with u as (select user_id as idx, max(event_id) as event_id from events where user_id is not null group by 1), a as (select idx, event_type, value from events join u using (event_id))
 select idx, event_type, value, quality as raw_code from a join labels on idx = doc_id""")
@@ -711,9 +836,65 @@ def json_field(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@_query()
+@_query(f"with {_PY} select count(*) filter (not bad) as valid, count(*) as total, round_even(count(*) filter (not bad) * 100.0::double / count(*), 2) as apr from py")
 def syntax_rate(spark, sf_dir):
-    return blocks.parse_rate(_table(spark, sf_dir, "documents"), "text")
+    return blocks.parse_rate(_python_functions(spark, sf_dir), "code")
+
+
+# each table below is written to the shared folder and read back
+@_query("select conv_id, turn, role, md5(text) as text_md5 from conversations")
+def jsonl_round_trip(spark, sf_dir):
+    path = shared_path(spark, "jsonl")
+    records.write_jsonl(_table(spark, sf_dir, "conversations"), path, ["conv_id", "turn"])
+    rows = records.read_jsonl(spark, path, "conv_id long, turn long, role string, text string")
+    return rows.select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@_query("select count(*) filter (event_id % 9 <> 0) as good, count(*) filter (event_id % 9 = 0) as bad, sum(event_id) filter (event_id % 9 <> 0)::bigint as ids from events")
+def jsonl_permissive(spark, sf_dir):
+    path = shared_path(spark, "lines")
+    k = F.col("event_id").cast("string")
+    _table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 9 == 0, F.concat(F.lit('{"id": '), k)).otherwise(F.concat(F.lit('{"id": '), k, F.lit("}\n"))).alias("value")).write.text(path)
+    good, bad = records.good_and_bad(records.read_jsonl(spark, path, "id long", strict=False))
+    return good.agg(F.count(F.lit(1)).alias("good"), F.sum("id").alias("ids")).crossJoin(bad.agg(F.count(F.lit(1)).alias("bad")))  # one row each
+
+
+@_query(f"select item_id as index, {_squeeze('text')} as summary from benchmark")
+def tsv_round_trip(spark, sf_dir):
+    path = shared_path(spark, "tsv")
+    records.write_tsv(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("index"), t.squeeze(F.col("text")).alias("summary")), path, bom=True)
+    return records.read_tsv(spark, path, "index long, summary string")
+
+
+@_query("select item_id, text from benchmark")
+def json_array_round_trip(spark, sf_dir):
+    path = shared_path(spark, "array")
+    records.write_json_array(_table(spark, sf_dir, "benchmark").select("item_id", "text"), path, "item_id")
+    return records.read_json_array(spark, path, "item_id long, text string")
+
+
+@_query("select row_number() over (order by item_id) - 1 as row_id, row_number() over (order by item_id)::varchar as index, md5(trim(regexp_replace(text, '[\\r\\n]', ' ', 'g'))) as code_md5 from benchmark")
+def indexed_lines_round_trip(spark, sf_dir):
+    path = shared_path(spark, "indexed")
+    records.write_indexed_lines(joins.dense_rank(_table(spark, sf_dir, "benchmark"), "item_id", "n").withColumn("row_id", F.col("n") - 1), path, "row_id", "text")
+    rows = records.read_indexed_lines(spark, path)
+    return rows.select((F.col("index").cast("long") - 1).alias("row_id"), "index", F.md5(F.col("code").cast("binary")).alias("code_md5"))
+
+
+@_query("select count(*) as n, round(sum(value), 4) as total from events")
+def floats_round_trip(spark, sf_dir):
+    path = shared_path(spark, "floats")
+    _table(spark, sf_dir, "events").select(F.concat(F.col("value").cast("string"), F.when(F.col("event_id") % 4 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    return records.read_floats(spark, path).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@_query("select item_id as idx, trim(replace(regexp_replace(text, '\\r?\\n', ' ', 'g'), 'Summary', '')) as text, md5(text) as debug_md5 from benchmark")
+def predictions_round_trip(spark, sf_dir):
+    lines, debug = shared_path(spark, "predictions"), shared_path(spark, "debug")
+    records.write_predictions(_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("summary")), lines, debug)
+    told = records.read_jsonl(spark, debug, "idx long, summary string")
+    made = spark.read.text(lines).select(F.split("value", "\t")[0].cast("long").alias("idx"), records.prediction_text(F.col("value")).alias("text"))
+    return made.join(told, "idx").select("idx", "text", F.md5(F.col("summary").cast("binary")).alias("debug_md5"))
 
 
 # ---- smaller operators -------------------------------------------------------------------------------------------------------

@@ -121,12 +121,12 @@ def read_floats(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_predictions(df: DataFrame, path: str, debug_path: str | None = None) -> None:
-    """`idx<TAB>summary` lines, and all columns as JSON lines."""
+    """`idx<TAB>summary` lines, and all columns as JSON lines, from which the lines are then made, so that what made df runs once."""
     line = F.concat(F.col("idx").cast("string"), F.lit("\t"), F.regexp_replace(F.coalesce("summary", F.lit("")), r"\r?\n", " "))
-    ordered = df.orderBy("idx")
-    ordered.select(line.alias("value")).write.text(path)
     if debug_path:
-        ordered.write.json(debug_path)
+        df.orderBy("idx").write.json(debug_path)
+        df = df.sparkSession.read.schema(df.schema).json(debug_path)
+    df.orderBy("idx").select(line.alias("value")).write.text(path)
 
 
 def read_template(spark: SparkSession, root: str, pattern: str, schema: str | T.StructType) -> DataFrame:
