@@ -11,8 +11,9 @@ A window is `window` consecutive words; a word goes if any window over it also s
    places is no hot key). Those that occur once were overestimated: a row of the text and the position goes back, and
    every other candidate is removed. Nothing repeated is lost: the sketch never underestimates.
 
-The merged sketch is a bit for each cell, "two or more". Its size is bounded by `most_cells`; beyond that the cells are split
-into slices, and candidates are looked for slice by slice, each with its own broadcast of bounded size.
+The merged sketch is a bit for each cell, "two or more". Up to `most_cells` cells a row it is broadcast. Beyond that the texts' anchors go to the
+blocks of the sketch instead, in one shuffle of short rows: a block is copied to `SALTS` tasks and a text asks one of them, so an anchor that a third of all
+texts have is spread; the anchors found repeated return to their text. Both ways find the same candidates.
 
 Null texts have no words. Texts shorter than the window keep every word. Repeated rows and copies count as places of
 their own: all of them lose the windows they share. A very long text is worked on whole, alone. An empty table gives an
@@ -24,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +36,8 @@ MADE = ["n_words", "n_removed", "kept_text"]
 SHINGLE = 8
 ROWS = 2
 BLOCK = 1 << 16
+#: Tasks that answer for one block of a sketch that isn't broadcast.
+SALTS = 16
 _BASE, _BASE2, _BASE3 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 _SEED = 20
 
@@ -75,16 +77,12 @@ class _Words:
 
 
 def _cells(anchors: np.ndarray, row: int, bits: int) -> np.ndarray:
-    """The cell of each anchor in a count-min row of 2**bits cells; the slice, from the low bits, is the same in all rows."""
+    """The cell of each anchor in a count-min row of 2**bits cells."""
     return (anchors * np.uint64((_BASE, _BASE2)[row]) ^ (anchors >> np.uint64(29))) * np.uint64(_BASE3) >> np.uint64(64 - bits)
 
 
-def _slice(anchors: np.ndarray, slices: int) -> np.ndarray:
-    return (anchors & np.uint64(slices - 1)).astype(np.int64)
-
-
-def _sketched(window: int, bits: int, slices: int):
-    """The cells that a partition's anchors touch: one place, or two and more, by slice, row and block."""
+def _sketched(window: int, bits: int):
+    """The cells that a partition's anchors touch: one place, or two and more, by row and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(_SEED)
@@ -93,9 +91,8 @@ def _sketched(window: int, bits: int, slices: int):
         def out() -> pa.RecordBatch:
             anchors = np.concatenate(found) if found else np.empty(0, np.uint64)
             blocks, ones, more = [], [], []
-            part = _slice(anchors, slices)
             for row in range(ROWS):
-                cells = ((part * ROWS + row) << bits) + _cells(anchors, row, bits).astype(np.int64)
+                cells = (row << bits) + _cells(anchors, row, bits).astype(np.int64)
                 cells, n = np.unique(cells, return_counts=True)
                 block = cells // BLOCK
                 starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(cells) else np.empty(0, np.int64)
@@ -141,8 +138,16 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _candidates(window: int, bits: int, slices: int, part: int, sketch):
-    """Rows with `hit`: a bit for each window that is a candidate in this slice, null if there is none."""
+def _hits(words: _Words, at: np.ndarray, window: int) -> list[bytes | None]:
+    """For each text a bit for each of its windows that is in `at`, null if there is none."""
+    hit = np.zeros(words.n_windows + window, bool)
+    hit[at] = True
+    some = np.add.reduceat(hit, np.minimum(words.starts, len(hit) - 1)) if len(hit) else np.zeros(len(words.starts))
+    return [np.packbits(hit[start : start + n - window + 1]).tobytes() if n >= window and k else None for start, n, k in zip(words.starts.tolist(), words.counts.tolist(), some.tolist(), strict=True)]
+
+
+def _candidates(window: int, bits: int, sketch):
+    """Rows with `hit`: a bit for each window that is a candidate, null if there is none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(_SEED)
@@ -152,20 +157,73 @@ def _candidates(window: int, bits: int, slices: int, part: int, sketch):
             hits: list[bytes | None] = []
             for a, b in chunks(texts):
                 words = _Words(texts[a:b], cache, window)
-                at = np.flatnonzero(words.valid & (_slice(words.anchor, slices) == part))
+                at = np.flatnonzero(words.valid)
                 for row in range(ROWS):
                     cells = _cells(words.anchor[at], row, bits).astype(np.int64)
                     at = at[flags[row, cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1 > 0]
-                hit = np.zeros(words.n_windows + window, bool)
-                hit[at] = True
-                some = np.add.reduceat(hit, np.minimum(words.starts, len(hit) - 1)) if len(hit) else np.zeros(b - a)
-                for start, n, k in zip(words.starts.tolist(), words.counts.tolist(), some.tolist(), strict=True):
-                    hits.append(np.packbits(hit[start : start + n - window + 1]).tobytes() if n >= window and k else None)
+                hits += _hits(words, at, window)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.binary())], [*batch.schema.names, "hit"])
 
     return run
 
 
+ASKED = "block long, salt int, bitmap binary, cell int, rid long, anchor long"
+
+
+def _asked(window: int, bits: int):
+    """What texts (text, rid) ask of the sketch: a row for each of their anchors and row of the sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes(_SEED)
+        for batch in batches:
+            texts, rids = batch.column("text").to_pylist(), batch.column("rid").to_numpy()
+            for a, b in chunks(texts):
+                words = _Words(texts[a:b], cache, window)
+                text = np.repeat(np.arange(b - a), words.counts)[: words.n_windows]
+                pairs = np.unique(np.rec.fromarrays([text[words.valid], words.anchor[words.valid]], names="text,anchor"))
+                rid, anchor = rids[a:b][pairs.text], pairs.anchor
+                for row in range(ROWS):
+                    cells = (row << bits) + _cells(anchor, row, bits).astype(np.int64)
+                    columns = [pa.array(cells // BLOCK), pa.array((rid % SALTS).astype(np.int32)), pa.nulls(len(rid), pa.binary()), pa.array((cells % BLOCK).astype(np.int32)), pa.array(rid), pa.array(anchor.view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, [x.split(" ")[0] for x in ASKED.split(", ")])
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ASKED rows by block and salt, the block's bitmap first: (rid, anchor) of those whose cell has its bit; a block that no anchor touched twice may have none."""
+    at, flags = None, None
+    for batch in batches:
+        block = batch.column("block").to_numpy() * SALTS + batch.column("salt").to_numpy()
+        cell, rid, anchor = (batch.column(c) for c in ("cell", "rid", "anchor"))
+        starts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else []
+        for a, b in zip(starts, np.append(starts, len(block))[1:], strict=True):
+            if block[a] != at:
+                at, flags = block[a], None
+            if (bitmap := batch.column("bitmap")[int(a)].as_py()) is not None:
+                flags = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
+                a += 1
+            if flags is not None and b > a:
+                own = pa.array(flags[cell.slice(a, b - a).to_numpy()])
+                yield pa.RecordBatch.from_pydict({"rid": rid.slice(a, b - a).filter(own), "anchor": anchor.slice(a, b - a).filter(own)})
+
+
+def _marked(window: int):
+    """Rows with `hit` from the anchors that were found repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = Hashes(_SEED)
+        for batch in batches:
+            hits: list[bytes | None] = []
+            for text, anchors in zip(batch.column("text").to_pylist(), batch.column("anchors"), strict=True):
+                own = anchors.as_py()
+                words = _Words([text if own else None], cache, window)
+                hits += _hits(words, np.flatnonzero(words.valid & np.isin(words.anchor, np.array(own or [], np.int64).view(np.uint64))), window)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("text", "row", "rid")), pa.array(hits, pa.binary())], ["text", "row", "rid", "hit"])
+
+    return run
+
+
 def _grouped(window: int):
     """Candidates' hashes: (h1, h2, rid, pos)."""
 
@@ -215,41 +273,43 @@ def _removed(window: int):
     return run
 
 
-def _sketch_size(docs: DataFrame, text_col: str, most_cells: int) -> tuple[int, int]:
-    """(bits of a row's cells in a slice, slices, a power of two) for about four cells an anchor."""
+def _sketch_bits(docs: DataFrame, text_col: str) -> int:
+    """The bits of a row's cells, for about four cells an anchor."""
     n = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("binary")))).first()[0] or 0
-    bits = max(16, (4 * n // 80).bit_length())  # an anchor for every 80 bytes or more
-    most = most_cells.bit_length() - 1
-    return min(bits, most), 1 << max(0, bits - most)
+    return max(16, (4 * n // 80).bit_length())  # an anchor for every 80 bytes or more
+
+
+def _by_broadcast(source: DataFrame, merged: DataFrame, window: int, bits: int, schema: T.StructType) -> DataFrame:
+    flags = np.zeros((ROWS << bits) // 8, np.uint8)  # one bit a cell
+    for row in merged.toLocalIterator():
+        at = row["block"] * BLOCK // 8
+        flags[at : at + BLOCK // 8] = np.frombuffer(row["bitmap"], np.uint8)
+    sketch = source.sparkSession.sparkContext.broadcast(flags.tobytes())
+    return source.mapInArrow(trimmed(_candidates(window, bits, sketch)), schema)
+
+
+def _by_shuffle(source: DataFrame, merged: DataFrame, window: int, bits: int, schema: T.StructType) -> DataFrame:
+    source = materialize(source, "numbered")  # rid has to stay
+    none = lambda kind: F.lit(None).cast(kind)
+    copies = merged.select("block", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "bitmap", none("int").alias("cell"), none("long").alias("rid"), none("long").alias("anchor"))
+    asked = source.select("text", "rid").mapInArrow(trimmed(_asked(window, bits)), ASKED)
+    told = copies.unionAll(asked).repartition("block", "salt").sortWithinPartitions("block", "salt", F.col("bitmap").isNull()).mapInArrow(_answered, "rid long, anchor long")
+    repeated = told.groupBy("rid", "anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == ROWS)
+    anchors = repeated.groupBy("rid").agg(F.collect_list("anchor").alias("anchors"))  # of one text
+    return source.join(anchors, "rid", "left").select("text", "row", "rid", "anchors").mapInArrow(trimmed(_marked(window)), schema)
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, most_cells: int = 1 << 28) -> DataFrame:
     """docs with n_words, n_removed and kept_text (the words that stay, joined by one space)."""
-    spark = docs.sparkSession
-    bits, slices = _sketch_size(docs, text_col, most_cells)
+    bits = _sketch_bits(docs, text_col)
     text = docs.select(F.col(f"`{text_col}`").cast("binary").alias("text"))
-    touched = text.mapInArrow(trimmed(_sketched(window, bits, slices)), "block long, ones binary, more binary")
+    touched = text.mapInArrow(trimmed(_sketched(window, bits)), "block long, ones binary, more binary")
     merged = materialize(touched.repartition("block").sortWithinPartitions("block").mapInArrow(_merged, "block long, bitmap binary"), "sketch")
 
     source = packed(docs, text_col).withColumn("rid", F.monotonically_increasing_id())
-    fields = source.schema.fields
-    a_slice = ROWS << bits
-    for part in range(slices):
-        # bounded by most_cells: one bit a cell
-        flags = np.zeros(a_slice // 8, np.uint8)
-        first = part * a_slice // BLOCK
-        for row in merged.filter(F.col("block").between(first, first + a_slice // BLOCK - 1)).toLocalIterator():
-            at = (row["block"] - first) * BLOCK // 8
-            flags[at : at + BLOCK // 8] = np.frombuffer(row["bitmap"], np.uint8)
-        sketch = spark.sparkContext.broadcast(flags.tobytes())
-        schema = T.StructType([*fields, T.StructField("hit", T.BinaryType())])
-        found = source.mapInArrow(trimmed(_candidates(window, bits, slices, part, sketch)), schema)
-        if part:
-            found = found.withColumn("hit", _either(F.col("before"), F.col("hit"))).drop("before")
-        source = materialize(found, "candidates")
-        if part < slices - 1:
-            source = source.withColumnRenamed("hit", "before")
-            fields = source.schema.fields
+    schema = T.StructType([*source.schema.fields, T.StructField("hit", T.BinaryType())])
+    find = _by_broadcast if 1 << bits <= most_cells else _by_shuffle
+    source = materialize(find(source, merged, window, bits, schema), "candidates")
     hit = source.filter(F.col("hit").isNotNull())
     places = hit.select("text", "hit", "rid").mapInArrow(trimmed(_grouped(window)), "h1 long, h2 long, rid long, pos int")
     once = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.min("pos").alias("pos")).filter("n = 1")
@@ -261,13 +321,6 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, mo
     return unpacked(done, docs, text_col, MADE)
 
 
-@F.pandas_udf(T.BinaryType())
-def _either(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Union of two bit strings of one length; null is empty."""
-    both = lambda x, y: y if x is None else x if y is None else (int.from_bytes(x) | int.from_bytes(y)).to_bytes(len(x))
-    return pd.Series([both(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
-
-
 def op10_substring_countmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

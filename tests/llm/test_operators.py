@@ -271,16 +271,15 @@ def test_remove_repeats(docs, none, width, cells):
     assert substring.remove_repeats(none, window=width).count() == 0
 
 
-def test_many_slices(spark):
-    docs = spark.createDataFrame([(i, prose(i, 400) + " " + prose(77 + i % 3, 50)) for i in range(60)], "doc_id long, text string")
-    assert substring._sketch_size(docs, "text", 1 << 16)[1] == 1
-    original = substring._sketch_size
-    try:
-        substring._sketch_size = lambda *a: (16, 4)
-        got = collections.Counter((r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(docs).collect())
-    finally:
-        substring._sketch_size = original
-    assert got == collections.Counter(brute_repeats([r.text for r in docs.collect()], 35))
+@pytest.mark.parametrize("width", [35, 5])
+def test_a_sketch_that_is_not_broadcast(spark, docs, none, width):
+    given = docs.select("text").collect()
+    out = substring.remove_repeats(docs, window=width, most_cells=1)
+    assert collections.Counter((r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == collections.Counter(brute_repeats([r.text for r in given], width))
+    assert substring.remove_repeats(none, window=width, most_cells=1).count() == 0
+    more = spark.createDataFrame([(i, prose(i, 400) + " " + prose(77 + i % 3, 50)) for i in range(60)], "doc_id long, text string").repartition(5)
+    got = collections.Counter((r.n_words, r.n_removed, r.kept_text) for r in substring.remove_repeats(more, window=width, most_cells=1).collect())
+    assert got == collections.Counter(brute_repeats([r.text for r in more.collect()], width))
 
 
 # ---- 6 ------------------------------------------------------------------------------------------------------------------
