@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,59 +13,41 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the cluster names no shared folder, as in tests on one machine.
-FALLBACK_DIR = "/tmp/checkpoints/loomtext"
+from loomtext import session
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = FALLBACK_DIR
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-#: Where a pipeline's stage is at work, the paths that it has made; see scratch().
-_scratch: list[str] | None = None
-
-
-def _hadoop(spark: SparkSession, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+#: Within scratch(), where the paths made are noted; each thread has its own.
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/loomtext/{name}-{uuid.uuid4().hex}"
-    files, at = _hadoop(spark, path)
-    files.deleteOnExit(at)
-    if _scratch is not None:
-        _scratch.append(path)
+    """A fresh path in the shared folder, deleted when the application ends or by release()."""
+    path = session.shared_path(spark, name)
+    if (made := _scratch.get()) is not None:
+        made.append(path)
     return path
 
 
 @contextlib.contextmanager
-def scratch(paths: list[str]) -> Iterator[None]:
-    """Paths made inside are noted in `paths`."""
-    global _scratch
-    before, _scratch = _scratch, paths
+def scratch() -> Iterator[list[str]]:
+    """A list that the paths made inside are noted in."""
+    made: list[str] = []
+    token = _scratch.set(made)
     try:
-        yield
+        yield made
     finally:
-        _scratch = before
+        _scratch.reset(token)
 
 
 def release(spark: SparkSession, paths: list[str]) -> None:
     """Delete them, once no DataFrame that reads them is needed any more."""
     for path in paths:
-        files, at = _hadoop(spark, path)
-        files.delete(at, True)
-    paths.clear()
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
