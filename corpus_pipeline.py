@@ -2,11 +2,15 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and works on all that its predecessor kept. Stages but the
 last return the columns of docs. Columns of docs never clash with those that an operator makes: they travel in a struct.
+What a stage writes to the shared folder is read by its result, so it stays until run() has written that, or the application ends.
+
+Null, empty and blank texts, and those without letters, go in the first stage. Documents with equal or null ids are rows of their own up to
+near_dedup, where texts of one group leave the smallest id (nulls last; of equal ids one row). Ties: languages by name, see the operators.
+Very long texts are worked on whole; an empty table passes all stages empty.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -21,23 +25,6 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-#: Tables that the stage before has left in the shared folder.
-_left: list[str] = []
-
-
-def _stage(f: Callable) -> Callable:
-    """A stage. What stages write to the shared folder is needed until their result is written, and goes when the next one starts."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _left)
-        with scratch(_left):
-            return f(spark, docs, sf_dir)
-
-    return run_stage
-
-
-@_stage
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows of docs; drops documents without letters and those without a main language."""
     model = language.train(docs)
@@ -47,7 +34,6 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
-@_stage
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labels of documents that got here; drops what the rules reject."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
@@ -56,13 +42,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return found.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
 
 
-@_stage
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of copies and near copies."""
     return simhash.drop_near_duplicates(docs)
 
 
-@_stage
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out passages of 35 words and more that occur elsewhere too; a text that loses nothing stays as it is. n_chars follows the text."""
     rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
@@ -74,7 +58,6 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.select(*(out.get(c, F.col(f"rest.`{c}`") if c != "text" else None).alias(c) for c in docs.columns))
 
 
-@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens."""
     return packing.pack_documents(docs, lambda: packing.library_encoder(VOCABULARY))
@@ -93,9 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. The result of each but the last is written to the shared folder, and what the stage left there goes."""
     docs = table(spark, sf_dir, "documents")
     for at, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with scratch() as made:
+            docs = stage(spark, docs, sf_dir)
         if at < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
+            release(spark, made)
     return docs
