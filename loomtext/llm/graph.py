@@ -1,13 +1,22 @@
-"""Connected components of links held in a DataFrame, by alternating large-star and small-star steps."""
+"""Connected components of links held in a DataFrame, by alternating large-star and small-star steps.
+
+Each step is a handful of shuffles, so links that are proved few, by a count, are joined by one task at once; the result is the same.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.llm.common import materialize
 
+#: Links, of 16 bytes each, that one task may join.
+MOST_IN_ONE_TASK = 1_000_000
+
 
 def forest(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """As many links as join the same nodes, each from a node to the smallest of its component."""
@@ -35,11 +44,21 @@ def _stamp(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if held:
+        node, root = forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        roots = np.unique(root)
+        yield pa.RecordBatch.from_pydict({"node": pa.array(np.concatenate([node, roots])), "root": pa.array(np.concatenate([root, roots]))})
+
+
+def components(edges: DataFrame, most_in_one_task: int = MOST_IN_ONE_TASK) -> DataFrame:
     """(node, root): for each node of the links (a, b), the smallest node of its component. Loops and repeats are allowed."""
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges = materialize(edges, "links")
     stamp = _stamp(edges)
+    if stamp[0] <= most_in_one_task:
+        return edges.coalesce(1).mapInArrow(_in_one_task, "node long, root long")
     while stamp[0]:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

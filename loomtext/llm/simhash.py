@@ -189,6 +189,8 @@ MOST_COMMON = 500_000
 MOST_BROADCAST = 1_000_000
 #: Candidate pairs in a batch.
 PAIRS = 1 << 18
+#: Cells of a text's bitmap.
+BITMAP = 512
 #: Differing bits of fingerprints whose texts are compared first. It doesn't decide what is found: the prefix filter follows.
 FIRST_BITS = 8
 
@@ -231,17 +233,25 @@ def _majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * sums > len(hashes)).view(">u8")[0])
 
 
+def _bitmap(hashes: np.ndarray) -> bytes:
+    """A bit for each cell, of BITMAP, that a shingle has. A bit that one text has and another one hasn't stands for a shingle of the first alone."""
+    cells = np.zeros(BITMAP, bool)
+    cells[(hashes % np.uint64(BITMAP)).astype(np.int64)] = True
+    return np.packbits(cells).tobytes()
+
+
 def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray):
-    """(text, row, digest of the set, its fingerprint and size, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
+    """(text, row, digest of the set, its fingerprint, size and bitmap, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(SEED)
         for batch in batches:
-            digests, prints, sizes, keys = [], [], [], []
+            digests, prints, sizes, keys, bits = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = _shingles(text, shingle, cache)
                 digests.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prints.append(_majority(own))
+                bits.append(_bitmap(own))
                 sizes.append(len(own))
                 n = len(own) - int(np.ceil(least * len(own) - 1e-9)) + 1 if len(own) else 0
                 if n and len(common):
@@ -250,7 +260,7 @@ def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray
                 keys.append(own[:n])
             ends = np.cumsum([0, *map(len, keys)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)))
-            columns = {"text": batch.column("text"), "row": batch.column("row"), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "keys": listed}
+            columns = {"text": batch.column("text"), "row": batch.column("row"), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()), "keys": listed}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -287,7 +297,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float, star: bool):
-    """Candidates (a, b, need) of each key, a > b: of its least row with the others, or of all rows of different roots.
+    """Candidates (a, b, need) of each key, a > b: of its first row with the others, or of all rows of different roots.
+
+    Rows of a key come by its place in their texts' orders: an original has fewer rare shingles before it than its copies, so it is compared with all of them.
+    A key at places p and q can't be common to similar texts if what lies before both and after both is too little; nor are texts similar
+    if one has too many shingles that the other's bitmap denies. Both bounds are exact and go before anything is emitted.
 
     need is how many keys two similar texts of their sizes share: of the text whose keys end first in the order, a key that the other one lacks is a
     shingle that it lacks, so the texts share no more than their common keys and what is no key of that one.
@@ -295,12 +309,18 @@ def _pairs(least: float, star: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for found, sizes in _whole_keys(batches):
-            nid, size, root = (found[c].to_numpy() for c in ("nid", "size", "root"))
-            size = size.astype(np.int64)
+            nid, size, pos, root = (found[c].to_numpy() for c in ("nid", "size", "pos", "root"))
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
             others = np.ceil(least * size - 1e-9).astype(np.int64) - 1  # shingles that are no keys
+            bits = np.frombuffer(b"".join(found["bits"].to_pylist()), np.uint64).reshape(len(nid), -1)
 
             def near(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-                ok = (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= least * np.maximum(size[i], size[j]) - 1e-6)
+                shared = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+                ok = (root[i] != root[j]) & (shared >= least / (1 + least) * (size[i] + size[j]) - 1e-6)
+                i, j = i[ok], j[ok]
+                own, other = bits[i], bits[j]
+                denied = [np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64) for x, y in ((own, other), (other, own))]
+                ok = np.minimum(size[i] - denied[0], size[j] - denied[1]) >= least / (1 + least) * (size[i] + size[j]) - 1e-6
                 i, j = i[ok], j[ok]
                 need = np.ceil(least / (1 + least) * (size[i] + size[j]) - 1e-6).astype(np.int64) - np.maximum(others[i], others[j])
                 x, y = nid[i], nid[j]
@@ -387,21 +407,23 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     source = packed(docs, text_col)
     none = F.col(f"row.`{id_col}`").isNull()
-    made = [T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+    made = [T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
     schema = T.StructType([source.schema["text"], source.schema["row"], *made])
     rows = source.mapInArrow(trimmed(_prefixed(shingle, similarity, *_common(source, shingle))), schema)
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
     order = F.struct(none.alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    nodes = rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp")).select("best", "fp", F.col("best.rid").alias("nid"))
+    nodes = rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp"), F.first("bits").alias("bits")).select("best", "fp", "bits", F.col("best.rid").alias("nid"))
     nodes = materialize(nodes, "near-nodes")
     tried = materialize(_first_pairs(nodes), "near-tried")
     links = _verified(tried, rows, shingle, similarity)
-    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.explode("keys").alias("key"))
+    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
     shared = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, keyed.schema), "near-shared")
+    few = nodes.count() <= MOST_BROADCAST // 10  # they are ten times as long as ids
     for star in (True, False):
         roots = components(links)
-        apart = shared.join(_bounded(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-        pairs = apart.repartition("key").sortWithinPartitions("key", "nid").mapInArrow(_pairs(similarity, star), "a long, b long, need int")
+        known = nodes.select("nid", "bits").join(_bounded(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+        apart = shared.join(F.broadcast(known) if few else known, "nid")
+        pairs = apart.repartition("key").sortWithinPartitions("key", "pos", "nid").mapInArrow(_pairs(similarity, star), "a long, b long, need int")
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select("a", "b")
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
         links = materialize(links.unionAll(_verified(pairs, rows, shingle, similarity)), "near-links")

@@ -4,14 +4,14 @@ A list entry is (pattern, action, day): `add` puts a pattern on the list from th
 (example.org, which covers its subdomains) or a domain with a path prefix that ends in a slash (example.org/ads/). Of entries
 with one pattern each holds from its day until the day before the next one's.
 
-A capture has the keys that could match it: every suffix of its host of two labels or more, and its host with every directory
-of its path. Keys join intervals by equality, as of the fetch day. Intervals up to `most_broadcast` are broadcast after their
+A capture has the keys that could match it: every suffix of its host of two labels or more, and its host with the directories
+of its path, down to the depth of the deepest pattern on the list. Keys join intervals by equality, as of the fetch day. Intervals up to `most_broadcast` are broadcast after their
 number is checked; more are joined by a shuffle in which both sides are salted, so that a domain that holds a third
 of all captures is spread over `salts` tasks. Only DataFrame functions are used.
 
 Entries of one pattern and one day: `remove` wins. A null url, day or one without a host has no keys and is not blocked; a null
-pattern, action or day in a list is left out. Repeated rows are judged each for itself. A very long url has a key for every
-directory. An empty list blocks nothing; an empty table gives an empty result. Columns of captures other than those named are dropped.
+pattern, action or day in a list is left out. Repeated rows are judged each for itself. A very long url has no
+more keys than others. An empty list blocks nothing; an empty table gives an empty result. Columns of captures other than those named are dropped.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from loomtext.llm.common import table
+from loomtext.llm.common import materialize, table
 
 #: Intervals, of about 60 bytes each, that may be broadcast.
 MOST_BROADCAST = 200_000
@@ -33,14 +33,14 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_replace(host, r"\.$", ""))
 
 
-def keys_of(host: Column, url: Column) -> Column:
-    """All patterns that could match."""
+def keys_of(host: Column, url: Column, deepest: int) -> Column:
+    """All patterns of at most `deepest` folders that could match."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.when((host != "") & (n > 1), F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.array_join(F.slice(labels, i, n), "."))).otherwise(F.array().cast("array<string>"))
     path = F.split(F.regexp_extract(url, r"^[^:]+://[^/?#]*([^?#]*)", 1), "/")
-    depth = F.size(path)
-    folders = F.when((host != "") & (depth > 2), F.transform(F.sequence(F.lit(1), depth - 2), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, 2, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
+    depth = F.least(F.size(path) - 2, F.lit(deepest))
+    folders = F.when((host != "") & (depth > 0), F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(path, 2, i), "/"), F.lit("/")))).otherwise(F.array().cast("array<string>"))
     return F.concat(suffixes, folders)
 
 
@@ -54,11 +54,12 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def filter_captures(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", most_broadcast: int = MOST_BROADCAST, salts: int = 16) -> DataFrame:
     """captures (id, url, fetched_on) with host, blocked, and the most specific pattern active on the day and since when."""
-    listed = intervals(entries).persist()
-    small = listed.count() <= most_broadcast
+    listed = materialize(intervals(entries), "intervals")
+    known = listed.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(F.split("pattern", "/")) - 2).alias("deepest")).first()
+    small = known["n"] <= most_broadcast
     rows = captures.select(F.col(f"`{id_col}`").alias("id"), "url", F.col("fetched_on").cast("date").alias("fetched_on"), F.monotonically_increasing_id().alias("rid"))
     rows = rows.withColumn("host", host_of(F.coalesce("url", F.lit(""))))
-    keyed = rows.select("rid", "id", "host", "fetched_on", F.explode_outer(keys_of(F.col("host"), F.coalesce("url", F.lit("")))).alias("pattern"))
+    keyed = rows.select("rid", "id", "host", "fetched_on", F.explode_outer(keys_of(F.col("host"), F.coalesce("url", F.lit("")), max(0, known["deepest"] or 0))).alias("pattern"))
     on = (F.col("c.pattern") == F.col("l.pattern")) & (F.col("c.fetched_on") >= F.col("l.since")) & (F.col("c.fetched_on") < F.col("l.until"))
     if small:
         joined = keyed.alias("c").join(F.broadcast(listed).alias("l"), on, "left")

@@ -167,11 +167,12 @@ def test_large_keys_are_searched_exactly(most, monkeypatch):
     assert linked(prints.tolist(), lambda a, b: (a, b) in pairs or (b, a) in pairs) == want
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    found = {r.node: r.root for r in graph.components(edges).collect()}
-    assert all(found[i] == 0 for i in range(41)) and found[101] == 100 and len(found) == 43
-    assert graph.components(edges.filter("false")).count() == 0
+@pytest.mark.parametrize("most", [0, graph.MOST_IN_ONE_TASK])
+def test_components_of_a_long_chain(spark, most):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (-5, -9)], "a long, b long")
+    found = {r.node: r.root for r in graph.components(edges, most).collect()}
+    assert all(found[i] == 0 for i in range(41)) and found[101] == 100 and found[-5] == found[-9] == -9 and len(found) == 45
+    assert graph.components(edges.filter("false"), most).count() == 0
 
 
 def test_drop_near_duplicates(spark):
