@@ -32,17 +32,21 @@ def hash_rank(seed: int, key: Column) -> Column:
 def stratified_sample(df: DataFrame, group: str, n_words: Column, key: str, target: int = 3000, shares: tuple = (0.4, 0.4, 0.2), seed: int = 42) -> DataFrame:
     """Per group, quotas of the strata by hash order, topped up from the rest by a second hash to min(n, target) rows.
 
-    Ranks are windows over (group, stratum); the number of groups is small and rows narrow, as only keys are ranked.
+    Ranks beyond the target are cut off with a literal bound, so Spark keeps few keys of a group before it shuffles them. At most
+    target keys are taken by strata, so the first 2 * target by the second hash hold all that can be topped up.
     """
     narrow = df.select(group, F.col(key).alias("_k"), length_stratum(n_words).alias("_s"))
     sizes = narrow.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col("_s") == s).alias(f"_{s}") for s in ("short", "medium", "long")))
     goal = F.least(F.col("_n"), F.lit(target))
     quota = {s: F.least(F.col(f"_{s}"), F.floor(goal * share)) for s, share in zip(("short", "medium", "long"), shares, strict=True)}
     q = F.when(F.col("_s") == "short", quota["short"]).when(F.col("_s") == "medium", quota["medium"]).when(F.col("_s") == "long", quota["long"]).otherwise(0)
-    ranked = narrow.join(F.broadcast(sizes), group).withColumn("_r", F.row_number().over(W.partitionBy(group, "_s").orderBy(hash_rank(seed, F.col("_k")), "_k")))
-    ranked = ranked.withColumn("_in", F.col("_r") <= q).withColumn("_more", goal - (quota["short"] + quota["medium"] + quota["long"]))
-    second = F.row_number().over(W.partitionBy(group, "_in").orderBy(hash_rank(seed + 1, F.col("_k")), "_k"))
-    chosen = ranked.withColumn("_t", second).filter(F.col("_in") | (F.col("_t") <= F.col("_more")))
+    sizes = F.broadcast(sizes)  # one row a group, a language or the like
+    rank = lambda by, seed: F.row_number().over(W.partitionBy(*by).orderBy(hash_rank(seed, F.col("_k")), "_k"))
+    first = narrow.withColumn("_r", rank([group, "_s"], seed)).filter(F.col("_r") <= target).join(sizes, group).filter(F.col("_r") <= q).select(group, "_k")
+    rest = narrow.select(group, "_k").withColumn("_t", rank([group], seed + 1)).filter(F.col("_t") <= 2 * target).drop("_t")
+    rest = rest.join(first, [group, "_k"], "left_anti").withColumn("_t", rank([group], seed + 1)).join(sizes, group)
+    more = rest.filter(F.col("_t") <= goal - (quota["short"] + quota["medium"] + quota["long"])).select(group, "_k")
+    chosen = first.unionAll(more)
     return df.join(chosen.select(group, F.col("_k").alias(key)), [group, key], "left_semi")
 
 
@@ -91,9 +95,9 @@ def sequence_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
 def near_duplicate_pairs(df: DataFrame, row_id: str, text: str, threshold: float = 0.85, part: str | None = None) -> DataFrame:
     """(later, earlier, ratio) of pairs above threshold.
 
-    A pair above it shares at least 2 * shared / (la + lb) > threshold of its characters (as multisets), so candidates must agree
-    in length bands and share one of the rarest characters of a prefix filter: equal-length bands are equi-joined, two
-    neighbours each, and both exact bounds are tested before the Python ratio is.
+    The lengths of such a pair lie in one band or in neighbouring ones, which are joined by equality, and its texts share so many
+    characters (as multisets) that the ratio can be reached; both bounds are exact and are tested before the Python ratio is. Within a
+    band work is quadratic: this is for summaries of a few dozen words, once equal ones are gone.
     """
     least = threshold / (2 - threshold)  # of the lengths' quotient
     base = df.select(F.col(row_id).alias("id"), F.col(text).alias("x"), *([F.col(part).alias("p")] if part else [F.lit(0).alias("p")]))

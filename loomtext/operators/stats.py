@@ -75,7 +75,7 @@ def mean_interval(df: DataFrame, value: str, confidence: float = 0.95) -> DataFr
 def signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, w_plus, w_minus, ties): sums of average ranks of the non-zero differences; ties is the sum of t^3 - t over tied groups.
 
-    Ranks come from counts of distinct absolute differences: the count below each is a running sum over those, range by range.
+    Ranks come from counts of distinct absolute differences, which are fewer than the rows: the count below each is a running sum over those, in one window.
     """
     d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d is not null and d <> 0")
     groups = d.groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
