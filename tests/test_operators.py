@@ -194,7 +194,7 @@ def test_python_blocks(spark):
     assert blocks.python_statements("def f():\n  a = 1\n  return a") == (["a = 1", "return a"], True) and blocks.python_statements("x (\n y") == (["x (", "y"], False)
     assert blocks.python_tokens("a = 1 # c\n") == ["a", "=", "1"]
     with pytest.raises(NotImplementedError):
-        blocks.split_blocks(F.col("code"), "lua")
+        blocks.split_blocks(F.col("code"), "ocaml")
 
 
 def test_token_and_text_splitters():
