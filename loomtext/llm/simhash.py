@@ -9,7 +9,7 @@ drop_near_duplicates(), the pipeline's form, links texts whose sets of five-word
 Candidates come from fingerprints of those sets by the same Golay keys first, and are verified. Fingerprints miss some of the similar texts,
 so a prefix filter goes over what they left in different components, and its candidates are complete: all shingles have one order, the common
 ones last, and of n shingles the first n - ceil(0.8 n) + 1 are the text's keys, of which two such texts share one. The texts of a key are compared
-with one of them; then all pairs of a key that are still not in one component, if their sizes and the number of keys they share allow the similarity.
+with a few of them; then all pairs of a key that are still not in one component, if their sizes and the number of keys they share allow the similarity.
 
 Null, empty and blank texts have fingerprint zero and are linked like any other. Ties: a bit that is set in exactly half
 the shingles is 0. Repeated rows share a component. A null id never names a component unless all its ids are null. An empty
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtext.llm import golay
-from loomtext.llm.common import Hashes, chunks, materialize, mixed, packed, rolling, table, trimmed, unpacked, word_hashes
+from loomtext.llm.common import Hashes, chunks, materialize, mixed, packed, release, rolling, scratch, table, trimmed, unpacked, word_hashes
 from loomtext.llm.graph import components, forest
 
 SEED = 42
@@ -189,6 +189,8 @@ MOST_COMMON = 500_000
 MOST_BROADCAST = 1_000_000
 #: Candidate pairs in a batch.
 PAIRS = 1 << 18
+#: The first texts of a key, so many, are compared with all others before all pairs are.
+CENTRES = 8
 #: Cells of a text's bitmap.
 BITMAP = 512
 #: Differing bits of fingerprints whose texts are compared first. It doesn't decide what is found: the prefix filter follows.
@@ -241,7 +243,7 @@ def _bitmap(hashes: np.ndarray) -> bytes:
 
 
 def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray):
-    """(text, row, digest of the set, its fingerprint, size and bitmap, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
+    """(rid, digest of the set, its fingerprint, size and bitmap, keys): keys are the first shingles, the common ones last, of which similar texts share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = Hashes(SEED)
@@ -260,7 +262,7 @@ def _prefixed(shingle: int, least: float, common: np.ndarray, counts: np.ndarray
                 keys.append(own[:n])
             ends = np.cumsum([0, *map(len, keys)])
             listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64)))
-            columns = {"text": batch.column("text"), "row": batch.column("row"), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()), "keys": listed}
+            columns = {"rid": batch.column("rid"), "digest": pa.array(digests, pa.binary()), "fp": pa.array(np.array(prints, np.uint64).view(np.int64)), "size": pa.array(sizes, pa.int32()), "bits": pa.array(bits, pa.binary()), "keys": listed}
             yield pa.RecordBatch.from_pydict(columns)
 
     return run
@@ -297,7 +299,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(least: float, star: bool):
-    """Candidates (a, b, need) of each key, a > b: of its first row with the others, or of all rows of different roots.
+    """Candidates (a, b, need) of each key, a > b: of its first rows with all others, or of all rows of different roots.
 
     Rows of a key come by its place in their texts' orders: an original has fewer rare shingles before it than its copies, so it is compared with all of them.
     A key at places p and q can't be common to similar texts if what lies before both and after both is too little; nor are texts similar
@@ -326,11 +328,12 @@ def _pairs(least: float, star: bool):
                 x, y = nid[i], nid[j]
                 return pa.RecordBatch.from_pydict({"a": pa.array(np.maximum(x, y)), "b": pa.array(np.minimum(x, y)), "need": pa.array(need.astype(np.int32))})
 
-            first = np.repeat(np.cumsum(sizes) - sizes, sizes)
             row = np.arange(len(nid))
             if star:
-                at = row[row > first]
-                yield near(first[at], at)
+                place = row - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                for k in range(CENTRES):
+                    at = row[place > k]
+                    yield near(at - place[at] + k, at)
                 continue
             left = np.repeat(np.cumsum(sizes), sizes) - row  # rows of the key from here on
             at, d, held, n = row[left > 1], 1, [], 0
@@ -405,19 +408,26 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     A group is linked by Jaccard similarity of the sets of shingles, and no link is left out; texts of equal sets are one node
     throughout. Pairs of a key that are neither similar nor joined by others are all compared, so many texts just below the similarity take their square.
     """
-    source = packed(docs, text_col)
-    none = F.col(f"row.`{id_col}`").isNull()
-    made = [T.StructField("digest", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))]
-    schema = T.StructType([source.schema["text"], source.schema["row"], *made])
-    rows = source.mapInArrow(trimmed(_prefixed(shingle, similarity, *_common(source, shingle))), schema)
-    rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
-    order = F.struct(none.alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
-    nodes = rows.groupBy("digest").agg(F.min(order).alias("best"), F.first("fp").alias("fp"), F.first("bits").alias("bits")).select("best", "fp", "bits", F.col("best.rid").alias("nid"))
+    rows = materialize(packed(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "near-rows")
+    with scratch() as made:
+        gone = _redundant(rows, id_col, shingle, similarity)
+    gone = materialize(gone, "near-gone")
+    release(docs.sparkSession, made)  # the result reads rows and gone alone
+    return unpacked(rows.join(_bounded(gone), "rid", "left_anti"), docs, text_col, [])
+
+
+def _redundant(rows: DataFrame, id_col: str, shingle: int, similarity: float) -> DataFrame:
+    """The rid of all rows (text, row, rid) but one of each group."""
+    schema = "rid long, digest binary, fp long, size int, bits binary, keys array<long>"
+    keyed = materialize(rows.select("rid", "text").mapInArrow(trimmed(_prefixed(shingle, similarity, *_common(rows, shingle))), schema), "near-keyed")
+    order = F.struct(F.col(f"row.`{id_col}`").isNull().alias("none"), F.col(f"row.`{id_col}`").alias("id"), F.col("rid").alias("rid"))
+    ranked = rows.select("rid", order.alias("best")).join(keyed.select("rid", "digest", "fp", "bits"), "rid")
+    nodes = ranked.groupBy("digest").agg(F.min("best").alias("best"), F.first("fp").alias("fp"), F.first("bits").alias("bits")).select("best", "fp", "bits", F.col("best.rid").alias("nid"))
     nodes = materialize(nodes, "near-nodes")
     tried = materialize(_first_pairs(nodes), "near-tried")
     links = _verified(tried, rows, shingle, similarity)
-    keyed = rows.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
-    shared = materialize(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, keyed.schema), "near-shared")
+    each = keyed.select(F.col("rid").alias("nid"), "size", "keys").join(_bounded(nodes.select("nid")), "nid", "left_semi").select("nid", "size", F.posexplode("keys").alias("pos", "key"))
+    shared = materialize(each.repartition("key").sortWithinPartitions("key").mapInArrow(_shared, each.schema), "near-shared")
     few = nodes.count() <= MOST_BROADCAST // 10  # they are ten times as long as ids
     for star in (True, False):
         roots = components(links)
@@ -431,8 +441,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     roots = components(links)
     named = nodes.join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     kept = named.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.rid").alias("rid"))
-    gone = materialize(rows.select("rid").join(kept, "rid", "left_anti"), "near-gone")
-    return unpacked(rows.join(_bounded(gone), "rid", "left_anti"), docs, text_col, [])
+    return rows.select("rid").join(kept, "rid", "left_anti")
 
 
 def op3_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
