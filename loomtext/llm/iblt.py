@@ -78,7 +78,7 @@ def subtract_sql(one: str, other: str) -> str:
 
 
 def peel_sql(difference: str, third: str, seed: str) -> str:
-    """The digests recovered from a difference of cells as (side, k), side 1 or -1; null if it can't be emptied."""
+    """The digests recovered from a difference of cells as (side, k), side 1 or -1; null if it can't be emptied in as many rounds as a part has cells."""
     side = lambda n: f"transform(array_distinct(transform(filter(g0, x -> x.n = {n}), x -> x.k)), x -> named_struct('side', {n}, 'k', x))"
     pure = _let("filter(s.c, x -> abs(x.n) = 1 and xxhash64(x.k, 99) = x.h)", "g0", f"concat({side(1)}, {side(-1)})")
     placed = f"transform(g, v -> {_places('v.k', third, seed, f"named_struct('n', v.side, 'k', v.k, 'h', xxhash64(v.k, 99), 'at', array({{0}}, {third} + {{1}}, 2 * {third} + {{2}}))")})"
@@ -87,7 +87,7 @@ def peel_sql(difference: str, third: str, seed: str) -> str:
     step = f"if(s.over, s, {_let(pure, 'g', f"if(size(g) = 0, named_struct('c', s.c, 'd', s.d, 'over', true), {taken})")})"
     none = "cast(array() as array<struct<side: int, k: bigint>>)"
     empty = "forall(s.c, y -> y.n = 0 and y.k = 0 and y.h = 0)"
-    return f"aggregate(sequence(0, 3 * {third}), named_struct('c', {difference}, 'd', {none}, 'over', false), (s, t0) -> {step}, s -> if({empty}, s.d, null))"
+    return f"aggregate(sequence(1, {third}), named_struct('c', {difference}, 'd', {none}, 'over', false), (s, t0) -> {step}, s -> if({empty}, s.d, null))"
 
 
 def sketch_sql(digests: str) -> str:
@@ -104,10 +104,12 @@ def fingerprint_sql(sketch: str) -> str:
 
 def _again(one: str, other: str) -> str:
     """What differs of two arrays of digests, by sketches that grow until they peel."""
-    third = f"shiftleft({THIRD}, least(t, {MOST_DOUBLED}))"
-    tried = _let(f"named_struct('w', {third}, 't', t + 1)", "y3", peel_sql(subtract_sql(cells_sql("b.a", "y3.w", "y3.t"), cells_sql("b.b", "y3.w", "y3.t")), "y3.w", "y3.t"))
+    def tried(t: str) -> str:
+        cells = lambda side: cells_sql(f"b.{side}", "y3.w", "y3.t")
+        return _let(f"named_struct('w', shiftleft({THIRD}, least({t}, {MOST_DOUBLED})), 't', {t} + 1)", "y3", peel_sql(subtract_sql(cells("a"), cells("b")), "y3.w", "y3.t"))
+
     none = "cast(null as array<struct<side: int, k: bigint>>)"
-    block = f"aggregate(sequence(0, {RETRIES - 1}), {none}, (got, t) -> coalesce(got, {tried}))"
+    block = f"coalesce({tried('0')}, aggregate(sequence(1, {RETRIES - 1}), {none}, (got, t) -> coalesce(got, {tried('t')})))"
     dealt = lambda side: _dealt(f"r.{side}", "r.l", "xxhash64(u, 77)")
     pairs = f"zip_with({dealt('a')}, {dealt('b')}, (x, y) -> named_struct('a', x, 'b', y))"
     level = _level(f"size({one}) + size({other})", AGAIN)
