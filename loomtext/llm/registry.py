@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomtext.llm import bpe_automaton, html_extract, iblt, language, packing, quality, simhash, substring, url_lists, warc
+from loomtext.llm import bpe_automaton, html_extract, iblt, language, licenses, packing, quality, simhash, substring, url_lists, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op8_language_mixture": language.op8_language_mixture,
     "op9_iblt_fingerprints": iblt.op9_iblt_fingerprints,
     "op10_substring_countmin": substring.op10_substring_countmin,
+    "op11_license_automaton": licenses.op11_license_automaton,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": warc.OP1_SQL,
