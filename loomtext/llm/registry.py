@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomtext.llm import bpe_automaton, html_extract, iblt, language, licenses, packing, quality, simhash, substring, url_lists, warc
+from loomtext.llm import bpe_automaton, html_extract, iblt, language, lexical, licenses, packing, quality, simhash, substring, url_lists, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -18,8 +18,10 @@ QUERIES: dict[str, Callable] = {
     "op9_iblt_fingerprints": iblt.op9_iblt_fingerprints,
     "op10_substring_countmin": substring.op10_substring_countmin,
     "op11_license_automaton": licenses.op11_license_automaton,
+    "op12_ranked_search": lexical.op12_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": warc.OP1_SQL,
     "op5_url_temporal_lists": url_lists.OP5_SQL,
+    "op12_ranked_search": lexical.OP12_SQL,
 }
