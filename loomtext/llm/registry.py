@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from loomtext.llm import bpe_automaton, html_extract, iblt, language, lexical, licenses, packing, quality, simhash, substring, url_lists, warc
+from loomtext.llm import bpe_automaton, html_extract, iblt, language, lexical, licenses, packing, quality, simhash, substring, url_lists, vector_codes, warc
 
 QUERIES: dict[str, Callable] = {
     "op1_warc_transactions": warc.op1_warc_transactions,
@@ -19,9 +19,11 @@ QUERIES: dict[str, Callable] = {
     "op10_substring_countmin": substring.op10_substring_countmin,
     "op11_license_automaton": licenses.op11_license_automaton,
     "op12_ranked_search": lexical.op12_ranked_search,
+    "op13_annular_codes": vector_codes.op13_annular_codes,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_transactions": warc.OP1_SQL,
     "op5_url_temporal_lists": url_lists.OP5_SQL,
     "op12_ranked_search": lexical.OP12_SQL,
+    "op13_annular_codes": vector_codes.OP13_SQL,
 }
