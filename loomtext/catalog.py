@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
 from loomtext.operators import blocks, cascade, dedup, evaluation, joins, metrics, nested, retrieval, selection, stats
+from loomtext.operators.gated import BatchPort
 from loomtext.plans import prompts
 from loomtext.session import checkpointer, shared_path
 from loomtext.sources import records
@@ -181,22 +182,27 @@ def _content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CONTENT = """c as (select doc_id as index, string_split(text, chr(10))[1] as head, '-- ' || string_split(text, chr(10))[1] || chr(10) || 'local function f' || doc_id || '(a, b)' || chr(10)
   || substr(text, length(string_split(text, chr(10))[1]) + 2) as content from documents),
-r as (select *, '-- ' || head || chr(10) as raw from c)"""
-_JUDGED = f"""{_CONTENT}, {_summary_sql('raw', "'lua'", 'r', 'index, content, raw')},
+r as (select *, 'lua' as lang, '-- ' || head || chr(10) as raw from c)"""
+def _judged_sql(content: str, keep: str = "", verb: str = "", grammar: str = "", last: str = "", first: str = "") -> str:
+    """CTE j: rows of r (index, lang, content, raw and what else to keep) with reject_reason; the others are cases of SQL that stand where the ports do."""
+    return f"""{content}, {_summary_sql('raw', "lang", 'r', 'index, lang, content, raw' + keep)},
 l as (select *, list_filter(string_split(content, chr(10)), lambda l: {_trim('l')} <> '') as ls from s),
 k as (select *, list_filter(ls, lambda l: not regexp_matches({_trim('l')}, '^(#|--|;;|\\(\\*)')) as plain, regexp_extract_all(lower(summary), '{_W}+') as sw,
-  [lower(regexp_extract(content, 'function\\s+({_W}+)', 1)), 'a', 'b'] as names0, string_split(regexp_extract(content, '\\(([^)]+)\\)', 1), ',') as params from l),
+  string_split(regexp_extract(content, '\\(([^)]+)\\)', 1), ',') as params from l),
 n as (select *, list_concat([lower(regexp_extract(content, 'function\\s+({_W}+)', 1))], list_filter(list_transform(params, lambda p: lower(string_split({_squeeze('p')}, ' ')[1])), lambda w: regexp_matches(w, '^[\\p{{L}}_]{_W}*$'))) as names from k),
-j as (select *, case
+j as (select *, case {first}
   when {_trim('content')} = '' then 'empty_content' when raw = '' then 'no_docstring' when coalesce({_first('raw')}, '') = '' then 'first_sentence_failed'
   when summary is null then 'clean_failed' when not contains({_alnum('content')}, {_alnum('summary')}) then 'verify_failed'
   when len(ls) < 3 then 'code_too_short' when len(ls) > 150 then 'code_too_long' when contains(lower(ls[1]), 'test') then 'code_test_function'
   when len(plain) <= 2 and (contains(lower(content), 'pass') or coalesce(contains(lower(plain[-1]), 'return'), false)) then 'code_stub_function'
   when regexp_matches(content, '\\([^)]+\\)') and len(list_filter(params, lambda p: {_trim('p')} = '')) > 0 then 'processing_error'
   when len(sw) = 0 or len(list_filter(sw, lambda w: list_contains(names, w))) / len(sw) > 0.7 then 'identifier_repetition'
-  when contains(lower(summary), 'copyright') or contains(lower(summary), 'license') or contains(lower(summary), 'all rights reserved') then 'license_copyright'
+  when contains(lower(summary), 'copyright') or contains(lower(summary), 'license') or contains(lower(summary), 'all rights reserved') then 'license_copyright' {verb}
   when regexp_matches(summary, '^{_W}+\\s*->\\s*{_W}+$') then 'info_type_declaration' when starts_with(summary, 'How to') or starts_with(summary, 'TODO') then 'info_question_or_todo'
-  when len(list_filter({_words('summary')}, lambda w: not list_contains({_STOP}, lower(w)))) < 2 then 'info_insufficient_content' end as reject_reason from n)"""
+  when len(list_filter({_words('summary')}, lambda w: not list_contains({_STOP}, lower(w)))) < 2 then 'info_insufficient_content' {grammar} {last} end as reject_reason from n)"""
+
+
+_JUDGED = _judged_sql(_CONTENT)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,6 +259,65 @@ def similarity_gate(spark, sf_dir):
     return judged.select("index", "reject_reason", F.round("similarity", 5).alias("similarity"))
 
 
+# documents as code that fails one check after the other, by doc_id: (language, code, the comment if it isn't the first line); {w} is the document's first long word
+_BODY_LINES = "\nlocal function f(a, b)\n  local x = a\n  local y = b\n  print(x + y)\nend"
+_CASES = [
+    ("lua", "", ""), ("lua", "local function f(a, b)\n  x = a\n  y = b\nend", ""), ("julia", '"""  """\nfunction f(a, b)\n  x = a\nend', "  "),
+    ("lua", "-- TODO write of the {w}" + _BODY_LINES, None), ("lua", "-- Adds :foo bar: numbers and {w} together" + _BODY_LINES, None), ("lua", "-- Adds the {w} numbers\nlocal function f(a, b) end", None),
+    ("lua", "-- Adds the {w} numbers\nlocal function f(a, b)" + "\n  x = a" * 150, None), ("lua", "-- Runs a test of the {w}" + _BODY_LINES, None),
+    ("lua", "-- The value of {w} things\n-- and of more\nlocal function f(a, b) return a end", "-- The value of {w} things\n-- and of more\n"),
+    ("lua", "-- Adds the {w} numbers" + _BODY_LINES.replace("(a, b)", "(a, )"), None), ("lua", "-- Alpha beta gamma" + _BODY_LINES.replace("f(a, b)", "alpha(beta, gamma)"), None),
+    ("lua", "-- Copyright of the {w} numbers" + _BODY_LINES, None), ("lua", "-- Adds noverb {w} numbers" + _BODY_LINES, None), ("lua", "-- integer -> string" + _BODY_LINES, None),
+    ("lua", "-- How to add the {w}" + _BODY_LINES, None), ("lua", "-- the of and in the of" + _BODY_LINES, None), ("lua", "-- Adds wrng {w} numbers" + _BODY_LINES, None),
+    ("ocaml", "(** Adds the {w} numbers\n   of all rows\n   and of more *)", " Adds the {w} numbers\n   of all rows\n   and of more "), ("lua", "-- Adds far {w} numbers" + _BODY_LINES, None),
+    ("lua", "-- Adds nosim {w} numbers" + _BODY_LINES, None), ("lua", "-- Adds broken {w} numbers" + _BODY_LINES, None), ("lua", "-- Adds the {w} numbers together" + _BODY_LINES, None),
+]
+_text = lambda x: "replace('" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "', '{w}', w)"
+_GATED = _judged_sql(
+    f"""w as (select doc_id as index, doc_id % {len(_CASES)} as kind, regexp_extract(lower(text), '[a-z]{{3,}}') as w from documents),
+r as (select index, kind, case kind {" ".join(f"when {k} then '{lang}'" for k, (lang, *_) in enumerate(_CASES))} end as lang, case kind {" ".join(f"when {k} then {_text(code)}" for k, (_, code, _) in enumerate(_CASES))} end as content,
+  case kind {" ".join(f"when {k} then {_text(code.partition(chr(10))[0] + chr(10) if raw is None else raw)}" for k, (_, code, raw) in enumerate(_CASES))} end as raw from w)""",
+    ", kind",
+    "when contains(summary, 'noverb') then 'info_no_verb'",
+    "when contains(summary, 'wrng') then 'grammar_errors' when lang = 'ocaml' then 'code_extraction_failed'",
+    "when contains(summary, 'nosim') then 'similarity_error' when contains(summary, 'far') then 'bad_similarity'",
+    "when kind = 20 then 'processing_error'",
+)
+
+
+def _cascade_doubles() -> cascade.Ports:
+    """Stand-ins for the models, by words of the summary."""
+
+    def near():
+        def one(summary: str) -> float:
+            if "nosim" in summary:
+                raise ValueError(summary)
+            return 0.95 if "far" in summary else 0.5 + len(summary) % 4 / 10
+
+        return lambda code, summary: [one(s) for s in summary]
+
+    verb, grammar = (lambda: lambda texts: ["noverb" not in x for x in texts]), (lambda: lambda texts: [x.count("wrng") for x in texts])
+    return cascade.Ports(BatchPort(verb, ("summary",), "boolean"), BatchPort(grammar, ("summary",), "int"), BatchPort(near, ("code", "summary"), "double", null_on_error=True))
+
+
+def _gated(spark, sf_dir):
+    kind, w = F.col("doc_id") % len(_CASES), F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), kind.cast("int"))
+    rows = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), pick([lang for lang, *_ in _CASES]).alias("code_lang"), F.replace(pick([code for _, code, _ in _CASES]), F.lit("{w}"), w).alias("content"), F.when(kind == 20, "{").alias("bad"))
+    return cascade.reject_cascade(rows, _cascade_doubles(), corrupt="bad")
+
+
+@_query(f"with {_GATED} select index, summary, reject_reason, case when reject_reason is null or reject_reason = 'bad_similarity' then case when contains(summary, 'far') then 0.95 else round(0.5 + length(summary) % 4 / 10, 6) end end as similarity from j")
+def gated_cascade(spark, sf_dir):
+    return _gated(spark, sf_dir).select("index", "summary", "reject_reason", F.round("similarity", 6).alias("similarity"))
+
+
+@_query(f"with {_GATED} select reject_reason, count(*) as n, round(count(*) * 100.0 / (select count(*) from j), 6) as percent from j where reject_reason is not null group by 1")
+def gated_reasons(spark, sf_dir):
+    """Every reason but those that cannot fire."""
+    return cascade.top_reasons(_gated(spark, sf_dir), len(cascade.LAYERS)).withColumn("percent", F.round("percent", 6))
+
+
 # documents as functions of five languages: the first line is the comment, the others are the body
 _FUNCTIONS = {
     "julia": ('"""', '"""\nfunction f(a, b)\n'), "lua": ("-- ", "\nlocal function f(a, b)\n"), "r": ("# ", "\nf <- function(a, b)\n"), "racket": (";; ", "\n(define (f a b)\n"), "ocaml": ("(** ", "*)\nlet f a b =\n"),

@@ -1,7 +1,9 @@
 """The quality cascade: the first failing check names the one reason for which a row goes.
 
-Checks in the JVM are one CASE expression. Checks that need a model are ports, callables from a DataFrame to that DataFrame with
-one more column; since Spark runs Python for every row whatever CASE says, rows are split before a port and it sees only those left.
+Checks in the JVM are one CASE expression. Checks that need a model are ports. A batch port works on the rows still open and lets the others pass, so all
+steps are one chain over one scan, in which each model sees a row once. A port can also be a callable from a DataFrame to that DataFrame with one more
+column, such as a join; rows are split before it, and it sees only those left. What comes before such a port is read again for the rows that it
+doesn't see, unless `checkpoint` cuts the lineage there.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
+from loomtext.operators.gated import BatchPort
 
 # Reasons, and the layer in which each rejects; a layer is counted as passed after its last check.
 LAYERS = {
@@ -30,9 +33,9 @@ LAYERS = {
 class Ports:
     """Models, each adding a column: has_verb boolean, grammar_issues int, similarity double (null: it failed)."""
 
-    has_verb: Callable[[DataFrame], DataFrame] | None = None
-    grammar_issues: Callable[[DataFrame], DataFrame] | None = None
-    similarity: Callable[[DataFrame], DataFrame] | None = None
+    has_verb: BatchPort | Callable[[DataFrame], DataFrame] | None = None
+    grammar_issues: BatchPort | Callable[[DataFrame], DataFrame] | None = None
+    similarity: BatchPort | Callable[[DataFrame], DataFrame] | None = None
 
 
 def _first(checks: list[tuple[Column, str]]) -> Column:
@@ -75,7 +78,7 @@ def information_checks(summary: Column) -> list[tuple[Column, str]]:
     ]
 
 
-def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "content", lang: str = "code_lang", corrupt: str | None = None) -> DataFrame:
+def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "content", lang: str = "code_lang", corrupt: str | None = None, checkpoint: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """df with summary, overlap, similarity (where ports give it), length in words and reject_reason (null: kept).
 
     P20: rows whose column `corrupt` isn't null, such as lines that didn't parse, go as processing errors.
@@ -99,21 +102,29 @@ def reject_cascade(df: DataFrame, ports: Ports | None = None, content: str = "co
     ]
     after = [(F.coalesce("code", F.lit("")) == "", "code_extraction_failed")]
     near = [(F.col("similarity").isNull(), "similarity_error"), (~((F.col("similarity") > 0.4) & (F.col("similarity") < 0.9)), "bad_similarity")]
-    steps: list[tuple[Callable | None, list]] = [(None, first)]
-    for port, checks in ((ports.has_verb, [(~F.col("has_verb"), "info_no_verb")]), (ports.grammar_issues, [(F.col("grammar_issues") >= 1, "grammar_errors")]), (ports.similarity, near)):
-        steps += [(port, checks)] if port else []
-        steps += [(None, information_checks(s))] if checks[0][1] == "info_no_verb" else [(None, after)] if checks[0][1] == "grammar_errors" else []
+    steps: list[tuple[str | None, list]] = [(None, first)]
+    steps += [("has_verb", [(~F.col("has_verb"), "info_no_verb")])] if ports.has_verb else []
+    steps += [(None, information_checks(s))]
+    steps += [("grammar_issues", [(F.col("grammar_issues") >= 1, "grammar_errors")])] if ports.grammar_issues else []
+    steps += [(None, after)]
+    steps += [("similarity", near)] if ports.similarity else []
     df = df.withColumn("overlap", t.token_overlap(s, c)).withColumn("length", F.size(t.words(s)))
-    df = df.withColumn("similarity", F.lit(None).cast("double")).withColumn("_shape", _code_shape(c))
+    df = df.withColumn("similarity", F.lit(None).cast("double")).withColumn("_shape", _code_shape(c)).withColumn("reject_reason", F.lit(None).cast("string"))
+    reason = F.col("reject_reason")
     out, checks = [], []
-    for port, more in steps:
-        if port is None:
+    for name, more in steps:
+        if name is None:
             checks += more
             continue
-        df = df.withColumn("reject_reason", _first(checks)) if checks else df.withColumn("reject_reason", F.lit(None).cast("string"))
-        out.append(df.filter("reject_reason is not null"))
-        df, checks = port(df.filter("reject_reason is null").drop("reject_reason")), list(more)
-    df = df.withColumn("reject_reason", _first(checks))
+        df, port = df.withColumn("reject_reason", F.coalesce(reason, _first(checks)) if checks else reason), getattr(ports, name)
+        if isinstance(port, BatchPort):
+            df = df.withColumn(name, port.column(reason.isNull()))
+        else:
+            df = checkpoint(df) if checkpoint else df
+            out.append(df.filter(reason.isNotNull()))
+            df = port(df.filter(reason.isNull()).drop("reject_reason")).withColumn("reject_reason", F.lit(None).cast("string"))
+        checks = list(more)
+    df = df.withColumn("reject_reason", F.coalesce(reason, _first(checks)))
     out = [x.drop("has_verb", "grammar_issues", "_shape") for x in [*out, df]]
     return reduce(lambda a, b: a.unionByName(b), out)
 
