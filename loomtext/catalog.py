@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
-from loomtext.operators import blocks, cascade, dedup, evaluation, joins, metrics, nested, retrieval, selection, stats
+from loomtext.operators import blocks, cascade, dedup, evaluation, joins, metrics, near_text, nested, retrieval, selection, stats
 from loomtext.operators.gated import BatchPort
 from loomtext.plans import prompts
 from loomtext.session import checkpointer, shared_path
@@ -524,7 +524,7 @@ def head_fraction(spark, sf_dir):
 def near_dup_keep(spark, sf_dir):
     """D1 and D2 over the first sentences of each language."""
     x = dedup.keep_first(_sentences(spark, sf_dir).filter("summary is not null").select("lang", "summary", "doc_id"), ["lang", "summary"], ["doc_id"])
-    return dedup.first_wins(dedup.near_duplicate_pairs(x, "doc_id", "summary", part="lang"), x, "doc_id", checkpointer(spark))
+    return near_text.near_first_wins(x, "doc_id", "summary", checkpointer(spark), part="lang")
 
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------------------

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import difflib
 import random
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 
@@ -84,47 +81,3 @@ def head_fraction(df: DataFrame, row_id: str, ratio: float) -> DataFrame:
 def top_k(df: DataFrame, by: list[str], k: int, order: list[Column]) -> DataFrame:
     """D8, with its rank from 1."""
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= k)
-
-
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity; the order of the arguments matters."""
-    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(later, earlier, strict=True)])
-
-
-def near_duplicate_pairs(df: DataFrame, row_id: str, text: str, threshold: float = 0.85, part: str | None = None) -> DataFrame:
-    """(later, earlier, ratio) of pairs above threshold.
-
-    The lengths of such a pair lie in one band or in neighbouring ones, which are joined by equality, and its texts share so many
-    characters (as multisets) that the ratio can be reached; both bounds are exact and are tested before the Python ratio is. Within a
-    band work is quadratic: this is for summaries of a few dozen words, once equal ones are gone.
-    """
-    least = threshold / (2 - threshold)  # of the lengths' quotient
-    base = df.select(F.col(row_id).alias("id"), F.col(text).alias("x"), *([F.col(part).alias("p")] if part else [F.lit(0).alias("p")]))
-    base = base.withColumn("n", F.length("x")).filter("n > 0")
-    base = base.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / F.lit(-1.0) / F.log(F.lit(least))).cast("int"))
-    bag = F.transform(F.sequence(F.lit(32), F.lit(126)), lambda c: F.col("n") - F.length(F.replace(F.col("x"), F.chr(c), F.lit(""))))
-    base = base.withColumn("bag", bag)
-    left = base.select(*(F.col(c).alias(f"l_{c}") for c in base.columns))
-    right = base.withColumn("to", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-    both = left.join(right, (F.col("l_p") == F.col("p")) & (F.col("l_band") == F.col("to")) & (F.col("id") < F.col("l_id")))
-    shared = F.aggregate(F.zip_with("l_bag", "bag", lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    # characters outside the counted range may all be shared
-    other = F.least(F.col("l_n") - F.aggregate("l_bag", F.lit(0), lambda a, b: a + b), F.col("n") - F.aggregate("bag", F.lit(0), lambda a, b: a + b))
-    both = both.filter((F.least("l_n", "n") > F.greatest("l_n", "n") * least) & (2 * (shared + other) > (F.col("l_n") + F.col("n")) * threshold))
-    judged = both.select(F.col("l_id").alias("later"), F.col("id").alias("earlier"), sequence_ratio("l_x", "x").alias("ratio"))
-    return judged.filter(F.col("ratio") > threshold)
-
-
-def first_wins(pairs: DataFrame, df: DataFrame, row_id: str, checkpoint) -> DataFrame:
-    """Df without the rows that an earlier kept row is near: the first maximal independent set in the order of row_id.
-
-    Each round drops what has a kept earlier neighbour and keeps what has none left undecided; checkpoint(df) cuts the lineage.
-    """
-    edges = checkpoint(pairs.select("later", "earlier"))
-    state = checkpoint(edges.select(F.explode(F.array("later", "earlier")).alias("id")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
-    while state.filter("kept is null").limit(1).count():
-        met = edges.join(state.withColumnRenamed("id", "earlier"), "earlier").groupBy("later").agg(F.max(F.coalesce("kept", F.lit(False))).alias("hit"), F.max(F.col("kept").isNull()).alias("open"))
-        found = state.join(met.withColumnRenamed("later", "id"), "id", "left")
-        state = checkpoint(found.select("id", F.coalesce("kept", F.when(F.col("hit"), False).when(~F.coalesce("open", F.lit(False)), True)).alias("kept")))
-    return df.join(state.filter("not kept").select(F.col("id").alias(row_id)), row_id, "left_anti")

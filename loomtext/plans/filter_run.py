@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtext.operators import cascade, dedup
+from loomtext.operators import cascade, dedup, near_text
 from loomtext.session import checkpointer, session
 from loomtext.sources import records
 
@@ -27,8 +27,7 @@ def deduplicated(kept: DataFrame, checkpoint: Callable[[DataFrame], DataFrame],
     """Step 3, first half: of equal summaries of a language the first row, then no row near an earlier one that stays."""
     names = [group, "summary", *(c for c in kept.columns if c not in (group, "summary"))]
     rows = checkpoint(dedup.keep_first(kept.select(*names), [group, "summary"], ["index"]).withColumn("_id", F.concat_ws(":", group, F.lpad(F.col("index").cast("string"), 20, "0"))))
-    pairs = dedup.near_duplicate_pairs(rows, "_id", "summary", threshold, part=group)
-    return dedup.first_wins(pairs, rows, "_id", checkpoint).drop("_id")
+    return near_text.near_first_wins(rows, "_id", "summary", checkpoint, threshold, part=group).drop("_id")
 
 
 def final_sample(kept: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], target: int = 3000, threshold: float = 0.85) -> DataFrame:

@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import blocks, cascade, dedup, joins, metrics, nested, retrieval, selection, stats
+from loomtext.operators import blocks, cascade, dedup, joins, metrics, near_text, nested, retrieval, selection, stats
 from loomtext.plans import ports, prompts
 from loomtext.sources import records
 from loomtext.streaming import stages
@@ -83,8 +83,8 @@ def test_first_wins_equals_the_sequential_rule(spark):
         if not any(difflib.SequenceMatcher(None, x, texts[j]).ratio() > 0.85 for j in kept):
             kept.append(i)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, x string")
-    pairs = dedup.near_duplicate_pairs(df, "id", "x")
-    assert sorted(row.id for row in dedup.first_wins(pairs, df, "id", checkpoint).collect()) == kept
+    pairs = near_text.near_duplicate_pairs(df, "id", "x")
+    assert sorted(row.id for row in near_text.first_wins(pairs, df, "id", checkpoint).collect()) == kept
 
 
 def test_keep_first_samples_and_caps(spark):
