@@ -2,14 +2,15 @@
 
 The page is cut into tags and text in one pass, as a browser does, and built into a tree, with the end tags that pages leave out. Then it
 is told what isn't the article: scripts, styles and what is hidden; navigation, headers and footers of the page, asides, forms; and nodes whose
-class, id or role name a sidebar, notice, advert, menu or reader comments. Names that only tell how something else is laid out (has-sidebar,
-fixed-header, comments-open) count only on a small node that is mostly links, and a node that holds nearly all running text that isn't
+class, id or role name a sidebar, notice, advert, menu or reader comments. Headings never go by a name, and prose only by one that says nothing else. Names that only tell how something else is laid out (has-sidebar,
+fixed-header, comments-open), and in an article or the best container those with a word that may be about the text (menu-history, related-work), count only on a small node that is mostly links, and a node that holds nearly all running text that isn't
 otherwise left out is the article whatever its names, as is such a form; reader comments must hold a title or an article element for that.
 
 Each paragraph gives points for itself, its commas and its length to its ancestors, up to six: whole to its parent, half
 to the next, then a third and so on. A container's score is what it got, and what its element and names say, times the share
-of its text that is not in links. The best container is kept with the siblings that score at least a fifth of it or are
-paragraphs of running text; link lists inside stay, as those that an element or a name marks as menus are left out before.
+of its text that is not in links. If the best container is in an article or main element, all of that stays but nodes beside the container that are mostly links. Else
+the container is kept with the siblings that score at least a fifth of it or are prose (short lines and bare text only within a common node, not right below the page), and with what stands between those and isn't mostly
+links. Link lists inside stay, as those that an element or a name marks as menus are left out before.
 
 A null, empty or tag-free page: a text without tags is one block; no text is ''. Ties go to the container that comes first. An
 unclosed tag or comment ends with the page; very long pages are parsed whole, nested without recursion, in time in proportion to their length.
@@ -45,7 +46,10 @@ RAW = frozenset("script style noscript template svg math iframe object canvas te
 #: Of these the content up to the end tag is no markup; without one, that of the first five is the rest of the page.
 OPAQUE = frozenset("script style textarea title iframe noscript template svg".split())
 TO_THE_END = frozenset("script style textarea title iframe".split())
-DROPPED = frozenset("nav footer aside form button menu dialog fieldset input label".split())
+DROPPED = frozenset("nav footer aside form button menu dialog fieldset input".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements of prose, which go by a name only if that says nothing else.
+PROSE = frozenset("p pre blockquote q code em strong b i u cite abbr td th tr table caption dl dt dd figure figcaption ol ul li".split()) | HEADINGS
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 #: A start tag closes these, up to the nearest of the second set.
@@ -64,6 +68,10 @@ UNLIKELY = frozenset(
     "dropdown extra footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion related "
     "remark replies reply search share sharing shoutbox sidebar signup skyscraper social sponsor sponsored subscribe subscription tags toolbar tooltip widget alert alertdialog".split()
 )
+#: Beside those, words that say where or how large a node is; a name with any other word may be about what the node tells of (menu-history, related-work).
+PLACES = frozenset(
+    "area articles bar block bottom box btn button buttons cell col column component container form global group holder icon icons inner item items left link links list main message module outer page panel post posts primary region right row secondary section site slot stories top unit wrap wrapper zone".split()
+)
 LIKELY = frozenset("article articlebody body content entry hentry main page post story text blog".split())
 #: With these, the word header marks an article's own.
 OWN_HEADER = frozenset("article entry post story".split())
@@ -81,11 +89,10 @@ TABLE_PARTS = frozenset("table tbody thead tfoot tr td th caption".split())
 PARAGRAPHS = frozenset("p pre td blockquote li dd".split())
 BONUS = {"article": 25, "main": 25, "section": 5, "div": 5, "pre": 3, "td": 3, "blockquote": 3, "form": -3, "ol": -3, "ul": -3, "dl": -3, "th": -5, "address": -3}
 LEVELS = 6
-#: Why a node may be left out: its names tell of another node's layout, its names, its element; and for sure.
-LAYOUT, NAMED, ELEMENT, SURE = 1, 2, 3, 4
-#: A node is the article if all other running text is at most a tenth of what it holds, and that is so many characters (any number in a form).
+#: Why a node may be left out: its names tell of another node's layout, a name that may be about its text, its names, its element; and for sure.
+LAYOUT, VAGUE, NAMED, ELEMENT, SURE = 1, 2, 3, 4, 5
+#: A node is the article if all other running text is at most a tenth of what it holds.
 ALL_BUT = 0.1
-RUNNING = 200
 
 
 class Node:
@@ -125,9 +132,9 @@ def _attributes(html: str, at: int) -> tuple[dict[str, str] | None, int]:
 
 
 def _named(attributes: dict[str, str]) -> tuple[frozenset, int]:
-    """The words of class, id and role, and whether they mark the node itself (NAMED) or the layout of others (LAYOUT)."""
+    """The words of class, id and role, and whether they mark the node itself (NAMED, or VAGUE if a name may be about its text) or the layout of others (LAYOUT)."""
     words: set[str] = set()
-    own, layout = set(), False
+    own, layout, vague = set(), False, True
     for key in ("class", "id", "role"):
         for token in attributes.get(key, "").split():
             parts = WORD.findall(CAMEL.sub(" ", token).lower())
@@ -135,11 +142,12 @@ def _named(attributes: dict[str, str]) -> tuple[frozenset, int]:
             bad = UNLIKELY.intersection(parts)
             if bad and len(parts) > 1 and (parts[0] in BEFORE or parts[-1] in AFTER):
                 layout = True
-            else:
+            elif bad:
                 own |= bad
+                vague = vague and any(x not in UNLIKELY and x not in PLACES for x in parts)
     if own == {"header"} and words & OWN_HEADER:
         own = set()
-    return frozenset(words), NAMED if own else LAYOUT if layout else 0
+    return frozenset(words), (VAGUE if vague else NAMED) if own else LAYOUT if layout else 0
 
 
 def build(html: str) -> Node:
@@ -214,8 +222,10 @@ def build(html: str) -> Node:
             if last(closed) > floor:
                 close(min(at[bisect_right(at, floor)] for x in closed if (at := places.get(x)) and at[-1] > floor))
         words, mark = _named(attributes) if attributes else (frozenset(), 0)
-        if name in ("article", "main"):
+        if name in ("article", "main") or name in HEADINGS or name in PROSE and mark < NAMED:
             mark = 0
+        if mark == VAGUE and (places.get("article") or places.get("main")):
+            mark = LAYOUT
         if name in DROPPED or name == "header" and not (places.get("article") or places.get("main")):
             mark = ELEMENT
         if name in RAW or "hidden" in attributes or NO_DISPLAY.search(attributes.get("style", "")):
@@ -259,7 +269,7 @@ def _holds(node: Node, names: tuple[str, ...]) -> bool:
     waiting = [node]
     while waiting:
         at = waiting.pop()
-        if at.name in names and at.mark < NAMED and not at.words & UNLIKELY:
+        if at.name in names and at.mark < VAGUE and not at.words & UNLIKELY:
             return True
         waiting += [c for c in at.children if not isinstance(c, str)]
     return False
@@ -273,7 +283,7 @@ def _settle(order: list[Node]) -> None:
     inner: dict[Node | None, list[Node]] = {None: []}
     for node in order:
         if node.mark == LAYOUT:
-            node.mark = NAMED if 4 * node.length < page and _density(node) > 0.5 else 0
+            node.mark = NAMED if 4 * node.length < page and _mostly_links(node) else 0
         within, linked = held[id(node.parent)] if node.parent is not None else (None, False)
         if node.mark:
             inner[within].append(node)
@@ -284,7 +294,7 @@ def _settle(order: list[Node]) -> None:
         if not linked:
             running[within] += node.direct
     while True:
-        may = [m for m in inner[None] if (m.mark == NAMED or m.name in ("form", "fieldset")) and running[m] >= (1 if m.name in ("form", "fieldset") else RUNNING)]
+        may = [m for m in inner[None] if (m.mark in (VAGUE, NAMED) or m.name in ("form", "fieldset")) and running[m]]
         most = max(may, key=lambda m: running[m], default=None)
         if most is None or running[None] > ALL_BUT * running[most] or most.words & COMMENTS and not _holds(most, ("article", "main", "h1")):
             return
@@ -297,6 +307,10 @@ def _density(node: Node) -> float:
     return node.linked / node.length if node.length else 0.0
 
 
+def _mostly_links(node: Node) -> bool:
+    return _density(node) > 0.5
+
+
 def _best(order: list[Node]) -> Node | None:
     scored: dict[int, Node] = {}
     for node in order:
@@ -322,25 +336,48 @@ def _best(order: list[Node]) -> Node | None:
     return best
 
 
-def _kept(best: Node) -> list[Node]:
-    """The best container and the siblings that go with it, in page order."""
-    if best.parent is None:
-        return [best]
-    least, out, before = max(10.0, best.score * 0.2), [], True
-    for node in best.parent.children:
-        if isinstance(node, str) or node.mark:
+def _in_article(best: Node) -> Node | None:
+    """The article (or main) element around the best container, of which all stays but nodes beside the container that are mostly links."""
+    path, at = [best], best
+    while at.name not in ("article", "main") and at.parent is not None:
+        at = at.parent
+        path.append(at)
+    if at.name not in ("article", "main"):
+        return None
+    for inner, outer in zip(path, path[1:], strict=False):
+        for node in outer.children:
+            if node is not inner and not isinstance(node, str) and node.name not in HEADINGS and _mostly_links(node) and not _holds(node, ("h1",)):
+                node.mark = node.mark or NAMED
+    return at
+
+
+def _kept(best: Node) -> list:
+    """The best container and what beside it goes with it, in page order."""
+    least = max(10.0, best.score * 0.2)
+    top = _in_article(best) or best
+    if top.parent is None:
+        return [top]
+    beside, before, own = [], True, top is best and top.parent.name not in ("html", "body")  # beside what fills the page stand a page's own lines
+    for node in top.parent.children:
+        if isinstance(node, str):
+            beside.append((node, own and bool(node.strip())))
             continue
-        bonus = best.score * 0.2 if node.words and node.words == best.words else 0
-        running = node.name == "p" and (node.length > 80 and _density(node) < 0.25)
-        same = node.name == best.name == "article"
+        if node.mark:
+            continue
+        bonus = best.score * 0.2 if node.words and node.words == top.words else 0
+        prose = own and node.name in PROSE and bool(node.length) and _density(node) < 0.5
+        running = node.name == "p" and node.length > 80 and _density(node) < 0.25
+        same = node.name == top.name == "article"
         heading = before and node.length and _density(node) < 0.5 and (node.name in ("h1", "h2") or _holds(node, ("h1",)))
-        before = before and node is not best
-        if node is best or same or node.score and node.score + bonus >= least or running or heading:
-            out.append(node)
-    return out
+        before = before and node is not top
+        beside.append((node, node is top or same or node.score and node.score + bonus >= least or running or prose or bool(heading)))
+    first = next(i for i, (_, stays) in enumerate(beside) if stays)
+    last = max(i for i, (_, stays) in enumerate(beside) if stays)
+    between = lambda i, node: first < i < last and (isinstance(node, str) or bool(node.length) and not _mostly_links(node))
+    return [node for i, (node, stays) in enumerate(beside) if stays or between(i, node)]
 
 
-def _blocks(nodes: list[Node]) -> list[str]:
+def _blocks(nodes: list) -> list[str]:
     out: list[str] = []
     parts: list[str] = []
 
@@ -351,7 +388,6 @@ def _blocks(nodes: list[Node]) -> list[str]:
         parts.clear()
 
     for top in nodes:
-        close()
         stack: list = [top]
         while stack:
             item = stack.pop()
@@ -365,7 +401,7 @@ def _blocks(nodes: list[Node]) -> list[str]:
                     close()
                     stack.append(None)
                 stack += [c for c in reversed(item.children) if isinstance(c, str) or not c.mark]
-        close()
+    close()
     return out
 
 
@@ -381,6 +417,12 @@ def main_text(html: str | None) -> str:
     best = _best(order)
     if best is None:
         best = root
+    waiting = [best]
+    while waiting:  # names in the container that may be about its text
+        node = waiting.pop()
+        if node.mark == VAGUE and not _mostly_links(node):
+            node.mark = 0
+        waiting += [c for c in node.children if not isinstance(c, str) and c.mark <= VAGUE]
     return "\n\n".join(_blocks(_kept(best)))
 
 

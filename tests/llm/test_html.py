@@ -111,3 +111,63 @@ def test_scores_equal_a_recursive_version():
         assert (best is None) == (want is None)
         if best is not None:
             assert best.score == pytest.approx(want)
+
+
+SHORT = "<p>Short lead.</p>"
+
+
+@pytest.mark.parametrize(
+    "inside",
+    ['<h2 id="search-engines">A</h2>', '<h3 class="social-life">A</h3>', '<h2 id="tags">A</h2>', '<section id="menu-history"><p>A</p></section>', '<div class="ad-free-note"><p>A</p></div>', '<div id="related-work">A</div>', '<p class="banner-years">A</p>', "<p><label>A</label></p>", '<span id="comment-culture">A</span>', '<ul class="share-prices"><li>A</ul>'],
+)
+@pytest.mark.parametrize("outer", ["article", "main", "div"])
+def test_names_about_the_text_stay_in_the_article(inside, outer):
+    page = f"<body><nav><a href=/>Home</a></nav><{outer}><h1>T</h1>{P * 3}{inside}{P}</{outer}><div class=footer>(c)</div></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["T", TEXT, TEXT, TEXT, "A", TEXT])
+
+
+@pytest.mark.parametrize("outer", ["article", "main", "div", "section class=post"])
+def test_everything_beside_the_best_container_stays(outer):
+    end = outer.split()[0]
+    body = f"<div class=body>{P * 4}</div>"
+    page = f"<body><{outer}><h1>T</h1>{SHORT}{body}<h2>H</h2><ul><li>one<li>two</ul><blockquote>q</blockquote>bare <b>text</b><pre>c</pre><table><tr><td>d</table><p>Short end.</p></{end}></body>"
+    assert html_extract.main_text(page) == "\n\n".join(["T", "Short lead.", *[TEXT] * 4, "H", "one", "two", "q", "bare text", "c", "d", "Short end."])
+
+
+@pytest.mark.parametrize("name", ["widget-content", "share-layout", "newsletter"])
+def test_a_short_page_in_a_node_with_a_listed_name(name):
+    assert html_extract.main_text(f"<body><div class={name}><p>Hello, you.</p></div></body>") == "Hello, you."
+
+
+def test_what_is_not_the_article_goes_inside_it_too():
+    gone = [
+        '<div class="advert"><p>Buy, now.</p></div>', '<p class="notice">We use, cookies.</p>', '<aside>x</aside>', "<form><label>Name</label><input></form>", '<div class="related-posts"><a href=/1>One</a></div>',
+        '<div class="newsletter-signup">Sign up, now</div>', '<div id="comment-list"><p>I like it, so much.</p></div>', '<div class="share-story"><a href=/t>Share</a></div>', "<footer>by me</footer>", '<div class="cookie-notice">x, y</div>',
+    ]
+    for part in gone:
+        assert html_extract.main_text(f"<article><h1>T</h1>{P * 3}{part}{P}</article>") == "\n\n".join(["T", *[TEXT] * 4]), part
+
+
+def test_links_beside_the_container_go():
+    page = f"<article><h1>T</h1><div>{P * 40}</div><div><a href=/a>before</a> <a href=/b>next</a></div></article>"
+    assert html_extract.main_text(page) == "\n\n".join(["T", *[TEXT] * 40])
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_articles_keep_all_their_prose(seed):
+    r = random.Random(seed)
+    words = lambda n: " ".join(r.choices("some words, of text that are here and there, again".split(), k=n))
+    name = lambda: r.choice(["", ' id="menu-of-the-day"', ' class="x y"', ' class="social-history"', ' id="ads-in-print"'])
+    want = []
+
+    def part(depth):
+        kind = r.choice(["p", "p", "p", "h2", "h4", "blockquote", "pre", "ul", "div", "section"] if depth < 3 else ["p"])
+        if kind in ("div", "section"):
+            return f"<{kind}{name()}>" + "".join(part(depth + 1) for _ in range(r.randint(1, 4))) + f"</{kind}>"
+        texts = [words(r.randint(2, 40)) for _ in range(r.randint(1, 3) if kind == "ul" else 1)]
+        want.extend(texts)
+        return f"<{kind}{name()}>" + "".join(f"<li>{x}" if kind == "ul" else x for x in texts) + f"</{kind}>"
+
+    body = "".join(part(0) for _ in range(r.randint(2, 7)))
+    page = f"<html><body><header><a href=/>Home</a></header><div class=sidebar><p>{words(30)}</p></div><article>{body}</article><div id=footer>{words(5)}</div></body></html>"
+    assert html_extract.main_text(page).split("\n\n") == want
