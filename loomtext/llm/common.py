@@ -75,11 +75,23 @@ def unpacked(df: DataFrame, like: DataFrame, text_col: str, made: list[str]) ->
     return df.select(*out, *made)
 
 
+#: Bytes of a batch's rows that are worked on at once.
+PIECE_BYTES = 4 << 20
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Their rows in slices of about PIECE_BYTES; copies of a whole batch as Python objects would take several times its size."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * PIECE_BYTES // max(PIECE_BYTES, batch.nbytes))
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
-    """run, after which a worker gives the memory that it no longer uses back, as it lives on for later tasks."""
+    """run over slices of batches, after which a worker gives the memory that it no longer uses back, as it lives on for later tasks."""
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from run(batches)
+        yield from run(_pieces(batches))
         pa.default_memory_pool().release_unused()
         with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
             ctypes.CDLL(None).malloc_trim(0)
