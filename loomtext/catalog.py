@@ -550,6 +550,13 @@ def bm25_topk(spark, sf_dir):
     return retrieval.bm25_top_k(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text").select("item_id", "doc_id", "score", "rank")
 
 
+@_query(f"with {_TOP.replace(_BM25, _BM25.replace(f"b as (select item_id, {_words('text')} as w from benchmark)", f"b as (select item_id, {_words('text')}[:4] as w from benchmark)"))} select item_id, doc_id, score, cast(rank as integer) as rank from t")
+def bm25_short_topk(spark, sf_dir):
+    """The first four words of each passage, by pruned search."""
+    short = _table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(t.words(F.col("text")), 1, 4), " ").alias("text"))
+    return retrieval.bm25_top_k(short, _table(spark, sf_dir, "documents"), "item_id", "text", "doc_id", "text", pruned=True).select("item_id", "doc_id", "score", "rank")
+
+
 @_query(f"with {_TOP} select item_id, string_agg(rank || ':' || doc_id || ':' || lang || ':' || md5(text), ',' order by rank) as candidates from t join documents using (doc_id) group by 1")
 def bm25_candidates(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")

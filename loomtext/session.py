@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -36,6 +36,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+    """df written to the shared folder and read back from there: nothing before it runs again, also where executors are lost."""
+    path, schema = shared_path(df.sparkSession, name), df.schema
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
 def checkpointer(spark: SparkSession):
     """DataFrame to its checkpoint in the folder that the cluster names."""
     if not spark.sparkContext.getCheckpointDir():
