@@ -795,7 +795,7 @@ def local_report(spark, sf_dir):
 # a word's vector is one of the embeddings, by its length and first letter
 _MS = f"""nx as (select a.item_id, a.text as c, unnest([b.text, d.text]) as r, unnest([0, 1]) as rf from benchmark a join benchmark b on b.item_id = a.item_id + 1 join benchmark d on d.item_id = a.item_id + 2),
 w as (select distinct t, unnest(list_transform(range(1, len(ws) + 1), lambda i: {{'pos': i, 'token': ws[i]}}), recursive := true) from (select t, {_words('t')} as ws from (select c as t from nx union select r from nx))),
-v as (select t, pos, token, cast(embedding as double[]) as u from w join embeddings on vec_id = (length(token) * 7 + ascii(token)) % 200),
+v as (select t, pos, token, cast(embedding as double[]) as u from w join embeddings on vec_id = (length(token) * 7 + ascii(token)) % (select count(*) from embeddings)),
 n as (select count(distinct r) as n from nx), df as (select token, ln((any_value(n.n) + 1.0::double) / (count(distinct t) + 1)) as idf from w, n where t in (select r from nx) group by 1), mx as (select max(idf) as most from df),
 k as (select t, pos, u, coalesce(idf, most) as wt from v left join df using (token), mx),
 s as (select item_id, rf, h.pos as i, g.pos as j, h.wt as wi, g.wt as wj, list_cosine_similarity(h.u, g.u) as s from nx join k h on h.t = c join k g on g.t = r),
@@ -807,10 +807,11 @@ m as (select item_id, case when np = 2 or nr = 2 then 0 else p end as p, case wh
 @_query(f"with {_MS} select item_id, round(max(p), 6) as p, round(max(r), 6) as r, round(max(f), 6) as f from m group by 1")
 def match_scores(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n = vectors.count()
 
     def encode(sentences):
         tokens = sentences.select("text", F.posexplode(t.words(F.col("text"))).alias("pos", "token"))
-        return tokens.join(F.broadcast(vectors.filter("vec_id < 200")), F.col("vec_id") == (F.length("token") * 7 + F.ascii("token")) % 200)  # 200 rows
+        return tokens.join(vectors, F.col("vec_id") == (F.length("token") * 7 + F.ascii("token")) % n)
 
     b = _table(spark, sf_dir, "benchmark")
     later = lambda k: b.select((F.col("item_id") - k).alias("item_id"), F.col("text").alias(f"r{k}"))

@@ -26,11 +26,21 @@ def hash_rank(seed: int, key: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
 
 
+def bottom_k(df: DataFrame, by: list[str], k: int, order: list[Column | str], slices: int = 64) -> DataFrame:
+    """df's first k rows of each group in order, with their rank `_r`, merged in two steps.
+
+    Each task keeps k rows of a group; those of the tasks of one slice meet first and leave k, then the slices meet. So no task reads more than k rows of a
+    group from each of its share of the tasks, however large the group is.
+    """
+    rank = lambda keys: F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    first = df.withColumn("_slice", F.spark_partition_id() % slices).withColumn("_r", rank([*by, "_slice"])).filter(F.col("_r") <= k).drop("_slice", "_r")
+    return first.withColumn("_r", rank(by)).filter(F.col("_r") <= k)
+
+
 def stratified_sample(df: DataFrame, group: str, n_words: Column, key: str, target: int = 3000, shares: tuple = (0.4, 0.4, 0.2), seed: int = 42) -> DataFrame:
     """Per group, quotas of the strata by hash order, topped up from the rest by a second hash to min(n, target) rows.
 
-    Ranks beyond the target are cut off with a literal bound, so Spark keeps few keys of a group before it shuffles them. At most
-    target keys are taken by strata, so the first 2 * target by the second hash hold all that can be topped up.
+    At most target keys are taken by strata, so the first 2 * target by the second hash hold all that can be topped up; both come from bottom_k().
     """
     narrow = df.select(group, F.col(key).alias("_k"), length_stratum(n_words).alias("_s"))
     sizes = narrow.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.col("_s") == s).alias(f"_{s}") for s in ("short", "medium", "long")))
@@ -38,10 +48,10 @@ def stratified_sample(df: DataFrame, group: str, n_words: Column, key: str, targ
     quota = {s: F.least(F.col(f"_{s}"), F.floor(goal * share)) for s, share in zip(("short", "medium", "long"), shares, strict=True)}
     q = F.when(F.col("_s") == "short", quota["short"]).when(F.col("_s") == "medium", quota["medium"]).when(F.col("_s") == "long", quota["long"]).otherwise(0)
     sizes = F.broadcast(sizes)  # one row a group, a language or the like
-    rank = lambda by, seed: F.row_number().over(W.partitionBy(*by).orderBy(hash_rank(seed, F.col("_k")), "_k"))
-    first = narrow.withColumn("_r", rank([group, "_s"], seed)).filter(F.col("_r") <= target).join(sizes, group).filter(F.col("_r") <= q).select(group, "_k")
-    rest = narrow.select(group, "_k").withColumn("_t", rank([group], seed + 1)).filter(F.col("_t") <= 2 * target).drop("_t")
-    rest = rest.join(first, [group, "_k"], "left_anti").withColumn("_t", rank([group], seed + 1)).join(sizes, group)
+    order = lambda seed: [hash_rank(seed, F.col("_k")), "_k"]
+    first = bottom_k(narrow, [group, "_s"], target, order(seed)).join(sizes, group).filter(F.col("_r") <= q).select(group, "_k")
+    rest = bottom_k(narrow.select(group, "_k"), [group], 2 * target, order(seed + 1)).drop("_r").join(first, [group, "_k"], "left_anti")
+    rest = rest.withColumn("_t", F.row_number().over(W.partitionBy(group).orderBy(*order(seed + 1)))).join(sizes, group)  # 2 * target rows a group
     more = rest.filter(F.col("_t") <= goal - (quota["short"] + quota["medium"] + quota["long"])).select(group, "_k")
     chosen = first.unionAll(more)
     return df.join(chosen.select(group, F.col("_k").alias(key)), [group, key], "left_semi")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomtext.functions import text as t
 from loomtext.functions.porter import stem
+from loomtext.operators import matching
 
 #: Keeps logarithms of zero finite.
 TINY = 2.2250738585072014e-308
@@ -164,21 +165,16 @@ def idf_weights(sentences: DataFrame, tokens: str) -> DataFrame:
 def greedy_match(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
     """E5: (pair, p, r, f) from token rows (pair, token, vector, weight): each token's best cosine on the other side, weighted.
 
-    A sentence whose only tokens are the two special ones scores 0; a NaN F is 0. Pairs are joined by equality of pair; a pair's tokens are
-    few (an encoder's window), and only maxima leave the join.
+    A sentence whose only tokens are the two special ones scores 0; a NaN F is 0. Cosines are worked out by matching.best_cosines(), whose rows are tokens.
     """
-    square = lambda v: F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)
-    unit = lambda v: t.bind(v.cast("array<double>"), lambda w: t.bind(F.sqrt(square(w)), lambda n: F.transform(w, lambda x: x / n)))
-    h = hypothesis.select("pair", F.col("token").alias("i"), unit(F.col("vector")).alias("u"), F.col("weight").alias("wi"))
-    g = reference.select("pair", F.col("token").alias("j"), unit(F.col("vector")).alias("v"), F.col("weight").alias("wj"))
-    sims = h.join(g, "pair").select("pair", "i", "j", "wi", "wj", F.aggregate(F.zip_with("u", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x).alias("s"))
-
-    def side(token: str, weight: str, name: str) -> DataFrame:
-        best = sims.groupBy("pair", token).agg(F.max("s").alias("s"), F.first(weight).alias("w"))
-        return best.groupBy("pair").agg(F.try_divide(F.sum(F.col("s") * F.col("w")), F.sum("w")).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
-
-    both = side("i", "wi", "p").join(side("j", "wj", "r"), "pair")
-    f = F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0))
+    best = matching.best_cosines(hypothesis, reference)
+
+    def side(which: str, name: str) -> DataFrame:
+        rows = best.filter(F.col("side") == which)
+        return rows.groupBy("pair").agg(F.try_divide(F.sum(F.col("s") * F.col("weight")), F.sum("weight")).alias(name), F.count(F.lit(1)).alias(f"n_{name}"))
+
+    both = side("hypothesis", "p").join(side("reference", "r"), "pair")
+    f = F.nanvl(F.coalesce(F.try_divide(2 * F.col("p") * F.col("r"), F.col("p") + F.col("r")), F.lit(0.0)), F.lit(0.0))
     bare = (F.col("n_p") == 2) | (F.col("n_r") == 2)
     return both.select("pair", F.when(bare, 0.0).otherwise(F.col("p")).alias("p"), F.when(bare, 0.0).otherwise(F.col("r")).alias("r"), f.alias("f"))
 
@@ -201,12 +197,8 @@ def settings_hash(model: str, layers: int, idf: bool, version: str, custom_basel
 
 
 def similarity_cells(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
-    """(pair, i, j, similarity), the cells of a heat map."""
-    from loomtext.operators.retrieval import cosine
-
-    h = hypothesis.select("pair", F.col("token").alias("i"), F.col("vector").alias("u"))
-    g = reference.select("pair", F.col("token").alias("j"), F.col("vector").alias("v"))
-    return h.join(g, "pair").select("pair", "i", "j", cosine(F.col("u"), F.col("v")).alias("similarity"))
+    """(pair, i, j, similarity), the cells of a heat map; null for a zero vector."""
+    return matching.cosine_cells(hypothesis.withColumn("weight", F.lit(1.0)), reference.withColumn("weight", F.lit(1.0)))
 
 
 def comparison_table(scores: DataFrame) -> DataFrame:

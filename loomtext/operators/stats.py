@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from statistics import NormalDist
 
@@ -9,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomtext.session import stored
+
 
 def wilson(k: Column, n: Column, confidence: float = 0.95) -> Column:
     """struct(lower, upper); null unless 0 <= k <= n and n > 0."""
@@ -72,15 +75,30 @@ def mean_interval(df: DataFrame, value: str, confidence: float = 0.95) -> DataFr
     return one.select("n", "mean", (F.col("mean") - half).alias("lower"), (F.col("mean") + half).alias("upper"))
 
 
+def running_below(groups: DataFrame, order: str, count: str, name: str, ranges: int | None = None) -> DataFrame:
+    """groups with name, the sum of `count` over all rows with a smaller `order` (unique, not null).
+
+    Rows are cut into ranges of like size from a sample; each range adds up for itself and is shifted by the sums of those before, one number
+    a range. No task sees more than its range.
+    """
+    spark = groups.sparkSession
+    parts = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(stored(groups, "groups").repartitionByRange(parts, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sums = {r["_p"]: r["_c"] for r in ranged.groupBy("_p").agg(F.sum(count).alias("_c")).collect()}  # one row a range
+    shifts = list(itertools.accumulate([sums.get(p, 0) for p in range(parts)], initial=0))
+    shift = F.broadcast(spark.createDataFrame(list(enumerate(shifts[:-1])), "_p int, _o long"))
+    within = F.sum(count).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(count)
+    return ranged.withColumn(name, within).join(shift, "_p").withColumn(name, F.col(name) + F.col("_o")).drop("_p", "_o")
+
+
 def signed_ranks(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (n, w_plus, w_minus, ties): sums of average ranks of the non-zero differences; ties is the sum of t^3 - t over tied groups.
 
-    Ranks come from counts of distinct absolute differences, which are fewer than the rows: the count below each is a running sum over those, in one window.
+    Ranks come from counts of distinct absolute differences: how many rows lie below each is a running sum over ranges of them.
     """
     d = df.select((F.col(a) - F.col(b)).alias("d")).filter("d is not null and d <> 0")
     groups = d.groupBy(F.abs("d").alias("v")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("up"))
-    below = F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("c")
-    ranked = groups.withColumn("rank", below + (F.col("c") + 1) / 2)
+    ranked = running_below(groups, "v", "c", "below").withColumn("rank", F.col("below") + (F.col("c") + 1) / 2)
     return ranked.agg(
         F.coalesce(F.sum("c"), F.lit(0)).alias("n"),
         F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"),
