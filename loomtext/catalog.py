@@ -5,6 +5,7 @@ The tables stand in for the records that the operators are made for (see FIXTURE
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from loomtext.functions import text as t
-from loomtext.operators import blocks, cascade, dedup, evaluation, joins, metrics, near_text, nested, retrieval, selection, stats
+from loomtext.operators import blocks, cascade, classify, dedup, evaluation, joins, metrics, near_text, nested, pooling, retrieval, selection, stats
 from loomtext.operators.gated import BatchPort
-from loomtext.plans import prompts
+from loomtext.plans import line_scorer, prompts
 from loomtext.session import checkpointer, shared_path
 from loomtext.sources import records
 
@@ -792,6 +793,16 @@ def local_report(spark, sf_dir):
     return evaluation.local_report(evaluation.line_pairs(d, b)).filter("metric = 'BLEU'")
 
 
+@_query(f"""with {_BLEU}, mt as (select id, list_distinct(list_filter(string_split(regexp_replace(trim(c), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) as h, list_filter(string_split(regexp_replace(trim(r), '\\s+', ' ', 'g'), ' '), lambda w: w <> '') as r from pr)
+select 'BLEU' as metric, round(avg(bleu) * 100, 2) as score from bl union all select 'METEOR', round(avg(len(list_intersect(h, r)) / len(h)) * 100, 2) from mt""")
+def local_report_by_lines(spark, sf_dir):
+    """With a process that speaks the scorer's line protocol and gives the share of words in common."""
+    b = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("row_id"), "text")
+    d = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "text")
+    port = line_scorer.line_scorer_port([sys.executable, "-u", "-c", line_scorer.DOUBLE])
+    return evaluation.local_report(evaluation.line_pairs(d, b), port).filter("metric <> 'ROUGE-L'")
+
+
 # a word's vector is one of the embeddings, by its length and first letter
 _MS = f"""nx as (select a.item_id, a.text as c, unnest([b.text, d.text]) as r, unnest([0, 1]) as rf from benchmark a join benchmark b on b.item_id = a.item_id + 1 join benchmark d on d.item_id = a.item_id + 2),
 w as (select distinct t, unnest(list_transform(range(1, len(ws) + 1), lambda i: {{'pos': i, 'token': ws[i]}}), recursive := true) from (select t, {_words('t')} as ws from (select c as t from nx union select r from nx))),
@@ -819,6 +830,47 @@ def match_scores(spark, sf_dir):
     return evaluation.match_scores(rows, "item_id", "text", "refs", encode, idf=True).select("item_id", *(F.round(c, 6).alias(c) for c in "prf"))
 
 
+_POOLED = lambda name, most: f"""{name} as (select doc_id, list(x order by d) as v from (select doc_id, d, avg(x) as x from (
+  select doc_id, unnest(range(1, 65)) as d, unnest(cast(embedding as double[])) as x from (select doc_id, unnest({_words(name + '_text')}[:{most}]) as token from dt) join embeddings on vec_id = (length(token) * 7 + ascii(token)) % (select count(*) from embeddings)) group by all) group by 1)"""
+
+
+@_query(f"with dt as (select doc_id, text as code_text, {_first('text')} as summary_text from documents), {_POOLED('code', 512)}, {_POOLED('summary', 128)} select doc_id, round(list_cosine_similarity(code.v, summary.v), 6) as similarity from code join summary using (doc_id)")
+def pooled_similarity(spark, sf_dir):
+    """Texts and their first sentences as means of the vectors of their first 512 and 128 words."""
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    n, docs = vectors.count(), _table(spark, sf_dir, "documents")
+
+    def pooled(text, most):
+        words = docs.select("doc_id", F.posexplode(F.slice(t.words(text), 1, most)).alias("pos", "token"))
+        found = words.join(vectors, F.col("vec_id") == (F.length("token") * 7 + F.ascii("token")) % n)
+        return pooling.mean_vectors(found, "doc_id", "pos", "vector", most)
+
+    code, summary = pooled(F.col("text"), pooling.MOST_CODE), pooled(t.first_sentence(F.col("text")), pooling.MOST_SUMMARY).withColumnRenamed("mean", "other")
+    return code.join(summary, "doc_id").select("doc_id", F.round(retrieval.cosine(F.col("mean"), F.col("other")), 6).alias("similarity"))
+
+
+# a statement is a sentence; the classifier's stand-in picks those whose words have an odd number of letters
+_STATEMENTS = "list_filter(string_split(text, '.'), lambda x: x <> '')"
+
+
+@_query(f"""with {_CONV}, st as (select conv_id, pos, {_STATEMENTS} as s from c),
+lb as (select conv_id, pos, s, list_transform(s[:32], lambda x: cast(list_sum(list_concat([0], list_transform({_words('x')}[:32], lambda w: length(w)))) % 2 as integer)) as l from st)
+select conv_id, string_agg(array_to_string(l, ''), '|' order by pos) as labels, md5(string_agg(array_to_string(list_filter(list_transform(range(1, len(l) + 1), lambda i: case when l[i] = 1 then s[i] end), lambda x: x is not null), '.'), '|' order by pos)) as picked_md5 from lb group by 1""")
+def classified_statements(spark, sf_dir):
+    """Statements of the main text and of candidates, labelled in batches of 32 x 32 and put back into the nested row."""
+    split = lambda x: F.filter(F.split(x, "\\."), lambda s: s != "")
+    rows = _conversations(spark, sf_dir).select("conv_id", split(F.col("main")).alias("cleaned_seqs"), F.transform("candidates", lambda x: F.struct(split(x).alias("cleaned_seqs"))).alias("retrieved_candidates"))
+
+    def stand_in():
+        return lambda statement: [len(w) for w in statement.split()], lambda ids, words, statements: (ids * words).sum(2) % 2
+
+    found = classify.classified(rows, classify.label_port(stand_in))
+    each = F.concat(F.array(F.struct("pred_labels", "cleaned_seqs_pred")), F.transform("retrieved_candidates", lambda c: F.struct(c["pred_labels"].alias("pred_labels"), c["cleaned_seqs_pred"].alias("cleaned_seqs_pred"))))
+    labels = F.array_join(F.transform(each, lambda c: F.array_join(c["pred_labels"].cast("array<string>"), "")), "|")
+    picked = F.array_join(F.transform(each, lambda c: F.array_join(c["cleaned_seqs_pred"], ".")), "|")
+    return found.select("conv_id", labels.alias("labels"), F.md5(picked.cast("binary")).alias("picked_md5"))
+
+
 @_query(f"""with d as (select list_distinct({_words('text')}) as w from documents), x as (select unnest(w) as token from d)
 select token, round(ln(((select count(*) from d) + 1.0::double) / (count(*) + 1)), 6) as idf from x group by 1""")
 def idf_weights(spark, sf_dir):
