@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from loomtext.functions import text as t
 from loomtext.operators import blocks, cascade, classify, dedup, evaluation, joins, metrics, near_text, nested, pooling, retrieval, selection, stats
 from loomtext.operators.gated import BatchPort
-from loomtext.plans import line_scorer, prompts
+from loomtext.plans import line_scorer, ports, prompts, select_run, summary_run
 from loomtext.session import checkpointer, shared_path
 from loomtext.sources import records
 
@@ -540,10 +540,14 @@ a as (select b.item_id, d.doc_id, coalesce(score, 0.0) as score from b cross joi
 t as (select *, row_number() over (partition by item_id order by score desc, doc_id desc) as rank from a qualify rank <= 3)"""
 
 
-@_query(f"with {_BM25} select token, df, round(idf, 6) as idf from i")
+@_query(f"""with w as (select list_distinct({_words('text')}) as w from documents), n as (select count(*) as n from w), c as (select token, count(*) as df from (select unnest(w) as token from w) group by 1),
+v as (select token, df, ln(n - df + 0.5) - ln(df + 0.5) as raw from c, n), m as (select avg(raw) as mean from v), i as (select token, df, case when raw < 0 then mean * 0.25 else raw end as idf from v, m)
+select length(token) as n_chars, count(*) as tokens, sum(df)::bigint as df, round(sum(idf), 3) as idf, min(token) as least from i group by 1""")
 def bm25_idf(spark, sf_dir):
+    """The weights of all tokens, added up by their length."""
     docs = _table(spark, sf_dir, "documents")
-    return retrieval.idf(retrieval.vocabulary(docs, "text"), docs.count()).withColumn("idf", F.round("idf", 6))
+    rows = retrieval.idf(retrieval.vocabulary(docs, "text"), docs.count())
+    return rows.groupBy(F.length("token").cast("long").alias("n_chars")).agg(F.count(F.lit(1)).alias("tokens"), F.sum("df").alias("df"), F.round(F.sum("idf"), 3).alias("idf"), F.min("token").alias("least"))
 
 
 @_query(f"with {_TOP} select item_id, doc_id, score, cast(rank as integer) as rank from t")
@@ -793,6 +797,61 @@ def local_report(spark, sf_dir):
     return evaluation.local_report(evaluation.line_pairs(d, b)).filter("metric = 'BLEU'")
 
 
+# conversations as records: the first turn is the source, the others are candidates with their text as back-translation; the embedder's stand-in counts letters
+_VECTOR = lambda x: f"[length({x})::double, 1.0 + length({x}) - length(replace({x}, 'e', '')), 1.0 + length({x}) - length(replace({x}, 'n', ''))]"
+_SELECTED = f"""{_CONV}, mn as (select conv_id, text as src from c where pos = 0), cd as (select conv_id, cast(pos - 1 as integer) as i, case when pos % 3 = 0 then 'invalid' when pos % 3 = 1 then 'valid' else 'success' end as status, text as bt, role || pos as code, src from c join mn using (conv_id) where pos > 0),
+us as (select * from cd where status <> 'invalid' and bt <> ''),
+tk as (select conv_id, i, {_nist_sql('bt').replace("lower(' ' || ", "(' ' || ")} as h, {_nist_sql('src').replace("lower(' ' || ", "(' ' || ")} as r from us),
+hg as (select conv_id, i, n, gram, count(*) as k from (select conv_id, i, n, unnest(list_transform(range(1, len(h) - n + 2), lambda j: array_to_string(h[j:j + n - 1], chr(1)))) as gram from tk, range(1, 5) as g(n)) group by all),
+rg as (select conv_id, i, n, gram, count(*) as k from (select conv_id, i, n, unnest(list_transform(range(1, len(r) - n + 2), lambda j: array_to_string(r[j:j + n - 1], chr(1)))) as gram from tk, range(1, 5) as g(n)) group by all),
+ok as (select conv_id, i, n, sum(least(hg.k, rg.k))::double as correct from hg join rg using (conv_id, i, n, gram) group by all),
+bl as (select conv_id, i, case when count(correct) < 4 then 0 else exp(sum(ln(correct / greatest(len(h) - n + 1, 0))) / 4 + case when any_value(len(h)) > any_value(len(r)) then 0 else 1 - any_value(len(r))::double / any_value(len(h)) end) end as bleu from tk cross join range(1, 5) as g(n) left join ok using (conv_id, i, n) group by 1, 2),
+sc as (select us.*, bleu, list_cosine_similarity({_VECTOR('src')}, {_VECTOR('bt')}) as jina from us join bl using (conv_id, i)),
+hy as (select *, 0.7 * jina + 0.3 * bleu as hybrid from sc),
+al as (select cd.conv_id, cd.i, cd.status, cd.code, hybrid from cd left join hy using (conv_id, i)),
+bs as (select conv_id, min_by(i, (-coalesce(hybrid, -1.0), i)) filter (status <> 'invalid') as bi, count(*) as n from al group by 1)"""
+
+
+def _letters():
+    def similar(sources: list[str], others: list[str]) -> list[float]:
+        vector = lambda x: (len(x), 1 + x.count("e"), 1 + x.count("n"))
+        dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+        return [dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5 for a, b in ((vector(x), vector(y)) for x, y in zip(sources, others, strict=True))]
+
+    return similar
+
+
+@_query(f"""with {_SELECTED} select mn.conv_id, coalesce(bi, case when n > 0 then 0 else -1 end) as index, coalesce(al.status, 'failed') as status, al.code as code, round(case when bi is null then 0.0 else coalesce(hybrid, -1.0) end, 6) as score
+from mn left join bs on bs.conv_id = mn.conv_id left join al on al.conv_id = mn.conv_id and al.i = coalesce(bi, 0)""")
+def selected_code(spark, sf_dir):
+    """The select stage: candidates flattened, scored, put back, and the best one chosen."""
+    made = F.transform("candidates", lambda text, i: F.struct(F.concat(F.get("roles", i), (i + 1).cast("string")).alias("code"), F.when((i + 1) % 3 == 0, "invalid").when((i + 1) % 3 == 1, "valid").otherwise("success").alias("status"), text.alias("back_translation"), F.lit(None).cast("double").alias("hybrid_score")))
+    rows = _conversations(spark, sf_dir).withColumn("roles", F.slice(F.transform("ts", lambda x: x["role"]), F.lit(2), F.greatest(F.size("ts"), F.lit(1)))).select("conv_id", "main", made.alias("translations"))
+    found = select_run.selected(rows, "conv_id", "main", _letters, w_bleu=0.3, w_cosine=0.7)
+    return found.select("conv_id", F.col("best_candidate_info.index").alias("index"), F.col("best_candidate_info.status").alias("status"), F.col("best_python_code").alias("code"), F.round("best_score_hybrid", 6).alias("score"))
+
+
+_FIRST_LINE = lambda x: f"[string_split({x}, chr(10))[1]]"
+
+
+@_query(f"""with {_TOP}, sh as (select item_id, list(d.text order by t.rank) as codes, list(d.source order by t.rank) as sums from t join documents d using (doc_id) group by 1),
+pr as (select b.item_id, {_s(_L.system + chr(10) * 2 + 'GUIDELINES:' + chr(10) + ''.join(f'{i}. {r}{chr(10)}' for i, r in enumerate(_L.rules, 1)) + chr(10) + 'Examples:' + chr(10) * 2)}
+  || array_to_string(list_transform(range(1, 4), lambda i: {_T.format(_annotated_sql('codes[i]', _FIRST_LINE('codes[i]')))} || chr(10) || {_T.format(f"({_s(_L.open_tag)} || trim(sums[i]) || {_s(_L.close_tag)})")} || chr(10) || chr(10)), '')
+  || {_T.format(_annotated_sql('b.text', _FIRST_LINE('b.text')))} || chr(10) || {_s(_L.open_tag)} as prompt from benchmark b join sh using (item_id))
+select item_id, md5(prompt) as prompt_md5, 'A text of ' || length(prompt) || ' characters.' as summary from pr""")
+def summarised_passages(spark, sf_dir):
+    """Retrieval to cleaned summaries: shots, prompts, a generator's stand-in, and the text after its tag."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows = summary_run.with_shots(_table(spark, sf_dir, "benchmark"), docs, "item_id", "text", "doc_id", "text", ["text", "source"])
+    rows = summary_run.prompted(rows.withColumn("trace", F.array().cast("array<string>")), "text", "trace", "text", None, "source", _L)
+
+    def stand_in():
+        return lambda asked, temperature, n: [[f"Well, <SUMMARY>\n# A text of {len(p)} characters.\n</SUMMARY>"] for p in asked]
+
+    made = summary_run.summarised(rows, "item_id", stand_in)
+    return rows.select("item_id", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5")).join(made, "item_id").select("item_id", "prompt_md5", F.trim("summary").alias("summary"))
+
+
 @_query(f"""with {_BLEU}, mt as (select id, list_distinct(list_filter(string_split(regexp_replace(trim(c), '\\s+', ' ', 'g'), ' '), lambda w: w <> '')) as h, list_filter(string_split(regexp_replace(trim(r), '\\s+', ' ', 'g'), ' '), lambda w: w <> '') as r from pr)
 select 'BLEU' as metric, round(avg(bleu) * 100, 2) as score from bl union all select 'METEOR', round(avg(len(list_intersect(h, r)) / len(h)) * 100, 2) from mt""")
 def local_report_by_lines(spark, sf_dir):
@@ -1044,8 +1103,6 @@ def ngram_counts(spark, sf_dir):
 
 @_query("select item_id, t.temperature::double as temperature, cast(t.n as integer) as n, cast(t.first as integer) as first from benchmark, (values (0.0, 1, 0), (0.7, 3, 1), (0.9, 3, 4), (1.1, 3, 7)) as t(temperature, n, first)")
 def temperature_fan_out(spark, sf_dir):
-    from loomtext.plans import ports
-
     return ports.fan_out(_table(spark, sf_dir, "benchmark").select("item_id"))
 
 
@@ -1081,3 +1138,127 @@ def update_elements(spark, sf_dir):
 @_query(f"select item_id, md5({_trim(f"replace(array_to_string({_words('text')}, ' '), ' .', '.')")}) as joined_md5 from benchmark")
 def join_tokens(spark, sf_dir):
     return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(t.join_tokens(t.words(F.col("text"))).cast("binary")).alias("joined_md5"))
+
+
+# ---- operators around models, with stand-ins --------------------------------------------------------------------------------
+def _echo(tag: str = "PYTHON"):
+    """Code that tells the prompt's length and the candidate's place; broken where the length divides by three."""
+    return lambda: lambda asked, temperature, n: [[f"<{tag}>def (</{tag}>" if len(p) % 3 == 0 and tag == "PYTHON" else f"<{tag}>x = {len(p)} + {i}</{tag}>" for i in range(n)] for p in asked]
+
+
+@_query("select item_id, cast(i as integer) as pos, 'x = ' || length(text) || ' + ' || i as code, t::double as temperature from (select item_id, text, unnest([0.5, 1.0]) as t, unnest([2, 3]) as n from benchmark), range(3) as g(i) where i < n")
+def generated(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    asked = rows.select("*", F.inline(F.array(*(F.struct(F.lit(x).alias("temperature"), F.lit(n).alias("n")) for x, n in ((0.5, 2), (1.0, 3))))))
+    made = ports.generate(asked, "prompt", _echo("CODE"))
+    return made.select("item_id", "pos", t.extract_code(F.col("raw_output"), forward=False).alias("code"), "temperature")
+
+
+_REPAIRED = """b as (select item_id, length(text) as n from benchmark),
+r as (select item_id, n % 3 = 0 as bad, case when n % 3 = 0 then [] else list_transform([0, 0, 1, 2, 0, 1, 2, 0, 1, 2], lambda i: 'x = ' || n || ' + ' || i) end as good from b)"""
+
+
+def _translated(spark, sf_dir):
+    return ports.translate(_table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", F.col("text"), _echo())
+
+
+@_query(f"with {_REPAIRED} select item_id, cast(len(good) as integer) as valid_count, case when bad then 'all_failed' else 'success' end as status, case when bad then 'def (|def (|def (|def (|def (|def (|def (|def (|def (|def (' else array_to_string(good, '|') end as codes from r")
+def translated(spark, sf_dir):
+    """The schedule's ten candidates, judged by a parser."""
+    return _translated(spark, sf_dir).select("item_id", "valid_count", "status", F.array_join(F.transform("translations", lambda c: c["code"]), "|").alias("codes"))
+
+
+@_query(f"with {_REPAIRED} select item_id, case when bad then 'repaired_success' else 'success' end as status, 10 + cast(bad as integer) as n, case when bad then 'x = 7 + 0' else good[10] end as last, cast(bad as integer) as attempt from r")
+def repaired(spark, sf_dir):
+    """Records without a valid candidate are asked again from their shortest invalid one, `def (`, whose prompt has seven characters."""
+    rows = _translated(spark, sf_dir)
+    rows = ports.repair(rows, "item_id", lambda code, error: F.concat(F.lit("f:"), code), _echo(), checkpointer(spark))
+    last = F.element_at("translations", -1)
+    return rows.select("item_id", "status", F.size("translations").alias("n"), last["code"].alias("last"), last["attempt"].alias("attempt"))
+
+
+@_query(f"with {_REPAIRED} select item_id, array_to_string(list_transform(range(1, 11), lambda i: case when bad and i > 1 then '-' when bad then 'x = 5 + 0' else 'x = ' || length(good[i]) || ' + 0' end), '|') as back from r")
+def back_translated(spark, sf_dir):
+    """Usable candidates, and the greedy one whatever its status, are translated back at their places."""
+    rows = ports.back_translate(_translated(spark, sf_dir), "item_id", lambda code: code, _echo("CODE"))
+    return rows.select("item_id", F.array_join(F.transform("translations", lambda c: F.coalesce(c["back_translation"], F.lit("-"))), "|").alias("back"))
+
+
+@_query(f"with {_REPAIRED} select item_id, array_to_string(list_transform(range(1, 11), lambda i: case when i % 2 = 0 then 'kept' when bad then '-' else 'x = ' || length(good[i]) + 1 || ' + 0' end), '|') as back from r")
+def refilled(spark, sf_dir):
+    """Only holes are asked for: every second candidate has its back-translation, and invalid ones are no holes."""
+    rows = _translated(spark, sf_dir).withColumn("translations", F.transform("translations", lambda c, i: c.withField("back_translation", F.when(i % 2 == 1, "kept").otherwise(" "))))
+    rows = ports.refill(rows, "item_id", lambda code: F.concat(code, F.lit("!")), lambda: lambda asked, temperature, n: [[f"```python\nx = {len(p)} + 0" for _ in range(n)] for p in asked])
+    shown = lambda c: F.when(F.trim(c["back_translation"]) == "", "-").otherwise(c["back_translation"])
+    return rows.select("item_id", F.array_join(F.transform("translations", shown), "|").alias("back"))
+
+
+@_query("select doc_id, upper(lang) as name from documents")
+def distinct_port(spark, sf_dir):
+    port = ports.scalar_port(lambda: lambda names: [x.upper() for x in names], "string")
+    return ports.distinct_port(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "name", port).select("doc_id", "name")
+
+
+@_query("select item_id, md5('Q(' || l || '): ' || text || case l when 'lua' then ' like print(1)' when 'r' then ' like cat(1)' else '' end) as prompt_md5 from (select item_id, text, (['lua', 'r', 'ocaml'])[item_id % 3 + 1] as l from benchmark)")
+def shot_prompt(spark, sf_dir):
+    lang = F.get(F.array(*map(F.lit, ("lua", "r", "ocaml"))), (F.col("item_id") % 3).cast("int"))
+    made = prompts.with_shot("Q({lang}): {code}{shot}", {"lua": " like print(1)", "r": " like cat(1)"}, lang, code=F.col("text"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.md5(made.cast("binary")).alias("prompt_md5"))
+
+
+# ---- more of records, text, nesting and scores --------------------------------------------------------------------------------
+@_query(f"select row_number() over (order by item_id) - 1 as row_id, (row_number() over (order by item_id))::varchar as index, md5({_trim("'  ' || text || ' '")}) as code_md5 from benchmark")
+def jsonl_indexed(spark, sf_dir):
+    path = shared_path(spark, "indexed-json")
+    records.write_jsonl(_table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("  "), "text", F.lit(" ")).alias("code")), path, ["item_id"])
+    return records.read_jsonl_indexed(spark, path).select("row_id", "index", F.md5(F.col("code").cast("binary")).alias("code_md5"))
+
+
+@_query("select 'lang-' || lang as lang, 'trans_' || doc_id % 2 as model, doc_id, md5(text) as text_md5 from documents where lang in ('de', 'en', 'fr')")
+def template_files(spark, sf_dir):
+    """Documents in folders by language and model, of which three languages are read back."""
+    root = shared_path(spark, "template")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("lang-"), "lang").alias("a"), (F.col("doc_id") % 2).alias("b"))
+    docs.write.partitionBy("a", "b").json(root)
+    rows = records.read_template(spark, root, "*/*/*.json", "doc_id long, text string", langs=[f"a=lang-{x}" for x in ("de", "en", "fr")])
+    tail = lambda c: F.element_at(F.split(c, "="), -1)
+    return rows.select(tail("lang").alias("lang"), F.concat(F.lit("trans_"), tail("model")).alias("model"), "doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_GUESSED = f"""g as (select page_id, {_trim("case page_id % 4 when 0 then 'Sure.' || chr(10) || '```lua' || chr(10) || html when 1 then 'Here it is: local x = 1' || chr(10) || html when 2 then 'Code:' || chr(10) || replace(html, '<p>', chr(10) || '# ') else replace(html, '<p>', '```') end")} as x from pages)"""
+_starts = lambda p: f"nullif({_trim(f"regexp_extract(x, '{p}', 1)")}, '')"
+
+
+@_query(f"""with {_GUESSED} select page_id, md5(coalesce({_starts("(?is)```(?:" + _W + "+)?\\s*(.*?)(?:```|\\z)")}, {_starts("(?s)((?:def|class|function|let|define|local)\\s+" + _W + "+.*)")}, {_starts("(?s)(library\\s*\\(.*)")}, {_starts("(?s)(#include\\s*<.*)")}, {_starts("(?s)(import\\s+.*)")},
+  nullif({_trim("array_to_string(list_filter(string_split(x, chr(10)), lambda l: " + _trim("l") + " <> '' and not regexp_matches(lower(" + _trim("l") + "), '^(code:|python code:|ocaml code:|here is|julia code:|//|#|note:)')), chr(10))")}, ''), x)) as code_md5 from g""")
+def guessed_code(spark, sf_dir):
+    """Code from answers without proper fences."""
+    k, html, line = F.col("page_id") % 4, F.col("html"), F.lit("\n")
+    x = F.when(k == 0, F.concat(F.lit("Sure.\n```lua\n"), html)).when(k == 1, F.concat(F.lit("Here it is: local x = 1\n"), html)).when(k == 2, F.concat(F.lit("Code:\n"), F.replace(html, F.lit("<p>"), F.concat(line, F.lit("# "))))).otherwise(F.replace(html, F.lit("<p>"), F.lit("```")))
+    return _table(spark, sf_dir, "pages").select("page_id", F.md5(t.extract_code_permissive(x).cast("binary")).alias("code_md5"))
+
+
+@_query(f"""with {_CONV}, st as (select conv_id, list({_words('text')} order by pos) as s from c group by 1)
+select conv_id, array_to_string(list_transform(range(1, 5), lambda i: array_to_string(list_transform(range(1, 7), lambda j: coalesce(s[i][j], '_')), ' ')), '|') as ids, array_to_string(list_transform(range(1, 5), lambda i: array_to_string(list_transform(range(1, 7), lambda j: case when j <= coalesce(len(s[i]), 0) then 1 else 0 end), '')), '|') as words,
+  array_to_string(list_transform(range(1, 5), lambda i: case when i <= len(s) then 1 else 0 end), '') as statements from st""")
+def padded_statements(spark, sf_dir):
+    ids, words, statements = nested.padded_tokens(F.transform("ts", lambda x: x["text"]), 4, 6, "_")
+    joined = lambda rows, by: F.array_join(F.transform(rows, lambda r: F.array_join(r.cast("array<string>"), by)), "|")
+    return _conversations(spark, sf_dir).select("conv_id", joined(ids, " ").alias("ids"), joined(words, "").alias("words"), F.array_join(statements.cast("array<string>"), "").alias("statements"))
+
+
+@_query("select label as pair, a.vec_id as i, b.vec_id as j, round(list_cosine_similarity(cast(a.embedding as double[]), cast(b.embedding as double[])), 6) as similarity from embeddings a join embeddings b using (label) where a.vec_id % 2 = 0 and b.vec_id % 2 = 1")
+def similarity_cells(spark, sf_dir):
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("label").alias("pair"), F.col("vec_id").alias("token"), F.col("embedding").alias("vector"))
+    return metrics.similarity_cells(rows.filter("token % 2 = 0"), rows.filter("token % 2 = 1")).select("pair", "i", "j", F.round("similarity", 6).alias("similarity"))
+
+
+@_query("select item_id as uid, left(text, 60) as a, left(upper(text), 60) as b from benchmark where item_id = (select coalesce(min(item_id) filter (item_id = 3), min(item_id)) from benchmark)")
+def alignment_sample(spark, sf_dir):
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("uid"), F.col("text").alias("a"), F.upper("text").alias("b"))
+    return metrics.alignment_sample(rows)
+
+
+@_query("select doc_id, lang from documents where doc_id < 100")
+def row_cap(spark, sf_dir):
+    return dedup.row_cap(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 100)

@@ -129,8 +129,18 @@ def write_predictions(df: DataFrame, path: str, debug_path: str | None = None) -
     df.orderBy("idx").select(line.alias("value")).write.text(path)
 
 
-def read_template(spark: SparkSession, root: str, pattern: str, schema: str | T.StructType) -> DataFrame:
-    """One scan over root/pattern, a glob whose first two parts are lang and model, which become columns; files that don't exist are no rows."""
-    df = spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{root}/{pattern}")
-    parts, depth = F.split(F.input_file_name(), "/"), pattern.count("/") + 1
-    return df.withColumn("lang", F.element_at(parts, -depth)).withColumn("model", F.element_at(parts, 1 - depth))
+def read_template(spark: SparkSession, root: str, pattern: str, schema: str | T.StructType, langs: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
+    """One scan over root/pattern, a glob whose first two parts are lang and model, which become columns; files that don't exist are no rows.
+
+    langs and models take the place of the first two parts, so that only their folders are listed and only their files opened.
+    """
+    parts = pattern.split("/")
+    for at, names in enumerate((langs, models)):
+        if names is not None:
+            parts[at] = "{" + ",".join(names) + "}"
+    if langs == [] or models == []:
+        rows = spark.createDataFrame([], schema)
+        return rows.withColumn("lang", F.lit(None).cast("string")).withColumn("model", F.lit(None).cast("string"))
+    df = spark.read.schema(schema).option("ignoreMissingFiles", True).json(f"{root}/{'/'.join(parts)}")
+    found, depth = F.split(F.input_file_name(), "/"), len(parts)
+    return df.withColumn("lang", F.element_at(found, -depth)).withColumn("model", F.element_at(found, 1 - depth))
