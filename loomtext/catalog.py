@@ -521,13 +521,47 @@ def head_fraction(spark, sf_dir):
     return dedup.head_fraction(_table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", 0.1)
 
 
-@_query()
+# the longest common run in a part of two texts is a maximal run clipped to the part; of equally long ones the first in the later text, then in the earlier one. What frequent characters
+# of an earlier text of 200 characters or more share counts only beside such a run.
+_clip = lambda of: f"list_max(list_transform(list_filter(list_transform(runs, lambda r: {{'n': least(r.i + r.n, {of}.ahi, {of}.bhi + r.i - r.j) - greatest(r.i, {of}.alo, {of}.blo + r.i - r.j), 'i': -greatest(r.i, {of}.alo, {of}.blo + r.i - r.j), 'd': r.i - r.j}}), lambda r: r.n > 0), lambda r: {{'n': r.n, 'i': r.i, 'j': r.i + r.d}}))"
+_NEAR = f"""with recursive {_SENTENCES}, u as (select min(doc_id) as id, lang, summary, string_split(summary, '') as cs, length(summary) as n from w where summary <> '' group by lang, summary),
+bg as (select *, list_transform(range(97, 124), lambda c: case when c < 123 then n - length(replace(summary, chr(c::int), '')) else length(regexp_replace(summary, '[a-z]', '', 'g')) end) as bag from u),
+cp as (select a.id as later, b.id as earlier, a.cs as a, b.cs as b, a.n as na, b.n as nb from bg a join bg b on a.lang = b.lang and b.id < a.id and 2 * least(a.n, b.n) > 0.85 * (a.n + b.n) and 2 * list_sum(list_transform(range(1, 28), lambda k: least(a.bag[k], b.bag[k]))) > 0.85 * (a.n + b.n)),
+ce as (select later, earlier, unnest(range(1, na + 1)) as i, unnest(a) as c from cp), be as (select later, earlier, unnest(range(1, nb + 1)) as j, unnest(b) as c, nb from cp),
+rare as (select later, earlier, c, list(j) as js from be group by later, earlier, c, nb having nb < 200 or count(*) <= nb // 100 + 1),
+hit as (select later, earlier, i, unnest(js) as j from ce join rare using (later, earlier, c)),
+il as (select later, earlier, i, j, i - row_number() over (partition by later, earlier, i - j order by i) as g from hit),
+rs as (select later, earlier, list({{'i': i, 'j': j, 'n': n}}) as runs from (select later, earlier, min(i) as i, min(j) as j, count(*) as n from il group by later, earlier, i - j, g) group by 1, 2),
+cr as (select cp.*, coalesce(runs, []) as runs from cp left join rs using (later, earlier)),
+sg as (
+  select later, earlier, 1 as alo, na + 1 as ahi, 1 as blo, nb + 1 as bhi, 0 as i, 0 as j, cast(-1 as bigint) as n from cp
+  union all
+  select later, earlier, alo, ahi, blo, bhi, i - lf as i, j - lf as j, n + lf + rg as n from (
+    select *, coalesce(list_position(list_transform(range(1, least(i - alo, j - blo) + 1), lambda k: a[i - k] <> b[j - k]), true) - 1, least(i - alo, j - blo)) as lf,
+      coalesce(list_position(list_transform(range(0, least(ahi - i - n, bhi - j - n)), lambda k: a[i + n + k] <> b[j + n + k]), true) - 1, least(ahi - i - n, bhi - j - n)) as rg from (
+      select later, earlier, a, b, p.alo, p.ahi, p.blo, p.bhi, coalesce(-m.i, p.alo) as i, coalesce(-m.j, p.blo) as j, coalesce(m.n, 0) as n from (
+        select later, earlier, a, b, p, {_clip('p')} as m from (
+          select cr.*, unnest(case when sg.n = -1 then [{{'alo': sg.alo, 'ahi': sg.ahi, 'blo': sg.blo, 'bhi': sg.bhi}}] else
+            [{{'alo': sg.alo, 'ahi': sg.i, 'blo': sg.blo, 'bhi': sg.j}}, {{'alo': sg.i + sg.n, 'ahi': sg.ahi, 'blo': sg.j + sg.n, 'bhi': sg.bhi}}] end) as p from sg join cr using (later, earlier) where sg.n <> 0) where p.alo < p.ahi and p.blo < p.bhi)))),
+nr as (select later, earlier from sg join cp using (later, earlier) where sg.n > 0 group by later, earlier, na, nb having 2.0::double * sum(sg.n) / (na + nb) > 0.85::double),
+nd as (select id, row_number() over (order by id) as k, coalesce(nbs, []) as nbs from (select later as id from nr union select earlier from nr) left join (select later as id, list(earlier) as nbs from nr group by 1) using (id)),
+kp as (select cast(0 as bigint) as k, cast([] as bigint[]) as kept union all select kp.k + 1, case when len(list_intersect(kept, nbs)) > 0 then kept else list_append(kept, id) end from kp join nd on nd.k = kp.k + 1)"""
+
+
+@_query(f"{_NEAR} select lang, summary, id as doc_id from u where id not in (select id from nd) or id in (select unnest(kept) from kp where k = (select max(k) from kp)) union all select lang, '', min(doc_id) from w where summary = '' group by lang")
 def near_dup_keep(spark, sf_dir):
     """D1 and D2 over the first sentences of each language."""
     x = dedup.keep_first(_sentences(spark, sf_dir).filter("summary is not null").select("lang", "summary", "doc_id"), ["lang", "summary"], ["doc_id"])
     return near_text.near_first_wins(x, "doc_id", "summary", checkpointer(spark), part="lang")
 
 
+@_query(f"{_NEAR} select later, earlier from nr")
+def near_dup_pairs(spark, sf_dir):
+    """J9 over the first sentences of each language, equal ones once."""
+    x = dedup.keep_first(_sentences(spark, sf_dir).filter("summary is not null").select("lang", "summary", "doc_id"), ["lang", "summary"], ["doc_id"])
+    return near_text.near_duplicate_pairs(x, "doc_id", "summary", part="lang").select("later", "earlier")
+
+
 # ---- retrieval ---------------------------------------------------------------------------------------------------------------
 _BM25 = f"""d as (select doc_id, {_words('text')} as w from documents), b as (select item_id, {_words('text')} as w from benchmark),
 n as (select count(*) as n, avg(len(w)) as avgdl from d),
