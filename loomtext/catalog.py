@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from loomtext.functions import porter
 from loomtext.functions import text as t
 from loomtext.operators import blocks, cascade, classify, dedup, evaluation, joins, metrics, near_text, nested, pooling, retrieval, selection, stats
 from loomtext.operators.gated import BatchPort
@@ -798,6 +799,47 @@ def rouge_l_stemmed(spark, sf_dir):
     return pairs.select("item_id", F.round(metrics.rouge_l()(F.col("text"), F.col("refs")), 6).alias("rouge_l"))
 
 
+def _stem_sql(words: str) -> str:
+    """CTE stems (w, stem) of a CTE of words (w), step by step: x is what is left of a word."""
+    end = lambda suffix: f"ends_with(x, '{suffix}')"
+    cut = lambda k: f"substr(x, 1, length(x) - {k})"
+    shape = lambda x: "replace(replace(" * 3 + f"regexp_replace(regexp_replace(regexp_replace({x}, '[^aeiouy]', 'c', 'g'), '[aeiou]', 'v', 'g'), '^y', 'c')" + ", 'cy', 'cv'), 'vy', 'vc')" * 3
+    measure = lambda x: f"((length({shape(x)}) - length(replace({shape(x)}, 'vc', ''))) // 2)"
+    cvc = lambda x: f"(ends_with({shape(x)}, 'cvc') and right({x}, 1) not in ('w', 'x', 'y') or {shape(x)} = 'vc')"
+    table = lambda t: "case " + " ".join(f"when {end(k)} then case when {measure(cut(3 if k == 'logi' else len(k)))} > 0 then {cut(len(k))} || '{t[k]}' else x end" for k in sorted(t, key=len, reverse=True)) + " else x end"
+    steps = [
+        f"case when {end('ies')} and length(x) = 4 then {cut(1)} when {end('sses')} or {end('ies')} then {cut(2)} when {end('s')} and not {end('ss')} then {cut(1)} else x end as x, false as fix",
+        f"case when {end('ied')} then case when length(x) = 4 then {cut(1)} else {cut(2)} end when {end('eed')} then case when {measure(cut(3))} > 0 then {cut(1)} else x end when {end('ed')} and contains({shape(cut(2))}, 'v') then {cut(2)} when {end('ing')} and contains({shape(cut(3))}, 'v') then {cut(3)} else x end as x,"
+        f" not {end('ied')} and not {end('eed')} and ({end('ed')} and contains({shape(cut(2))}, 'v') or {end('ing')} and contains({shape(cut(3))}, 'v')) as fix",
+        f"case when not fix then x when right(x, 2) in ('at', 'bl', 'iz') then x || 'e' when length(x) > 1 and right(x, 1) = substr(x, length(x) - 1, 1) and right({shape('x')}, 1) = 'c' and right(x, 1) not in ('l', 's', 'z') then {cut(1)} when {measure('x')} = 1 and {cvc('x')} then x || 'e' else x end as x, false as fix",
+        f"case when {end('y')} and length(x) > 2 and substr({shape('x')}, length(x) - 1, 1) = 'c' then {cut(1)} || 'i' else x end as x, false as fix",
+        f"case when {end('alli')} and {measure(cut(4))} > 0 then {cut(2)} else x end as x, false as fix",
+        f"{table(porter.STEP2)} as x, false as fix",
+        f"{table(porter.STEP3)} as x, false as fix",
+        "case " + " ".join(f"when {end(k)} then case when {measure(cut(len(k)))} > 1" + (f" and right({cut(3)}, 1) in ('s', 't')" if k == "ion" else "") + f" then {cut(len(k))} else x end" for k in sorted(porter.STEP4, key=len, reverse=True)) + " else x end as x, false as fix",
+        f"case when {end('e')} and ({measure(cut(1))} > 1 or {measure(cut(1))} = 1 and not {cvc(cut(1))}) then {cut(1)} else x end as x, false as fix",
+        f"case when {end('ll')} and {measure(cut(1))} > 1 then {cut(1)} else x end as x, false as fix",
+    ]
+    ctes = [f"p0 as (select distinct w, lower(w) as x, false as fix from {words})", *(f"p{i} as materialized (select w, {step} from p{i - 1})" for i, step in enumerate(steps, 1))]
+    known = " ".join(f"when '{a}' then '{b}'" for a, b in porter.IRREGULAR.items())
+    return ", ".join(ctes) + f", stems as (select w, case lower(w) {known} else case when length(w) <= 2 then lower(w) else x end end as stem from p{len(steps)})"
+
+
+@_query(f"with wd as (select unnest(string_split(text, ' ')) as w from documents union all select unnest(regexp_extract_all(html, '[A-Za-z]+')) from pages), {_stem_sql('wd')} select w as word, stem from stems")
+def stems(spark, sf_dir):
+    """The words of documents and the names and words of pages, with their stems."""
+    port = F.pandas_udf(lambda words: words.map(porter.stem), "string")
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).unionAll(_table(spark, sf_dir, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("([A-Za-z]+)"), F.lit(1)))))
+    return words.distinct().select("word", port("word").alias("stem"))
+
+
+@_query(f"""with {_NEXT}, wd as (select unnest(string_split(c, ' ')) as w from nx union select unnest(string_split(r, ' ')) from nx), {_stem_sql('wd')}, mp as (select map(list(w), list(stem)) as m from stems),
+tk as (select item_id, list_transform(string_split(c, ' '), lambda w: m[w]) as c, list_transform(string_split(r, ' '), lambda w: m[w]) as r from nx, mp), l as (select item_id, len(c) as nc, len(r) as nr, {_LCS('r', 'c')} as n from tk), f as (select item_id, n / nc as p, n / nr as q from l)
+select item_id, round(case when p > 0 then (1 + 1.44::double) * p * q / (q + 1.44::double * p) else 0 end, 6) as rouge_l from f""")
+def rouge_l_stems(spark, sf_dir):
+    return _next_pairs(spark, sf_dir).select("item_id", F.round(metrics.rouge_l()(F.col("text"), F.array("reference")), 6).alias("rouge_l"))
+
+
 @_query(f"""with {_NEXT}, tk as (select item_id, regexp_extract_all(lower(c), '[a-z0-9]+') as c, regexp_extract_all(lower(r), '[a-z0-9]+') as r from nx) select item_id, round(2.0 * {_LCS('r', 'c')} / (len(c) + len(r)), 6) as f1 from tk""")
 def rouge_f1(spark, sf_dir):
     tokens = evaluation.ascii_tokens
