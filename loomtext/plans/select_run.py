@@ -43,7 +43,7 @@ def selected(df: DataFrame, key: str, source: str, factory: Callable[[], Similar
 
 
 def run(spark: SparkSession, source: str, out: str, factory: Callable[[], Similar], models: list[str], languages: list[str], weights: list[tuple[float, float]] = [(0.5, 0.5)]) -> int:  # noqa: B006
-    """JSON lines source to out, paths with {lang} and {model} (a folder tag), out also with {wb} and {ws}; pairs without a source are skipped. Returns how many files were written."""
+    """JSON lines source to out, paths with {lang} and {model} (a folder tag), out also with {wb} and {ws}; pairs without a source, and sources without a usable candidate, are skipped. Returns how many files were written."""
     written = 0
     for path_of_model in models:
         tag = spark.range(1).select(t.model_tag(F.lit(path_of_model))).first()[0]
@@ -53,6 +53,8 @@ def run(spark: SparkSession, source: str, out: str, factory: Callable[[], Simila
             if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
                 continue
             rows = spark.read.schema(RECORD).json(path).withColumn("_source", F.coalesce("code", "source_code"))
+            if not rows.filter(F.exists("translations", selection.usable)).limit(1).count():
+                continue
             for w_bleu, w_cosine in weights:
                 chosen = selected(rows, "index", "_source", factory, w_bleu, w_cosine).drop("_source")
                 chosen.write.mode("overwrite").json(out.format(lang=lang, model=tag, wb=w_bleu, ws=w_cosine))

@@ -48,11 +48,13 @@ def read_json_array(spark: SparkSession, path: str, schema: str | T.StructType)
 
 
 def write_json_array(df: DataFrame, path: str, order: str) -> None:
-    """The records as one array in one file, in order, indented by commas and line ends; for results that one task can write."""
-    body = F.to_json(F.struct(*df.columns))
-    rows = df.select(F.struct(order, body.alias("j")).alias("r"))
-    lines = rows.agg(F.array_sort(F.collect_list("r")).alias("rs")).select(F.concat(F.lit("[\n"), F.array_join(F.transform("rs", lambda r: r["j"]), ",\n"), F.lit("\n]")).alias("value"))
-    lines.coalesce(1).write.text(path)
+    """The records as one array in one file, by `order` (unique), a record a line. One task writes the file, row after row; it holds no more than a sorted range of them."""
+    ends = df.agg(F.min(order).alias("a"), F.max(order).alias("z")).first()
+    if ends["a"] is None:
+        df.sparkSession.createDataFrame([("[\n]",)], "value string").coalesce(1).write.text(path)
+        return
+    line = F.concat(F.when(F.col(order) == F.lit(ends["a"]), "[\n").otherwise(""), F.to_json(F.struct(*df.columns)), F.when(F.col(order) == F.lit(ends["z"]), "\n]").otherwise(","))
+    df.orderBy(order).select(line.alias("value")).coalesce(1).write.text(path)
 
 
 def write_jsonl(df: DataFrame, path: str, order: list[Column | str] | None = None) -> None:

@@ -28,6 +28,8 @@ def test_the_select_stage_over_files(spark, tmp_path):
     folder = tmp_path / "lua" / "trans_qwen3th"
     folder.mkdir(parents=True)
     (folder / "in.jsonl").write_text("\n".join(map(json.dumps, RECORDS)))
+    (tmp_path / "r" / "trans_qwen3th").mkdir(parents=True)
+    (tmp_path / "r" / "trans_qwen3th" / "in.jsonl").write_text(json.dumps(RECORDS[1]))  # nothing to score
     out = f"{tmp_path}/{{lang}}/trans_{{model}}/best_B{{wb}}_S{{ws}}"
     n = select_run.run(spark, f"{tmp_path}/{{lang}}/trans_{{model}}/in.jsonl", out, same_length, ["/m/Qwen2.5", "/m/other"], ["lua", "r"], [(0.5, 0.5), (0.0, 1.0)])
     assert n == 2  # one source, two weights
