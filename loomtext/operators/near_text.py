@@ -83,13 +83,13 @@ def prefix(text: str, threshold: float, rank: dict[str, int]) -> list[str]:
 
 
 def bag(text: str) -> list[int] | None:
-    """How many characters fall in each of 32 classes, eight to a number of 64 bits; null if a class has more than 255."""
-    counts = [0] * 32
+    """How many characters fall in each of 16 classes, eight to a number of 64 bits; null if a class has more than 255."""
+    counts = [0] * 16
     for c, n in Counter(text).items():
-        counts[ord(c) & 31] += n
+        counts[ord(c) & 15] += n
     if max(counts) > 255:
         return None
-    return [int.from_bytes(bytes(counts[i : i + 8]), "little", signed=True) for i in range(0, 32, 8)]
+    return [int.from_bytes(bytes(counts[i : i + 8]), "little", signed=True) for i in range(0, 16, 8)]
 
 
 def _counts(threshold: float):
@@ -124,7 +124,7 @@ def index(texts: DataFrame, threshold: float) -> DataFrame:
             yield part[["p", "id"]].assign(n=part["x"].map(len).astype("int32"), bag=part["x"].map(bag), elements=part["x"].map(lambda x: prefix(x, threshold, rank)))
 
     found = texts.select("p", "id", "x").mapInPandas(run, T.StructType(kinds))
-    return found.select("p", F.explode("elements").alias("element"), "id", "n", *(F.get("bag", F.lit(i)).alias(f"b{i}") for i in range(4)))
+    return found.select("p", F.explode("elements").alias("element"), "id", "n", *(F.get("bag", F.lit(i)).alias(f"b{i}") for i in range(2)))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -156,14 +156,15 @@ def _texts(df: DataFrame, row_id: str, text: str, part: str | None) -> DataFrame
     return df.select(F.col(row_id).alias("id"), F.coalesce(p, F.lit("")).alias("p"), F.col(text).alias("x")).filter("x <> ''")
 
 
-BAG = [f"b{i}" for i in range(4)]
+#: Of two numbers: with more, the condition of a join would be too large a method for the JVM to compile.
+BAG = [f"b{i}" for i in range(2)]
 
 
 def _close(one: str, other: str, threshold: float) -> Column:
     """Lengths (n) and classes of characters (BAG) of two structs that allow the ratio: no more characters can be matched than the classes share."""
     n, m = F.col(f"{one}.n"), F.col(f"{other}.n")
     count = lambda row, i, k: F.shiftrightunsigned(F.col(f"{row}.b{i}"), 8 * k).bitwiseAND(255)
-    shared = functools.reduce(lambda a, b: a + b, [F.least(count(one, i, k), count(other, i, k)) for i in range(4) for k in range(8)])
+    shared = functools.reduce(lambda a, b: a + b, [F.least(count(one, i, k), count(other, i, k)) for i in range(2) for k in range(8)])
     return (F.least(n, m) > F.greatest(n, m) * (threshold / (2 - threshold)) - 1e-9) & F.coalesce(2 * shared > (n + m) * threshold - 1e-9, F.lit(True))
 
 
