@@ -22,6 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.operators import near_blocks
+from loomtext.session import stored
+
 #: Elements whose rank every task holds, of about 100 bytes each.
 MOST_RANKED = 100_000
 #: Rounds in which texts meet the earliest ones of their elements, before what is left is joined pair by pair.
@@ -182,13 +185,13 @@ def _candidates(found: DataFrame, threshold: float) -> DataFrame:
     return joined.select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
 
 
-def near_duplicate_pairs(df: DataFrame, row_id: str, text: str, threshold: float = 0.85, part: str | None = None) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, row_id: str, text: str, threshold: float = 0.85, part: str | None = None, by_index: bool = False) -> DataFrame:
     """(later, earlier, ratio) of all pairs, within a part, whose ratio is above threshold. Null and empty texts have none; ids are unique.
 
-    The result holds every pair of a group of copies; near_first_wins() keeps the first of each without them.
+    The result holds every pair of a group of copies; near_first_wins() keeps the first of each without them. by_index pays where most pairs of characters are rare.
     """
-    texts = _texts(df, row_id, text, part)
-    return _judged(_candidates(index(texts, threshold), threshold), texts, threshold)
+    texts = stored(_texts(df, row_id, text, part), "near-texts")
+    return _judged(_candidates(index(texts, threshold), threshold), texts, threshold) if by_index else near_blocks.near_pairs(texts, threshold)
 
 
 def first_wins(pairs: DataFrame, df: DataFrame, row_id: str, checkpoint: Callable[[DataFrame], DataFrame]) -> DataFrame:

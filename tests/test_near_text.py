@@ -4,10 +4,11 @@ import difflib
 import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from loomtext.operators import near_text
+from loomtext.operators import near_blocks, near_text
 
 
 def checkpoint(df):
@@ -102,3 +103,46 @@ def test_bags_bound_what_is_matched():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "id long, x string")
     assert near_text.near_first_wins(df, "id", "x", checkpoint).collect() == [] == near_text.near_duplicate_pairs(df, "id", "x").filter(F.lit(True)).collect()
+
+
+def long_texts(seed):
+    r, letters = random.Random(seed), "abcdefgh "
+    base = ["".join(r.choices(letters, k=k)) for k in (63, 64, 65, 128, 129, 200, 260, 300, 1030)]
+    return [edited(r, x, n, letters) for x in base for n in (0, 2, 8, 30)]
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.85, 0.95])
+def test_cells_hold_all_near_pairs(threshold):
+    texts = [x for x in some_texts(1, 30) if x] + long_texts(1)
+    rows = pd.DataFrame({"id": range(len(texts)), "x": texts, "k": 0, "l": 0, "s": 0, "t": 0, "side": 0, "old": [i % 3 == 0 for i in range(len(texts))]})
+    want = {(j, i) for i, j in itertools.combinations(range(len(texts)), 2) if ratio(texts[j], texts[i]) > threshold}
+    found = lambda rows, cross=False, once=False: {(a, b) for a, b, _ in near_blocks.near_in_cell(rows, threshold, cross, once).itertuples(index=False)}
+    assert found(rows) == want
+    mixed = {(a, b) for a, b in want if rows["old"][a] != rows["old"][b]}
+    assert found(rows, cross=True) == mixed
+    two = rows.assign(t=1, side=[i % 2 for i in range(len(texts))])
+    assert found(two) == {(a, b) for a, b in want if (a - b) % 2}
+    assert found(two, cross=True) == {(a, b) for a, b in mixed if (a - b) % 2}
+    assert found(two[two["side"] == 0]) == set()
+    first = rows.assign(old=rows["id"] < len(texts) // 2)
+    mixed = found(first, cross=True)
+    assert found(first, cross=True, once=True) <= mixed and {a for a, _ in found(first, cross=True, once=True)} == {a for a, _ in mixed}
+
+
+def test_unlike_texts_of_few_syllables_hardly_need_a_ratio():
+    """An index of rare pairs of characters finds nearly all pairs of such texts."""
+    r = random.Random(4)
+    syllables = "the ing tion an re on er st and le ".split(" ")
+    texts = ["".join(r.choices(syllables + [" "] * 4, k=60)) for _ in range(300)]
+    rows = near_blocks.Texts(sorted(texts, key=len), near_blocks._codes(texts))
+    i, j = (near_blocks.np.concatenate(x) for x in zip(*near_blocks.by_bags(rows, rows, 0.85), strict=True))
+    assert near_blocks.by_subsequence(rows, rows, i, j, 0.85).sum() < 10
+
+
+def test_slots_and_buckets_miss_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(near_blocks, "LEAST_BLOCK", 7)
+    texts = [x for x in some_texts(8, 30) if x]
+    df = spark.createDataFrame([*enumerate(texts)], "id long, x string")
+    want = {(j, i) for i, j in itertools.combinations(range(len(texts)), 2) if ratio(texts[j], texts[i]) > 0.7}
+    found = [(r.later, r.earlier) for r in near_text.near_duplicate_pairs(df, "id", "x", 0.7).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
