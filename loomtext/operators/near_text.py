@@ -29,6 +29,8 @@ from loomtext.session import stored
 MOST_RANKED = 100_000
 #: Rounds in which texts meet the earliest ones of their elements, before what is left is joined pair by pair.
 ROUNDS = 6
+#: Texts that are compared in one wave; more are dealt by id to PIECES ranges, and the waves end before these.
+AT_ONCE, PIECES, WAVES = 20_000, 64, [1, 8, 64]
 
 
 def least_overlap(total: int, threshold: float, width: int) -> int:
@@ -223,15 +225,42 @@ def _round(open_rows: DataFrame, threshold: float, checkpoint: Callable[[DataFra
     return kept, asked.join(kept.withColumnRenamed("id", "earlier"), "earlier", "left_semi")
 
 
-def near_first_wins(df: DataFrame, row_id: str, text: str, checkpoint: Callable[[DataFrame], DataFrame], threshold: float = 0.85, part: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """D2 without all pairs: df without the rows that an earlier kept row of their part is near. Null and empty texts stay; ids are unique.
+def near_first_wins(df: DataFrame, row_id: str, text: str, checkpoint: Callable[[DataFrame], DataFrame], threshold: float = 0.85, part: str | None = None, rounds: int = ROUNDS, by_index: bool = False, at_once: int = AT_ONCE) -> DataFrame:
+    """D2 without all pairs: df without the rows that an earlier kept row of their part is near. Null and empty texts stay; ids are unique."""
+    texts = checkpoint(_texts(df, row_id, text, part))
+    lost = _lost_by_index(texts, checkpoint, threshold, rounds) if by_index else _lost_by_blocks(texts, checkpoint, threshold, at_once)
+    return df.join(lost.withColumnRenamed("id", row_id), row_id, "left_anti")
+
+
+def _lost_by_blocks(texts: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], threshold: float, at_once: int) -> DataFrame:
+    """The ids that go. More than at_once texts go in waves by id, the first ones being few: what is near a kept text of an earlier wave goes without its pairs,
+    so of a large group of near texts only those of the first wave are paired with each other."""
+    pieces, shares = (1, [1]) if texts.count() <= at_once else (PIECES, WAVES)
+    texts = checkpoint(texts.repartitionByRange(pieces, "id").withColumn("piece", F.spark_partition_id()))
+    lost, kept, start = texts.select("id").limit(0), None, 0
+    for end in shares:
+        wave = texts.filter(F.col("piece").between(start, end - 1)).drop("piece")
+        if kept is not None:
+            both = kept.withColumn("old", F.lit(True)).unionByName(wave.withColumn("old", F.lit(False)))
+            gone = checkpoint(near_blocks.near_pairs(both, threshold, cross=True, once=True).select(F.col("later").alias("id")).distinct())
+            wave, lost = wave.join(gone, "id", "left_anti"), lost.unionAll(gone)
+        wave = checkpoint(wave)
+        gone = _dropped(near_blocks.near_pairs(wave, threshold), checkpoint)
+        lost, start = lost.unionAll(gone), end
+        if end < pieces:
+            left = wave.join(gone, "id", "left_anti")
+            kept = checkpoint(left if kept is None else kept.unionByName(left))
+    return lost
+
+
+def _lost_by_index(texts: DataFrame, checkpoint: Callable[[DataFrame], DataFrame], threshold: float, rounds: int) -> DataFrame:
+    """The ids that go.
 
     In a round every open text meets the earliest open text of each element of its prefix, if lengths allow a ratio. A text that is the earliest of all its elements
     is kept: no open text before it is near. All that share an element with it are compared with it in that round, and those near it go, so it is
     done with. A round compares no more pairs than there are elements; a group of copies is gone after its first text is kept. Texts still open after
     `rounds` rounds are unlike what was kept; they are joined pair by pair, through the same index.
     """
-    texts = checkpoint(_texts(df, row_id, text, part))
     open_rows = checkpoint(index(texts, threshold))
     lost = texts.select("id").limit(0)
     for _ in range(rounds):
@@ -243,4 +272,4 @@ def near_first_wins(df: DataFrame, row_id: str, text: str, checkpoint: Callable[
         open_rows = checkpoint(open_rows.join(kept.unionAll(gone), "id", "left_anti"))
     if open_rows.limit(1).count():
         lost = lost.unionAll(_dropped(_judged(_candidates(open_rows, threshold), texts, threshold), checkpoint))
-    return df.join(lost.withColumnRenamed("id", row_id), row_id, "left_anti")
+    return lost

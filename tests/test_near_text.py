@@ -139,6 +139,20 @@ def test_unlike_texts_of_few_syllables_hardly_need_a_ratio():
     assert near_blocks.by_subsequence(rows, rows, i, j, 0.85).sum() < 10
 
 
+@pytest.mark.parametrize("by_index", [False, True])
+def test_waves_and_index_keep_the_same_rows(spark, by_index):
+    texts = some_texts(7, 25) + long_texts(2)
+    kept = []
+    for i, x in enumerate(texts):
+        if not x or not any(texts[j] and ratio(x, texts[j]) > 0.85 for j in kept):
+            kept.append(i)
+    df = spark.createDataFrame([*enumerate(texts)], "id long, x string")
+    assert sorted(r.id for r in near_text.near_first_wins(df, "id", "x", checkpoint, by_index=by_index, at_once=0).collect()) == kept
+    if by_index:
+        both = [{(r.later, r.earlier) for r in near_text.near_duplicate_pairs(df, "id", "x", by_index=b).collect()} for b in (False, True)]
+        assert both[0] == both[1]
+
+
 def test_slots_and_buckets_miss_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near_blocks, "LEAST_BLOCK", 7)
     texts = [x for x in some_texts(8, 30) if x]
