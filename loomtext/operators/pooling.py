@@ -15,6 +15,8 @@ from loomtext.operators.gated import BatchPort
 
 # Tokens of a code and of a summary that an encoder sees.
 MOST_CODE, MOST_SUMMARY = 512, 128
+#: Vectors that may be broadcast.
+MOST_BROADCAST = 100_000
 #: Texts and the most tokens of each to the token vectors of each text (tokens x dimensions, at most that many tokens).
 Encode = Callable[[list[str], int], list[np.ndarray]]
 
@@ -60,3 +62,16 @@ def mean_vectors(tokens: DataFrame, key: str, pos: str, vector: str, most: int)
     rows = tokens.select(F.col(key).alias("key"), F.col(pos).alias("pos"), F.col(vector).cast("array<float>").alias("vector"))
     first = bottom_k(rows, ["key"], most, ["pos"]).groupBy("key").agg(F.collect_list("vector").alias("vectors"))
     return first.mapInArrow(_means, T.StructType([first.schema["key"], T.StructField("mean", T.ArrayType(T.DoubleType()))])).withColumnRenamed("key", key)
+
+
+def mean_vectors_by_id(rows: DataFrame, key: str, ids: str, vectors: DataFrame, vector_id: str, vector: str, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """(key, mean) of rows (key, unique; an array of ids, of which one may repeat): vectors meet ids where these are, and only sums leave a task.
+
+    The vectors that occur are broadcast if there are at most most_broadcast of them; beyond that they are joined by shuffle. Keys without a vector have no row. rows are read twice.
+    """
+    each = rows.select(key, F.explode(ids).alias("_id"))
+    have = vectors.select(F.col(vector_id).alias("_id"), F.col(vector).cast("array<double>").alias("_v")).join(each.select("_id").distinct(), "_id", "left_semi")
+    told = have.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("width")).first()
+    found = each.join(F.broadcast(have) if told["n"] <= most_broadcast else have, "_id")
+    means = found.groupBy(key).agg(*(F.avg(F.get("_v", F.lit(d))).alias(f"_{d}") for d in range(told["width"] or 0)), F.count(F.lit(1)).alias("_n"))
+    return means.select(key, F.array(*(F.col(f"_{d}") for d in range(told["width"] or 0))).cast("array<double>").alias("mean"))

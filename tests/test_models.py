@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomtext import catalog
 from loomtext.operators import cascade, classify, dedup, evaluation, matching, metrics, pooling, stats
 from loomtext.plans import line_scorer
 
@@ -152,3 +153,22 @@ def test_bottom_k_in_two_steps(spark):
         own = sorted((x, i) for h, x, i in rows if h == g)[:25]
         want += [(g is None, g or "", n, i) for n, (_, i) in enumerate(own, 1)]
     assert got == sorted(want)
+
+@pytest.mark.parametrize("most_broadcast", [0, 100])
+def test_means_by_id_move_sums_alone(spark, most_broadcast):
+    r = np.random.default_rng(1)
+    vectors = r.normal(size=(20, 5))
+    ids = {k: [int(i) for i in r.integers(0, 25, size=n)] for k, n in enumerate([0, 1, 7, 500, 3])}
+    rows = spark.createDataFrame([*ids.items(), (9, None)], "key long, ids array<long>")
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<float>")
+    want = {k: np.mean([vectors[i] for i in own if i < 20], 0) for k, own in ids.items() if any(i < 20 for i in own)}
+    found = pooling.mean_vectors_by_id(rows, "key", "ids", table, "id", "v", most_broadcast)
+    got = {row.key: row["mean"] for row in found.collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+    assert pooling.mean_vectors_by_id(rows, "key", "ids", table.limit(0), "id", "v").collect() == []
+
+
+def test_pooled_query_shuffles_no_row_a_token(spark):
+    """Partial means of a document leave a task, not its tokens' vectors."""
+    plan = catalog.QUERIES["pooled_similarity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_avg" in plan and "BroadcastHashJoin" in plan
