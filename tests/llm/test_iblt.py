@@ -92,3 +92,13 @@ def test_texts_of_unlike_sizes(spark):
     docs = spark.createDataFrame([(1, "one. w3. two"), (2, big), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in iblt.compare_versions(iblt.with_next(docs)).collect()}
     assert got[1].near_next == pytest.approx(2 / 5003) and got[2].near_next == 0 and got[3].near_next == 0
+
+
+def test_each_text_is_sketched_once(rows, spark):
+    texts, docs = rows
+    several = iblt.with_next(docs)
+    found = sorted(several.collect(), key=lambda r: r.doc_id)
+    assert [r.next_sketch for r in found] == [r.sketch for r in found[1:] + found[:1]]
+    assert [r.sketch.n for r in found] == [len(digests(x)) for x in texts]
+    plan = iblt.compare_versions(several)._jdf.queryExecution().optimizedPlan()
+    assert sum(plan.apply(i).expressions().toString().count("split(") for i in range(40) if plan.apply(i) is not None) == 2  # the text's and the edited text's
