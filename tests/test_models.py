@@ -121,6 +121,15 @@ def test_best_cosines_and_cells_equal_plain_ones(spark, block):
     assert got == sorted(want)
 
 
+def test_cells_of_one_pair_are_the_work_of_several_tasks(spark):
+    r = np.random.default_rng(3)
+    side = lambda base, n: spark.createDataFrame([(1, base + i, r.normal(size=4).tolist(), 1.0) for i in range(n)], "pair int, token int, vector array<float>, weight double")
+    found = matching.cosine_cells(side(0, 40), side(100, 30), 5)
+    rows = found.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((x.i, x.j) for x in rows) == [(i, 100 + j) for i in range(40) for j in range(30)]
+    assert len({x.task for x in rows}) > 1
+
+
 def test_cells_do_not_become_rows_and_zero_vectors_score_nothing(spark):
     rows = spark.createDataFrame([(1, i, [float(i % 4 + 1), 1.0], 1.0) for i in range(40)], "pair int, token int, vector array<float>, weight double")
     best = matching.best_cosines(rows, rows)
