@@ -130,6 +130,22 @@ def test_cells_of_one_pair_are_the_work_of_several_tasks(spark):
     assert len({x.task for x in rows}) > 1
 
 
+def test_what_moves_for_cells_grows_with_the_tokens_not_with_the_cells(spark):
+    def exchanges(plan):
+        inner = next((getattr(plan, m)() for kind, m in (("AdaptiveSparkPlanExec", "executedPlan"), ("QueryStageExec", "plan")) if kind in plan.getClass().getSimpleName()), None)
+        below = [plan.children().apply(k) for k in range(plan.children().size())] if inner is None else [inner]
+        return ([plan] if plan.getClass().getSimpleName() == "ShuffleExchangeExec" else []) + [x for y in below for x in exchanges(y)]
+
+    def moved(n):
+        side = lambda odd: spark.range(n).select(F.lit(1).alias("pair"), (2 * F.col("id") + odd).alias("token"), F.array(F.col("id") + 1.0, F.lit(1.0)).alias("vector"), F.lit(1.0).alias("weight"))
+        found = matching.cosine_cells(side(0), side(1), 5)
+        assert len({(x.i, x.j) for x in found.collect()}) == n * n
+        return sum(x.metrics().apply("shuffleRecordsWritten").value() for x in exchanges(found._jdf.queryExecution().executedPlan()))
+
+    few, many = moved(100), moved(400)
+    assert 0 < many < 5 * few
+
+
 def test_cells_do_not_become_rows_and_zero_vectors_score_nothing(spark):
     rows = spark.createDataFrame([(1, i, [float(i % 4 + 1), 1.0], 1.0) for i in range(40)], "pair int, token int, vector array<float>, weight double")
     best = matching.best_cosines(rows, rows)
